@@ -108,8 +108,12 @@ class Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
             size = max(n + 1, 1 << 16)
-            self.up = np.concatenate([[1], np.full(size - 1, self.base, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
-            self.down = np.concatenate([[1], np.full(size - 1, self.inverse, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
+            self.up = np.full(size, self.base, np.uint64)
+            self.up[0] = 1
+            np.cumprod(self.up, out=self.up)
+            self.down = np.full(size, self.inverse, np.uint64)
+            self.down[0] = 1
+            np.cumprod(self.down, out=self.down)
         return self.up, self.down
 
 
@@ -127,7 +131,7 @@ class Prefix:
 
 def slices(sizes, most: int):
     """(first, last) of consecutive items whose sizes add up to about most; an item above it stands alone."""
-    first, held = 0, 0
+    first, held, sizes = 0, 0, list(sizes)
     for i, n in enumerate(sizes):
         if held and held + n > most:
             yield first, i
