@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, minhash, packing
+from . import exact, language, minhash, packing, repeats
 from .shared import table
 
 
@@ -28,6 +28,14 @@ def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
@@ -38,7 +46,7 @@ def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op9_language_codes)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op9_language_codes)}
 
 SQL = {
     "op2_exact_dedup": """
