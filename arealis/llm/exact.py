@@ -13,7 +13,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-    "spark.sql.streaming.metricsEnabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition's store takes megabytes before it holds a key
 }
 
 
