@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mincut, minhash, packing, repeats, secrets
+from . import exact, language, mincut, minhash, packing, repeats, sampling, secrets
 from .shared import table
 
 
@@ -44,6 +44,10 @@ def op7_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_segmentations(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), k=2)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
@@ -54,7 +58,7 @@ def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op9_language_codes)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes)}
 
 SQL = {
     "op2_exact_dedup": """
