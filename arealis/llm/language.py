@@ -145,4 +145,4 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 found += model.predict(texts[a:b])
             yield batch.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], ambiguous=[x[2] for x in found])
 
-    return source.mapInPandas(predict, out).select(F.col("id").alias(id_col), *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "ambiguous")
+    return source.mapInPandas(predict, out).select(*([] if id_col in keep else [F.col("id").alias(id_col)]), *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "ambiguous")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mincut, minhash, packing, repeats, sampling, secrets
+from . import exact, images, language, mincut, minhash, packing, repeats, sampling, secrets
 from .shared import table
 
 
@@ -58,7 +58,19 @@ def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes)}
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited crops of every twentieth image, searched among all images."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return images.copies(images.rendered(vectors), images.rendered(vectors.where("vec_id % 20 = 0"), edited=True))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes, op10_image_copies, pipeline)}
 
 SQL = {
     "op2_exact_dedup": """
