@@ -53,6 +53,12 @@ class Vocabulary:
         points = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
         ends = np.cumsum([len(p) for p in pieces])
         hashes = Prefix(points, _POWERS).hash(ends - [len(p) for p in pieces], ends)
+        # of the first three code points, the longest piece that begins with them
+        self.reach = np.zeros(1 << 16, np.int64)
+        begins, sizes = ends - [len(p) for p in pieces], np.array([len(p) for p in pieces])
+        several = sizes >= 3
+        heads = Prefix(points, _POWERS).hash(begins[several], begins[several] + 3)
+        np.maximum.at(self.reach, (heads >> np.uint64(48)).astype(np.int64), sizes[several])
         self.bits = 20
         # open addressing, so that a look-up is a few array reads
         self.key, self.id, self.score = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), np.full(1 << self.bits, NONE)
@@ -82,44 +88,64 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary, units: list[str]):
         v, sizes = vocabulary, np.array([len(u) for u in units])
-        data = "".join(units)
-        points = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        n, most = len(points), v.longest
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        n, most = len(points), min(v.longest, int(sizes.max(initial=1)))
         ends = sizes.cumsum()
-        self.start, self.end = ends - sizes, ends
-        left = np.repeat(ends, sizes) - np.arange(n)  # code points to the unit's end
+        self.start, self.end, self.points = ends - sizes, ends, points
+        # Positions are handled by their distance to the unit's end, units in order of size: those of distance j
+        # are then one slice, in which position r belongs to unit r.
+        order = np.argsort(-sizes, kind="stable")
+        live = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(1, int(sizes.max(initial=0)) + 1))
+        base = np.concatenate([[0, 0], live.cumsum()])
+        far = np.repeat(np.arange(1, len(live) + 1), live)
+        rank = np.arange(n) - base[far]
+        place = ends[order][rank] - far
         sums = Prefix(points, _POWERS)
-        weight = np.full((n, most), NONE)
-        self.ids = np.full((n, most), -1, np.int32)
+        edges = []
+        reach = np.zeros(n, np.int64)
+        if most >= 3:
+            at = place[base[3] :]
+            reach[base[3] :] = v.reach[(sums.hash(at, at + 3) >> np.uint64(48)).astype(np.int64)]
         for length in range(1, most + 1):
-            at = np.flatnonzero(left >= length)
-            if not len(at):
-                break
+            first = base[length]
+            if length >= 3:
+                near = first + np.flatnonzero(reach[first:] >= length)
+                row, found = v.look_up(sums.hash(place[near], place[near] + length))
+                which, row = near[found], row[found]
+                weight, ids = v.score[row], v.id[row]
+                edges.append((which, weight, ids, np.where(far[which] > length, base[np.maximum(far[which] - length, 0)] + rank[which], n), np.searchsorted(which, base)))
+                continue
+            at = place[first:]
             row, found = v.look_up(sums.hash(at, at + length))
-            at, row = at[found], row[found]
-            weight[at, length - 1], self.ids[at, length - 1] = v.score[row], v.id[row]
-        # a code point that is no piece is written as its bytes
-        bare = np.flatnonzero(self.ids[:, 0] < 0)
-        self.points = points
-        width = 1 + (points[bare] > 0x7F) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
-        weight[bare, 0] = v.byte_score * width
+            if length == 1:  # a code point that is no piece is written as its bytes
+                width = 1 + (points[at] > 0x7F) + (points[at] > 0x7FF) + (points[at] > 0xFFFF)
+                which, weight, ids = np.arange(n), np.where(found, v.score[row], v.byte_score * width), np.where(found, v.id[row], -1)
+            else:
+                hit = np.flatnonzero(found)
+                which, weight, ids = hit + base[length], v.score[row[hit]], v.id[row[hit]]
+            target = np.where(far[which] > length, base[np.maximum(far[which] - length, 0)] + rank[which], n)
+            edges.append((which, weight, ids, target, np.searchsorted(which, base)))
         # log sum over the ways to write what follows each position, from the ends of units to their starts
-        order = np.argsort(-sizes, kind="stable")
-        sorted_ends, sorted_sizes = ends[order], sizes[order]
-        rest = np.zeros(n)
-        for j in range(1, int(sizes.max(initial=0)) + 1):
-            live = int(np.searchsorted(-sorted_sizes, -j, side="right"))
-            at = sorted_ends[:live] - j
-            reach = min(j, most)
-            ways = weight[at, :reach]
-            ways = ways + np.concatenate([rest[at[:, None] + np.arange(1, reach)], np.zeros((live, 1))], 1) if reach == j else ways + rest[at[:, None] + np.arange(1, reach + 1)]
-            top = ways.max(1)
-            rest[at] = top + np.log(np.exp(ways - top[:, None]).sum(1))
-            weight[at, :reach] = ways - rest[at][:, None]
-        np.maximum(weight, -745.0, out=weight, where=weight > NONE / 2)
-        self.log = weight
-        chance = np.exp(weight)
-        self.upto = np.cumsum(chance, 1).astype(np.float32)
+        rest = np.zeros(n + 1)
+        for j in range(1, len(live) + 1):
+            lo, hi = base[j], base[j + 1]
+            top, parts = np.full(hi - lo, NONE), []
+            for which, weight, _, target, cuts in edges[:j]:
+                x, y = cuts[j], cuts[j + 1]
+                if x < y:
+                    r, ways = which[x:y] - lo, weight[x:y] + rest[target[x:y]]
+                    top[r] = np.maximum(top[r], ways)
+                    parts.append((r, ways))
+            total = np.zeros(hi - lo)
+            for r, ways in parts:
+                total[r] += np.exp(ways - top[r])
+            rest[lo:hi] = top + np.log(total)
+        self.log, self.ids, self.upto = np.full((n, most), NONE), np.full((n, most), -1, np.int32), np.zeros((n, most), np.float32)
+        for k, (which, weight, ids, target, _) in enumerate(edges):
+            chance = np.maximum(weight + rest[target] - rest[which], -745.0)
+            at = place[which]
+            self.log[at, k], self.ids[at, k], self.upto[at, k] = chance, ids, np.exp(chance)
+        np.cumsum(self.upto, 1, out=self.upto)
         self.upto /= self.upto[:, -1:]
 
     def choose(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
