@@ -166,3 +166,27 @@ def joined_sorted(c: str | Column, sep: str = "|") -> Column:
 def share_present(*cols: str) -> Column:
     """How many of these columns are not null, as a share."""
     return sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0)) / F.lit(float(len(cols)))
+
+
+#: Coefficients of a rational approximation of the normal quantile (P. J. Acklam), relative error below 1.2e-9.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+
+
+def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: str | Column) -> Column:
+    """The z below which a share p of the normal distribution lies; null outside (0, 1)."""
+    x = col(p)
+    tail = F.sqrt(F.log(F.least(x, 1.0 - x)) * -2.0)
+    outer = _polynomial(_C, tail) / (_polynomial(_D, tail) * tail + 1.0)
+    q = x - 0.5
+    inner = _polynomial(_A, q * q) * q / (_polynomial(_B, q * q) * q * q + 1.0)
+    return F.when((x <= 0) | (x >= 1), None).when(x < 0.02425, outer).when(x > 1 - 0.02425, -outer).otherwise(inner)

@@ -135,3 +135,13 @@ def gates(df: DataFrame, outcome: str, predictors: Sequence[str], least_n: int =
         good = row[0] >= least_n and row[1 + i] >= least_distinct and row[1 + k + i] > 0 and most <= most_r and vif[i] <= most_vif
         out.append({"predictor": c, "n": row[0], "distinct": row[1 + i], "iqr": row[1 + k + i], "largest_r": float(most), "vif": float(vif[i]), "passes": bool(good)})
     return out
+
+
+def prediction_curve(df: DataFrame, fit: Fit, predictor: str, points: int = 50, z: float = 1.959963984540054) -> DataFrame:
+    """(value, predicted, lo, hi) over the range of one predictor, with the others at their means, by the delta method."""
+    row = df.agg(F.min(predictor), F.max(predictor), *[F.avg(c) for c in fit.names[1:]]).first()
+    at = np.tile([1.0, *row[2:]], (points, 1))
+    at[:, fit.names.index(predictor)] = np.linspace(row[0], row[1], points)
+    mean, se = at @ fit.beta, np.sqrt(np.einsum("ij,jk,ik->i", at, fit.covariance, at))
+    rows = [tuple(map(float, r)) for r in np.column_stack([at[:, fit.names.index(predictor)], mean, mean - z * se, mean + z * se])]
+    return df.sparkSession.createDataFrame(rows, "value double, predicted double, lo double, hi double")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, normal_quantile
 
 
 def percentile_rank(value: str, *by: str) -> Column:
@@ -71,3 +71,10 @@ def batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     rows = df.join(before.select(F.col(lead).alias("_lead"), F.coalesce("_before", F.lit(0)).alias("_before")), F.col(lead).eqNullSafe(F.col("_lead")))
     number = F.row_number().over(Window.partitionBy(lead).orderBy(*order[1:] or [F.lit(0)])) + F.col("_before")
     return rows.withColumn("row_number", number).withColumn("batch", F.ceil(F.col("row_number") / F.lit(float(size))).cast("long")).drop("_lead", "_before")
+
+
+def normal_scores(value: str, *by: str) -> Column:
+    """The normal quantile expected at each value's place in its group, (i - 0.5) / n."""
+    w = Window.partitionBy(*by, F.col(value).isNull())
+    place = (F.row_number().over(w.orderBy(value)) - 0.5) / F.count("*").over(w)
+    return F.when(F.col(value).isNotNull(), normal_quantile(place))

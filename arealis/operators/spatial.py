@@ -44,6 +44,25 @@ def contiguity(areas: DataFrame, key: str, wkt: str, rule: str = "queen") -> Dat
     return v.withColumnRenamed(key, "src").join(v.withColumnRenamed(key, "dst"), "at_").where("src <> dst").select("src", "dst").distinct()
 
 
+def covering_areas(points: DataFrame, key: str, x: str, y: str, areas: DataFrame, area: str, wkt: str, cell: float = 1.0) -> DataFrame:
+    """(key, area) of points inside areas, by the even-odd rule over all rings; a boundary's points may fall to either side.
+
+    Areas are dealt to the grid cells that their bounds cover, so a point meets only areas near it.
+    """
+    v = vertices(areas, area, wkt)
+    ring = Window.partitionBy(area, "ring").orderBy("at")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sides = v.select(area, "x", "y", F.coalesce(F.lead("x").over(ring), F.first("x").over(whole)).alias("x2"), F.coalesce(F.lead("y").over(ring), F.first("y").over(whole)).alias("y2"))
+    at = lambda c: F.floor(c / cell)
+    bounds = v.groupBy(area).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    tiles = bounds.withColumn("_cx", F.explode(F.sequence(at(F.col("a")), at(F.col("b"))))).withColumn("_cy", F.explode(F.sequence(at(F.col("c")), at(F.col("d")))))
+    p = points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py")).withColumns({"_cx": at(F.col("_px")), "_cy": at(F.col("_py"))})
+    near = p.join(tiles, ["_cx", "_cy"]).where("_px BETWEEN a AND b AND _py BETWEEN c AND d").select(key, area, "_px", "_py")
+    crosses = ((F.col("y") > F.col("_py")) != (F.col("y2") > F.col("_py"))) & (F.col("_px") < F.try_divide((F.col("x2") - F.col("x")) * (F.col("_py") - F.col("y")), F.col("y2") - F.col("y")) + F.col("x"))
+    hits = near.join(sides, area).groupBy(key, area).agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("n"))
+    return hits.where("n % 2 = 1").select(key, area)
+
+
 def distance_band(points: DataFrame, key: str, x: str, y: str, threshold: float) -> DataFrame:
     """(src, dst, distance) both ways of points up to threshold apart, by a grid of cells of that size and their eight neighbours."""
     cell = lambda c: F.floor(F.col(c) / threshold)

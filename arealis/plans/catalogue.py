@@ -600,3 +600,19 @@ def windowed_event_counts(spark, sf_dir):
 
     out = windowed_counts(read(spark, sf_dir, "events"), "event_type", "value", 10)
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events", "eligible")
+
+
+@query("SELECT c_custkey AS customer, (floor((c_custkey * 37 % 499 + 0.5) / 100) + 5 * floor((c_custkey * 91 % 499 + 0.5) / 100))::INT AS area FROM customer")
+def points_in_areas(spark, sf_dir):
+    at = lambda k: (F.col("c_custkey") * k % 499 + 0.5) / 100.0
+    points = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), at(37).alias("px"), at(91).alias("py"))
+    return spatial.covering_areas(points, "customer", "px", "py", cells(spark, sf_dir), "area", "wkt")
+
+
+@query("""WITH s AS (SELECT c_nationkey AS candidate, c_mktsegment AS domain, count(*) FILTER (c_custkey % 2 = 0) AS a, count(*) FILTER (c_custkey % 2 = 1) AS b FROM customer GROUP BY ALL)
+          SELECT candidate, count(*) AS domains, sum(a)::BIGINT AS first_total, sum(b)::BIGINT AS second_total, (sum(a) + sum(b)) / 2.0::DOUBLE AS mean_total, count(*) FILTER (a = b) AS agreed FROM s GROUP BY candidate""")
+def two_rater_totals(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("candidate"), F.col("c_mktsegment").alias("domain"), "c_custkey")
+    rated = [c.where(F.col("c_custkey") % 2 == k).groupBy("candidate", "domain").agg(F.count("*").alias(n)) for k, n in ((0, "a"), (1, "b"))]
+    both = joins.checked_join(*rated, ["candidate", "domain"], "full", "1:1").fillna(0)
+    return both.groupBy("candidate").agg(F.count("*").alias("domains"), F.sum("a").alias("first_total"), F.sum("b").alias("second_total"), ((F.sum("a") + F.sum("b")) / 2.0).alias("mean_total"), F.count_if(F.col("a") == F.col("b")).alias("agreed"))

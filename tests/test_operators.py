@@ -216,3 +216,27 @@ def test_text_metrics(spark):
     assert row["nominal_share"] == pytest.approx(2 / 17) and row["hedge_share"] == pytest.approx(1 / 17)
     assert column(spark.createDataFrame([("cake",), ("table",), ("a",), ("rhythm",), ("reading",)], "w string"), T.syllables(F.col("w"))) == [1, 2, 1, 1, 2]
     assert column(df, T.term_hits(t, ["NICE", "govern"])) == [["NICE"]]
+
+
+def test_normal_quantiles_and_scores(spark):
+    from statistics import NormalDist
+
+    ps = [1e-9, 0.001, 0.02425, 0.2, 0.5, 0.9, 0.99, 0.999999]
+    got = column(spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0]], "p double"), C.normal_quantile("p"))
+    assert all(abs(a - NormalDist().inv_cdf(p)) < 1e-7 for a, p in zip(got, ps)) and got[len(ps) :] == [None, None]
+    df = spark.createDataFrame([(3.0,), (1.0,), (2.0,), (None,)], "v double")
+    scores = {r.v: r.s for r in df.withColumn("s", ranking.normal_scores("v")).collect()}
+    assert abs(scores[2.0]) < 1e-12 and abs(scores[1.0] + scores[3.0]) < 1e-12 and scores[None] is None
+
+
+def test_points_in_a_ring_with_a_hole(spark):
+    areas = spark.createDataFrame([(1, "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))"), (2, "POLYGON ((1 1, 3 1, 2 3, 1 1))")], "area int, wkt string")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 1.5), (3, 1.05, 2.9), (4, 9.0, 9.0)], "p int, x double, y double")
+    got = {(r.p, r.area) for r in spatial.covering_areas(points, "p", "x", "y", areas, "area", "wkt").collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
+def test_prediction_curve_passes_through_the_line(spark):
+    df = spark.createDataFrame([(float(i), float(i * 2 + 1 + (i % 3 - 1) * 0.1)) for i in range(20)], "x double, y double")
+    rows = linear.prediction_curve(df, linear.least_squares(df, "y", ["x"]), "x", 5).collect()
+    assert [r.value for r in rows] == [0.0, 4.75, 9.5, 14.25, 19.0] and all(abs(r.predicted - (2 * r.value + 1)) < 0.2 and r.lo < r.predicted < r.hi for r in rows)
