@@ -111,6 +111,69 @@ def _names(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, texts: int
     return name.view(np.int64)
 
 
+#: Documents of a bucket that are compared with one another at a time, about; in a bucket of no more than FEW, pairs are simply joined.
+BLOCK, FEW = 400, 8
+
+
+def across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs (a, b) of two blocks of a bucket, of different classes, whose similarity can reach the threshold.
+
+    Shared shingles are counted by products of zero-one matrices. Where no shingle repeats within a text, the count
+    gives the similarity; else the weight of shared shingles, as a share of either text's, bounds it from above.
+    """
+    n, block = len(pdf), pdf["block"].to_numpy()
+    ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
+    hashes, counts = [np.frombuffer(h, "<u8") for h in pdf["hashes"]], [np.frombuffer(c, "<u4").astype(np.float32) for c in pdf["counts"]]
+    sizes = np.array([len(h) for h in hashes])
+    _, column, holders = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    owner, weight = np.repeat(np.arange(n), sizes), np.concatenate(counts)
+    several = holders[column] > 1
+    owner, weight, column = owner[several], weight[several], np.unique(column[several], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, weight, column = owner[order], weight[order], column[order]
+    left, right = np.flatnonzero(block == pdf["lo"].iloc[0]), np.flatnonzero(block == pdf["hi"].iloc[0])
+    shared, held_left, held_right = (np.zeros((len(left), len(right)), np.float32) for _ in range(3))
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(max(1, 8_000_000 // n), max(columns, 1))
+    for first in range(0, columns, width):
+        x, y = np.searchsorted(column, [first, first + width])
+        zero_one, weights = np.zeros((2, n, width), np.float32)
+        zero_one[owner[x:y], column[x:y] - first] = 1
+        weights[owner[x:y], column[x:y] - first] = weight[x:y]
+        shared += zero_one[left] @ zero_one[right].T
+        held_left += weights[left] @ zero_one[right].T
+        held_right += zero_one[left] @ weights[right].T
+    total = np.array([c.sum() for c in counts])
+    plain = total == sizes
+    jaccard = shared / np.maximum(sizes[left][:, None] + sizes[right] - shared, 1)
+    bound = np.minimum(held_left / total[left][:, None], held_right / total[right])
+    reach = np.where(plain[left][:, None] & plain[right], jaccard, bound) >= threshold - 1e-4
+    i, j = np.nonzero(reach & (roots[left][:, None] != roots[right]))
+    a, b = ids[left[i]], ids[right[j]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def each_across(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """across() for each run of rows with the same key, lo and hi."""
+    held: list[pd.DataFrame] = []
+    name = None
+    for batch in batches:
+        names = batch[["key", "lo", "hi"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(batch)]
+        out = []
+        for i, j in zip(cuts, cuts[1:]):
+            if i < j:
+                if held and (names[i] != name).any():
+                    out.append(across(pd.concat(held) if len(held) > 1 else held[0], threshold))
+                    held = []
+                held.append(batch.iloc[i:j])
+                name = names[i]
+        if out:
+            yield pd.concat(out)
+    if held:
+        yield across(pd.concat(held), threshold)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 26, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, rep_id and class_id.
 
@@ -119,9 +182,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     joins. Words are what lies between white space, in lower case. Texts without a word, null among them, form a
     class each of their own.
 
-    Each bucket of a band first gives a star, from every member to its smallest. Buckets whose members the
-    verified links have not all joined then pair what lies in different classes, as often as no pair is left
-    unseen, so no link between two classes is lost; what is joined already is never paired. Copies are collapsed
+    Each bucket of a band first gives a star, from every member to its smallest. In buckets whose members the
+    verified links have not all joined, blocks of members are then compared with one another, all with all, and
+    what may link two classes is verified, so no link between classes is lost; only such pairs are ever rows. Copies are collapsed
     before, so a group of copies of any size counts once. With 26 bands of 5 registers a pair at the threshold of
     0.8 is missed with a chance of 3e-5, one at 0.9 with less than 1e-9. Rows that repeat an id are one document, whose
     vector is that of greatest name. An empty table gives no rows; other columns are ignored.
@@ -182,8 +245,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     placed = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     open_ = stored(placed.join(split, "key"), "open")
-    other = open_.select("key", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    pairs = open_.join(other, "key").where("root <> other_root AND id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
+    small = open_.join(sizes.where(F.col("size") <= FEW), "key")
+    other = small.select("key", F.col("id").alias("other"), F.col("root").alias("other_root"))
+    few = small.join(other, "key").where("root <> other_root AND id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    parts = open_.join(sizes.where(F.col("size") > FEW).select("key", F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "key")
+    parts = parts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = parts.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "root").join(made, "id")
+    many = parts.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(lambda batches: each_across(batches, threshold), "a long, b long")
+    pairs = few.union(many).distinct()
     late = verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "late").where("link").select("a", "b")
     if not late.isEmpty():
         roots = stored(connected(links.union(late)), "roots")

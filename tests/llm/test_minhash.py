@@ -2,7 +2,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from arealis.llm import minhash
 from arealis.llm.minhash import near_duplicates, probability_jaccard, shingle_vectors, signatures
 from arealis.llm.shared import connected
 
@@ -81,7 +83,10 @@ def test_registers_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - brute_jp(brute_shingles(a, 2), brute_shingles(b, 2))) < 0.03
 
 
-def test_classes_match_all_pairs(spark):
+@pytest.mark.parametrize("block,few", [(400, 8), (5, 1)])
+def test_classes_match_all_pairs(spark, monkeypatch, block, few):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "FEW", few)
     texts = corpus()
     rows = near_duplicates(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, key int").repartition(4)).collect()
     assert len(rows) == len(texts)
