@@ -63,8 +63,9 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     the number of rounds grows with the logarithm of the longest chain. Every round is a written table.
     A node of very many links is handled by aggregates with map-side partial results, never by a list.
     """
-    spark = links.sparkSession
+    print_of = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    before = print_of(edges)
     for _ in range(max_rounds):
         # large star: each neighbour above a node is linked to the least of the node and its neighbours
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -75,9 +76,8 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
         after = stored(small, "cc")
-        changed = not (after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty())
-        edges = after
-        if not changed:
+        edges, last, before = after, before, print_of(after)
+        if before == last:  # of edges without repeats
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
