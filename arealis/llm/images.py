@@ -191,42 +191,35 @@ def copies(images: DataFrame, queries: DataFrame, least: int = 6, id_col: str =
     that the best similarity transform explains, at least least of them. Null images and what cannot be read match
     nothing. An empty table gives no rows; other columns are ignored.
     """
-    key = F.sha2(F.col(data_col), 256)
-    named = lambda df: df.where(F.col(data_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(data_col).alias("data"), key.alias("key"))
-    classes = lambda df: df.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.any_value("data").alias("data"))
-    index, asked = classes(named(images)), classes(named(queries))
+    named = lambda df: df.where(F.col(data_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(data_col), 256).alias("key"), F.col(data_col).alias("data"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.arange(WORDS, dtype=np.int64) << 32
         for batch in batches:
-            reps, found = batch["rep"].to_numpy(), [descriptors(decode(d)) for d in batch["data"]]
-            sizes = [len(w) for w, _ in found]
-            if not sum(sizes):
-                continue
-            where, words = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            corner = np.concatenate([np.arange(n) for n in sizes])
-            yield pd.DataFrame({"rep": np.repeat(reps, sizes), "x": where[:, 0], "y": where[:, 1], "scale": where[:, 2], "angle": where[:, 3], "corner": corner, "words": list(words.astype(np.int64))})
-
-    schema = "rep long, x double, y double, scale double, angle double, corner int, words array<long>"
-    described = lambda df, name: stored(df.select("rep", "data").mapInPandas(describe, schema), name)
-    have, want = described(index, "corners"), described(asked, "asked")
-    # Hamming tables: two corners within 7 bits of each other share one of 8 words. A word too common to tell
-    # anything still counts, since joins go by word and table and skewed ones are split.
-    table = lambda df, s: df.select(F.struct("rep", "corner", "x", "y", "scale", "angle").alias(s), F.posexplode("words").alias("table", "word"))
-    met = table(want, "q").join(table(have, "i"), ["table", "word"])
-    met = met.select("q", "i").distinct()
-    pairs = met.groupBy(F.col("q.rep").alias("query"), F.col("i.rep").alias("image")).agg(F.count("*").alias("matches"), F.collect_list(F.array("q.x", "q.y", "q.scale", "q.angle", "i.x", "i.y", "i.scale", "i.angle")).alias("points"))  # at most corners x corners of two images
+            found = [descriptors(decode(d)) for d in batch.pop("data")]
+            yield batch.assign(places=[w.astype("<f4").tobytes() for w, _ in found], words=[(w.astype(np.int64) + table).ravel() for _, w in found])
+
+    def classes(df: DataFrame, name: str) -> DataFrame:
+        """Bytes are described where they are read and never shuffled; equal ones then become one class."""
+        made = named(df).mapInPandas(describe, "id long, key string, places binary, words array<long>")
+        return stored(made.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.max(F.struct("places", "words")).alias("d")).select("key", "rep", "size", "d.*"), name)
+
+    have, want = classes(images, "corners"), classes(queries, "asked")
+    # Hamming tables: corners within 7 bits of each other share one of 8 words at least. Words that many corners hold
+    # still count; the join goes by table and word, and skewed partitions of it are split.
+    table = lambda df, rep, corner: df.select(F.col("rep").alias(rep), F.posexplode("words").alias("_at", "word")).select(rep, F.expr(f"_at div {WORDS}").cast("int").alias(corner), "word")
+    met = table(want, "query", "a").join(table(have, "image", "b"), "word").select("query", "image", "a", "b").distinct()
+    # at most corners x corners of two images
+    pairs = met.groupBy("query", "image").agg(F.count("*").alias("matches"), F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).where(F.col("matches") >= least)
 
     @F.pandas_udf("int")
-    def agreed(points: pd.Series) -> pd.Series:
-        out = []
-        for p in points:
-            m = np.stack([np.asarray(x) for x in p])
-            out.append(consensus(m[:, :4], m[:, 4:]))
-        return pd.Series(out, dtype="int32")
-
-    found = pairs.where(F.col("matches") >= least).withColumn("inliers", agreed("points")).where(F.col("inliers") >= least)
-    found = found.join(index.select(F.col("rep").alias("image"), F.col("size").alias("class_size")), "image")
-    members = named(queries).select(F.col("id").alias("query_id"), "key").join(asked.select("key", F.col("rep").alias("query")), "key")
+    def agreed(p: pd.Series, q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        where = lambda d: np.frombuffer(d, "<f4").reshape(-1, 4).astype(float)
+        return pd.Series([consensus(where(w)[np.asarray(i)], where(x)[np.asarray(j)]) for w, x, i, j in zip(p, q, a, b)], dtype="int32")
+
+    pairs = pairs.join(want.select(F.col("rep").alias("query"), F.col("places").alias("p")), "query").join(have.select(F.col("rep").alias("image"), F.col("places").alias("q"), F.col("size").alias("class_size")), "image")
+    found = pairs.withColumn("inliers", agreed("p", "q", "a", "b")).where(F.col("inliers") >= least)
+    members = named(queries).select(F.col("id").alias("query_id"), "key").join(want.select("key", F.col("rep").alias("query")), "key")
     return members.join(found.select("query", "image", "class_size", "matches", "inliers"), "query").select("query_id", F.col("image").alias("image_id"), "class_size", "matches", "inliers")
 
 
