@@ -112,7 +112,7 @@ def _names(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, texts: int
 
 
 #: Documents of a bucket that are compared with one another at a time, about; in a bucket of no more than FEW, pairs are simply joined.
-BLOCK, FEW = 400, 8
+BLOCK, FEW = 400, 3
 
 
 def across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:

@@ -8,6 +8,8 @@ wastes fewer than m tokens and no more than one slot.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import slices, stored
 
 #: Words that a worker remembers with their ids; a full memory is emptied, which costs time only.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, slot long, bin long, nth long, ids binary"
 
 
@@ -36,34 +38,77 @@ def cut_table(capacity: int) -> list[list[int]]:
     return table
 
 
+#: A word of letters that lower case and composition leave one to one, then signs that neither of them touches.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#%$*&()]*)")
+
+
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, from the ids of their words.
 
     The vocabulary's pre-tokeniser drops white space and looks at nothing beyond it, so the ids of a text are
     those of its parts between blanks and line ends, one after another. Parts are encoded once while remembered.
+    A plain part is two pre-tokens, letters and signs, which are remembered apart; letters are encoded many at a
+    time, as the last id of a pre-token shows by its end of word.
     """
 
     def __init__(self, tokenizer_path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(tokenizer_path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.letters, self.signs = {"": b""}, {}, {"": b""}
+
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def learn(self, fresh: set[str]) -> None:
+        plain, other = {}, []
+        for part in fresh:
+            found = PLAIN.fullmatch(part)
+            if found:
+                plain[part] = found[1].lower(), found[2]
+            else:
+                other.append(part)
+        letters, signs = [*{a for a, _ in plain.values()} - self.letters.keys()], [*{b for _, b in plain.values()} - self.signs.keys()]
+        for i in range(0, len(letters), 1000):
+            some = letters[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(some):  # a vocabulary without ends of words
+                self.letters.update(zip(some, self.encoded(some)))
+                continue
+            data = ids.tobytes()
+            self.letters.update((word, data[4 * x : 4 * y]) for word, x, y in zip(some, [0, *cuts], cuts))
+        self.signs.update(zip(signs, self.encoded(signs)))
+        self.known.update((part, self.letters[a] + self.signs[b]) for part, (a, b) in plain.items())
+        self.known.update(zip(other, self.encoded(other)))
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            parts = text.replace("\n", " ").split(" ")
-            ids = list(map(self.known.get, parts))
-            if None in ids:
-                fresh = [*{p for p, known in zip(parts, ids) if known is None}]
-                if len(self.known) + len(fresh) > WORDS_KEPT:
-                    self.known = {"": b""}
-                    fresh = [*set(parts) - {""}]
-                for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                    self.known[p] = np.array(e.ids, "<u4").tobytes()
-                ids = [self.known[p] for p in parts]
-            yield b"".join(ids)
+        for a, b in slices(map(len, texts), 500_000):
+            parts = [text.replace("\n", " ").split(" ") for text in texts[a:b]]
+            fresh = set().union(*parts) - self.known.keys()
+            if fresh and len(self.known) + len(self.letters) + len(fresh) > WORDS_KEPT:
+                self.forget()
+                fresh = set().union(*parts) - {""}
+            self.learn(fresh)
+            for of in parts:
+                yield b"".join(map(self.known.__getitem__, of))
+
+
+_coders: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_path: str) -> WordIds:
+    """One coder for each vocabulary and worker; workers outlive their tasks."""
+    if tokenizer_path not in _coders:
+        _coders[tokenizer_path] = WordIds(tokenizer_path)
+    return _coders[tokenizer_path]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -83,7 +128,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         raise ValueError("capacity must be a power of two")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, task, bins, end = WordIds(tokenizer_path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        words, task, bins, end = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         held: dict[int, list] = {}
 
         def rows(of: list) -> pd.DataFrame:

@@ -11,13 +11,14 @@ treat words (remove_repeated_words) or bytes (remove_repeated_bytes), and share
   The number of shards is the session's number of shuffle partitions.
 * Answers go back to the chunk as numbers of entries.
 
-Keys are hashes of 86 bits and more, so different windows are told apart with near certainty; no key is dropped,
+Keys are hashes of some 77 bits and more, so different windows are told apart with near certainty; no key is dropped,
 capped or sampled.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -34,6 +35,7 @@ from .shared import Powers, Prefix, mixed, shuffle_width, stored
 
 CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 60_000
 _BYTES, _TOKENS, _CHECK = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95), Powers(0xAF251AF3B0F025B5)
+CHUNK_ROW = namedtuple("CHUNK_ROW", "ids sizes blob")
 CHUNK = "chunk long, ids binary, sizes binary, blob binary"
 #: What chunks ask of shards, and what shards answer.
 ASK, ANSWER = "shard int, chunk long, ids binary, entries binary", "chunk long, shard int, hits binary"
@@ -49,7 +51,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def chunk() -> pd.DataFrame:
             order = np.argsort(np.array(ids), kind="stable")
             parts = [texts[i] for i in order]
-            row = ((task << 32) + made, np.array(ids, "<i8")[order].tobytes(), np.array([len(t) for t in parts], "<i8").tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(parts)))
+            row = ((task << 32) + made, np.array(ids, "<i8")[order].tobytes(), np.array([len(t) for t in parts], "<i8").tobytes(), zstandard.ZstdCompressor(level=6).compress(b"".join(parts)))
             return pd.DataFrame([row], columns=["chunk", "ids", "sizes", "blob"])
 
         for batch in batches:
@@ -197,24 +199,23 @@ def _answers(shard: int, rows: list, hits: list[np.ndarray]) -> pd.DataFrame:
 
 # ---- windows: the last level of both operators ----
 
-WINDOW_WIDTHS = [4, 8, 2]  # key within the shard, check, document
+WINDOW_WIDTHS = [4, 5, 2]  # key within the shard, check, document
 
 
-def window_asks(c: Chunk, a: Anchors, which: np.ndarray, window: int, shards: int, chunk: int) -> tuple[pd.DataFrame, bytes]:
-    """Asks for all windows of the anchors in which, each different window once, for its first document here.
+def windows_of(c: Chunk, first: np.ndarray, last: np.ndarray, window: int, shards: int):
+    """Start, shard, key and check of the windows that start at first .. last, and the groups of equal ones."""
+    sums, count = Prefix(c.values, _TOKENS), last - first + 1
+    start = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count) + np.repeat(first, count)
+    h, check = sums.hash(start, start + window, 11), sums.hash(start, start + window, 12) & np.uint64((1 << 40) - 1)
+    shard, key = shard_of(h, shards), h & np.uint64(0xFFFFFFFF)
+    return start, shard, key, check, Groups(shard, key, check)
 
-    Also the windows' places, as the final step reads them: for every shard's entries in turn, the start tokens.
-    """
-    count = a.last[which] - a.first[which] + 1
-    start = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count) + np.repeat(a.first[which], count)
-    h, check = a.sums.hash(start, start + window, 11), a.sums.hash(start, start + window, 12)
-    shard = shard_of(h, shards)
-    key = Groups(shard, h & np.uint64(0xFFFFFFFF), check)
-    lead = key.firsts()
-    doc = c.document(start)
-    frame = asks(chunk, c.ids, shards, shard[lead], [(h[lead] & np.uint64(0xFFFFFFFF), 4), (check[lead], 8), (doc[lead], 2)])
-    runs = np.diff(np.append(key.head, len(start)))
-    return frame, np.array([len(lead)], "<i8").tobytes() + np.bincount(shard[lead], minlength=shards).astype("<i8").tobytes() + runs.astype("<i8").tobytes() + start[key.order].astype("<i8").tobytes()
+
+def window_asks(c: Chunk, first: np.ndarray, last: np.ndarray, window: int, shards: int, chunk: int) -> pd.DataFrame:
+    """Asks for all these windows, each different one once, for its first document here."""
+    start, shard, key, check, g = windows_of(c, first, last, window, shards)
+    lead = g.firsts()
+    return asks(chunk, c.ids, shards, shard[lead], [(key[lead], 4), (check[lead], 5), (c.document(start[lead]), 2)])
 
 
 def window_answers(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -232,26 +233,23 @@ def window_answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return _answers(int(rows[0].shard), rows, [np.flatnonzero(hit[i:j]) for i, j in zip(cuts, cuts[1:])])
 
 
-def covered_by(c: Chunk, window: int, starts: np.ndarray) -> np.ndarray:
-    """Tokens under windows that start there."""
-    step = np.zeros(len(c.values) + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + window, -1)
+def covered(tokens: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which tokens lie in one of the ranges first .. end - 1."""
+    step = np.zeros(tokens + 1, np.int32)
+    np.add.at(step, first, 1)
+    np.add.at(step, end, -1)
     return step[:-1].cumsum() > 0
 
 
-def removed_windows(c: Chunk, placed: bytes, answers: dict[int, np.ndarray], shards: int) -> np.ndarray:
-    """Starts of the placed windows that are met in a smaller document, here or (answers) in another chunk."""
-    numbers = np.frombuffer(placed, "<i8")
-    n, per_shard, rest = int(numbers[0]), numbers[1 : 1 + shards], numbers[1 + shards :]
-    runs, start = rest[:n], rest[n:]
-    offset = per_shard.cumsum() - per_shard
-    met = np.zeros(n, bool)
+def removed_windows(c: Chunk, first: np.ndarray, last: np.ndarray, answers: dict[int, np.ndarray], window: int, shards: int) -> np.ndarray:
+    """Starts of the windows that are met in a smaller document, here or (answers) in another chunk."""
+    start, shard, _, _, g = windows_of(c, first, last, window, shards)
+    lead = g.firsts()
+    begin, met, doc = np.searchsorted(shard[lead], np.arange(shards)), np.zeros(len(g), bool), c.document(start)
     for k, h in answers.items():
-        met[offset[k] + h] = True
-    doc = c.document(start)
-    lead = np.repeat(doc[runs.cumsum() - runs], runs) if n else doc
-    return start[np.repeat(met, runs) | (doc > lead)]
+        met[begin[k] + h] = True
+    gone = met[g.run] | (doc[g.order] > doc[lead][g.run])
+    return start[g.order][gone]
 
 
 # ---- the frame ----
@@ -273,34 +271,53 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, words: bool, window: i
 
     first = held.mapInPandas(first_asks, ASK).groupBy("shard").applyInPandas(lambda pdf: answer(pdf), ANSWER)
 
+    result = [x.split(" ")[0] for x in schema.split(", ")]
+    state = ["chunk", "kind", "shard", "ids", "entries"]
+
     def second_asks(key, mine: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
         row = next(mine.itertuples(index=False))
         c = Chunk.of(row, words)
         a = anchors(c, window, gram)
         met, open_ = choose(a, {int(r.shard): np.frombuffer(r.hits, "<u4") for r in hits.itertuples(index=False)}, shards)
-        span = np.stack([a.first[met], a.last[met] + window]).astype("<i8").tobytes()
-        frame, placed = window_asks(c, a, open_, window, shards, int(row.chunk))
-        rows = [(int(row.chunk), "spans", -1, None, span), (int(row.chunk), "placed", -1, None, placed)]
-        rows += [(int(r.chunk), "ask", r.shard, r.ids, r.entries) for r in frame.itertuples(index=False)]
-        return pd.DataFrame(rows, columns=["chunk", "kind", "shard", "ids", "entries"])
-
-    second = stored(held.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(second_asks, "chunk long, kind string, shard int, ids binary, entries binary"), "asks")
+        gone = covered(len(c.values), a.first[met], a.last[met] + window)
+        # documents without an open window are settled; the others go on, in a smaller chunk of their own
+        waits = np.zeros(len(c.ids), bool)
+        waits[np.searchsorted(c.bounds, a.first[open_], side="right") - 1] = True
+        done = out(c, gone, np.flatnonzero(~waits))
+        if not waits.any():
+            return done.assign(chunk=row.chunk, kind="done").reindex(columns=[*state, *result])
+        parts = [c.data[c.ends[i] : c.ends[i + 1]] for i in np.flatnonzero(waits)]
+        sizes = np.array([len(p) for p in parts], "<i8")
+        counts = np.diff(c.bounds) * waits
+        shift = c.bounds[:-1] - (counts.cumsum() - counts)  # of each waiting document's tokens
+        moved = shift[np.searchsorted(c.bounds, a.first[open_], side="right") - 1]
+        first_, last_ = a.first[open_] - moved, a.last[open_] - moved
+        kept = np.repeat(waits, np.diff(c.bounds))
+        less = Chunk(c.ids[waits], b"", np.zeros(0), c.values[kept], np.concatenate([[0], counts[waits].cumsum()]))
+        frame = window_asks(less, first_, last_, window, shards, int(row.chunk))
+        placed = np.concatenate([first_, last_]).astype("<u4").tobytes()
+        rows = [(row.chunk, "blob", -1, c.ids[waits].astype("<i8").tobytes() + sizes.tobytes(), zstandard.ZstdCompressor(level=6).compress(b"".join(parts)))]
+        rows += [(row.chunk, "gone", -1, None, zstandard.ZstdCompressor(level=3).compress(np.packbits(gone[kept]).tobytes())), (row.chunk, "placed", -1, None, placed)]
+        rows += [(row.chunk, "ask", r.shard, r.ids, r.entries) for r in frame.itertuples(index=False)]
+        return pd.concat([done.assign(chunk=row.chunk, kind="done"), pd.DataFrame(rows, columns=state)]).reindex(columns=[*state, *result])
+
+    second = stored(held.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(second_asks, f"chunk long, kind string, shard int, ids binary, entries binary, {schema}"), "asks")
     hits = second.where("kind = 'ask'").select("shard", "chunk", "ids", "entries").groupBy("shard").applyInPandas(window_answers, ANSWER)
-    state = second.where("kind <> 'ask'").select("chunk", "kind", "shard", F.col("entries").alias("data")).unionByName(hits.select("chunk", F.lit("hits").alias("kind"), "shard", F.col("hits").alias("data")))
+    rest = second.where("kind IN ('blob', 'gone', 'placed')").select("chunk", "kind", "ids", "entries")
+    hits = hits.select("chunk", "shard", "hits")
 
-    def finish(key, mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        row = next(mine.itertuples(index=False))
-        c = Chunk.of(row, words)
-        data = {(r.kind, int(r.shard)): r.data for r in known.itertuples(index=False)}
-        answers = {k: np.frombuffer(d, "<u4").astype(np.int64) for (kind, k), d in data.items() if kind == "hits"}
-        span = np.frombuffer(data["spans", -1], "<i8").reshape(2, -1)
-        gone = covered_by(c, window, removed_windows(c, data["placed", -1], answers, shards))
-        step = np.zeros(len(c.values) + 1, np.int32)
-        np.add.at(step, span[0], 1)
-        np.add.at(step, span[1], -1)
-        return out(c, gone | (step[:-1].cumsum() > 0))
+    def finish(key, mine: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        data = {r.kind: r for r in mine.itertuples(index=False)}
+        numbers = np.frombuffer(data["blob"].ids, "<i8")
+        c = Chunk.of(CHUNK_ROW(numbers[: len(numbers) // 2].tobytes(), numbers[len(numbers) // 2 :].tobytes(), data["blob"].entries), words)
+        answers = {int(r.shard): np.frombuffer(r.hits, "<u4").astype(np.int64) for r in answered.itertuples(index=False)}
+        first_, last_ = np.frombuffer(data["placed"].entries, "<u4").astype(np.int64).reshape(2, -1)
+        starts = removed_windows(c, first_, last_, answers, window, shards)
+        before = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data["gone"].entries), np.uint8), count=len(c.values)).astype(bool)
+        return out(c, before | covered(len(c.values), starts, starts + window), np.arange(len(c.ids)))
 
-    return held.groupBy("chunk").cogroup(state.groupBy("chunk")).applyInPandas(finish, schema)
+    late = rest.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(finish, schema)
+    return second.where("kind = 'done'").select(*result).unionByName(late)
 
 
 # ---- words, by count-min sketches ----
@@ -376,9 +393,9 @@ def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 6, id_c
             repeated &= mine
         return np.zeros(0, np.int64), np.flatnonzero(repeated)
 
-    def out(c: Chunk, gone: np.ndarray) -> pd.DataFrame:
+    def out(c: Chunk, gone: np.ndarray, which: np.ndarray) -> pd.DataFrame:
         rows = []
-        for i, doc in enumerate(c.ids.tolist()):
+        for i, doc in zip(which.tolist(), c.ids[which].tolist()):
             text, mask = c.data[c.ends[i] : c.ends[i + 1]].split(), gone[c.bounds[i] : c.bounds[i + 1]]
             n = int(mask.sum())
             kept = b" ".join(compress(text, ~mask) if n else text)
@@ -391,7 +408,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 6, id_c
 
 # ---- bytes, by radix passes ----
 
-CONTEXT_WIDTHS = [4, 6, 2]  # digit within the shard, context, document
+CONTEXT_WIDTHS = [4, 5, 2]  # digit within the shard, context, document
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -412,13 +429,13 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, id_
 
     def grouped(a: Anchors, shards: int):
         """Shard, digit and context of each anchor, and the groups of equal ones."""
-        shard, digit, context = shard_of(a.gram, shards), a.gram & np.uint64(0xFFFFFFFF), a.sums.hash(a.first, a.last + window, 31) & np.uint64((1 << 48) - 1)
+        shard, digit, context = shard_of(a.gram, shards), a.gram & np.uint64(0xFFFFFFFF), a.sums.hash(a.first, a.last + window, 31) & np.uint64((1 << 40) - 1)
         return shard, digit, context, Groups(shard, digit, context)
 
     def ask(a: Anchors, c: Chunk, chunk: int, shards: int) -> pd.DataFrame:
         shard, digit, context, g = grouped(a, shards)
         lead = g.firsts()
-        return asks(chunk, c.ids, shards, shard[lead], [(digit[lead], 4), (context[lead], 6), (a.doc[lead], 2)])
+        return asks(chunk, c.ids, shards, shard[lead], [(digit[lead], 4), (context[lead], 5), (a.doc[lead], 2)])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [*pdf.itertuples(index=False)]
@@ -427,15 +444,12 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, id_
         doc = np.concatenate([np.frombuffer(r.ids, "<i8")[p[2].astype(np.int64)] for r, p in zip(rows, parts)])
         g = Groups(digit, context)
         least = np.minimum.reduceat(doc[g.order], g.head)[g.run]
-        met = doc[g.order] > least
-        # contexts of each digit
+        said = np.zeros(len(doc), np.uint8)
+        # digits with several contexts
         d = digit[g.order]
-        new = np.ones(len(d), bool)
-        new[1:] = d[1:] != d[:-1]
-        run = np.cumsum(new) - 1
-        several = np.bincount(run, weights=g.new)[run] > 1
-        said = np.zeros(len(d), np.uint8)
-        said[g.order] = np.where(met, 1, np.where(several, 2, 0))
+        run = np.cumsum(np.concatenate([[True], d[1:] != d[:-1]])) - 1
+        said[g.order[np.bincount(run, weights=g.new)[run] > 1]] = 2
+        said[g.order[doc[g.order] > least]] = 1
         cuts = np.cumsum([0, *[len(p[0]) for p in parts]])
         return _answers(int(rows[0].shard), rows, [(np.flatnonzero(said[i:j]) * 2 + said[i:j][said[i:j] > 0] - 1) for i, j in zip(cuts, cuts[1:])])
 
@@ -452,9 +466,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, id_
         later[g.order] = a.doc[g.order] > a.doc[g.firsts()][g.run]
         return np.flatnonzero((mine == 1) | later), np.flatnonzero((mine == 2) & ~later)
 
-    def out(c: Chunk, gone: np.ndarray) -> pd.DataFrame:
+    def out(c: Chunk, gone: np.ndarray, which: np.ndarray) -> pd.DataFrame:
         buffer, rows = np.frombuffer(c.data, np.uint8), []
-        for i, doc in enumerate(c.ids.tolist()):
+        for i, doc in zip(which.tolist(), c.ids[which].tolist()):
             mask, part = gone[c.ends[i] : c.ends[i + 1]], buffer[c.ends[i] : c.ends[i + 1]]
             n = int(mask.sum())
             kept = (part[~mask] if n else part).tobytes()
