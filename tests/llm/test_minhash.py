@@ -15,10 +15,9 @@ def brute_shingles(text, width=5):
 
 
 def brute_jp(a, b):
-    total = 0.0
-    for d in a.keys() & b.keys():
-        total += 1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a.keys() | b.keys())
-    return total
+    every = [*(a.keys() | b.keys())]
+    x, y = [np.array([c[e] for e in every], float) for c in (a, b)]
+    return sum(1 / np.maximum(x / a[d], y / b[d]).sum() for d in a.keys() & b.keys())
 
 
 def edited(rng, words, n):
