@@ -26,7 +26,7 @@ PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-",
 DICTIONARY = "the and that have for not with this from they will would there their what about which when make like time just know take people into year your good some could them than then look only come over think also back after work first well even want because these give most data name file list user value string number index table model class count error message default config server client request response example test page home path item type text size line code main base node tree left right next last key".split()
 
 RUN = re.compile(r"[A-Za-z0-9_+/=\-.~]{16,}")
-ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\w.\-]{0,30}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>,;]{6,512})")
+ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\w.\-]{0,30}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
 BEARER = re.compile(r"(?i)\bbearer\s{1,3}([A-Za-z0-9._~+/\-]{16,}=*)")
 KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,20000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
 _WORD = re.compile(r"[a-z]{3,}")
@@ -67,8 +67,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for a, b, rule in sorted(found, key=lambda f: (f[0], -f[1])):
         if not out or a >= out[-1][1]:
             out.append((a, b, rule))
-        elif out[-1][2] == "run" and rule != "run":  # what is named or framed goes before a bare run
-            out[-1] = (a, b, rule)
+        elif out[-1][2] == "run" and rule != "run":  # what is named or framed goes before a bare run, to whose end it reaches
+            out[-1] = (a, max(b, out[-1][1]), rule)
     return out
 
 

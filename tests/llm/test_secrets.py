@@ -52,3 +52,14 @@ def test_candidates_do_not_overlap():
     found = candidates(text)
     assert [r for *_, r in found] == ["key_block", "assigned", "bearer"]
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+def test_long_values_are_found_whole(spark, model):
+    rng = random.Random(2)
+    mixed = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    token, service, session = "eyJ" + mixed(36) + "." + mixed(520) + "." + mixed(342), mixed(3000) + "==", mixed(40) + "=" + mixed(900)
+    texts = [f'token = "{token}" end', f"api_key: {service} end", f"Bearer {session} end"]
+    assert [[t[a:b] for a, b, _ in candidates(t)] for t in texts] == [[token], [service], [session]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in redact(docs, scan(docs, model)).collect()}
+    assert kept == {0: 'token = "[SECRET]" end', 1: "api_key: [SECRET] end", 2: "Bearer [SECRET] end"}
