@@ -28,7 +28,10 @@ DICTIONARY = "the and that have for not with this from they will would there the
 RUN = re.compile(r"[A-Za-z0-9_+/=\-.~]{16,}")
 ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\w.\-]{0,30}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
 BEARER = re.compile(r"(?i)\bbearer\s{1,3}([A-Za-z0-9._~+/\-]{16,}=*)")
-KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,20000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+#: Begin and end lines of private keys, PEM and PGP.
+KEY_LINE = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+#: What can follow a begin line that has no end line: headers and lines of base64, then a shorter last line. Line ends may be escaped.
+KEY_BODY = re.compile(r"""(?:(?:\\[nrt]|[\s"'`,|>#*])*+(?:[A-Za-z][A-Za-z0-9-]*+:[ \t][^\r\n\\]*+(?=[\r\n\\])|[A-Za-z0-9+/]{16,}+={0,2}))++(?:(?:\\[nr]|[\r\n])++[ \t]*+=?[A-Za-z0-9+/]{1,15}={0,2}(?=["'`\\\r\n]|\Z))*+""")
 _WORD = re.compile(r"[a-z]{3,}")
 AROUND = 48
 
@@ -48,9 +51,33 @@ def _transitions() -> dict[str, float]:
 PAIRS = _transitions()
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys from the begin line to the end line of the same name, over any characters and at any length.
+
+    Without such a line before the next begin line, a block reaches as far as headers and base64 go; a begin line
+    that nothing of the kind follows is none.
+    """
+    lines = list(KEY_LINE.finditer(text))
+    for i, m in enumerate(lines):
+        if m[1] == "END":
+            continue
+        for end in lines[i + 1 :]:
+            if end[1] == "BEGIN":
+                end = None
+                break
+            if end[2] == m[2]:
+                break
+        else:
+            end = None
+        if end is None:
+            end = KEY_BODY.match(text, m.end())
+        if end is not None:
+            yield m.start(), end.end()
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) in order of start, none within another."""
-    found = [(m.start(), m.end(), "key_block") for m in KEY_BLOCK.finditer(text)] if "-----BEGIN " in text else []
+    found = [(a, b, "key_block") for a, b in key_blocks(text)] if "-----BEGIN " in text else []
     low = text.lower()
     if any(w in low for w in ("token", "secret", "passw", "pwd", "key", "auth", "credential")):
         found += [(m.start(1), m.end(1), "assigned") for m in ASSIGNED.finditer(text)]
@@ -69,6 +96,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.append((a, b, rule))
         elif out[-1][2] == "run" and rule != "run":  # what is named or framed goes before a bare run, to whose end it reaches
             out[-1] = (a, max(b, out[-1][1]), rule)
+        elif rule == "key_block" and b > out[-1][1]:  # begins within another
+            out[-1] = (out[-1][0], b, rule)
     return out
 
 
@@ -113,11 +142,23 @@ def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[str, int,
     syllables = "an er on re in ti es en th ou le de ra si ma no ta lo che ver".split()
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
     words = lambda n: " ".join(word() for _ in range(n))
+
+    def key_block(secret: bool) -> str:
+        name = rng.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+        begin, end = f"-----BEGIN {name}-----", f"-----END {name}-----"
+        if not secret:
+            body = rng.choice([words(rng.randint(1, 12)), "...", "<your key here>", "YOUR_PRIVATE_KEY", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "[REDACTED]", "base64 data", f'" + {word()} + "', f'") and {word()}.endswith("', f"\\|{word()}.*"])
+            return begin + rng.choice(["\n", " ", "", "\\n"]) + body + rng.choice(["\n", " ", "", "\\n"]) + end
+        line = rng.choice(["\n", "\n", "\r\n", "\\n"])
+        heads = rng.choice([[], [], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC," + hexes(32).upper(), ""], ["Version: GnuPG v2", ""]])
+        body = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) for _ in range(rng.choice([1, 2, 3, 13, 26, 51]))]
+        return line.join([begin, *heads, *body, mixed(rng.randint(17, 60)) + "=", *([end] if rng.random() < 0.8 else [])])
+
     while len(out) < rows:
         names = rng.choice(["token", "api_key", "secret", "password", "access_token", "auth_token", "client_secret", "credential", "AWS_SECRET_ACCESS_KEY", "TOKEN"])
         equal, quote = rng.choice([" = ", "=", ": ", " := "]), rng.choice(["\"", "'", ""])
         path = rng.choice(["", "src0", "conf/settings.py", "app/.env", "docs/readme.md", "yarn.lock"])
-        kind = rng.randint(0, 11)
+        kind = rng.randint(0, 13)
         if kind <= 2:
             value, label, lead = rng.choice([hexes(40), hexes(32), hexes(64), mixed(rng.randint(20, 48))]), 1.0, f"{names}{equal}{quote}"
         elif kind == 3:
@@ -136,12 +177,15 @@ def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[str, int,
             value, label, lead, quote = f"{word()}/{word()}/{word()}{rng.randint(1, 99)}/{word()}.{rng.choice(['html', 'js', 'py', 'txt'])}", 0.0, rng.choice(["http://", "see ", "/"]), ""
         elif kind == 10:
             value, label, lead, quote = f"{word()}_{word()}{rng.randint(1, 9)}_{word()}_{word()}", 0.0, rng.choice(["def ", "", "class "]), ""
+        elif kind >= 12:
+            value, label, lead = key_block(kind == 12), float(kind == 12), rng.choice(["", "\n", f"{names}{equal}{quote}"])
+            quote = quote if lead.strip() else ""
         else:
             value, label, lead, quote = rng.choice([f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", f"{rng.randint(10**15, 10**16)}a", "2024-01-0" + str(rng.randint(1, 9)) + "T10:00:00Z", "-".join(word() for _ in range(4)) + str(rng.randint(1, 9))]), 0.0, rng.choice(["", "on ", "mail "]), ""
         head = words(rng.randint(0, 8)) + " "
         text = head + lead + value + quote + " " + words(rng.randint(0, 8))
         start = len(head) + len(lead)
-        out.append((text, start, start + len(value), "assigned" if label and kind <= 2 else "run", path, label))
+        out.append((text, start, start + len(value), "key_block" if kind >= 12 else "assigned" if label and kind <= 2 else "run", path, label))
     return out
 
 
