@@ -1,8 +1,10 @@
 """Copies among images by local descriptors: crops, edits of brightness and contrast, and exact copies.
 
 Corners at several scales get an orientation, from the intensity around them, and a string of binary tests turned
-by it. Descriptors meet in a Hamming-table join, on equal 32-bit words of the string; pairs of images with several
-such meetings are verified by geometric consensus: matches must agree on one shift, turn and change of scale.
+by it. All corners count, however many and weak, so a part of a picture keeps those it has in the whole. Descriptors
+meet in a Hamming-table join, on equal 32-bit words of the string, and are compared in full;
+pairs of images with several matches are verified by geometric consensus: they must agree on one shift, turn and
+change of scale.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .shared import stored
 SCALES = (1.0, 1 / 1.4, 1 / 2.0)
 RADIUS, MARGIN = 9, 13
 WORDS = 8  # of 32 binary tests each
+#: Bits of 256 in which matching corners can differ.
+APART = 32
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -133,12 +137,9 @@ TESTS = _tests()
 _disc = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
 
 
-def descriptors(pixels: np.ndarray | None, most: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, scale, angle) in the image's own pixels, and WORDS 32-bit words, of up to most corners, the strongest.
-
-    The bound is per image and a parameter of the description: it bounds no image's partners.
-    """
-    where, words = [np.zeros((0, 5))], [np.zeros((0, WORDS), np.uint32)]
+def descriptors(pixels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y, scale, angle) in the image's own pixels, and WORDS 32-bit words, of all corners."""
+    where, words = [np.zeros((0, 4))], [np.zeros((0, WORDS), np.uint32)]
     for scale in SCALES if pixels is not None else ():
         p = _blurred(resized(pixels, scale))
         if min(p.shape) <= 2 * MARGIN:
@@ -151,20 +152,18 @@ def descriptors(pixels: np.ndarray | None, most: int = 40) -> tuple[np.ndarray,
         y, x = np.nonzero((inner == around) & (inner > 1e-3))
         if not len(y):
             continue
-        best = np.lexsort((x, y, -inner[y, x]))[:most]
-        y, x, s = y[best] + MARGIN, x[best] + MARGIN, inner[y[best], x[best]]
-        patch = p[y[:, None] + _disc[:, 0], x[:, None] + _disc[:, 1]]
-        angle = np.arctan2((patch * _disc[:, 0]).sum(1), (patch * _disc[:, 1]).sum(1))
-        c, n = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+        y, x = y + MARGIN, x + MARGIN
         ty, tx = TESTS[..., 0], TESTS[..., 1]
-        py, px = np.rint(c * ty + n * tx).astype(int) + y[:, None, None], np.rint(c * tx - n * ty).astype(int) + x[:, None, None]
-        values = p[py, px]
-        bits = values[..., 0] < values[..., 1]
-        words.append(np.packbits(bits, axis=1).view(">u4").astype(np.uint32))
-        where.append(np.stack([x / scale, y / scale, np.full(len(y), scale), angle, s], 1))
-    where, words = np.concatenate(where), np.concatenate(words)
-    best = np.argsort(-where[:, 4], kind="stable")[:most]
-    return where[best, :4], words[best]
+        for y, x in zip(*(np.split(v, range(2000, len(v), 2000)) for v in (y, x))):  # some at a time, as their discs take room
+            patch = p[y[:, None] + _disc[:, 0], x[:, None] + _disc[:, 1]]
+            angle = np.arctan2((patch * _disc[:, 0]).sum(1), (patch * _disc[:, 1]).sum(1))
+            c, n = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            py, px = np.rint(c * ty + n * tx).astype(int) + y[:, None, None], np.rint(c * tx - n * ty).astype(int) + x[:, None, None]
+            values = p[py, px]
+            bits = values[..., 0] < values[..., 1]
+            words.append(np.packbits(bits, axis=1).view(">u4").astype(np.uint32))
+            where.append(np.stack([x / scale, y / scale, np.full(len(y), scale), angle], 1))
+    return np.concatenate(where), np.concatenate(words)
 
 
 def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0) -> int:
@@ -172,13 +171,20 @@ def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0) -> int:
     turn = b[:, 3] - a[:, 3]
     size = a[:, 2] / b[:, 2]
     cos, sin = (size * np.cos(turn))[:, None], (size * np.sin(turn))[:, None]
-    dx, dy = a[None, :, 0] - a[:, None, 0], a[None, :, 1] - a[:, None, 1]
-    off = np.hypot(b[:, None, 0] + cos * dx - sin * dy - b[None, :, 0], b[:, None, 1] + sin * dx + cos * dy - b[None, :, 1])
     # a corner of either image counts once
-    spots = np.round(a[:, :2] / 2).astype(int), np.round(b[:, :2] / 2).astype(int)
-    best = 0
-    for good in off <= tolerance:
-        best = max(best, min(len({*map(tuple, s[good])}) for s in spots))
+    spots = [np.unique(np.round(m[:, :2] / 2).astype(int), axis=0, return_inverse=True)[1].ravel() for m in (a, b)]
+    best, step = 0, max(1, (1 << 20) // max(len(a), 1))
+    for k in range(0, len(a), step):
+        h = slice(k, k + step)
+        dx, dy = a[None, :, 0] - a[h, None, 0], a[None, :, 1] - a[h, None, 1]
+        good = np.hypot(b[h, None, 0] + cos[h] * dx - sin[h] * dy - b[None, :, 0], b[h, None, 1] + sin[h] * dx + cos[h] * dy - b[None, :, 1]) <= tolerance
+        good &= np.abs((turn[None] - turn[h, None] + np.pi) % (2 * np.pi) - np.pi) <= 0.4
+        good &= np.abs(np.log(size[None] / size[h, None])) <= 0.4  # a step of SCALES
+        agree = good.sum(1)
+        for i in np.argsort(-agree):
+            if agree[i] <= best:
+                break
+            best = max(best, min(len(np.unique(s[good[i]])) for s in spots))
     return best
 
 
@@ -187,7 +193,7 @@ def copies(images: DataFrame, queries: DataFrame, least: int = 6, id_col: str =
 
     Rows: query_id, image_id, class_size, matches, inliers. Images with the same bytes form a class, which image_id,
     its smallest id, stands for and class_size counts; classes are searched once, and so are queries of the same
-    bytes, each of which gets its class's answers. matches counts pairs of corners with an equal word, inliers those
+    bytes, each of which gets its class's answers. matches counts pairs of corners with an equal word and APART bits apart at most, inliers those
     that the best similarity transform explains, at least least of them. Null images and what cannot be read match
     nothing. An empty table gives no rows; other columns are ignored.
     """
@@ -210,15 +216,22 @@ def copies(images: DataFrame, queries: DataFrame, least: int = 6, id_col: str =
     table = lambda df, rep, corner: df.select(F.col("rep").alias(rep), F.posexplode("words").alias("_at", "word")).select(rep, F.expr(f"_at div {WORDS}").cast("int").alias(corner), "word")
     met = table(want, "query", "a").join(table(have, "image", "b"), "word").select("query", "image", "a", "b").distinct()
     # at most corners x corners of two images
-    pairs = met.groupBy("query", "image").agg(F.count("*").alias("matches"), F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).where(F.col("matches") >= least)
+    pairs = met.groupBy("query", "image").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).where(F.size("a") >= least)
 
-    @F.pandas_udf("int")
-    def agreed(p: pd.Series, q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("matches int, inliers int")
+    def agreed(p: pd.Series, q: pd.Series, v: pd.Series, w: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
         where = lambda d: np.frombuffer(d, "<f4").reshape(-1, 4).astype(float)
-        return pd.Series([consensus(where(w)[np.asarray(i)], where(x)[np.asarray(j)]) for w, x, i, j in zip(p, q, a, b)], dtype="int32")
-
-    pairs = pairs.join(want.select(F.col("rep").alias("query"), F.col("places").alias("p")), "query").join(have.select(F.col("rep").alias("image"), F.col("places").alias("q"), F.col("size").alias("class_size")), "image")
-    found = pairs.withColumn("inliers", agreed("p", "q", "a", "b")).where(F.col("inliers") >= least)
+        bits = lambda d: np.asarray(d, np.int64).reshape(-1, WORDS).astype(np.uint32)
+        out = []
+        for p, q, v, w, i, j in zip(p, q, v, w, a, b):
+            i, j = np.asarray(i), np.asarray(j)
+            near = np.bitwise_count(bits(v)[i] ^ bits(w)[j]).sum(1, dtype=np.int64) <= APART
+            i, j = i[near], j[near]
+            out.append((len(i), consensus(where(p)[i], where(q)[j]) if len(i) >= least else 0))
+        return pd.DataFrame(out, columns=["matches", "inliers"]).astype("int32")
+
+    pairs = pairs.join(want.select(F.col("rep").alias("query"), F.col("places").alias("p"), F.col("words").alias("v")), "query").join(have.select(F.col("rep").alias("image"), F.col("places").alias("q"), F.col("words").alias("w"), F.col("size").alias("class_size")), "image")
+    found = pairs.withColumn("_m", agreed("p", "q", "v", "w", "a", "b")).select("query", "image", "class_size", F.col("_m.matches").cast("long").alias("matches"), "_m.inliers").where(F.col("inliers") >= least)
     members = named(queries).select(F.col("id").alias("query_id"), "key").join(want.select("key", F.col("rep").alias("query")), "key")
     return members.join(found.select("query", "image", "class_size", "matches", "inliers"), "query").select("query_id", F.col("image").alias("image_id"), "class_size", "matches", "inliers")
 

@@ -60,3 +60,15 @@ def test_consensus_rejects_scattered_matches():
     assert consensus(a, b) <= 3
     assert consensus(a, a + [5, -7, 0, 0]) == 30
     assert len(descriptors(None)[0]) == 0
+
+
+def test_small_crops_of_large_pictures_at_scales_between(spark):
+    def large(seed):
+        p = np.clip(resized(np.random.default_rng(seed).uniform(0, 255, (40, 40)), 420 / 40), 0, 255)
+        p[200:, 200:] = 128 + (p[200:, 200:] - 128) * 0.2  # a part of little contrast
+        return np.rint(p)
+
+    frame = lambda rows: spark.createDataFrame([(i, bytearray(encode_png(np.rint(p)))) for i, p in rows], "image_id long, image binary")
+    asked = [(100 + k, resized(large(1)[240:370, 250:380], scale)) for k, scale in enumerate([1.0, 1 / 1.1, 1 / 1.2, 1 / 1.3, 1 / 1.6])]
+    found = {(r.query_id, r.image_id) for r in copies(frame([(i, large(i)) for i in range(3)]), frame(asked)).collect()}
+    assert found == {(q, q // 100) for q, _ in asked}
