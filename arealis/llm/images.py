@@ -194,8 +194,9 @@ def copies(images: DataFrame, queries: DataFrame, least: int = 6, id_col: str =
     Rows: query_id, image_id, class_size, matches, inliers. Images with the same bytes form a class, which image_id,
     its smallest id, stands for and class_size counts; classes are searched once, and so are queries of the same
     bytes, each of which gets its class's answers. matches counts pairs of corners with an equal word and APART bits apart at most, inliers those
-    that the best similarity transform explains, at least least of them. Null images and what cannot be read match
-    nothing. An empty table gives no rows; other columns are ignored.
+    that the best similarity transform explains, at least least of them. Images of the query's own bytes are answers
+    whatever their corners, so those without enough of them (small, flat or not readable) have fewer or none. Null
+    images match nothing. An empty table gives no rows; other columns are ignored.
     """
     named = lambda df: df.where(F.col(data_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(data_col), 256).alias("key"), F.col(data_col).alias("data"))
 
@@ -232,6 +233,8 @@ def copies(images: DataFrame, queries: DataFrame, least: int = 6, id_col: str =
 
     pairs = pairs.join(want.select(F.col("rep").alias("query"), F.col("places").alias("p"), F.col("words").alias("v")), "query").join(have.select(F.col("rep").alias("image"), F.col("places").alias("q"), F.col("words").alias("w"), F.col("size").alias("class_size")), "image")
     found = pairs.withColumn("_m", agreed("p", "q", "v", "w", "a", "b")).select("query", "image", "class_size", F.col("_m.matches").cast("long").alias("matches"), "_m.inliers").where(F.col("inliers") >= least)
+    same = want.select("key", F.col("rep").alias("query")).join(have.select("key", F.col("rep").alias("image"), F.col("size").alias("class_size")), "key").select("query", "image", "class_size", F.lit(0).cast("long").alias("matches"), F.lit(0).alias("inliers"))
+    found = found.unionByName(same).groupBy("query", "image").agg(*[F.max(c).alias(c) for c in ("class_size", "matches", "inliers")])
     members = named(queries).select(F.col("id").alias("query_id"), "key").join(want.select("key", F.col("rep").alias("query")), "key")
     return members.join(found.select("query", "image", "class_size", "matches", "inliers"), "query").select("query_id", F.col("image").alias("image_id"), "class_size", "matches", "inliers")
 

@@ -72,3 +72,11 @@ def test_small_crops_of_large_pictures_at_scales_between(spark):
     asked = [(100 + k, resized(large(1)[240:370, 250:380], scale)) for k, scale in enumerate([1.0, 1 / 1.1, 1 / 1.2, 1 / 1.3, 1 / 1.6])]
     found = {(r.query_id, r.image_id) for r in copies(frame([(i, large(i)) for i in range(3)]), frame(asked)).collect()}
     assert found == {(q, q // 100) for q, _ in asked}
+
+
+def test_same_bytes_are_found_whatever_they_show(spark):
+    odd = [(1, encode_pgm(np.zeros((3, 3)))), (2, encode_pgm(np.full((80, 80), 7.0))), (3, b"\xff\xd8\xff\xe0 no format that is read"), (4, b""), (5, None), (6, encode_png(np.rint(picture(6))))]
+    frame = lambda rows: spark.createDataFrame([(i, bytearray(d) if d is not None else None) for i, d in rows], "image_id long, image binary")
+    rows = copies(frame([*odd, (7, odd[2][1])]), frame([(100 + i, d) for i, d in odd])).collect()
+    assert sorted((r.query_id, r.image_id, r.class_size) for r in rows) == [(101, 1, 1), (102, 2, 1), (103, 3, 2), (104, 4, 1), (106, 6, 1)]
+    assert {r.query_id: r.inliers >= 6 for r in rows} == {101: False, 102: False, 103: False, 104: False, 106: True}
