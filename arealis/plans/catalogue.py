@@ -346,7 +346,9 @@ def within_area_spread(spark, sf_dir):
     return out.select("area", "condition", "units", F.round(F.col("c")[1], 6).alias("median"), F.round(F.col("c")[2] - F.col("c")[0], 6).alias("iqr"), r6("spread"), r6("top_share"), "coexist")
 
 
-# ---- resampling ----
+# ---- resampling: with few draws, and as *_whole with as many as the reference ----
+
+REPLICATES, PERMUTATIONS = 1000, 9999
 
 _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _BOOT = f"""WITH {FACTS}, k AS (SELECT area, row_number() OVER (ORDER BY area) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT area FROM pooled)),
@@ -355,8 +357,8 @@ _BOOT = f"""WITH {FACTS}, k AS (SELECT area, row_number() OVER (ORDER BY area) -
 
 
 @query(_BOOT + " SELECT replicate, condition, sum(times)::BIGINT AS units, round(sum(pooled * times) / sum(times), 6) AS mean FROM pooled JOIN times USING (area) GROUP BY ALL")
-def cluster_bootstrap(spark, sf_dir):
-    rows = resample.bootstrap_rows(pooled(spark, sf_dir), "area", 40, 17)
+def cluster_bootstrap(spark, sf_dir, replicates=40):
+    rows = resample.bootstrap_rows(pooled(spark, sf_dir), "area", replicates, 17)
     return rows.groupBy("replicate", "condition").agg(F.sum("times").alias("units"), F.round(F.sum(F.col("pooled") * F.col("times")) / F.sum("times"), 6).alias("mean"))
 
 
@@ -366,15 +368,25 @@ def cluster_bootstrap(spark, sf_dir):
           - (rank() OVER (PARTITION BY replicate, condition ORDER BY comparator) + (count(*) OVER (PARTITION BY replicate, condition, comparator) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY replicate, condition)) AS gap FROM e),
     m AS (SELECT replicate, condition, avg(gap) AS gap FROM g GROUP BY ALL)
     SELECT condition, count(*) AS estimable, round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi FROM m GROUP BY condition""")
-def bootstrap_rank_gap(spark, sf_dir):
+def bootstrap_rank_gap(spark, sf_dir, replicates=40):
     """Ranks are taken anew in each replicate, with drawn clusters counted as often as they were drawn."""
-    rows = resample.bootstrap_rows(pooled(spark, sf_dir), "area", 40, 17)
+    rows = resample.bootstrap_rows(pooled(spark, sf_dir), "area", replicates, 17)
     key = ("replicate", "condition")
     gap = F.abs(resample.weighted_percentile_rank("pooled", "times", *key) - resample.weighted_percentile_rank("comparator", "times", *key))
     means = rows.withColumn("gap", gap).groupBy(*key).agg((F.sum(F.col("gap") * F.col("times")) / F.sum("times")).alias("gap"))
     return resample.percentile_interval(means, ["condition"], "gap").select("condition", "estimable", r6("lo"), r6("hi"))
 
 
+@query(SQL["cluster_bootstrap"].replace("range(40)", f"range({REPLICATES})"))
+def cluster_bootstrap_whole(spark, sf_dir):
+    return cluster_bootstrap(spark, sf_dir, REPLICATES)
+
+
+@query(SQL["bootstrap_rank_gap"].replace("range(40)", f"range({REPLICATES})"))
+def bootstrap_rank_gap_whole(spark, sf_dir):
+    return bootstrap_rank_gap(spark, sf_dir, REPLICATES)
+
+
 # ---- neighbourhoods: nations as unit cells of a grid of five ----
 
 _CELLS = "cells AS (SELECT n_nationkey AS area, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation)"
@@ -421,9 +433,14 @@ def graph_topology(spark, sf_dir):
            drawn AS (SELECT a.replicate, sum(w * a.z * b.z) / sum(w) AS m FROM w JOIN dealt a ON a.area = src JOIN dealt b ON b.area = dst AND b.replicate = a.replicate GROUP BY 1)
            SELECT n, round(moran, 6) AS moran, round(-1.0 / (n - 1), 6) AS expected, count(*) FILTER (abs(m + 1.0 / (n - 1)) >= abs(moran + 1.0 / (n - 1)) - 1e-12) AS extreme,
                   round((count(*) FILTER (abs(m + 1.0 / (n - 1)) >= abs(moran + 1.0 / (n - 1)) - 1e-12) + 1) / 100.0, 6) AS p FROM obs, n, drawn GROUP BY n, moran""")
-def moran_permutation(spark, sf_dir):
+def moran_permutation(spark, sf_dir, permutations=99):
     w = spatial.row_standardised(spatial.contiguity(cells(spark, sf_dir), "area", "wkt"))
-    return spatial.permutation_moran(area_values(spark, sf_dir), "area", "v", w, 99, 29).select("n", r6("moran"), r6("expected"), "extreme", r6("p"))
+    return spatial.permutation_moran(area_values(spark, sf_dir), "area", "v", w, permutations, 29).select("n", r6("moran"), r6("expected"), "extreme", r6("p"))
+
+
+@query(SQL["moran_permutation"].replace("range(99)", f"range({PERMUTATIONS})").replace("/ 100.0", f"/ {PERMUTATIONS + 1}.0"))
+def moran_permutation_whole(spark, sf_dir):
+    return moran_permutation(spark, sf_dir, PERMUTATIONS)
 
 
 @query(f"""WITH {_QUEEN}, {_VALUES}, l AS (SELECT src AS area, sum(w * z.z) AS lag, sum(w * z.o) AS ol, sum(z.z) AS s, count(*) AS d FROM w JOIN z ON z.area = dst GROUP BY 1)

@@ -53,3 +53,11 @@ def test_nothing_but_the_entry_point_knows_the_llm_subpackage():
                 if n.endswith(".py"):
                     with open(os.path.join(folder, n)) as f:
                         assert "arealis.llm" not in (text := f.read()) and "from .llm" not in text
+
+
+def test_draws_are_as_many_as_the_references(spark):
+    rows = catalogue.QUERIES["cluster_bootstrap_whole"](spark, DATA)
+    assert rows.select("replicate").distinct().count() == 1000
+    assert {r.estimable for r in catalogue.QUERIES["bootstrap_rank_gap_whole"](spark, DATA).collect()} == {1000}
+    r = catalogue.QUERIES["moran_permutation_whole"](spark, DATA).first()
+    assert r.p == round((r.extreme + 1) / 10000, 6)
