@@ -1,7 +1,7 @@
 """Neighbourhood graphs as edge tables and statistics over them.
 
-Polygons are simple rings (well-known text); contiguity joins them on shared points, so no pair of polygons that
-don't touch is ever compared.
+Polygons are simple rings (well-known text); contiguity deals their bounds to grid cells, so only polygons whose
+bounds meet are compared.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,23 +26,108 @@ def vertices(areas: DataFrame, key: str, wkt: str) -> DataFrame:
     return rows.withColumn("_last", last).where("at < _last").drop("_last")
 
 
+def _inside(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Which points lie inside, by the even-odd rule."""
+    out = np.zeros(len(points), bool)
+    x1, y1, x2, y2 = edges.T
+    flat = np.where(y2 == y1, 1.0, y2 - y1)
+    step = max(1, (1 << 20) // len(edges))
+    for k in range(0, len(points), step):
+        px, py = points[k : k + step, :1], points[k : k + step, 1:]
+        out[k : k + step] = (((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / flat + x1)).sum(1) % 2 == 1
+    return out
+
+
+def _upon(points: np.ndarray, edges: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, edge, place along it from 0 to 1) of points on edges."""
+    d = edges[:, 2:] - edges[:, :2]
+    long2 = np.maximum((d * d).sum(1), 1e-300)
+    found, step = [], max(1, (1 << 20) // max(len(edges), 1))
+    for k in range(0, len(points), step):
+        off = points[k : k + step, None] - edges[None, :, :2]
+        t = np.clip((off * d).sum(2) / long2, 0, 1)
+        i, j = np.nonzero(np.hypot(off[..., 0] - t * d[:, 0], off[..., 1] - t * d[:, 1]) <= eps)
+        found.append((i + k, j, t[i, j]))
+    return tuple(np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _crossing(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether an edge of a and one of b cross, each inside the other."""
+
+    def sides(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        d = edges[:, 2:] - edges[:, :2]
+        far = (d[:, 0] * (points[:, None, 1] - edges[:, 1]) - d[:, 1] * (points[:, None, 0] - edges[:, 0])) / np.maximum(np.hypot(*d.T), 1e-300)
+        return np.where(np.abs(far) <= eps, 0, np.sign(far))
+
+    step = max(1, (1 << 20) // len(b))
+    for k in range(0, len(a), step):
+        c = a[k : k + step]
+        if ((sides(c[:, :2], b) * sides(c[:, 2:], b) < 0) & ((sides(b[:, :2], c) * sides(b[:, 2:], c)).T < 0)).any():
+            return True
+    return False
+
+
+def relation(a: np.ndarray, b: np.ndarray) -> tuple[bool, bool, bool]:
+    """(interiors intersect, boundaries meet, they share a length) of two areas' edges (x, y, x2, y2).
+
+    Points within 1e-12 of the coordinates' size from an edge lie on it.
+    """
+    eps = 1e-12 * max(np.abs(a).max(), np.abs(b).max(), 1e-300)
+    meet = shared = False
+    overlap = _crossing(a, b, eps)
+    for one, other in ((a, b), (b, a)):
+        corners = np.unique(other[:, :2], axis=0)
+        _, edge, t = _upon(corners, one, eps)
+        meet |= len(edge) > 0
+        # pieces of one's edges between the corners of the other: each inside it, outside or on its boundary
+        edge, t = np.concatenate([edge, np.repeat(np.arange(len(one)), 2)]), np.concatenate([t, np.tile([0.0, 1.0], len(one))])
+        order = np.lexsort((t, edge))
+        edge, t = edge[order], t[order]
+        d = one[edge[:-1], 2:] - one[edge[:-1], :2]
+        piece = (edge[1:] == edge[:-1]) & ((t[1:] - t[:-1]) * np.hypot(*d.T) > 2 * eps)
+        middle = (one[edge[:-1], :2] + d * ((t[1:] + t[:-1]) / 2)[:, None])[piece]
+        across = (d * (t[1:] - t[:-1])[:, None])[piece][:, ::-1] * [1e-4, -1e-4]
+        on = np.zeros(len(middle), bool)
+        on[_upon(middle, other, eps)[0]] = True
+        shared |= bool(on.any())
+        overlap |= bool(_inside(middle[~on], other).any())
+        for beside in (middle[on] + across[on], middle[on] - across[on]):  # a shared boundary has one of them on each side
+            overlap |= bool((_inside(beside, one) & _inside(beside, other)).any())
+    return overlap, meet, shared
+
+
 def contiguity(areas: DataFrame, key: str, wkt: str, rule: str = "queen") -> DataFrame:
-    """(src, dst) both ways: areas that share a corner point (queen) or an edge between two corners (rook).
+    """(src, dst) both ways: areas whose boundaries meet in a point at least (queen) or share a length (rook).
 
-    Boundaries must meet corner to corner, as those of one topology do. A point shared by very many areas is the
-    only source of many pairs, and on a map that is a handful.
+    Corners of one may lie within edges of the other. Areas whose interiors intersect are an error. Bounds are dealt to
+    grid cells of their mean size, and areas compared whose bounds meet.
     """
-    v = vertices(areas, key, wkt)
-    if rule == "rook":
-        nxt = Window.partitionBy(key, "ring").orderBy("at")
-        first = Window.partitionBy(key, "ring").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        v = v.withColumns({"x2": F.coalesce(F.lead("x").over(nxt), F.first("x").over(first)), "y2": F.coalesce(F.lead("y").over(nxt), F.first("y").over(first))})
-        ends = F.array_sort(F.array(F.struct("x", "y"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
-        v = v.select(key, ends.alias("at_"))
-    else:
-        v = v.select(key, F.struct("x", "y").alias("at_"))
-    v = v.distinct()
-    return v.withColumnRenamed(key, "src").join(v.withColumnRenamed(key, "dst"), "at_").where("src <> dst").select("src", "dst").distinct()
+    ring = Window.partitionBy(key, "ring").orderBy("at")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
+    sides = vertices(areas, key, wkt).select(key, "x", "y", after("x").alias("x2"), after("y").alias("y2"))
+    shapes = sides.groupBy(key).agg(F.flatten(F.collect_list(F.array("x", "y", "x2", "y2"))).alias("e"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    pad = F.greatest(*[F.abs(c) for c in "abcd"]) * 1e-11
+    bounds = shapes.select(key, (F.col("a") - pad).alias("a"), (F.col("b") + pad).alias("b"), (F.col("c") - pad).alias("c"), (F.col("d") + pad).alias("d"))
+    mean = bounds.agg(F.avg(F.col("b") - F.col("a")).alias("_w"), F.avg(F.col("d") - F.col("c")).alias("_h"))
+    cells = lambda lo, hi, size: F.explode(F.sequence(F.floor(F.col(lo) / F.col(size)), F.floor(F.col(hi) / F.col(size))))
+    tiles = bounds.crossJoin(F.broadcast(mean)).withColumn("_cx", cells("a", "b", "_w")).withColumn("_cy", cells("c", "d", "_h")).drop("_w", "_h")
+    here, there = tiles.withColumnRenamed(key, "src"), tiles.withColumnsRenamed({key: "dst", "a": "a2", "b": "b2", "c": "c2", "d": "d2"})
+    pairs = here.join(there, ["_cx", "_cy"]).where("src < dst AND a <= b2 AND a2 <= b AND c <= d2 AND c2 <= d").select("src", "dst").distinct()
+    pairs = pairs.join(shapes.select(F.col(key).alias("src"), F.col("e").alias("_e")), "src").join(shapes.select(F.col(key).alias("dst"), F.col("e").alias("_f")), "dst")
+
+    @F.pandas_udf("boolean")
+    def linked(src: pd.Series, dst: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:
+        out = []
+        for one, other, x, y in zip(src, dst, e, f):
+            overlap, meet, shared = relation(np.asarray(x).reshape(-1, 4), np.asarray(y).reshape(-1, 4))
+            if overlap:
+                raise ValueError(f"interiors of areas {one} and {other} intersect")
+            out.append(shared if rule == "rook" else meet)
+        return pd.Series(out, dtype=bool)
+
+    found = pairs.where(linked("src", "dst", "_e", "_f")).select("src", "dst")
+    return found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def covering_areas(points: DataFrame, key: str, x: str, y: str, areas: DataFrame, area: str, wkt: str, cell: float = 1.0) -> DataFrame:

@@ -240,3 +240,24 @@ def test_prediction_curve_passes_through_the_line(spark):
     df = spark.createDataFrame([(float(i), float(i * 2 + 1 + (i % 3 - 1) * 0.1)) for i in range(20)], "x double, y double")
     rows = linear.prediction_curve(df, linear.least_squares(df, "y", ["x"]), "x", 5).collect()
     assert [r.value for r in rows] == [0.0, 4.75, 9.5, 14.25, 19.0] and all(abs(r.predicted - (2 * r.value + 1)) < 0.2 and r.lo < r.predicted < r.hi for r in rows)
+
+
+def test_contiguity_of_areas_that_meet_within_edges(spark):
+    box = lambda a, b, c, d: f"POLYGON (({a} {b}, {c} {b}, {c} {d}, {a} {d}, {a} {b}))"
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "id string, wkt string")
+    areas = {
+        "base": box(0, 0, 4, 2),
+        "left": box(0, 2, 1, 3),  # T-junction at (1, 2), within base's edge
+        "right": "POLYGON ((1 2, 2 2, 3 2, 4 2, 4 3, 1 3, 1 2))",  # base's edge subdivided
+        "tip": "POLYGON ((1 0, 2 -1, 0 -1, 1 0))",  # a corner within an edge
+        "far": box(5, 5, 6, 6),
+        "frame": "POLYGON ((8 0, 12 0, 12 4, 8 4, 8 0), (9 1, 11 1, 11 3, 9 3, 9 1))",
+        "plug": box(9, 1, 11, 3),  # fills the hole
+    }
+    got = [{(r.src, r.dst) for r in spatial.contiguity(frame(areas), "id", "wkt", rule).collect()} for rule in ("queen", "rook")]
+    rook = {("base", "left"), ("base", "right"), ("left", "right"), ("frame", "plug")}
+    both_ways = lambda e: e | {(b, a) for a, b in e}
+    assert got == [both_ways(rook | {("base", "tip")}), both_ways(rook)]
+    for other in (box(1, 1, 3, 5), box(1, 0, 5, 2), box(0, 0, 4, 2), box(1, 0.5, 2, 1), "POLYGON ((2 0, 4 1, 2 2, 0 1, 2 0))"):
+        with pytest.raises(Exception, match="intersect"):
+            spatial.contiguity(frame({"base": areas["base"], "other": other}), "id", "wkt").collect()
