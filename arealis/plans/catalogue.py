@@ -573,12 +573,17 @@ def label_coverage(spark, sf_dir):
 
 
 @query("""SELECT 'customer' AS kind, c_custkey AS k, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_nationkey < 3 UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier WHERE s_nationkey < 3""")
-def union_by_name(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_nationkey < 3").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    s = read(spark, sf_dir, "supplier").where("s_nationkey < 3").select(F.col("s_acctbal").alias("balance"), F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("k"))
+def union_by_name(spark, sf_dir, nations="{} < 3"):
+    c = read(spark, sf_dir, "customer").where(nations.format("c_nationkey")).select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = read(spark, sf_dir, "supplier").where(nations.format("s_nationkey")).select(F.col("s_acctbal").alias("balance"), F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("k"))
     return c.unionByName(s, allowMissingColumns=True)
 
 
+@query(SQL["union_by_name"].replace(" WHERE c_nationkey < 3", "").replace(" WHERE s_nationkey < 3", ""))
+def union_by_name_whole(spark, sf_dir):
+    return union_by_name(spark, sf_dir, "true")
+
+
 @query("""SELECT s_nationkey AS area, array_to_string(list_sort(list(DISTINCT l_returnflag)), '|') AS conditions, array_to_string(list_sort(list(DISTINCT year(l_shipdate)::VARCHAR)), '|') AS periods FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")
 def sorted_value_lists(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("area"))

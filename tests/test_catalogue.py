@@ -61,3 +61,8 @@ def test_draws_are_as_many_as_the_references(spark):
     assert {r.estimable for r in catalogue.QUERIES["bootstrap_rank_gap_whole"](spark, DATA).collect()} == {1000}
     r = catalogue.QUERIES["moran_permutation_whole"](spark, DATA).first()
     assert r.p == round((r.extreme + 1) / 10000, 6)
+
+
+def test_whole_union_has_all_rows(spark):
+    rows = sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("customer", "supplier"))
+    assert catalogue.QUERIES["union_by_name_whole"](spark, DATA).count() == rows
