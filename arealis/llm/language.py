@@ -11,14 +11,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import slices, text_slices
 
 TABLE_BITS = 16
-LETTER = re.compile(r"[^\W\d_]")
+_LATIN, _LETTER = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
 #: ASCII letters in lower case and bytes of other scripts stay, all else is a blank.
 LETTERS_ONLY = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -38,6 +39,11 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     return best[1]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a code point of a Unicode letter category is in text; number signs and marks are none."""
+    return bool(_LATIN.search(text) or not text.isascii() and _LETTER.search(text))
+
+
 def normalised(text: str) -> bytes:
     """Words in lower case between single blanks, as UTF-8."""
     return b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(LETTERS_ONLY).split()) + b" "
@@ -79,7 +85,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, ambiguous) of each text; und, 0 and True where there is no letter."""
         out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
-        which = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+        which = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
         if not which or not self.languages:
             return out
         margins = (gram_means([normalised(texts[i]) for i in which], self.weights) - self.offset) / self.scale
@@ -96,13 +102,18 @@ class LanguageModel:
 def fit(labelled: DataFrame, rows_per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fits the bit classifiers on at most rows_per_language texts of each language, those whose ids hash lowest.
 
-    That bound is what the driver receives; texts are whole. Rows without text or label are not used.
+    That bound is what the driver receives; texts are whole. Rows without text or label are not used. Rows are
+    counted first, and only ids whose hash lies below a share of some four times the bound are ranked.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
-    chosen = rows.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= rows_per_language).select("id", "lang").distinct()
+    ids = rows.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("h"))
+    share = ids.groupBy("lang").agg((F.lit(4.0 * rows_per_language) / F.count("*")).alias("share"))
+    # hashes are even over 64 bits: of n ids, n * share lie below share of their range, with rows_per_language of them at least but for a chance beyond counting
+    ids = ids.join(share, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.greatest("share", F.when(F.col("share") >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= rows_per_language).select("id", "lang").distinct()
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.max("text").alias("text")).toPandas()
-    sample = sample[np.array([bool(LETTER.search(t)) for t in sample["text"]], bool)]
+    sample = sample[np.array([has_letter(t) for t in sample["text"]], bool)]
     languages = sorted(sample["lang"].unique())
     code = codewords(len(languages))
     texts, label = [normalised(t) for t in sample["text"]], np.array([languages.index(x) for x in sample["lang"]], int)
@@ -132,17 +143,19 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     than the model's share of belief is ambiguous too. Each row is judged alone, so repeated rows agree; an empty
     table gives no rows; columns beside the named ones are ignored.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # languages x bits x 2**16 weights, bounded by the number of languages
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)])
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + ", lang_pred string, score double, ambiguous boolean"
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits x 2**16 weights, bounded by the number of languages
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for batch in batches:
-            texts, found = batch.pop("text").tolist(), []
-            for a, b in slices((len(t or "") for t in texts), 2_000_000):
-                found += model.predict(texts[a:b])
-            yield batch.assign(lang_pred=[x[0] for x in found], score=[x[1] for x in found], ambiguous=[x[2] for x in found])
-
-    return source.mapInPandas(predict, out).select(*([] if id_col in keep else [F.col("id").alias(id_col)]), *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "ambiguous")
+        for column in texts:
+            found: list[tuple[str, float, bool]] = []
+            for _, _, some in text_slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text", 2_000_000):
+                found += model.predict([None if t is None else t.decode("utf-8", "replace") for t in some])
+            yield pa.StructArray.from_arrays([pa.array([f[k] for f in found], kind[k].type) for k in range(3)], fields=list(kind))
+
+    # only texts go to Python; what else is kept stays where it is
+    kept = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).alias("id"), *kept, judged(F.col(text_col)).alias("v"))
+    return rows.select(*([] if id_col in keep else [F.col("id").alias(id_col)]), *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)], "v.lang_pred", "v.score", "v.ambiguous")

@@ -9,42 +9,41 @@ candidate pair is verified on the whole shingle vectors.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Powers, Prefix, connected, mixed, slices, stored
+from .shared import WordHashes, connected, mixed, stored, text_slices
 
-#: Bytes of ASCII white space, the ends of words.
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-_POWERS, _WORD_POWERS = Powers(0x9E3779B97F4A7C15 | 1), Powers(0xD1342543DE82EF95 | 1)
+#: Bytes of text that are turned into arrays at a time.
+SLICE = 1_500_000
+_words = WordHashes()
 
 
-def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last-but-one byte of each run of bytes that are no white space."""
-    ink = np.concatenate([[False], ~BLANK[buffer], [False]])
-    edges = np.flatnonzero(ink[1:] != ink[:-1])
-    return edges[0::2], edges[1::2]
+def _factors(n: int) -> np.ndarray:
+    """n odd factors, one for each place of a shingle."""
+    return mixed(np.arange(n, dtype=np.uint64), 101) | np.uint64(1)
 
 
 def shingle_vectors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, count), sorted by text and hash. A text of fewer words has one shingle, of all its words."""
-    data = b"\n".join(texts) + b"\n"
-    buffer = np.frombuffer(data, np.uint8)
-    starts, ends = word_spans(buffer)
-    words = Prefix(buffer, _POWERS).hash(starts, ends)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    first = np.searchsorted(starts, bounds - np.array([len(t) + 1 for t in texts]))
-    last = np.searchsorted(starts, bounds)
-    n = last - first
+    split = [t.split() for t in texts]
+    n = np.array([len(w) for w in split], np.int64)
+    words = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.uint64, int(n.sum()))
+    last = n.cumsum()
     per_text = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     owner = np.repeat(np.arange(len(texts)), per_text)
-    at = np.arange(per_text.sum()) - np.repeat(per_text.cumsum() - per_text, per_text) + first[owner]
-    hashes = Prefix(words, _WORD_POWERS).hash(at, np.minimum(at + width, last[owner]))
+    at = np.arange(per_text.sum()) - np.repeat(per_text.cumsum() - per_text, per_text) + (last - n)[owner]
+    end, hashes = last[owner], np.zeros(len(at), np.uint64)
+    for k, factor in enumerate(_factors(width)):
+        # a place beyond a short text's end counts too, so that shingles of different lengths differ
+        hashes += np.where(at + k < end, words[np.minimum(at + k, max(len(words) - 1, 0))] if len(words) else np.uint64(0), np.uint64(k + 1)) * factor
+    hashes = mixed(hashes)
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     new = np.ones(len(hashes), bool)
@@ -99,169 +98,224 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1.0 / ((above[at] + only_x) / p + (below[at] + only_y) / q)).sum())
 
 
-def _encoded(texts: pd.Series) -> list[bytes]:
-    return [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+#: Of several documents of a bucket, so many in turn are compared with all the others; what is still open then is compared in blocks.
+PIVOTS = 3
+#: Documents and shingles of a block, about, and documents that are compared with one copy of a pivot.
+BLOCK, BLOCK_SHINGLES, BESIDE = 400, 400_000, 2000
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _names(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
-    """Two 64-bit sums over each text's shingles and counts: equal for equal vectors, and for no others as far as 128 bits tell."""
-    name = np.zeros((2, texts), np.uint64)
-    for s in range(2):
-        np.add.at(name[s], owner, mixed(hashes ^ mixed(counts.astype(np.uint64), s + 5), s + 7))
-    return name.view(np.int64)
+def vector(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts; no counts are ones."""
+    h = np.frombuffer(hashes, "<u8")
+    return h, np.frombuffer(counts, "<u4") if counts else np.ones(len(h), np.uint32)
 
 
-#: Documents of a bucket that are compared with one another at a time, about; in a bucket of no more than FEW, pairs are simply joined.
-BLOCK, FEW = 400, 3
+def runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Rows, as they come, grouped by equal neighbours; a row at a time is held."""
+    rows = (row for batch in batches for k in range(0, batch.num_rows, 64) for row in batch.slice(k, 64).to_pylist())
+    return groupby(rows, key=lambda row: tuple(row[k] for k in key))
 
 
-def across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Pairs (a, b) of two blocks of a bucket, of different classes, whose similarity can reach the threshold.
+def linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each pivot a, whose row comes first in its run, with the run's other rows."""
+    out: list[tuple[int, int]] = []
+    for (a, _), rows in runs(batches, ("a", "slot")):
+        first = next(rows)
+        if first["role"]:
+            raise RuntimeError("a pivot is missing")
+        pivot = vector(first["hashes"], first["counts"])
+        out += [(a, row["id"]) for row in rows if probability_jaccard(*pivot, *vector(row["hashes"], row["counts"])) >= threshold - 1e-12]
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=LINKS)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=LINKS)
+
+
+class Joined:
+    """Union of numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def across(rows: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Links between documents of two blocks of a bucket that join what roots leave apart: a spanning forest, each link verified.
 
     Shared shingles are counted by products of zero-one matrices. Where no shingle repeats within a text, the count
-    gives the similarity; else the weight of shared shingles, as a share of either text's, bounds it from above.
+    gives the similarity; else the weight of shared shingles, as a share of either text's, bounds it from above, and
+    what it lets through is compared in full, unless it is joined already.
     """
-    n, block = len(pdf), pdf["block"].to_numpy()
-    ids, roots = pdf["id"].to_numpy(), pdf["root"].to_numpy()
-    hashes, counts = [np.frombuffer(h, "<u8") for h in pdf["hashes"]], [np.frombuffer(c, "<u4").astype(np.float32) for c in pdf["counts"]]
-    sizes = np.array([len(h) for h in hashes])
-    _, column, holders = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    owner, weight = np.repeat(np.arange(n), sizes), np.concatenate(counts)
+    lo, hi = rows[0]["lo"], rows[0]["hi"]
+    n, ids = len(rows), [r["id"] for r in rows]
+    vectors = [vector(r["hashes"], r["counts"]) for r in rows]
+    sizes, total = np.array([len(h) for h, _ in vectors]), np.array([int(c.sum()) for _, c in vectors])
+    _, column, holders = np.unique(np.concatenate([h for h, _ in vectors]), return_inverse=True, return_counts=True)
+    owner, weight = np.repeat(np.arange(n), sizes), np.concatenate([c for _, c in vectors]).astype(np.float32)
     several = holders[column] > 1
     owner, weight, column = owner[several], weight[several], np.unique(column[several], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     owner, weight, column = owner[order], weight[order], column[order]
-    left, right = np.flatnonzero(block == pdf["lo"].iloc[0]), np.flatnonzero(block == pdf["hi"].iloc[0])
+    left, right = (np.array([i for i, r in enumerate(rows) if r["block"] == k]) for k in (lo, hi))
+    if not len(left) or not len(right):
+        return []
+    plain = total == sizes
+    weighted = not plain.all()
     shared, held_left, held_right = (np.zeros((len(left), len(right)), np.float32) for _ in range(3))
     columns = int(column[-1]) + 1 if len(column) else 0
-    width = min(max(1, 8_000_000 // n), max(columns, 1))
+    width = min(max(1, 1_500_000 // n), max(columns, 1))
     for first in range(0, columns, width):
         x, y = np.searchsorted(column, [first, first + width])
-        zero_one, weights = np.zeros((2, n, width), np.float32)
+        zero_one = np.zeros((n, width), np.float32)
         zero_one[owner[x:y], column[x:y] - first] = 1
-        weights[owner[x:y], column[x:y] - first] = weight[x:y]
         shared += zero_one[left] @ zero_one[right].T
-        held_left += weights[left] @ zero_one[right].T
-        held_right += zero_one[left] @ weights[right].T
-    total = np.array([c.sum() for c in counts])
-    plain = total == sizes
-    jaccard = shared / np.maximum(sizes[left][:, None] + sizes[right] - shared, 1)
-    bound = np.minimum(held_left / total[left][:, None], held_right / total[right])
-    reach = np.where(plain[left][:, None] & plain[right], jaccard, bound) >= threshold - 1e-4
-    i, j = np.nonzero(reach & (roots[left][:, None] != roots[right]))
-    a, b = ids[left[i]], ids[right[j]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def each_across(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+        if weighted:
+            weights = np.zeros((n, width), np.float32)
+            weights[owner[x:y], column[x:y] - first] = weight[x:y]
+            held_left += weights[left] @ zero_one[right].T
+            held_right += zero_one[left] @ weights[right].T
+    number = {r: k for k, r in enumerate(dict.fromkeys(r["root"] for r in rows))}
+    label, parts, out = np.array([number[r["root"]] for r in rows]), Joined(len(number)), []
+    both = plain[left][:, None] & plain[right]
+    like = both & (shared >= (threshold - 1e-12) * (sizes[left][:, None] + sizes[right] - shared).astype(np.float64))
+    while True:  # links of texts without repeats: of every row the first that joins it to something else
+        now = np.array([parts.find(k) for k in range(len(number))])[label]
+        open_ = like & (now[left][:, None] != now[right])
+        hit = np.flatnonzero(open_.any(1))
+        if not len(hit):
+            break
+        for i, j in zip(left[hit].tolist(), right[open_[hit].argmax(1)].tolist()):
+            if parts.join(int(label[i]), int(label[j])):
+                out.append((ids[i], ids[j]))
+    if weighted:
+        bound = np.minimum(held_left / total[left][:, None], held_right / total[right])
+        for i, j in zip(*np.nonzero(~both & (bound >= threshold - 1e-4))):
+            i, j = int(left[i]), int(right[j])
+            if parts.find(int(label[i])) != parts.find(int(label[j])) and probability_jaccard(*vectors[i], *vectors[j]) >= threshold - 1e-12:
+                parts.join(int(label[i]), int(label[j]))
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def each_across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """across() for each run of rows with the same key, lo and hi."""
-    held: list[pd.DataFrame] = []
-    name = None
-    for batch in batches:
-        names = batch[["key", "lo", "hi"]].to_numpy()
-        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(batch)]
-        out = []
-        for i, j in zip(cuts, cuts[1:]):
-            if i < j:
-                if held and (names[i] != name).any():
-                    out.append(across(pd.concat(held) if len(held) > 1 else held[0], threshold))
-                    held = []
-                held.append(batch.iloc[i:j])
-                name = names[i]
-        if out:
-            yield pd.concat(out)
-    if held:
-        yield across(pd.concat(held), threshold)
+    for _, rows in runs(batches, ("key", "lo", "hi")):
+        if out := across(list(rows), threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=LINKS)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 26, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, rep_id and class_id.
 
-    rep_id is the smallest id of the documents with the same shingle vector (exact copies, and texts that differ
-    in white space or case only), class_id the smallest id of the class: of all that a chain of verified links
-    joins. Words are what lies between white space, in lower case. Texts without a word, null among them, form a
-    class each of their own.
-
-    Each bucket of a band first gives a star, from every member to its smallest. In buckets whose members the
-    verified links have not all joined, blocks of members are then compared with one another, all with all, and
-    what may link two classes is verified, so no link between classes is lost; only such pairs are ever rows. Copies are collapsed
-    before, so a group of copies of any size counts once. With 26 bands of 5 registers a pair at the threshold of
-    0.8 is missed with a chance of 3e-5, one at 0.9 with less than 1e-9. Rows that repeat an id are one document, whose
-    vector is that of greatest name. An empty table gives no rows; other columns are ignored.
+    rep_id is the smallest id of the documents with the same words in order (told by a 128-bit digest of them),
+    class_id the smallest id of the class: of all that a chain of verified links joins. Words are what lies between
+    ASCII white space, in lower case. Texts without a word, null among them, form a class each of their own.
+
+    A bucket holds the representatives that agree in a band. Its least member, the pivot, is compared with all others,
+    then the next one, PIVOTS times, and links join classes in between; only buckets that hold several classes go on.
+    What is still open is compared in blocks, all with all, where each pair of blocks gives a spanning forest
+    of its links. So no link between classes is lost, no pair is ever a row unless a pivot or a link is in it, and a
+    group of copies counts once. With 26 bands of 5 registers a pair at the threshold of 0.8 is missed with a chance
+    of 3e-5, one at 0.9 with less than 1e-9. Rows that repeat an id are one document, whose text is that of greatest
+    digest; rows without an id are one too, which can only join texts of its very words. An empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text"))
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = _encoded(batch["text"]), batch["id"].to_numpy()
-            for a, b in slices(map(len, texts), 1_500_000):
-                owner, hashes, counts = shingle_vectors(texts[a:b], width)
+            for a, b, texts in text_slices(batch, "text", SLICE):
+                texts = [t or b"" for t in texts]
+                owner, hashes, counts = shingle_vectors(texts, width)
                 sig = signatures(owner, hashes, counts, b - a, bands * rows)
                 keys = np.tile(np.arange(bands, dtype=np.uint64), (b - a, 1))
                 for k in range(rows):
                     keys = mixed(keys ^ sig[:, k::rows], k)
-                name1, name2 = _names(owner, hashes, counts, b - a)
-                yield pd.DataFrame({"id": ids[a:b], "name1": name1, "name2": name2, "n": np.bincount(owner, minlength=b - a), "keys": list(keys.view(np.int64))})
+                n = np.bincount(owner, minlength=b - a)
+                names = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(names, pa.binary()), pa.array(n, pa.int64()), flat], names=["id", "name", "n", "keys"])
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = _encoded(batch["text"]), batch["id"].to_numpy()
-            for a, b in slices(map(len, texts), 1_500_000):
-                owner, hashes, counts = shingle_vectors(texts[a:b], width)
-                name1, name2 = _names(owner, hashes, counts, b - a)
+            for a, b, texts in text_slices(batch, "text", SLICE):
+                texts = [t or b"" for t in texts]
+                owner, hashes, counts = shingle_vectors(texts, width)
                 cuts = np.searchsorted(owner, np.arange(b - a + 1))
                 parts = [*zip(cuts, cuts[1:])]
-                yield pd.DataFrame({"id": ids[a:b], "name1": name1, "name2": name2, "hashes": [hashes[i:j].tobytes() for i, j in parts], "counts": [counts[i:j].astype("<u4").tobytes() for i, j in parts]})
-
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([probability_jaccard(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u4"), np.frombuffer(r, "<u8"), np.frombuffer(s, "<u4")) for p, q, r, s in zip(a, x, b, y)], dtype="float64")
+                names = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]
+                many = [(c := counts[i:j]).max(initial=1) > 1 and c.astype("<u4").tobytes() or b"" for i, j in parts]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(names, pa.binary()), pa.array([hashes[i:j].tobytes() for i, j in parts], pa.binary()), pa.array(many, pa.binary())], names=["id", "name", "hashes", "counts"])
 
-    sketches = source.mapInPandas(sketch, "id long, name1 long, name2 long, n long, keys array<long>")
-    sketches = stored(sketches.groupBy("id").agg(F.max(F.struct("name1", "name2", "n", "keys")).alias("v")).select("id", "v.*"), "sketches")
-    reps = sketches.where("n > 0").groupBy("name1", "name2").agg(F.min("id").alias("rep_id"), F.count("*").alias("copies"))
-    copies = reps.where("copies > 1").select("name1", "name2", "rep_id")
-    members = stored(sketches.select("id", "name1", "name2", "n").join(copies, ["name1", "name2"], "left").select("id", F.when(F.col("n") > 0, F.coalesce("rep_id", "id")).otherwise(F.col("id")).alias("rep_id")), "members")
+    sketches = source.mapInArrow(sketch, "id long, name binary, n long, keys array<long>")
+    sketches = stored(sketches.groupBy("id").agg(F.max(F.struct("name", "n", "keys")).alias("v")).select("id", "v.*"), "sketches")
+    reps = sketches.where("n > 0").groupBy("name").agg(F.min("id").alias("rep_id"), F.count("*").alias("copies"))
+    copies = reps.where("copies > 1").select("name", "rep_id")
+    members = stored(sketches.select("id", "name", "n").join(copies, "name", "left").select("id", F.when(F.col("n") > 0, F.coalesce("rep_id", "id")).otherwise(F.col("id")).alias("rep_id")), "members")
 
     alone = members.where("id = rep_id").select("id")
     banded = sketches.where("n > 0").join(alone, "id").select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(banded.join(shared.select("key", "least"), "key"), "buckets")
-
-    wanted = buckets.select("id").distinct()
-    made = source.join(wanted, "id", "left_semi").mapInPandas(vectors, "id long, name1 long, name2 long, hashes binary, counts binary")
-    made = stored(made.groupBy("id").agg(F.max(F.struct("name1", "name2", "hashes", "counts")).alias("v")).select("id", "v.hashes", "v.counts"), "vectors")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, link) of pairs (a, b)."""
-        side = lambda s: made.select(F.col("id").alias(s), F.col("hashes").alias(f"{s}_h"), F.col("counts").alias(f"{s}_c"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return stored(both.select("a", "b", (similarity("a_h", "a_c", "b_h", "b_c") >= threshold).alias("link")), name)
-
-    star = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    seen = verified(star, "star")
-    links = seen.where("link").select("a", "b")
-    roots = stored(connected(links), "roots")
-    placed = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = stored(placed.join(split, "key"), "open")
-    sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
-    small = open_.join(sizes.where(F.col("size") <= FEW), "key")
-    other = small.select("key", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    few = small.join(other, "key").where("root <> other_root AND id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    parts = open_.join(sizes.where(F.col("size") > FEW).select("key", F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "key")
-    parts = parts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    parts = parts.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "root").join(made, "id")
-    many = parts.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(lambda batches: each_across(batches, threshold), "a long, b long")
-    pairs = few.union(many).distinct()
-    late = verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "late").where("link").select("a", "b")
-    if not late.isEmpty():
-        roots = stored(connected(links.union(late)), "roots")
-    classes = members.join(roots.withColumnRenamed("node", "rep_id"), "rep_id", "left")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rest = stored(banded.join(shared.select("key"), "key"), "buckets")
+
+    place = stored(rest.select("id").distinct().withColumn("root", F.col("id")), "place")
+    made = source.join(place.select("id"), "id", "left_semi").mapInArrow(vectors, "id long, name binary, hashes binary, counts binary")
+    made = made.groupBy("id").agg(F.max(F.struct("name", "hashes", "counts")).alias("v")).select("id", "v.hashes", "v.counts")
+    made = stored(made.withColumn("size", F.expr("octet_length(hashes) div 8")), "vectors")
+
+    def opened(rest: DataFrame) -> DataFrame:
+        """Members of buckets that hold several classes: key, id, root, a (the least member), a_root, size and shingles of the bucket."""
+        here = rest.join(place, "id")
+        heads = here.groupBy("key").agg(F.min(F.struct("id", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        return here.join(heads.select("key", F.col("p.id").alias("a"), F.col("p.root").alias("a_root"), "size"), "key")
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """Links of pairs (a, b, size): copies of the pivot a's vector, each beside its share of the others."""
+        pairs = pairs.groupBy("a", "b").agg(F.max("size").alias("size"))
+        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / F.lit(float(BESIDE)))).cast("int").alias("slot"))
+        pivots = pairs.groupBy("a").agg(F.max("slot").alias("slots")).select("a", F.explode(F.sequence(F.lit(0), "slots")).alias("slot"), F.lit(0).alias("role"), F.col("a").alias("id"))
+        sides = pivots.unionByName(pairs.select("a", "slot", F.lit(1).alias("role"), F.col("b").alias("id"))).join(made.select("id", "hashes", "counts"), "id")
+        sides = sides.select("a", "slot", "role", "id", "hashes", "counts").repartition("a", "slot").sortWithinPartitions("a", "slot", "role")
+        return stored(sides.mapInArrow(lambda batches: linked(batches, threshold), "a long, b long"), name)
+
+    def joined(links: DataFrame) -> DataFrame:
+        """place after these links."""
+        root = lambda c: place.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+        between = stored(links.join(root("a"), "a").join(root("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "between")
+        if between.isEmpty():
+            return place
+        roots = connected(between).select(F.col("node").alias("root"), F.col("root").alias("less"))
+        return stored(place.join(roots, "root", "left").select("id", F.coalesce("less", "root").alias("root")), "place")
+
+    for turn in range(PIVOTS):
+        others = stored(opened(rest).where("id > a"), "open")
+        if others.isEmpty():
+            break
+        place = joined(compared(others.where("root <> a_root").select("a", F.col("id").alias("b"), "size"), "links"))
+        rest = others.select("key", "id")
+    else:
+        left = opened(rest).select("key", "id", "root").join(made, "id")
+        weight = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK))), F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("blocks"))
+        parts = left.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        parts = parts.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "root", "hashes", "counts")
+        late = parts.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: each_across(batches, threshold), "a long, b long")
+        place = joined(stored(late, "late"))
+    classes = members.join(place.withColumnRenamed("id", "rep_id"), "rep_id", "left")
     return classes.select(F.col("id").alias("doc_id"), "rep_id", F.coalesce("root", "rep_id").alias("class_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The document of smallest id of each class, with all its columns; rows that repeat an id stay or go together."""
+    """The document of smallest id of each class, with all its columns; rows that repeat an id stay or go together, rows without one stay."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_folder: list[str] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    spark.checkpoint.dir names it. Only a local session without that setting gets a temporary folder of
-    this machine; a cluster without it gets a folder under the warehouse, which executors share too.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a folder under the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="arealis-"))
-    return _local_folder[0]
+    return folder.rstrip("/") if folder else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -63,7 +54,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     the number of rounds grows with the logarithm of the longest chain. Every round is a written table.
     A node of very many links is handled by aggregates with map-side partial results, never by a list.
     """
-    print_of = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+    print_of = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())  # noqa: E731  # of edges without repeats
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = print_of(edges)
     for _ in range(max_rounds):
@@ -77,7 +68,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
         after = stored(small, "cc")
         edges, last, before = after, before, print_of(after)
-        if before == last:  # of edges without repeats
+        if before == last:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -98,8 +89,24 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """Words to 64-bit hashes, remembered; a full memory is emptied, which costs time only."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand: substring hashes from prefix sums."""
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand: substring hashes from prefix sums.
+
+    Such hashes choose and sort out; they never stand for equality, since strings with equal hashes can be made.
+    """
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -139,3 +146,18 @@ def slices(sizes, most: int):
         held += n
     if first < len(sizes):
         yield first, len(sizes)
+
+
+# ---- Arrow batches ----
+
+
+def as_bytes(column: pa.Array) -> pa.Array:
+    """Strings as their UTF-8 bytes, without a copy."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()) if not pa.types.is_binary(column.type) else column
+
+
+def text_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """(first, last, texts) of consecutive rows with about most bytes of text, so that only those are ever Python objects."""
+    texts = as_bytes(batch.column(column))
+    for a, b in slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).tolist(), most):
+        yield a, b, texts.slice(a, b - a).to_pylist()

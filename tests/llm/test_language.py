@@ -1,3 +1,6 @@
+import math
+import unicodedata
+
 import numpy as np
 import pytest
 
@@ -49,3 +52,39 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in identify(docs, nothing).collect()} == {"und"}
     assert {r.lang_pred for r in identify(docs, fit(docs.where("lang = 'en'"))).collect()} == {"en", "und"}
     assert docs.where(held_out()).count() >= 0
+
+
+def plain_prediction(model, text):
+    """One text after the letter of the method: every bit's mean weight, then the codeword of least weighted loss."""
+    if text is None or not any(unicodedata.category(c).startswith("L") for c in text):
+        return "und", 0.0
+    data = normalised(text)
+    row = lambda a, b, c: ((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF) >> 16
+    margins = [(sum(float(w[row(*data[i : i + 3])]) for i in range(len(data) - 2)) / (len(data) - 2) - o) / s for w, o, s in zip(model.weights, model.offset, model.scale)]
+    loss = [sum(t * math.log1p(math.exp(-m * b)) for m, b, t in zip(margins, word.tolist(), model.trust)) for word in model.code]
+    chance = [math.exp(-x + min(loss)) for x in loss]
+    best = max(range(len(loss)), key=lambda k: chance[k])
+    return model.languages[best], chance[best] / sum(chance)
+
+
+def test_decoding_matches_plain_code(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = fit(docs.where(~held_out()))
+    rows = docs.where("length(text) < 3000 OR text IS NULL").limit(150)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(rows, model).collect()}
+    for r in rows.collect():
+        lang, score = plain_prediction(model, r.text)
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-4
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "\u00bd \u00b2 100"), (2, "\u2167 8"), (3, "\u0301"), (4, "\u6f22"), (5, "\u00aa")], "doc_id long, text string")
+    model = fit(spark.createDataFrame([(1, "the dog", "en"), (2, "le chat", "fr")], "doc_id long, text string, lang string"))
+    assert [r.lang_pred == "und" for r in identify(docs, model).orderBy("doc_id").collect()] == [True, True, True, False, False]
+
+
+def test_sample_is_that_of_lowest_hashes(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "concat('word', id % 7) AS text", "if(id % 100 = 0, 'xx', 'en') AS lang")
+    for bound in (5, 50, 100_000):
+        model = fit(rows, rows_per_language=bound)
+        assert model.languages == ["en", "xx"]

@@ -82,10 +82,11 @@ def test_registers_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - brute_jp(brute_shingles(a, 2), brute_shingles(b, 2))) < 0.03
 
 
-@pytest.mark.parametrize("block,few", [(400, 8), (5, 1)])
-def test_classes_match_all_pairs(spark, monkeypatch, block, few):
+@pytest.mark.parametrize("block,pivots,beside", [(400, 3, 2000), (5, 1, 3), (400, 0, 1)])
+def test_classes_match_all_pairs(spark, monkeypatch, block, pivots, beside):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+    monkeypatch.setattr(minhash, "BESIDE", beside)
     texts = corpus()
     rows = near_duplicates(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, key int").repartition(4)).collect()
     assert len(rows) == len(texts)
@@ -102,3 +103,38 @@ def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id) for r in near_duplicates(docs).collect()) == [(1, 1), (2, 1)]
     assert near_duplicates(docs.where("doc_id < 0")).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_texts_with_equal_polynomial_hashes_stay_apart(spark):
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, x), (2, y), (3, f"{x} b c d e f"), (4, f"{y} b c d e f")], "doc_id long, text string")
+    assert all(r.class_id == r.doc_id for r in near_duplicates(docs).collect())
+
+
+def test_rows_without_an_id_and_clashing_columns(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(None, text, 1, "x"), (None, "other", 2, "y"), (7, text, 3, "z"), (8, "x", 4, "w")], "doc_id long, text string, root int, rep_id string")
+    rows = near_duplicates(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.class_id) for r in rows if r.doc_id is not None) == [(False, 7, 7), (False, 8, 8)] and len(rows) == 3
+    kept = minhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_large_group_of_mutual_near_copies(spark):
+    rng = random.Random(3)
+    base = rng.choices([f"w{i}" for i in range(500)], k=120)
+    texts = [" ".join(edited(rng, base, 3)) for _ in range(3000)] + [" ".join(rng.choices([f"v{i}" for i in range(900)], k=80)) for _ in range(50)]
+    rows = near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)).collect()
+    roots = {r.doc_id: r.class_id for r in rows}
+    vectors = [brute_shingles(t) for t in texts]
+    # everything that any of some hundred members links to must be in one class
+    for i in rng.sample(range(3000), 60):
+        for j in rng.sample(range(3000), 200):
+            if brute_jp(vectors[i], vectors[j]) >= 0.8:
+                assert roots[i] == roots[j]
+    assert all(roots[i] == i for i in range(3000, 3050))
