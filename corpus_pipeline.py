@@ -16,19 +16,25 @@ from arealis.llm.shared import stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the output codes tell; those without a letter and ambiguous ones go."""
+    """Documents whose language the output codes tell; those without a letter (null and empty texts too) and ambiguous ones go.
+
+    Each row is judged alone, so rows that repeat an id stay or go by their own text; an empty table gives none.
+    """
     model = language.fit(docs.where(~held_out()))
     judged = language.identify(docs, model, keep=docs.columns)
     return judged.where("NOT ambiguous").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document of largest doc_id stays."""
+    """Of equal texts the row of largest doc_id stays, of several with that id the last by file and row; null counts as empty text."""
     return exact.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of smallest doc_id stays."""
+    """Of each class of near copies the document of smallest doc_id stays, with all rows that repeat its id.
+
+    Texts without a word are classes of their own and rows without an id always stay.
+    """
     return minhash.drop_near_copies(docs)
 
 
@@ -39,7 +45,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens; a null text is its end token alone, repeated rows are packed each."""
     return packing.pack(docs, _tokenizer("word_bpe_49k.json"))
 
 
