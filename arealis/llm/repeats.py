@@ -3,72 +3,87 @@
 Both operators here remove each token covered by a window that also starts in a document of smaller id. They
 treat words (remove_repeated_words) or bytes (remove_repeated_bytes), and share one frame:
 
-* Documents travel in chunks of some megabytes, in order of id and compressed.
-* Every window has an anchor, its leftmost gram of least hash. Windows that are equal have equal anchors, at the
-  same place within, so only anchors need be compared, far fewer than windows.
-* What a chunk asks of the others (is this met in a smaller document?) goes to shards by hash, once per chunk
-  and key with the chunk's smallest document; a key that a third of all documents hold costs one entry a chunk.
-  The number of shards is the session's number of shuffle partitions.
-* Answers go back to the chunk as numbers of entries.
-
-Keys are hashes of some 77 bits and more, so different windows are told apart with near certainty; no key is dropped,
-capped or sampled.
+* Documents travel in chunks of some megabytes, in order of id and compressed, bucketed by chunk, so that no later step
+  shuffles texts again.
+* Every window has an anchor, its leftmost gram of least hash. Equal windows have equal anchors, at the same place
+  within. A run of windows of one anchor, with all tokens it covers, is a context.
+* Three levels ask the other chunks what repeats: a filter that only ever overestimates, then equal contexts, told by
+  128-bit digests of their tokens, then, for contexts that share an anchor but differ, the windows themselves, whose
+  real tokens are compared. What a chunk asks goes to shards by hash, once per chunk and key with the chunk's smallest
+  document, so a key that a third of all documents hold costs one entry a chunk. Answers are bits in the order asked.
+* The number of shards grows with the number of tokens.
+
+Hashes choose and sort out; equality is never told by less than 128 bits of digest, nor is a key dropped, capped or sampled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import namedtuple
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Powers, Prefix, mixed, shuffle_width, stored
+from .shared import Powers, Prefix, WordHashes, as_bytes, mixed, scratch_path, shuffle_width, stored
 
 CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 60_000
-#: Bytes of ASCII white space, the ends of words.
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BYTES, _TOKENS, _CHECK = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95), Powers(0xAF251AF3B0F025B5)
-CHUNK_ROW = namedtuple("CHUNK_ROW", "ids sizes blob")
-CHUNK = "chunk long, ids binary, sizes binary, blob binary"
-#: What chunks ask of shards, and what shards answer.
-ASK, ANSWER = "shard int, chunk long, ids binary, entries binary", "chunk long, shard int, hits binary"
+#: The identifier that stands for null: the smallest one.
+NO_ID = -(1 << 63)
+CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("blob", pa.binary()), ("tokens", pa.int64())])
+ASK = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("entries", pa.binary())])
+ANSWER = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("shard", pa.int32()), ("hits", pa.binary())])
+_BYTES, _words = Powers(0x9E3779B97F4A7C15), WordHashes()
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents as rows of CHUNK, stored: each chunk in order of id, null texts empty."""
+def ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, words: bool) -> DataFrame:
+    """Documents as rows of CHUNK, each chunk in order of id, null texts empty; a table bucketed by chunk in the shared folder."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        ids, texts, held = [], [], 0
+        ids, nulls, texts, held = [], [], [], 0
 
-        def chunk() -> pd.DataFrame:
+        def chunk() -> pa.RecordBatch:
             order = np.argsort(np.array(ids), kind="stable")
             parts = [texts[i] for i in order]
-            row = ((task << 32) + made, np.array(ids, "<i8")[order].tobytes(), np.array([len(t) for t in parts], "<i8").tobytes(), zstandard.ZstdCompressor(level=6).compress(b"".join(parts)))
-            return pd.DataFrame([row], columns=["chunk", "ids", "sizes", "blob"])
+            blob, tokens = zstandard.ZstdCompressor(level=3).compress(b"".join(parts)), sum(len(t.split()) if words else len(t) for t in parts)
+            row = [(task << 32) + made, np.array(ids, "<i8")[order].tobytes(), np.array(nulls, np.uint8)[order].tobytes(), np.array([len(t) for t in parts], "<i8").tobytes(), blob, tokens]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, CHUNK.types)], schema=CHUNK)
 
         for batch in batches:
-            for i, t in zip(batch["id"].tolist(), batch["text"]):
-                t = (t or "").encode("utf-8", "surrogatepass")
-                if held and (held + len(t) > CHUNK_BYTES or len(ids) >= CHUNK_DOCS):
-                    yield chunk()
-                    ids, texts, held, made = [], [], 0, made + 1
-                ids.append(i)
-                texts.append(t)
-                held += len(t)
+            column, texts_of = batch.column("id"), as_bytes(batch.column("text"))
+            for first in range(0, batch.num_rows, 256):
+                part = column.slice(first, 256)
+                for i, null, t in zip(pc.fill_null(part, NO_ID).to_pylist(), part.is_null().to_pylist(), texts_of.slice(first, 256).to_pylist()):
+                    t = t or b""
+                    if held and (held + len(t) > CHUNK_BYTES or len(ids) >= CHUNK_DOCS):
+                        yield chunk()
+                        ids, nulls, texts, held, made = [], [], [], 0, made + 1
+                    ids.append(i)
+                    nulls.append(null)
+                    texts.append(t)
+                    held += len(t)
         if ids:
             yield chunk()
 
-    return stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(pack, CHUNK), "chunks")
+    spark = docs.sparkSession
+    made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, ddl(CHUNK))
+    name, width = f"chunks_{uuid.uuid4().hex}", shuffle_width(spark)
+    made.repartition(width, "chunk").write.format("parquet").bucketBy(width, "chunk").option("path", scratch_path(spark, "chunks")).saveAsTable(name)
+    return spark.table(name)
 
 
 @dataclass
@@ -76,72 +91,88 @@ class Chunk:
     """Tokens of a chunk's documents, one after another."""
 
     ids: np.ndarray
+    nulls: np.ndarray
     data: bytes
     ends: np.ndarray  # in bytes
-    values: np.ndarray
+    words: list[bytes] | None
+    values: np.ndarray  # a hash of each word, or the bytes
     bounds: np.ndarray  # document i holds tokens bounds[i] to bounds[i + 1]
 
     @staticmethod
-    def of(row, words: bool) -> Chunk:
-        ids, sizes = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.sizes, "<i8")
-        data, ends = zstandard.ZstdDecompressor().decompress(row.blob), np.concatenate([[0], sizes.cumsum()])
-        buffer = np.frombuffer(data, np.uint8)
+    def of(row: dict, words: bool) -> Chunk:
+        ids, sizes, nulls = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["nulls"], bool)
+        data, ends = zstandard.ZstdDecompressor().decompress(row["blob"]), np.concatenate([[0], sizes.cumsum()])
         if not words:
-            return Chunk(ids, data, ends, buffer, ends)
-        # a word ends at white space or at its document's end
-        ink = np.concatenate([[False], ~BLANK[buffer], [False]])
-        edge = np.zeros(len(buffer) + 1, bool)
-        edge[ends] = True
-        start = np.flatnonzero(ink[1:] & (~ink[:-1] | edge))
-        stop = np.flatnonzero(ink[:-1] & (~ink[1:] | edge))
-        return Chunk(ids, data, ends, Prefix(buffer, _BYTES).hash(start, stop), np.searchsorted(start, ends))
+            return Chunk(ids, nulls, data, ends, None, np.frombuffer(data, np.uint8), ends)
+        split = [data[a:b].split() for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        every = [*chain.from_iterable(split)]
+        return Chunk(ids, nulls, data, ends, every, np.fromiter(map(_words.__getitem__, every), np.uint64, len(every)), np.cumsum([0, *map(len, split)]))
 
     def document(self, token: np.ndarray) -> np.ndarray:
-        """The number of the document of each token; rows that repeat an id share that of the first."""
-        return np.searchsorted(self.ids, self.ids)[np.searchsorted(self.bounds, token, side="right") - 1]
+        return np.searchsorted(self.bounds, token, side="right") - 1
+
+    def content(self, first: int, end: int) -> bytes:
+        return self.data[first:end] if self.words is None else b" ".join(self.words[first:end])
+
+
+def gram_hashes(values: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A hash of the n values from each place: sums from prefixes for bytes, products with odd factors for hashes of words."""
+    many = max(len(values) - n + 1, 0)
+    if values.dtype == np.uint8:
+        at = np.arange(many)
+        return Prefix(values, _BYTES).hash(at, at + n, seed)
+    out = np.zeros(many, np.uint64)
+    for k, factor in enumerate(mixed(np.arange(n, dtype=np.uint64), 200 + seed) | np.uint64(1)):
+        out += values[k : k + many] * factor
+    return mixed(out, seed)
 
 
 @dataclass
 class Anchors:
-    gram: np.ndarray  # hash of each anchor's gram
+    """Runs of windows first .. last with one anchor, whose gram has the hash gram."""
+
+    gram: np.ndarray
     doc: np.ndarray
-    first: np.ndarray  # windows first .. last have this anchor
+    first: np.ndarray
     last: np.ndarray
-    sums: Prefix
-
-
-def anchors(c: Chunk, window: int, gram: int) -> Anchors:
-    n, span = len(c.values), window - gram + 1
-    sums = Prefix(c.values, _TOKENS)
-    none = np.zeros(0, np.int64)
-    if n < window:
-        return Anchors(np.zeros(0, np.uint64), none, none, none, sums)
-    at = np.arange(n - gram + 1)
-    value = sums.hash(at, at + gram, 3)
-    low, place, reach = value, at.astype(np.int32), 1
+
+
+_PLACE = np.uint64((1 << 26) - 1)
+
+
+def window_starts(c: Chunk, window: int) -> np.ndarray:
+    """First tokens of the windows that lie within one document."""
+    begin, count = c.bounds[:-1], np.maximum(np.diff(c.bounds) - window + 1, 0)
+    return np.arange(count.sum()) + np.repeat(begin - (count.cumsum() - count), count)
+
+
+def anchors(c: Chunk, window: int, gram: int, start: np.ndarray) -> Anchors:
+    """Of the windows that begin at start."""
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return Anchors(np.zeros(0, np.uint64), none, none, none)
+    value, span, reach = gram_hashes(c.values, gram, 3), window - gram + 1, 1
+    if len(value) > int(_PLACE):
+        raise ValueError("a document has more tokens than a chunk's places can tell")
+    low = (value & ~_PLACE) | np.arange(len(value), dtype=np.uint64)  # of equal hashes the leftmost counts
     while reach < span:
         step = min(reach, span - reach)
-        less = low[step:] < low[:-step]
-        low, place = np.where(less, low[step:], low[:-step]), np.where(less, place[step:], place[:-step])
+        low = np.minimum(low[step:], low[:-step])
         reach += step
-    # windows within one document
-    begin, lengths = c.bounds[:-1], np.diff(c.bounds)
-    count = np.maximum(lengths - window + 1, 0)
-    total = int(count.sum())
-    if not total:
-        return Anchors(np.zeros(0, np.uint64), none, none, none, sums)
-    start = np.arange(total) + np.repeat(begin - (count.cumsum() - count), count)
-    anchor = place[start]
-    new = np.ones(total, bool)
+    anchor = (low[start] & _PLACE).astype(np.int64)
+    new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
     lead = np.flatnonzero(new)
-    first, last = start[lead], start[np.append(lead[1:], total) - 1]
-    return Anchors(value[anchor[lead]], c.document(first), first, last, sums)
+    first, last = start[lead], start[np.append(lead[1:], len(start)) - 1]
+    return Anchors(value[anchor[lead]], c.document(first), first, last)
+
+
+# ---- asking and answering ----
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
     """The low width bytes of each number, all first bytes first: what is alike in neighbours then lies together."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return np.ascontiguousarray(x.astype("<u8" if x.dtype != np.int64 else "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unplanes(data: bytes, width: int) -> np.ndarray:
@@ -156,7 +187,7 @@ class Groups:
 
     def __init__(self, *keys: np.ndarray):
         n = len(keys[0])
-        self.order = np.lexsort((np.arange(n), *keys[::-1]))
+        self.order = np.lexsort(keys[::-1])  # stable
         self.new = np.ones(n, bool)
         if n:
             self.new[1:] = np.logical_or.reduce([k[self.order][1:] != k[self.order][:-1] for k in keys])
@@ -169,162 +200,292 @@ class Groups:
     def firsts(self) -> np.ndarray:
         return self.order[self.head]
 
+    def number(self) -> np.ndarray:
+        """The run of each, in the order given."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = self.run
+        return out
+
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def asks(chunk: int, ids: np.ndarray, shards: int, shard: np.ndarray, fields: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
-    """Rows of ASK; shard is in ascending order, and so are the first field's values within a shard, sent as gaps."""
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
-    rows = []
-    for k in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[k], cuts[k + 1]
-        parts = [planes(np.diff(fields[0][0][a:b], prepend=fields[0][0].dtype.type(0)), fields[0][1]), *[planes(x[a:b], w) for x, w in fields[1:]]]
-        rows.append((int(k), chunk, ids.astype("<i8").tobytes(), b"".join(parts)))
-    return pd.DataFrame(rows, columns=["shard", "chunk", "ids", "entries"])
+def ask_rows(chunk: int, shard: np.ndarray, entries: Callable[[int, int], bytes]) -> pa.Table:
+    """Rows of ASK for entries in ascending order of shard; entries(a, b) writes those from a to b - 1."""
+    many = np.bincount(shard, minlength=1) if len(shard) else np.zeros(0, int)
+    cuts = np.concatenate([[0], many.cumsum()])
+    some = np.flatnonzero(many)
+    return pa.table([pa.array(some, pa.int32()), pa.array(np.full(len(some), chunk), pa.int64()), pa.array([entries(int(cuts[k]), int(cuts[k + 1])) for k in some], pa.binary())], schema=ASK)
 
 
-def asked(row, widths: list[int]) -> list[np.ndarray]:
-    n, at, out = len(row.entries) // sum(widths), 0, []
-    for w in widths:
-        out.append(unplanes(row.entries[at : at + n * w], w))
-        at += n * w
-    out[0] = out[0].cumsum()
-    return out
+def gaps(x: np.ndarray, width: int) -> bytes:
+    """Ascending numbers below 256 ** width."""
+    return planes(np.diff(x.astype(np.uint64), prepend=np.uint64(0)), width)
 
 
-def _answers(shard: int, rows: list, hits: list[np.ndarray]) -> pd.DataFrame:
-    out = [(r.chunk, shard, h.astype("<u4").tobytes()) for r, h in zip(rows, hits) if len(h)]
-    return pd.DataFrame(out, columns=["chunk", "shard", "hits"])
+def answer_rows(level: int, asks: list[dict], hits: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(x, t) for x, t in zip(([a["chunk"] for a in asks], [level] * len(asks), [a["shard"] for a in asks], hits), ANSWER.types)], schema=ANSWER)
 
 
-# ---- windows: the last level of both operators ----
+def said(answers: dict, level: int, shard: np.ndarray, bits: int = 1) -> list[np.ndarray]:
+    """Answers of a level to entries in ascending order of shard, as so many arrays of booleans."""
+    many = np.bincount(shard, minlength=1) if len(shard) else np.zeros(0, int)
+    out = [np.zeros(len(shard), bool) for _ in range(bits)]
+    at = 0
+    for k in np.flatnonzero(many):
+        n = int(many[k])
+        flags = np.unpackbits(np.frombuffer(answers[level, int(k)], np.uint8), count=n * bits).astype(bool)
+        for b in range(bits):
+            out[b][at : at + n] = flags[b * n : (b + 1) * n]
+        at += n
+    return out
+
 
-WINDOW_WIDTHS = [4, 5, 2]  # key within the shard, check, document
+# ---- level 2: contexts ----
 
 
-def windows_of(c: Chunk, first: np.ndarray, last: np.ndarray, window: int, shards: int):
-    """Start, shard, key and check of the windows that start at first .. last, and the groups of equal ones."""
-    sums, count = Prefix(c.values, _TOKENS), last - first + 1
-    start = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count) + np.repeat(first, count)
-    h, check = sums.hash(start, start + window, 11), sums.hash(start, start + window, 12) & np.uint64((1 << 40) - 1)
-    shard, key = shard_of(h, shards), h & np.uint64(0xFFFFFFFF)
-    return start, shard, key, check, Groups(shard, key, check)
+@dataclass
+class Contexts:
+    """Contexts of a chunk, each different one once, in order of shard."""
 
+    shard: np.ndarray
+    key: np.ndarray
+    digest: np.ndarray  # two 64-bit halves of each
+    id: np.ndarray  # the smallest document that holds it here
+    lead: np.ndarray  # number of the anchor that does
+    number: np.ndarray  # of each anchor, its context
 
-def window_asks(c: Chunk, first: np.ndarray, last: np.ndarray, window: int, shards: int, chunk: int) -> pd.DataFrame:
-    """Asks for all these windows, each different one once, for its first document here."""
-    start, shard, key, check, g = windows_of(c, first, last, window, shards)
+
+def contexts_of(c: Chunk, a: Anchors, window: int, shards: int) -> Contexts:
+    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c.content(x, y)) for x, y in zip(a.first.tolist(), (a.last + window).tolist())), "<u8").reshape(-1, 2)
+    shard, key = shard_of(a.gram, shards), a.gram & np.uint64(0xFFFFFFFF)
+    g = Groups(shard, key, digest[:, 0], digest[:, 1])
     lead = g.firsts()
-    return asks(chunk, c.ids, shards, shard[lead], [(key[lead], 4), (check[lead], 5), (c.document(start[lead]), 2)])
-
-
-def window_answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which asked windows start in a smaller document of another chunk."""
-    rows = [*pdf.itertuples(index=False)]
-    parts = [asked(r, WINDOW_WIDTHS) for r in rows]
-    sizes = [len(p[0]) for p in parts]
-    key, check = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    doc = np.concatenate([np.frombuffer(r.ids, "<i8")[p[2].astype(np.int64)] for r, p in zip(rows, parts)])
-    g = Groups(key, check)
-    least = np.minimum.reduceat(doc[g.order], g.head)[g.run]
-    hit = np.zeros(len(doc), bool)
-    hit[g.order] = doc[g.order] > least
+    return Contexts(shard[lead], key[lead], digest[lead], c.ids[a.doc[lead]], lead, g.number())
+
+
+def context_asks(chunk: int, x: Contexts) -> pa.Table:
+    return ask_rows(chunk, x.shard, lambda i, j: gaps(x.key[i:j], 4) + x.digest[i:j].tobytes() + planes(x.id[i:j], 8))
+
+
+def context_answers(table: pa.Table) -> pa.Table:
+    """Two bits of each context: whether a smaller document holds it, and whether its gram has other contexts too."""
+    asks = table.to_pylist()
+    sizes = [len(a["entries"]) // 28 for a in asks]
+    key = np.concatenate([unplanes(a["entries"][: 4 * n], 4).cumsum() for a, n in zip(asks, sizes)])
+    digest = np.concatenate([np.frombuffer(a["entries"], "<u8", 2 * n, 4 * n) for a, n in zip(asks, sizes)]).reshape(-1, 2)
+    doc = np.concatenate([unplanes(a["entries"][20 * n :], 8).view(np.int64) for a, n in zip(asks, sizes)])
+    g = Groups(key, digest[:, 0], digest[:, 1])
+    run = g.number()
+    least = np.minimum.reduceat(doc[g.order], g.head)
+    leads = key[g.firsts()]  # ascending
+    many = np.searchsorted(leads, leads, side="right") - np.searchsorted(leads, leads, side="left")
+    later, several = doc > least[run], many[run] > 1
     cuts = np.cumsum([0, *sizes])
-    return _answers(int(rows[0].shard), rows, [np.flatnonzero(hit[i:j]) for i, j in zip(cuts, cuts[1:])])
+    return answer_rows(2, asks, [np.packbits(np.concatenate([later[i:j], several[i:j]])).tobytes() for i, j in zip(cuts, cuts[1:])])
 
 
-def covered(tokens: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which tokens lie in one of the ranges first .. end - 1."""
-    step = np.zeros(tokens + 1, np.int32)
-    np.add.at(step, first, 1)
-    np.add.at(step, end, -1)
-    return step[:-1].cumsum() > 0
+# ---- level 3: windows ----
 
 
-def removed_windows(c: Chunk, first: np.ndarray, last: np.ndarray, answers: dict[int, np.ndarray], window: int, shards: int) -> np.ndarray:
-    """Starts of the windows that are met in a smaller document, here or (answers) in another chunk."""
-    start, shard, _, _, g = windows_of(c, first, last, window, shards)
-    lead = g.firsts()
-    begin, met, doc = np.searchsorted(shard[lead], np.arange(shards)), np.zeros(len(g), bool), c.document(start)
-    for k, h in answers.items():
-        met[begin[k] + h] = True
-    gone = met[g.run] | (doc[g.order] > doc[lead][g.run])
-    return start[g.order][gone]
+def radix_groups(group: np.ndarray, digits: Callable[[int, np.ndarray], np.ndarray], depth: int) -> np.ndarray:
+    """Numbers that are equal for members of one group with the same digits; -1 where a member is the only one.
+
+    A radix sort, most significant digit first and no deeper than depth: each pass orders what still shares its group
+    with another by the next digit and splits groups by it. digits(k, members) gives the k-th digit.
+    """
+    group, live = group.copy(), np.arange(len(group))
+    for k in range(depth):
+        g = Groups(group[live], digits(k, live))
+        alone = np.diff(np.append(g.head, len(live))) == 1
+        run = g.number()
+        group[live] = np.where(alone[run], -1, run)
+        live = live[~alone[run]]
+        if not len(live):
+            break
+    return group
+
+
+def byte_digits(contents: list[bytes], window: int) -> tuple[np.ndarray, Callable, int]:
+    """Windows in each content, digits of eight bytes at a time, and their number."""
+    buffer = np.frombuffer(b"".join(contents) + bytes(8), np.uint8)
+    whole = np.zeros(len(buffer) - 7, np.uint64)
+    for k in range(8):
+        whole = (whole << np.uint64(8)) | buffer[k : k + len(whole)]
+    sizes = np.array([len(x) for x in contents])
+    count = sizes - window + 1
+    start = np.arange(count.sum()) + np.repeat(sizes.cumsum() - sizes - (count.cumsum() - count), count)
+
+    def digit(k: int, members: np.ndarray) -> np.ndarray:
+        return whole[start[members] + 8 * k] >> np.uint64(max(0, 8 * (8 * k + 8 - window)))
+
+    return count, digit, -(-window // 8)
+
+
+def word_digits(contents: list[bytes], window: int) -> tuple[np.ndarray, Callable, int]:
+    split, numbers = [x.split(b" ") for x in contents], {}
+    words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in chain.from_iterable(split)), np.int64, sum(map(len, split)))
+    sizes = np.array([len(x) for x in split])
+    count = sizes - window + 1
+    start = np.arange(count.sum()) + np.repeat(sizes.cumsum() - sizes - (count.cumsum() - count), count)
+    return count, lambda k, members: words[start[members] + k], window
+
+
+def window_asks(chunk: int, c: Chunk, a: Anchors, x: Contexts, which: np.ndarray, window: int) -> pa.Table:
+    """Contexts number which, with their real content."""
+    contents = [c.content(f, e) for f, e in zip(a.first[x.lead[which]].tolist(), (a.last[x.lead[which]] + window).tolist())]
+    sizes = np.array([len(t) for t in contents], np.int64)
+    return ask_rows(chunk, x.shard[which], lambda i, j: np.array([j - i], "<i8").tobytes() + gaps(x.key[which][i:j], 4) + planes(x.id[which][i:j], 8) + planes(sizes[i:j], 4) + b"".join(contents[i:j]))
+
+
+def window_answers(table: pa.Table, words: bool, window: int) -> pa.Table:
+    """One bit for each window of each content: whether it starts in a smaller document."""
+    asks = table.to_pylist()
+    keys, docs, contents = [], [], []
+    for a in asks:
+        e = a["entries"]
+        n = int.from_bytes(e[:8], "little")
+        keys.append(unplanes(e[8 : 8 + 4 * n], 4).cumsum())
+        docs.append(unplanes(e[8 + 4 * n : 8 + 12 * n], 8).view(np.int64))
+        ends = np.cumsum([8 + 16 * n, *unplanes(e[8 + 12 * n : 8 + 16 * n], 4).astype(np.int64)]).tolist()
+        contents.append([e[i:j] for i, j in zip(ends, ends[1:])])
+    count, digit, depth = (word_digits if words else byte_digits)([*chain.from_iterable(contents)], window)
+    group = radix_groups(np.repeat(np.concatenate(keys), count).astype(np.int64), digit, depth)
+    doc = np.repeat(np.concatenate(docs), count)
+    hit, pairs = np.zeros(len(group), bool), np.flatnonzero(group >= 0)
+    if len(pairs):
+        least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group[pairs], doc[pairs])
+        hit[pairs] = doc[pairs] > least[group[pairs]]
+    ends, cuts = np.concatenate([[0], count.cumsum()]), np.cumsum([0, *map(len, contents)])
+    return answer_rows(3, asks, [np.packbits(hit[ends[i] : ends[j]]).tobytes() for i, j in zip(cuts, cuts[1:])])
+
+
+def covered(tokens: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which tokens lie in one of the ranges first .. end - 1."""
+    step = np.bincount(first, minlength=tokens + 1) - np.bincount(end, minlength=tokens + 1)
+    return step[:tokens].cumsum() > 0
 
 
 # ---- the frame ----
 
-def _removal(docs: DataFrame, id_col: str, text_col: str, words: bool, window: int, gram: int, ask: Callable, answer: Callable, choose: Callable, out: Callable, schema: str) -> DataFrame:
-    """ask(anchors, chunk) and answer(rows of a shard) are the first level, choose(anchors, answers) what it says:
 
-    the anchors all of whose windows are met before, and those whose windows are to be asked one by one.
-    """
-    spark = docs.sparkSession
-    shards = shuffle_width(spark)
-    held = chunks(docs, id_col, text_col)
+@dataclass
+class Filter:
+    """Level 1: what a chunk asks, what a shard answers, and the windows that pass with their anchors."""
 
-    def first_asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                c = Chunk.of(row, words)
-                yield ask(anchors(c, window, gram), c, int(row.chunk), shards)
+    ask: Callable[[int, Chunk], pa.Table]
+    answer: Callable[[pa.Table], pa.Table]
+    passed: Callable[[Chunk, dict], Anchors]
 
-    first = held.mapInPandas(first_asks, ASK).groupBy("shard").applyInPandas(lambda pdf: answer(pdf), ANSWER)
 
-    result = [x.split(" ")[0] for x in schema.split(", ")]
-    state = ["chunk", "kind", "shard", "ids", "entries"]
+def _removal(docs: DataFrame, held: DataFrame, first: Filter, words: bool, window: int, shards: int, out: Callable, schema: pa.Schema) -> DataFrame:
+    def asks1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                yield from first.ask(row["chunk"], Chunk.of(row, words)).combine_chunks().to_batches()
 
-    def second_asks(key, mine: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        row = next(mine.itertuples(index=False))
+    def opened(chunk: pa.Table, answered: pa.Table):
+        row, answers = chunk.to_pylist()[0], {(r["level"], r["shard"]): r["hits"] for r in answered.to_pylist()}
         c = Chunk.of(row, words)
-        a = anchors(c, window, gram)
-        met, open_ = choose(a, {int(r.shard): np.frombuffer(r.hits, "<u4") for r in hits.itertuples(index=False)}, shards)
-        gone = covered(len(c.values), a.first[met], a.last[met] + window)
-        # documents without an open window are settled; the others go on, in a smaller chunk of their own
-        waits = np.zeros(len(c.ids), bool)
-        waits[np.searchsorted(c.bounds, a.first[open_], side="right") - 1] = True
-        done = out(c, gone, np.flatnonzero(~waits))
-        if not waits.any():
-            return done.assign(chunk=row.chunk, kind="done").reindex(columns=[*state, *result])
-        parts = [c.data[c.ends[i] : c.ends[i + 1]] for i in np.flatnonzero(waits)]
-        sizes = np.array([len(p) for p in parts], "<i8")
-        counts = np.diff(c.bounds) * waits
-        shift = c.bounds[:-1] - (counts.cumsum() - counts)  # of each waiting document's tokens
-        moved = shift[np.searchsorted(c.bounds, a.first[open_], side="right") - 1]
-        first_, last_ = a.first[open_] - moved, a.last[open_] - moved
-        kept = np.repeat(waits, np.diff(c.bounds))
-        less = Chunk(c.ids[waits], b"", np.zeros(0), c.values[kept], np.concatenate([[0], counts[waits].cumsum()]))
-        frame = window_asks(less, first_, last_, window, shards, int(row.chunk))
-        placed = np.concatenate([first_, last_]).astype("<u4").tobytes()
-        rows = [(row.chunk, "blob", -1, c.ids[waits].astype("<i8").tobytes() + sizes.tobytes(), zstandard.ZstdCompressor(level=6).compress(b"".join(parts)))]
-        rows += [(row.chunk, "gone", -1, None, zstandard.ZstdCompressor(level=3).compress(np.packbits(gone[kept]).tobytes())), (row.chunk, "placed", -1, None, placed)]
-        rows += [(row.chunk, "ask", r.shard, r.ids, r.entries) for r in frame.itertuples(index=False)]
-        return pd.concat([done.assign(chunk=row.chunk, kind="done"), pd.DataFrame(rows, columns=state)]).reindex(columns=[*state, *result])
-
-    second = stored(held.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInPandas(second_asks, f"chunk long, kind string, shard int, ids binary, entries binary, {schema}"), "asks")
-    hits = second.where("kind = 'ask'").select("shard", "chunk", "ids", "entries").groupBy("shard").applyInPandas(window_answers, ANSWER)
-    rest = second.where("kind IN ('blob', 'gone', 'placed')").select("chunk", "kind", "ids", "entries")
-    hits = hits.select("chunk", "shard", "hits")
-
-    def finish(key, mine: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
-        data = {r.kind: r for r in mine.itertuples(index=False)}
-        numbers = np.frombuffer(data["blob"].ids, "<i8")
-        c = Chunk.of(CHUNK_ROW(numbers[: len(numbers) // 2].tobytes(), numbers[len(numbers) // 2 :].tobytes(), data["blob"].entries), words)
-        answers = {int(r.shard): np.frombuffer(r.hits, "<u4").astype(np.int64) for r in answered.itertuples(index=False)}
-        first_, last_ = np.frombuffer(data["placed"].entries, "<u4").astype(np.int64).reshape(2, -1)
-        starts = removed_windows(c, first_, last_, answers, window, shards)
-        before = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data["gone"].entries), np.uint8), count=len(c.values)).astype(bool)
-        return out(c, before | covered(len(c.values), starts, starts + window), np.arange(len(c.ids)))
-
-    late = rest.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(finish, schema)
-    return second.where("kind = 'done'").select(*result).unionByName(late)
+        return row["chunk"], c, first.passed(c, answers), answers
+
+    def settled(c: Chunk, a: Anchors, x: Contexts, answers: dict):
+        """Anchors all of whose windows are met before, and the contexts whose windows are to be asked one by one."""
+        later, several = said(answers, 2, x.shard, 2)
+        gone = later[x.number] | (c.ids[a.doc] > x.id[x.number])
+        return np.flatnonzero(gone), np.flatnonzero(several & ~later)
+
+    def asks2(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        number, c, a, _ = opened(chunk, answered)
+        return context_asks(number, contexts_of(c, a, window, shards))
+
+    def asks3(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        number, c, a, answers = opened(chunk, answered)
+        x = contexts_of(c, a, window, shards)
+        return window_asks(number, c, a, x, settled(c, a, x, answers)[1], window)
+
+    def finish(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        _, c, a, answers = opened(chunk, answered)
+        x = contexts_of(c, a, window, shards)
+        gone, which = settled(c, a, x, answers)
+        starts, ends = [a.first[gone]], [a.last[gone] + window]
+        # one bit a window of each asked context, in the order asked
+        many = (a.last - a.first + 1)[x.lead[which]]
+        bits = said(answers, 3, np.repeat(x.shard[which], many))[0]
+        base = np.full(len(x.lead), -1)
+        base[which] = many.cumsum() - many
+        own = np.flatnonzero((base[x.number] >= 0) & (c.ids[a.doc] == x.id[x.number]))  # every anchor with such a context in its smallest document
+        n = (a.last - a.first + 1)[own]
+        inner = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+        hit = bits[np.repeat(base[x.number[own]], n) + inner]
+        begin = (np.repeat(a.first[own], n) + inner)[hit]
+        cover = covered(len(c.values), np.concatenate([*starts, begin]), np.concatenate([*ends, begin + window]))
+        return pa.table([pa.array(v, t) for v, t in zip(out(c, cover), schema.types)], schema=schema)
+
+    chunked = held.drop("tokens").groupBy("chunk")
+    given = lambda asks, answer: stored(asks.groupBy("shard").applyInArrow(answer, ddl(ANSWER)), "answers")
+    one = given(held.drop("tokens").mapInArrow(asks1, ddl(ASK)), first.answer)
+    two = one.unionByName(given(chunked.cogroup(one.groupBy("chunk")).applyInArrow(asks2, ddl(ASK)), context_answers))
+    three = two.unionByName(given(chunked.cogroup(two.groupBy("chunk")).applyInArrow(asks3, ddl(ASK)), lambda t: window_answers(t, words, window)))
+    return chunked.cogroup(three.groupBy("chunk")).applyInArrow(finish, ddl(schema))
+
+
+def _tokens(held: DataFrame) -> int:
+    return held.agg(F.sum("tokens")).first()[0] or 0
+
+
+def _id_column(c: Chunk) -> list:
+    return [None if null else i for i, null in zip(c.ids.tolist(), c.nulls.tolist())]
 
 
 # ---- words, by count-min sketches ----
 
 SKETCH_ROWS = 2
+#: Cells of a row of the sketch, for each window; cells of a segment; words of a shard.
+CELLS_PER_WINDOW, SEGMENT, WORDS_PER_SHARD = 4, 1 << 22, 2_000_000
+
+
+def count_min(segments: int, width: int, windows_of: Callable[[Chunk], np.ndarray], passed: Callable[[Chunk, np.ndarray], Anchors]) -> Filter:
+    """A sketch of SKETCH_ROWS rows, each of segments x width cells, dealt to shards by segment.
+
+    A chunk sends the cells that its windows touch and whether once or more; shards add up the chunks' partial sketches
+    in arrays of fixed width and say which cells hold two or more. A window's estimate is the least of its cells.
+    """
+
+    def touched(c: Chunk, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different cells in order, the cell of each window, and how often each is touched."""
+        h = mixed(windows_of(c), 300 + row)
+        return np.unique(h % np.uint64(segments * width), return_inverse=True, return_counts=True)
+
+    def ask(chunk: int, c: Chunk) -> pa.Table:
+        tables = []
+        for row in range(SKETCH_ROWS):
+            cell, _, count = touched(c, row)
+            shard, place, often = (cell // np.uint64(width)).astype(np.int64) + row * segments, cell % np.uint64(width), np.minimum(count, 2) > 1
+            tables.append(ask_rows(chunk, shard, lambda i, j: np.array([j - i], "<i8").tobytes() + gaps(place[i:j], 4) + np.packbits(often[i:j]).tobytes()))
+        return pa.concat_tables(tables)
+
+    def answer(table: pa.Table) -> pa.Table:
+        asks, sketch, cells = table.to_pylist(), np.zeros(width, np.uint8), []
+        for a in asks:
+            n = int.from_bytes(a["entries"][:8], "little")
+            cell = unplanes(a["entries"][8 : 8 + 4 * n], 4).cumsum().astype(np.int64)
+            often = np.unpackbits(np.frombuffer(a["entries"], np.uint8, -1, 8 + 4 * n), count=n)
+            sketch[cell] = np.minimum(sketch[cell] + 1 + often, 2)
+            cells.append(cell)
+        return answer_rows(1, asks, [np.packbits(sketch[cell] >= 2).tobytes() for cell in cells])
+
+    def estimated(c: Chunk, answers: dict) -> Anchors:
+        repeated = True
+        for row in range(SKETCH_ROWS):
+            cell, of, _ = touched(c, row)
+            repeated = repeated & said(answers, 1, (cell // np.uint64(width)).astype(np.int64) + row * segments)[0][of.ravel()]
+        return passed(c, np.asarray(repeated, bool))
+
+    return Filter(ask, answer, estimated)
 
 
 def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 6, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -334,83 +495,81 @@ def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 6, id_c
     blank). Words lie between ASCII white space and are taken as they are; null texts have none. A document
     shorter than the window loses nothing, nor does a window that repeats within its own document only.
 
-    First pass: every chunk counts its anchors in a count-min sketch of SKETCH_ROWS rows, whose width is 2**32
-    cells for each shard; only cells that are touched are sent. Shards merge the sketches, counting documents, and
-    say which cells hold two or more. The estimate of an anchor is the least of its cells; as cells only ever add,
-    no repeated window is lost. Second pass: windows estimated repeated, and no others, are grouped exactly.
+    First pass: a count-min sketch of all windows, CELLS_PER_WINDOW times as wide as there are words, merged from the
+    chunks' partial sketches. As cells only ever add, estimates are never too small and no repeated window is lost.
+    Second pass: windows estimated repeated, and no others, are grouped exactly: runs of them by equal contexts, then
+    the windows of contexts that share an anchor by their real words.
 
-    Rows that repeat an id count as one document. An empty table gives no rows.
+    Rows that repeat an id count as one document, and so do rows without an id, as the smallest. Columns beside the named
+    ones are ignored, whatever their names. An empty table gives no rows.
     """
-
-    def cells(gram_hash: np.ndarray, row: int) -> np.ndarray:
-        return mixed(gram_hash, 21 + row)
-
-    def ask(a: Anchors, c: Chunk, chunk: int, shards: int) -> pd.DataFrame:
-        frames = []
-        for r in range(SKETCH_ROWS):
-            h, counts = touched(a, r, shards)
-            f = asks(chunk, np.zeros(0, np.int64), shards, h[0], [(h[1], 4), (counts, 1)])
-            frames.append(f.assign(entries=[bytes([r]) + e for e in f["entries"]]))
-        return pd.concat(frames)
-
-    def touched(a: Anchors, r: int, shards: int):
-        """Shard and cell of each touched cell in order, and the documents that touch it, 2 for more."""
-        h = cells(a.gram, r)
-        shard, cell = shard_of(h, shards), h & np.uint64(0xFFFFFFFF)
-        g = Groups(shard, cell, a.doc)
-        lead = g.firsts()
-        k = Groups(shard[lead], cell[lead])
-        return (shard[lead][k.firsts()], cell[lead][k.firsts()]), np.minimum(np.diff(np.append(k.head, len(lead))), 2)
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in range(SKETCH_ROWS):
-            rows = [x for x in pdf.itertuples(index=False) if x.entries[0] == r]
-            if not rows:
-                continue
-            parts = [asked(x._replace(entries=x.entries[1:]), [4, 1]) for x in rows]
-            cell, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            g = Groups(cell)
-            total = np.add.reduceat(count[g.order], g.head)[g.run]
-            full = np.zeros(len(cell), bool)
-            full[g.order] = total >= 2
-            cuts = np.cumsum([0, *[len(p[0]) for p in parts]])
-            f = _answers(int(rows[0].shard), rows, [np.flatnonzero(full[i:j]) for i, j in zip(cuts, cuts[1:])])
-            out.append(f.assign(shard=f["shard"] * SKETCH_ROWS + r))
-        return pd.concat(out)
-
-    def choose(a: Anchors, answers: dict[int, np.ndarray], shards: int):
-        repeated = np.ones(len(a.gram), bool)
-        for r in range(SKETCH_ROWS):
-            (shard, cell), _ = touched(a, r, shards)
-            full = np.zeros(len(cell), bool)
-            begin = np.searchsorted(shard, np.arange(shards))
-            for k, h in answers.items():
-                if k % SKETCH_ROWS == r:
-                    full[begin[k // SKETCH_ROWS] + h.astype(np.int64)] = True
-            h = cells(a.gram, r)
-            g = Groups(shard_of(h, shards), h & np.uint64(0xFFFFFFFF))
-            mine = np.zeros(len(h), bool)
-            mine[g.order] = full[g.run]
-            repeated &= mine
-        return np.zeros(0, np.int64), np.flatnonzero(repeated)
-
-    def out(c: Chunk, gone: np.ndarray, which: np.ndarray) -> pd.DataFrame:
-        rows = []
-        for i, doc in zip(which.tolist(), c.ids[which].tolist()):
-            text, mask = c.data[c.ends[i] : c.ends[i + 1]].split(), gone[c.bounds[i] : c.bounds[i + 1]]
-            n = int(mask.sum())
-            kept = b" ".join(compress(text, ~mask) if n else text)
-            rows.append((doc, len(text), n, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] if with_text else [])))
-        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in schema.split(", ")])
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return _removal(docs, id_col, text_col, True, window, gram, ask, answer, choose, out, schema)
+    held = chunks(docs, id_col, text_col, True)
+    words = _tokens(held)
+    # per shard, so many windows of a row fall into one segment
+    segments = max(1, -(-words * CELLS_PER_WINDOW // SEGMENT))
+    shards = max(shuffle_width(docs.sparkSession), -(-words // WORDS_PER_SHARD))
+
+    def windows(c: Chunk) -> np.ndarray:
+        return gram_hashes(c.values, window, 7)[window_starts(c, window)] if len(c.values) >= window else np.zeros(0, np.uint64)
+
+    def passed(c: Chunk, repeated: np.ndarray) -> Anchors:
+        return anchors(c, window, gram, window_starts(c, window)[repeated])
+
+    def out(c: Chunk, gone: np.ndarray) -> list[list]:
+        n_words, removed, digests, kept = [], [], [], []
+        for i, j in zip(c.bounds.tolist(), c.bounds[1:].tolist()):
+            words, mask = c.words[i:j], gone[i:j]
+            n = int(np.count_nonzero(mask))
+            text = b" ".join(compress(words, (~mask).tolist()) if n else words)
+            n_words.append(j - i)
+            removed.append(n)
+            digests.append(hashlib.sha256(text).hexdigest())
+            if with_text:
+                kept.append(text.decode("utf-8", "replace"))
+        return [_id_column(c), n_words, removed, digests, *([kept] if with_text else [])]
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if with_text else [])])
+    return _removal(docs, held, count_min(segments, SEGMENT, windows, passed), True, window, shards, out, schema)
 
 
 # ---- bytes, by radix passes ----
 
-CONTEXT_WIDTHS = [4, 5, 2]  # digit within the shard, context, document
+BYTES_PER_SHARD = 12_000_000
+
+
+def first_digit(shards: int, anchors_of: Callable[[Chunk], Anchors]) -> Filter:
+    """The first pass deals suffixes at anchors by their first digit, the gram, as 32 bits of its hash within the shard.
+
+    Digits that come once in all are done; two grams with one hash only let more through.
+    """
+
+    def digits(a: Anchors):
+        key = (shard_of(a.gram, shards).astype(np.uint64) << np.uint64(32)) | (a.gram & np.uint64(0xFFFFFFFF))
+        return np.unique(key, return_inverse=True, return_counts=True)
+
+    def ask(chunk: int, c: Chunk) -> pa.Table:
+        key, _, count = digits(anchors_of(c))
+        low, often = key & np.uint64(0xFFFFFFFF), count > 1
+        return ask_rows(chunk, (key >> np.uint64(32)).astype(np.int64), lambda i, j: np.array([j - i], "<i8").tobytes() + gaps(low[i:j], 4) + np.packbits(often[i:j]).tobytes())
+
+    def answer(table: pa.Table) -> pa.Table:
+        asks, keys, often = table.to_pylist(), [], []
+        for a in asks:
+            n = int.from_bytes(a["entries"][:8], "little")
+            keys.append(unplanes(a["entries"][8 : 8 + 4 * n], 4).cumsum())
+            often.append(np.unpackbits(np.frombuffer(a["entries"], np.uint8, -1, 8 + 4 * n), count=n))
+        _, of, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        several = (count[of] > 1) | (np.concatenate(often) > 0)
+        cuts = np.cumsum([0, *map(len, keys)])
+        return answer_rows(1, asks, [np.packbits(several[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])])
+
+    def passed(c: Chunk, answers: dict) -> Anchors:
+        a = anchors_of(c)
+        key, of, _ = digits(a)
+        several = said(answers, 1, (key >> np.uint64(32)).astype(np.int64))[0][of.ravel()]
+        return Anchors(a.gram[several], a.doc[several], a.first[several], a.last[several])
+
+    return Filter(ask, answer, passed)
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -419,64 +578,31 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, id_
     Columns: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with with_text, kept
     (the bytes left, which need not be whole characters). Null texts are empty; strings never cross documents.
 
-    A radix sort of suffixes, most significant digit first and no deeper than the window. The suffixes sorted are
-    those at anchors. The first digit, an anchor's gram, deals them to shards and then to groups; a group with one
-    context is settled at once. The second digit is the anchor's context, all bytes its windows cover: within a
-    group, all but the smallest document of equal contexts are settled as repeated. What stays open, first holders
-    of a context whose gram has other contexts too, goes on to the last digit, the windows themselves, whose equal
-    groups are exactly the repeated windows.
+    A radix sort of suffixes, most significant digit first and no deeper than the window. The first digit is the gram
+    at a suffix's anchor: suffixes whose digit nobody shares are done. The next is the context, all bytes that the anchor's
+    windows cover: all but the smallest document of equal contexts are settled as repeated. What shares a gram
+    but not the context goes on as real bytes, of which every suffix is sorted by digits of eight bytes, pass by
+    pass, through the window's last byte and no deeper; the groups left are exactly the repeated strings.
 
-    Rows that repeat an id count as one document. An empty table gives no rows.
+    Rows that repeat an id count as one document, and so do rows without an id, as the smallest. Columns beside the named
+    ones are ignored, whatever their names. An empty table gives no rows.
     """
-
-    def grouped(a: Anchors, shards: int):
-        """Shard, digit and context of each anchor, and the groups of equal ones."""
-        shard, digit, context = shard_of(a.gram, shards), a.gram & np.uint64(0xFFFFFFFF), a.sums.hash(a.first, a.last + window, 31) & np.uint64((1 << 40) - 1)
-        return shard, digit, context, Groups(shard, digit, context)
-
-    def ask(a: Anchors, c: Chunk, chunk: int, shards: int) -> pd.DataFrame:
-        shard, digit, context, g = grouped(a, shards)
-        lead = g.firsts()
-        return asks(chunk, c.ids, shards, shard[lead], [(digit[lead], 4), (context[lead], 5), (a.doc[lead], 2)])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [*pdf.itertuples(index=False)]
-        parts = [asked(r, CONTEXT_WIDTHS) for r in rows]
-        digit, context = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        doc = np.concatenate([np.frombuffer(r.ids, "<i8")[p[2].astype(np.int64)] for r, p in zip(rows, parts)])
-        g = Groups(digit, context)
-        least = np.minimum.reduceat(doc[g.order], g.head)[g.run]
-        said = np.zeros(len(doc), np.uint8)
-        # digits with several contexts
-        d = digit[g.order]
-        run = np.cumsum(np.concatenate([[True], d[1:] != d[:-1]])) - 1
-        said[g.order[np.bincount(run, weights=g.new)[run] > 1]] = 2
-        said[g.order[doc[g.order] > least]] = 1
-        cuts = np.cumsum([0, *[len(p[0]) for p in parts]])
-        return _answers(int(rows[0].shard), rows, [(np.flatnonzero(said[i:j]) * 2 + said[i:j][said[i:j] > 0] - 1) for i, j in zip(cuts, cuts[1:])])
-
-    def choose(a: Anchors, answers: dict[int, np.ndarray], shards: int):
-        shard, _, _, g = grouped(a, shards)
-        said = np.zeros(len(g), np.uint8)
-        begin = np.searchsorted(shard[g.firsts()], np.arange(shards))
-        for k, h in answers.items():
-            h = h.astype(np.int64)
-            said[begin[k] + h // 2] = h % 2 + 1
-        mine = np.zeros(len(a.gram), np.uint8)
-        mine[g.order] = said[g.run]
-        later = np.zeros(len(a.gram), bool)
-        later[g.order] = a.doc[g.order] > a.doc[g.firsts()][g.run]
-        return np.flatnonzero((mine == 1) | later), np.flatnonzero((mine == 2) & ~later)
-
-    def out(c: Chunk, gone: np.ndarray, which: np.ndarray) -> pd.DataFrame:
-        buffer, rows = np.frombuffer(c.data, np.uint8), []
-        for i, doc in zip(which.tolist(), c.ids[which].tolist()):
-            mask, part = gone[c.ends[i] : c.ends[i + 1]], buffer[c.ends[i] : c.ends[i + 1]]
-            n = int(mask.sum())
-            kept = (part[~mask] if n else part).tobytes()
-            spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if n else 0
-            rows.append((doc, len(part), n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in schema.split(", ")])
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return _removal(docs, id_col, text_col, False, window, gram, ask, answer, choose, out, schema)
+    held = chunks(docs, id_col, text_col, False)
+    shards = max(shuffle_width(docs.sparkSession), -(-_tokens(held) // BYTES_PER_SHARD))
+
+    def out(c: Chunk, gone: np.ndarray) -> list[list]:
+        buffer, sizes, removed, spans, digests, kept = np.frombuffer(c.data, np.uint8), [], [], [], [], []
+        for i, j in zip(c.ends.tolist(), c.ends[1:].tolist()):
+            mask, part = gone[i:j], buffer[i:j]
+            n = int(np.count_nonzero(mask))
+            left = (part[~mask] if n else part).tobytes()
+            sizes.append(j - i)
+            removed.append(n)
+            spans.append(int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if n else 0)
+            digests.append(hashlib.sha256(left).hexdigest())
+            if with_text:
+                kept.append(left)
+        return [_id_column(c), sizes, removed, spans, digests, *([kept] if with_text else [])]
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_text else [])])
+    return _removal(docs, held, first_digit(shards, lambda c: anchors(c, window, gram, window_starts(c, window))), False, window, shards, out, schema)

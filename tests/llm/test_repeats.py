@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from arealis.llm import repeats
@@ -86,3 +88,52 @@ def test_other_windows_and_empty_tables(spark):
     assert sorted(tuple(r) for r in remove_repeated_words(docs, window=4, gram=2).collect()) == brute_words(rows, 4)
     assert sorted(tuple(r) for r in remove_repeated_bytes(docs, window=9, gram=9).collect()) == brute_bytes(rows, 9)
     assert remove_repeated_words(docs.where("doc_id < 0")).count() == 0 == remove_repeated_bytes(docs.where("doc_id < 0")).count()
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_equal_polynomial_hashes_are_not_equal_words(spark):
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    line = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{line} {x}"), (2, f"{line} {y}"), (3, x), (4, y), (5, f"{line} {x}")]
+    docs = spark.createDataFrame([(i, t, 1, "") for i, t in rows], SCHEMA)
+    assert sorted(tuple(r) for r in remove_repeated_words(docs).collect()) == brute_words(rows, 13)
+    assert sorted(tuple(r) for r in remove_repeated_bytes(docs).collect()) == brute_bytes(rows, 50)
+
+
+def test_rows_without_an_id_are_the_smallest_document(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(None, text, 1, ""), (None, text, 1, ""), (big, text, 1, ""), (7, "b " + text, 1, "")], SCHEMA)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in remove_repeated_words(docs).collect()) == [(0, 0), (0, 0), (7, 30), (big, 30)]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in remove_repeated_bytes(docs).collect()) == [(0, 0), (0, 0), (7, len(text)), (big, len(text))]
+
+
+def test_small_sketches_and_many_shards_lose_nothing(spark, monkeypatch):
+    rows = corpus(11, "abc")
+    docs = spark.createDataFrame([(i, t, 1, "") for i, t in rows], SCHEMA).repartition(4)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 2500)
+    for cells, segment, per in ((1, 64, 500), (4, 1 << 10, 100_000)):
+        monkeypatch.setattr(repeats, "CELLS_PER_WINDOW", cells)
+        monkeypatch.setattr(repeats, "SEGMENT", segment)
+        monkeypatch.setattr(repeats, "WORDS_PER_SHARD", per)
+        monkeypatch.setattr(repeats, "BYTES_PER_SHARD", per)
+        assert sorted(tuple(r) for r in remove_repeated_words(docs).collect()) == brute_words(rows, 13)
+        assert sorted(tuple(r) for r in remove_repeated_bytes(docs).collect()) == brute_bytes(rows, 50)
+
+
+def test_radix_groups_match_plain_comparison():
+    rng = random.Random(4)
+    parts = ["".join(rng.choices("ab", k=rng.randint(9, 30))).encode() for _ in range(60)]
+    for digits, parts_, window in ((repeats.byte_digits, parts, 9), (repeats.word_digits, [b" ".join(bytes([c]) for c in p) for p in parts], 5)):
+        count, digit, depth = digits(parts_, window)
+        group = repeats.radix_groups(np.zeros(count.sum(), np.int64), digit, depth)
+        tokens = [p if digits is repeats.byte_digits else tuple(p.split()) for p in parts_]
+        plain = [t[i : i + window] for t in tokens for i in range(len(t) - window + 1)]
+        many = Counter(plain)
+        assert [g >= 0 for g in group] == [many[w] > 1 for w in plain]
+        pairs = {(w, g) for w, g in zip(plain, group.tolist()) if g >= 0}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({g for _, g in pairs})
