@@ -78,4 +78,24 @@ SQL = {
         FROM (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
               FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
     """,
+    "op4_repeated_words": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+        gone AS (SELECT doc_id, s FROM x JOIN (SELECT k, min(doc_id) AS least FROM x GROUP BY k) USING (k) WHERE least < doc_id),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        q AS (SELECT p.doc_id, p, word, coalesce(max(gone.s) OVER (PARTITION BY p.doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) >= p - 12, false) AS g
+              FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.s = p.p),
+        r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (g) AS m, string_agg(word, ' ' ORDER BY p) FILTER (NOT g) AS kept FROM q GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN r USING (doc_id)
+    """,
+    "op5_repeated_bytes": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        p AS (SELECT doc_id, octet_length(b) AS n, unnest(range(1, octet_length(b) + 1)) AS p, b FROM d),
+        x AS (SELECT doc_id, p, b[p:p] AS c, CASE WHEN p <= n - 49 THEN b[p:p + 49] END AS k FROM p),
+        l AS (SELECT k, min(doc_id) AS least FROM x WHERE k IS NOT NULL GROUP BY k),
+        g AS (SELECT doc_id, p, c, coalesce(max(CASE WHEN least < doc_id THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) >= p - 49, false) AS g FROM x LEFT JOIN l USING (k)),
+        e AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY p), false) AS edge FROM g),
+        r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (g) AS m, count(*) FILTER (edge) AS spans, string_agg(hex(c), '' ORDER BY p) FILTER (NOT g) AS kept FROM e GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(m, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN r USING (doc_id)
+    """,
 }
