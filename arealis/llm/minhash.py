@@ -11,18 +11,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, connected, mixed, stored, text_slices
+from .shared import connected, mixed, stored, text_slices, word_hashes, word_spans
 
 #: Bytes of text that are turned into arrays at a time.
 SLICE = 1_500_000
-_words = WordHashes()
 
 
 def _factors(n: int) -> np.ndarray:
@@ -32,9 +31,9 @@ def _factors(n: int) -> np.ndarray:
 
 def shingle_vectors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, count), sorted by text and hash. A text of fewer words has one shingle, of all its words."""
-    split = [t.split() for t in texts]
-    n = np.array([len(w) for w in split], np.int64)
-    words = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.uint64, int(n.sum()))
+    buffer, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    start, stop = word_spans(buffer, ends)
+    words, n = word_hashes(buffer, start, stop), np.diff(np.searchsorted(start, ends))
     last = n.cumsum()
     per_text = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     owner = np.repeat(np.arange(len(texts)), per_text)

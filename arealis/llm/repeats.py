@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Powers, Prefix, WordHashes, as_bytes, mixed, scratch_path, shuffle_width, stored
+from .shared import Powers, Prefix, as_bytes, mixed, scratch_path, shuffle_width, stored, word_hashes, word_spans
 
 CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 60_000
 #: The identifier that stands for null: the smallest one.
@@ -41,7 +41,7 @@ NO_ID = -(1 << 63)
 CHUNK = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("sizes", pa.binary()), ("blob", pa.binary()), ("tokens", pa.int64())])
 ASK = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("entries", pa.binary())])
 ANSWER = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("shard", pa.int32()), ("hits", pa.binary())])
-_BYTES, _words = Powers(0x9E3779B97F4A7C15), WordHashes()
+_BYTES = Powers(0x9E3779B97F4A7C15)
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -94,25 +94,28 @@ class Chunk:
     nulls: np.ndarray
     data: bytes
     ends: np.ndarray  # in bytes
-    words: list[bytes] | None
     values: np.ndarray  # a hash of each word, or the bytes
     bounds: np.ndarray  # document i holds tokens bounds[i] to bounds[i + 1]
+    spans: tuple[np.ndarray, np.ndarray] | None  # first and last-but-one byte of each word
 
     @staticmethod
     def of(row: dict, words: bool) -> Chunk:
         ids, sizes, nulls = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["nulls"], bool)
         data, ends = zstandard.ZstdDecompressor().decompress(row["blob"]), np.concatenate([[0], sizes.cumsum()])
+        buffer = np.frombuffer(data, np.uint8)
         if not words:
-            return Chunk(ids, nulls, data, ends, None, np.frombuffer(data, np.uint8), ends)
-        split = [data[a:b].split() for a, b in zip(ends.tolist(), ends[1:].tolist())]
-        every = [*chain.from_iterable(split)]
-        return Chunk(ids, nulls, data, ends, every, np.fromiter(map(_words.__getitem__, every), np.uint64, len(every)), np.cumsum([0, *map(len, split)]))
+            return Chunk(ids, nulls, data, ends, buffer, ends, None)
+        start, stop = word_spans(buffer, ends)
+        return Chunk(ids, nulls, data, ends, word_hashes(buffer, start, stop), np.searchsorted(start, ends), (start, stop))
 
     def document(self, token: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, token, side="right") - 1
 
-    def content(self, first: int, end: int) -> bytes:
-        return self.data[first:end] if self.words is None else b" ".join(self.words[first:end])
+    def contents(self, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Real tokens from first to end - 1: bytes, or words joined by one blank."""
+        if self.spans is None:
+            return [self.data[x:y] for x, y in zip(first.tolist(), end.tolist())]
+        return [b" ".join(self.data[x:y].split()) for x, y in zip(self.spans[0][first].tolist(), self.spans[1][end - 1].tolist())]
 
 
 def gram_hashes(values: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -258,7 +261,7 @@ class Contexts:
 
 
 def contexts_of(c: Chunk, a: Anchors, window: int, shards: int) -> Contexts:
-    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c.content(x, y)) for x, y in zip(a.first.tolist(), (a.last + window).tolist())), "<u8").reshape(-1, 2)
+    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, c.contents(a.first, a.last + window))), "<u8").reshape(-1, 2)
     shard, key = shard_of(a.gram, shards), a.gram & np.uint64(0xFFFFFFFF)
     g = Groups(shard, key, digest[:, 0], digest[:, 1])
     lead = g.firsts()
@@ -334,7 +337,7 @@ def word_digits(contents: list[bytes], window: int) -> tuple[np.ndarray, Callabl
 
 def window_asks(chunk: int, c: Chunk, a: Anchors, x: Contexts, which: np.ndarray, window: int) -> pa.Table:
     """Contexts number which, with their real content."""
-    contents = [c.content(f, e) for f, e in zip(a.first[x.lead[which]].tolist(), (a.last[x.lead[which]] + window).tolist())]
+    contents = c.contents(a.first[x.lead[which]], a.last[x.lead[which]] + window)
     sizes = np.array([len(t) for t in contents], np.int64)
     return ask_rows(chunk, x.shard[which], lambda i, j: np.array([j - i], "<i8").tobytes() + gaps(x.key[which][i:j], 4) + planes(x.id[which][i:j], 8) + planes(sizes[i:j], 4) + b"".join(contents[i:j]))
 
@@ -373,11 +376,12 @@ def covered(tokens: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """Level 1: what a chunk asks, what a shard answers, and the windows that pass with their anchors."""
+    """Level 1: what a chunk asks, what a shard answers, which windows or anchors pass, and the anchors of what passed."""
 
     ask: Callable[[int, Chunk], pa.Table]
     answer: Callable[[pa.Table], pa.Table]
-    passed: Callable[[Chunk, dict], Anchors]
+    passed: Callable[[Chunk, dict], np.ndarray]
+    anchors: Callable[[Chunk, np.ndarray], Anchors]
 
 
 def _removal(docs: DataFrame, held: DataFrame, first: Filter, words: bool, window: int, shards: int, out: Callable, schema: pa.Schema) -> DataFrame:
@@ -390,7 +394,8 @@ def _removal(docs: DataFrame, held: DataFrame, first: Filter, words: bool, windo
     def opened(chunk: pa.Table, answered: pa.Table):
         row, answers = chunk.to_pylist()[0], {(r["level"], r["shard"]): r["hits"] for r in answered.to_pylist()}
         c = Chunk.of(row, words)
-        return row["chunk"], c, first.passed(c, answers), answers
+        mask = first.passed(c, answers) if (0, -1) not in answers else np.unpackbits(np.frombuffer(answers[0, -1], np.uint8)).astype(bool)
+        return row["chunk"], c, mask, first.anchors(c, mask), answers
 
     def settled(c: Chunk, a: Anchors, x: Contexts, answers: dict):
         """Anchors all of whose windows are met before, and the contexts whose windows are to be asked one by one."""
@@ -399,16 +404,17 @@ def _removal(docs: DataFrame, held: DataFrame, first: Filter, words: bool, windo
         return np.flatnonzero(gone), np.flatnonzero(several & ~later)
 
     def asks2(chunk: pa.Table, answered: pa.Table) -> pa.Table:
-        number, c, a, _ = opened(chunk, answered)
-        return context_asks(number, contexts_of(c, a, window, shards))
+        number, c, mask, a, _ = opened(chunk, answered)
+        passed = pa.table([pa.array([x], t) for x, t in zip((-1, number, np.packbits(mask).tobytes()), ASK.types)], schema=ASK)
+        return pa.concat_tables([passed, context_asks(number, contexts_of(c, a, window, shards))])
 
     def asks3(chunk: pa.Table, answered: pa.Table) -> pa.Table:
-        number, c, a, answers = opened(chunk, answered)
+        number, c, _, a, answers = opened(chunk, answered)
         x = contexts_of(c, a, window, shards)
         return window_asks(number, c, a, x, settled(c, a, x, answers)[1], window)
 
     def finish(chunk: pa.Table, answered: pa.Table) -> pa.Table:
-        _, c, a, answers = opened(chunk, answered)
+        _, c, _, a, answers = opened(chunk, answered)
         x = contexts_of(c, a, window, shards)
         gone, which = settled(c, a, x, answers)
         starts, ends = [a.first[gone]], [a.last[gone] + window]
@@ -428,7 +434,9 @@ def _removal(docs: DataFrame, held: DataFrame, first: Filter, words: bool, windo
     chunked = held.drop("tokens").groupBy("chunk")
     given = lambda asks, answer: stored(asks.groupBy("shard").applyInArrow(answer, ddl(ANSWER)), "answers")
     one = given(held.drop("tokens").mapInArrow(asks1, ddl(ASK)), first.answer)
-    two = one.unionByName(given(chunked.cogroup(one.groupBy("chunk")).applyInArrow(asks2, ddl(ASK)), context_answers))
+    second = stored(chunked.cogroup(one.groupBy("chunk")).applyInArrow(asks2, ddl(ASK)), "asks")  # with what passed, as shard -1
+    passed = second.where("shard < 0").select("chunk", F.lit(0).alias("level"), "shard", F.col("entries").alias("hits"))
+    two = passed.unionByName(given(second.where("shard >= 0"), context_answers))
     three = two.unionByName(given(chunked.cogroup(two.groupBy("chunk")).applyInArrow(asks3, ddl(ASK)), lambda t: window_answers(t, words, window)))
     return chunked.cogroup(three.groupBy("chunk")).applyInArrow(finish, ddl(schema))
 
@@ -448,7 +456,7 @@ SKETCH_ROWS = 2
 CELLS_PER_WINDOW, SEGMENT, WORDS_PER_SHARD = 4, 1 << 22, 2_000_000
 
 
-def count_min(segments: int, width: int, windows_of: Callable[[Chunk], np.ndarray], passed: Callable[[Chunk, np.ndarray], Anchors]) -> Filter:
+def count_min(segments: int, width: int, windows_of: Callable[[Chunk], np.ndarray], anchors_of: Callable[[Chunk, np.ndarray], Anchors]) -> Filter:
     """A sketch of SKETCH_ROWS rows, each of segments x width cells, dealt to shards by segment.
 
     A chunk sends the cells that its windows touch and whether once or more; shards add up the chunks' partial sketches
@@ -478,14 +486,14 @@ def count_min(segments: int, width: int, windows_of: Callable[[Chunk], np.ndarra
             cells.append(cell)
         return answer_rows(1, asks, [np.packbits(sketch[cell] >= 2).tobytes() for cell in cells])
 
-    def estimated(c: Chunk, answers: dict) -> Anchors:
+    def passed(c: Chunk, answers: dict) -> np.ndarray:
         repeated = True
         for row in range(SKETCH_ROWS):
             cell, of, _ = touched(c, row)
             repeated = repeated & said(answers, 1, (cell // np.uint64(width)).astype(np.int64) + row * segments)[0][of.ravel()]
-        return passed(c, np.asarray(repeated, bool))
+        return np.asarray(repeated, bool)
 
-    return Filter(ask, answer, estimated)
+    return Filter(ask, answer, passed, anchors_of)
 
 
 def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 6, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -512,13 +520,14 @@ def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 6, id_c
     def windows(c: Chunk) -> np.ndarray:
         return gram_hashes(c.values, window, 7)[window_starts(c, window)] if len(c.values) >= window else np.zeros(0, np.uint64)
 
-    def passed(c: Chunk, repeated: np.ndarray) -> Anchors:
-        return anchors(c, window, gram, window_starts(c, window)[repeated])
+    def anchors_of(c: Chunk, repeated: np.ndarray) -> Anchors:
+        start = window_starts(c, window)
+        return anchors(c, window, gram, start[repeated[: len(start)]])
 
     def out(c: Chunk, gone: np.ndarray) -> list[list]:
         n_words, removed, digests, kept = [], [], [], []
-        for i, j in zip(c.bounds.tolist(), c.bounds[1:].tolist()):
-            words, mask = c.words[i:j], gone[i:j]
+        for i, j, x, y in zip(c.bounds.tolist(), c.bounds[1:].tolist(), c.ends.tolist(), c.ends[1:].tolist()):
+            words, mask = c.data[x:y].split(), gone[i:j]
             n = int(np.count_nonzero(mask))
             text = b" ".join(compress(words, (~mask).tolist()) if n else words)
             n_words.append(j - i)
@@ -529,7 +538,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 6, id_c
         return [_id_column(c), n_words, removed, digests, *([kept] if with_text else [])]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if with_text else [])])
-    return _removal(docs, held, count_min(segments, SEGMENT, windows, passed), True, window, shards, out, schema)
+    return _removal(docs, held, count_min(segments, SEGMENT, windows, anchors_of), True, window, shards, out, schema)
 
 
 # ---- bytes, by radix passes ----
@@ -563,13 +572,16 @@ def first_digit(shards: int, anchors_of: Callable[[Chunk], Anchors]) -> Filter:
         cuts = np.cumsum([0, *map(len, keys)])
         return answer_rows(1, asks, [np.packbits(several[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])])
 
-    def passed(c: Chunk, answers: dict) -> Anchors:
+    def passed(c: Chunk, answers: dict) -> np.ndarray:
+        key, of, _ = digits(anchors_of(c))
+        return said(answers, 1, (key >> np.uint64(32)).astype(np.int64))[0][of.ravel()]
+
+    def of_those(c: Chunk, several: np.ndarray) -> Anchors:
         a = anchors_of(c)
-        key, of, _ = digits(a)
-        several = said(answers, 1, (key >> np.uint64(32)).astype(np.int64))[0][of.ravel()]
+        several = several[: len(a.gram)]
         return Anchors(a.gram[several], a.doc[several], a.first[several], a.last[several])
 
-    return Filter(ask, answer, passed)
+    return Filter(ask, answer, passed, of_those)
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
