@@ -12,18 +12,21 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, stored
+from .shared import distinct_words, slices, stored, text_slices, word_spans
 
-#: Words that a worker remembers with their ids; a full memory is emptied, which costs time only.
-WORDS_KEPT = 1_400_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, slot long, bin long, nth long, ids binary"
+#: Words that a worker remembers with their ids. A full memory becomes the old one, whose words are remembered while
+#: they are met again; what is forgotten costs time only.
+WORDS_KEPT = 500_000
+KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("class", pa.int32())] + [(c, pa.int64()) for c in ("slot", "bin", "nth")] + [("ids", pa.binary())])
 
 
 def cut_table(capacity: int) -> list[list[int]]:
@@ -42,13 +45,18 @@ def cut_table(capacity: int) -> list[list[int]]:
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#%$*&()]*)")
 
 
+#: Ends of parts: blanks and line ends.
+SEPARATORS = np.zeros(256, bool)
+SEPARATORS[[10, 32]] = True
+
+
 class WordIds:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, from the ids of their words.
+    """Ids of whole texts as unsigned 32-bit numbers, from the ids of their words.
 
     The vocabulary's pre-tokeniser drops white space and looks at nothing beyond it, so the ids of a text are
-    those of its parts between blanks and line ends, one after another. Parts are encoded once while remembered.
-    A plain part is two pre-tokens, letters and signs, which are remembered apart; letters are encoded many at a
-    time, as the last id of a pre-token shows by its end of word.
+    those of its parts between blanks and line ends, one after another. Each different part of some texts is looked
+    up once, and encoded once while remembered. A plain part is one or two pre-tokens, letters and signs; such parts are
+    encoded many at a time, as the last id of a pre-token shows by its end of word.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -59,46 +67,49 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.letters, self.signs = {"": b""}, {}, {"": b""}
-
-    def encoded(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def learn(self, fresh: set[str]) -> None:
-        plain, other = {}, []
-        for part in fresh:
-            found = PLAIN.fullmatch(part)
-            if found:
-                plain[part] = found[1].lower(), found[2]
-            else:
-                other.append(part)
-        letters, signs = [*{a for a, _ in plain.values()} - self.letters.keys()], [*{b for _, b in plain.values()} - self.signs.keys()]
-        for i in range(0, len(letters), 1000):
-            some = letters[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) != len(some):  # a vocabulary without ends of words
-                self.letters.update(zip(some, self.encoded(some)))
-                continue
-            data = ids.tobytes()
-            self.letters.update((word, data[4 * x : 4 * y]) for word, x, y in zip(some, [0, *cuts], cuts))
-        self.signs.update(zip(signs, self.encoded(signs)))
-        self.known.update((part, self.letters[a] + self.signs[b]) for part, (a, b) in plain.items())
-        self.known.update(zip(other, self.encoded(other)))
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        for a, b in slices(map(len, texts), 500_000):
-            parts = [text.replace("\n", " ").split(" ") for text in texts[a:b]]
-            fresh = set().union(*parts) - self.known.keys()
-            if fresh and len(self.known) + len(self.letters) + len(fresh) > WORDS_KEPT:
-                self.forget()
-                fresh = set().union(*parts) - {""}
-            self.learn(fresh)
-            for of in parts:
-                yield b"".join(map(self.known.__getitem__, of))
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, fresh: list[bytes]) -> None:
+        parts = [w.decode("utf-8", "surrogatepass") for w in fresh]
+        plain = [bool(PLAIN.fullmatch(t)) for t in parts]
+        for i in range(0, len(fresh), 2000):
+            some = [*compress(range(i, min(i + 2000, len(fresh))), plain[i : i + 2000])]
+            ids = np.array(self.tokenizer.encode(" ".join(parts[k] for k in some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([1 if parts[k][-1].isalpha() else 2 for k in some], dtype=np.int64) - 1
+            if some and len(ends) == last[-1] + 1:
+                cuts, data = (4 * ends[last]).tolist(), ids.tobytes()
+                self.known.update((fresh[k], data[x:y]) for k, x, y in zip(some, [0, *cuts], cuts))
+            else:  # a vocabulary without ends of words
+                plain[i : i + 2000] = [False] * len(plain[i : i + 2000])
+        other = [k for k, p in enumerate(plain) if not p]
+        for i in range(0, len(other), 2000):
+            found = self.tokenizer.encode_batch([parts[k] for k in other[i : i + 2000]], add_special_tokens=False)
+            self.known.update((fresh[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(other[i : i + 2000], found))
+
+    def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for a, b in slices(map(len, texts), 3_000_000):
+            data, text_ends = b"".join(texts[a:b]), np.cumsum([0, *map(len, texts[a:b])])
+            buffer = np.frombuffer(data, np.uint8)
+            start, stop = word_spans(buffer, text_ends, SEPARATORS)
+            first, kind = distinct_words(buffer, start, stop)
+            words = [data[i:j] for i, j in zip(start[first].tolist(), stop[first].tolist())]
+            values = [*map(self.known.get, words)]
+            fresh = [w for w, v in zip(words, values) if v is None]
+            if fresh:
+                if len(self.known) + len(fresh) > WORDS_KEPT:
+                    self.old, self.known, fresh = self.known, {}, words
+                self.known.update((w, v) for w, v in zip(fresh, map(self.old.get, fresh)) if v is not None)
+                self.learn([w for w in fresh if w not in self.known])
+                values = [*map(self.known.__getitem__, words)]
+            sizes, pool = np.fromiter(map(len, values), np.int64, len(values)) // 4, np.frombuffer(b"".join(values), "<u4")
+            n = sizes[kind]
+            upto = np.concatenate([[0], n.cumsum()])
+            ids = pool[np.repeat((sizes.cumsum() - sizes)[kind] - upto[:-1], n) + np.arange(upto[-1])]
+            cuts = upto[np.searchsorted(start, text_ends)].tolist()
+            for x, y in zip(cuts, cuts[1:]):
+                yield ids[x:y]
 
 
 _coders: dict[str, WordIds] = {}
@@ -127,37 +138,42 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, bins, end = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         held: dict[int, list] = {}
 
-        def rows(of: list) -> pd.DataFrame:
-            return pd.DataFrame(of, columns=[c.split(" ")[0] for c in PIECES.split(", ")])
+        def rows(of: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*of), PIECES.types)], schema=PIECES)
 
         for batch in batches:
-            out: list[tuple] = []
-            for doc, ids in zip(batch["id"], words.of(["" if t is None else t for t in batch["text"]])):
-                ids += end
-                n, start = len(ids) // 4, 0
-                for length in [capacity] * (n // capacity) + table[n % capacity]:
-                    part = ids[4 * start : 4 * (start + length)]
-                    m = capacity // length
-                    waiting = held.setdefault(m, [])
-                    waiting.append([doc, start, length, zlib.crc32(part), n, m, capacity // m, 0, 0, part])
-                    start += length
-                    if len(waiting) == m:
-                        for k, full in enumerate(waiting):
-                            full[7], full[8] = (task << 32) + bins, k
-                            if not with_ids:
-                                full[9] = None
-                            out.append(full)
-                        bins += 1
-                        held[m] = []
+            for a, b, texts in text_slices(batch, "text", 3_000_000):
+                out: list[list] = []
+                for doc, numbers in zip(batch.column("id").slice(a, b - a).to_pylist(), words.of([t or b"" for t in texts])):
+                    ids = numbers.tobytes() + end
+                    n, start = len(ids) // 4, 0
+                    for length in [capacity] * (n // capacity) + table[n % capacity]:
+                        part = ids[4 * start : 4 * (start + length)]
+                        m = capacity // length
+                        if m == 1:  # a bin of its own
+                            out.append([doc, start, length, zlib.crc32(part), n, 1, capacity, (task << 32) + bins, 0, part if with_ids else None])
+                            bins += 1
+                        else:
+                            waiting = held.setdefault(m, [])
+                            waiting.append([doc, start, length, zlib.crc32(part), n, m, capacity // m, 0, 0, part])
+                            if len(waiting) == m:
+                                for k, full in enumerate(waiting):
+                                    full[7], full[8] = (task << 32) + bins, k
+                                    if not with_ids:
+                                        full[9] = None
+                                out += waiting
+                                bins += 1
+                                held[m] = []
+                        start += length
                     if len(out) >= 10_000:
                         yield rows(out)
                         out = []
-            if out:
-                yield rows(out)
+                if out:
+                    yield rows(out)
         rest = []
         for waiting in held.values():
             for k, row in enumerate(waiting):
@@ -166,7 +182,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         if rest:
             yield rows(rest)
 
-    made = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(pieces, PIECES), "pieces")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    made = stored(source.mapInArrow(pieces, ", ".join(f"{f.name} {KINDS[f.type]}" for f in PIECES)), "pieces")
     extra = ["ids"] if with_ids else []
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", *extra]
     full = made.where("bin >= 0").select(*out, F.col("bin").alias("sequence_id"), (F.col("nth") * F.col("slot")).alias("offset"))

@@ -94,9 +94,9 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(buffer: np.ndarray, ends: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """First and last-but-one byte of each run of bytes that are no white space; texts end at ends."""
-    ink, edge = np.concatenate([[False], ~BLANK[buffer], [False]]), np.zeros(len(buffer) + 1, bool)
+    ink, edge = np.concatenate([[False], ~blank[buffer], [False]]), np.zeros(len(buffer) + 1, bool)
     edge[ends] = True
     return np.flatnonzero(ink[1:] & (~ink[:-1] | edge)), np.flatnonzero(ink[:-1] & (~ink[1:] | edge))
 
@@ -120,6 +120,27 @@ def word_hashes(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return out
 
 
+def distinct_words(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of a word of each kind, kind of each word); words of one hash are compared byte by byte."""
+    _, first, kind = np.unique(word_hashes(buffer, start, stop), return_index=True, return_inverse=True)
+    kind = kind.ravel()
+    one = first[kind]
+    live = np.flatnonzero(one != np.arange(len(one)))
+    good = bool((stop[live] - start[live] == stop[one[live]] - start[one[live]]).all())
+    eight, x, y = np.lib.stride_tricks.sliding_window_view(np.concatenate([buffer, np.zeros(8, np.uint8)]), 8), start[live], start[one[live]]
+    while good and len(live):
+        rest = stop[live] - x
+        low = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.maximum(8 - rest, 0) * 8).astype(np.uint64)
+        good = not ((eight[x].view("<u8").ravel() ^ eight[y].view("<u8").ravel()) & low).any()
+        more = rest > 8
+        live, x, y = live[more], x[more] + 8, y[more] + 8
+    if not good:  # different words with one hash
+        numbers, data = {}, buffer.tobytes()
+        kind = np.fromiter((numbers.setdefault(data[i:j], len(numbers)) for i, j in zip(start.tolist(), stop.tolist())), np.int64, len(start))
+        first = np.unique(kind, return_index=True)[1]
+    return first, kind
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand: substring hashes from prefix sums.
 

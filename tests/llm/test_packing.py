@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from arealis.llm import shared
 from arealis.llm.packing import WordIds, cut_table, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -75,4 +76,11 @@ def test_small_capacity_and_empty_table(spark):
 
 def test_words_apart_give_the_ids_of_whole_texts():
     texts = ["İstanbul ΑΣ ΟΔΟΣ. don't 12.5", "a\tb\r\n\x0bc\x1cd e  f", "<|startoftext|>x <|endoftext|>", "́lone accent ́", "漢字 ﬁ Ⅷ 🙂🙂"]
-    assert [b for b in WordIds(PATH).of(texts)] == [np.array(ids_of(t)[:-1], "<u4").tobytes() for t in texts]
+    assert [b.tolist() for b in WordIds(PATH).of([t.encode() for t in texts])] == [ids_of(t)[:-1] for t in texts]
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    texts = [b"one two three one", b"two", b"", b"three  \n one"]
+    want = [ids_of(t.decode())[:-1] for t in texts]
+    monkeypatch.setattr(shared, "word_hashes", lambda buffer, start, stop: np.zeros(len(start), np.uint64))
+    assert [b.tolist() for b in WordIds(PATH).of(texts)] == want
