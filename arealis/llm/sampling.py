@@ -15,6 +15,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -186,93 +187,104 @@ def truncated(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-top, np.log(-np.log(u)) - location)
 
 
+class Numbers(dict):
+    """Things to numbers, in the order in which they are met."""
+
+    def __missing__(self, thing) -> int:
+        number = self[thing] = len(self)
+        return number
+
+
 def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int, with_ids: bool) -> list[list[tuple]]:
     """For each text up to k distinct segmentations, best perturbed value first, as
-    (pieces, log_prob, perturbed, log_inclusion, ids_crc32[, ids as little-endian unsigned 32-bit bytes])."""
+    (pieces, log_prob, perturbed, log_inclusion, ids_crc32[, ids as little-endian unsigned 32-bit bytes]).
+
+    Each turn opens the best node of every text's queue at once; what is done piece by piece is done for all texts together.
+    """
     split = [UNIT.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    number: dict[str, int] = {}
-    flat = [number.setdefault(u, len(number)) for units in split for u in units]
+    number = Numbers()
+    bounds = np.cumsum([0, *map(len, split)])
+    which = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(bounds[-1]))
     lattices = Lattices(vocabulary, [*number])
-    which = np.array(flat, np.int64)
-    bounds = np.cumsum([0, *[len(s) for s in split]])
+    most = lattices.log.shape[1]
     start, end = lattices.start[which], lattices.end[which]
     text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
     place = np.arange(len(which)) - bounds[text_of]
     unit_key = mixed(keys[text_of] ^ mixed(place.astype(np.uint64), 1), 2)
-    out: list[list[tuple]] = [[] for _ in texts]
-    first = keys.copy()
-    top = -np.log(-np.log(uniform(first, 3)))
-    # Each text's queue holds (-bound, tie, path, piece): all that leaves the path at that piece by another length.
-    queues: list[list[tuple]] = [[(-t, 0, None, 0, ())] for t in top]
+    out: list[list[list]] = [[] for _ in texts]
+    top = -np.log(-np.log(uniform(keys, 3)))
+    # Each text's queue holds (-bound, tie, path, piece, barred): all that leaves the path at that piece by another length.
+    queues: list[list[tuple]] = [[(-t, 0, None, 0, ())] for t in top.tolist()]
     paths: list[dict] = [{} for _ in texts]
     for turn in range(k):
         opened = [(i, heapq.heappop(q)) for i, q in enumerate(queues) if q]
         if not opened:
             break
-        spans_start, spans_end, spans_key, owner, heads = [], [], [], [], {}
-        for i, (bound, _, path, piece, barred) in opened:
-            a, b = bounds[i], bounds[i + 1]
-            s, e, u = start[a:b].copy(), end[a:b], 0
-            if path is not None:
-                old = paths[i][path]
-                pos, u = int(old["pos"][piece]), int(old["unit"][piece])
-                row = lattices.log[pos].copy()
-                row[list(barred)] = NONE
-                top_way = row.max()
-                chances = np.exp(row - top_way)
-                chances[row <= NONE / 2] = 0
-                draw = uniform(np.array([keys[i]], np.uint64), 1000 + turn)[0] * chances.sum()
-                length = min(int(np.searchsorted(chances.cumsum(), draw, side="right")), int(np.flatnonzero(chances)[-1]))
-                heads[i] = (old, piece, pos, length, row)
-                s = s[u:]
-                s[0] = pos + length + 1
-                e = e[u:]
-            spans_start.append(s)
-            spans_end.append(e)
-            spans_key.append(mixed(unit_key[a + u : b], 10 + turn))
-            owner.append(np.full(len(s), len(owner)))
-        drawn = Paths(lattices, np.concatenate(spans_start), np.concatenate(spans_end), np.concatenate(spans_key))
-        owners = np.concatenate(owner)
-        firsts = np.cumsum([0, *[len(s) for s in spans_start]])
-        cuts = np.searchsorted(owners[drawn.unit] if len(drawn.unit) else drawn.unit, np.arange(len(opened) + 1))
-        for j, (i, (bound, _, path, piece, barred)) in enumerate(opened):
-            x, y = cuts[j], cuts[j + 1]
-            new = {"pos": drawn.pos[x:y], "k": drawn.k[x:y], "log": drawn.log[x:y], "unit": drawn.unit[x:y] - firsts[j]}
-            fixed = 0
-            if path is not None:
-                old, piece, pos, length, row = heads[i]
-                u = int(old["unit"][piece])
-                new = {n: np.concatenate([old[n][:piece], [c], new[n] + (u if n == "unit" else 0)]) for n, c in (("pos", pos), ("k", length), ("log", lattices.log[pos, length]), ("unit", u))}
-                fixed = piece
-            logs = new["log"]
-            before = np.concatenate([[0.0], np.cumsum(logs)])
-            value = -bound
-            ids = _ids(vocabulary, lattices, new["pos"], new["k"])
-            data = ids.astype("<u4").tobytes()
-            out[i].append([len(ids), float(before[-1]), float(value), None, zlib.crc32(data), *([data] if with_ids else [])])
+        mine = np.array([i for i, _ in opened])
+        value = np.array([-node[0] for _, node in opened])
+        later = turn > 0  # the first turn opens whole texts, every other one a branch of a path
+        first_unit, fixed = np.zeros(len(opened), np.int64), np.zeros(len(opened), np.int64)
+        if later:
+            old = [paths[i][node[2]] for i, node in opened]
+            fixed = np.array([node[3] for _, node in opened])
+            at = np.array([o["pos"][p] for o, p in zip(old, fixed)])
+            first_unit = np.array([o["unit"][p] for o, p in zip(old, fixed)])
+            ways = lattices.log[at]
+            barred = [(j, b) for j, (_, node) in enumerate(opened) for b in node[4]]
+            ways[tuple(np.array(barred).T)] = NONE
+            share = np.where(ways > NONE / 2, np.exp(ways - ways.max(1, keepdims=True)), 0.0)
+            upto = share.cumsum(1)
+            draw = uniform(keys[mine], 1000 + turn) * upto[:, -1]
+            length = np.minimum((upto <= draw[:, None]).sum(1), most - 1 - (share[:, ::-1] > 0).argmax(1))
+            ways[np.arange(len(ways)), length] = NONE
+            left = np.where(ways > NONE / 2, np.exp(ways), 0.0).sum(1)  # what neither was taken before nor now
+        begin = bounds[mine] + first_unit
+        units = bounds[mine + 1] - begin
+        firsts = np.concatenate([[0], units.cumsum()])
+        index = np.arange(firsts[-1]) + np.repeat(begin - firsts[:-1], units)
+        from_ = start[index]
+        if later:
+            from_[firsts[:-1]] = at + length + 1
+        drawn = Paths(lattices, from_, end[index], mixed(unit_key[index], 10 + turn))
+        cuts = np.searchsorted(drawn.unit, firsts)
+        unit = drawn.unit + np.repeat(first_unit - firsts[:-1], np.diff(cuts))
+        pos, way, log = drawn.pos, drawn.k, drawn.log
+        mass = -np.expm1(log)
+        small = np.flatnonzero(mass < 1e-6)  # summed apart, where the difference from 1 is lost
+        if len(small):
+            others = lattices.log[pos[small]]
+            others[np.arange(len(small)), way[small]] = NONE
+            mass[small] = np.where(others > NONE / 2, np.exp(others), 0.0).sum(1)
+        if later:  # the piece by which each branch leaves its path
+            pos, way, unit = np.insert(pos, cuts[:-1], at), np.insert(way, cuts[:-1], length), np.insert(unit, cuts[:-1], first_unit)
+            log, mass = np.insert(log, cuts[:-1], lattices.log[at, length]), np.insert(mass, cuts[:-1], left)
+            cuts = cuts + np.arange(len(cuts))
+        raw, before = lattices.ids[pos, way], np.empty(len(log))
+        for j, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+            np.cumsum(log[x:y], out=before[x:y])
+            if later and fixed[j]:
+                before[x:y] += old[j]["before"][fixed[j] - 1]
+        # What leaves this path at a piece: its other lengths. The best of them is a Gumbel draw below this value.
+        sizes = np.diff(cuts)
+        step = (np.arange(len(log)) - np.repeat(cuts[:-1], sizes)).astype(np.uint64)
+        some = np.flatnonzero(mass > 0)
+        draws = np.full(len(log), -np.inf)
+        draws[some] = truncated((before - log)[some] + np.log(mass[some]), np.repeat(value, sizes)[some], uniform((np.repeat(mixed(keys[mine], 5 + turn), sizes) ^ step)[some], 6))
+        wanted = k - turn  # one more than may still be opened, for the last bound
+        for j, (i, (_, _, path, piece, barred)) in enumerate(opened):
+            x, y = int(cuts[j]), int(cuts[j + 1])
+            new = {"pos": pos[x:y], "unit": unit[x:y], "before": before[x:y], "raw": raw[x:y], "k": way[x:y]}
+            if later and piece:
+                new = {n: np.concatenate([old[j][n][:piece], v]) for n, v in new.items()}
+            data = _ids(vocabulary, lattices, new["pos"], new["raw"]).astype("<u4").tobytes()
+            out[i].append([len(data) // 4, float(new["before"][-1]) if len(new["before"]) else 0.0, float(value[j]), None, zlib.crc32(data), *([data] if with_ids else [])])
             paths[i][turn] = new
-            # What leaves this path at a piece: its other lengths. The best of them is a Gumbel draw below this value.
-            wanted = k - turn  # one more than may still be opened, for the last bound
-            mass = -np.expm1(logs[fixed:])
-            small = np.flatnonzero(mass < 1e-6)  # summed apart, where the difference from 1 is lost
-            if len(small):
-                others = lattices.log[new["pos"][fixed:][small]]
-                others[np.arange(len(small)), new["k"][fixed:][small]] = NONE
-                mass[small] = np.exp(others).sum(1)
-            taken = frozenset()
-            if path is not None:
-                taken = frozenset(barred) | {length}
-                left = np.exp(lattices.log[pos][[c for c in range(lattices.log.shape[1]) if c not in taken]]).sum()
-                mass[0] = left
-            ways = np.flatnonzero(mass > 0)
-            if len(ways):
-                location = before[fixed:-1][ways] + np.log(mass[ways])
-                u = uniform(mixed(keys[i : i + 1], 5 + turn) ^ ways.astype(np.uint64), 6)
-                draws = truncated(location, value, u)
-                best = np.argpartition(-draws, wanted - 1)[:wanted] if len(draws) > wanted else range(len(draws))
-                for w in best:
-                    p = fixed + int(ways[w])
-                    heapq.heappush(queues[i], (-float(draws[w]), turn * 10**9 + p, turn, p, taken if path is not None and p == fixed else frozenset({int(new["k"][p])})))
+            here = draws[x:y]
+            best = np.argpartition(-here, wanted - 1)[:wanted] if y - x > wanted else np.arange(y - x)
+            for w in best.tolist():
+                if here[w] > -np.inf:
+                    p = piece + w
+                    heapq.heappush(queues[i], (-float(here[w]), turn * 10**9 + p, turn, p, (*barred, int(length[j])) if later and not w else (int(way[x + w]),)))
     for found, queue in zip(out, queues):
         beyond = -queue[0][0] if queue else -np.inf  # the largest value that is not taken
         for f in found:
@@ -281,8 +293,8 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     return [[tuple(f) for f in found] for found in out]
 
 
-def _ids(v: Vocabulary, lattices: Lattices, pos: np.ndarray, k: np.ndarray) -> np.ndarray:
-    ids = lattices.ids[pos, k].astype(np.int64)
+def _ids(v: Vocabulary, lattices: Lattices, pos: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """ids with the bytes of code points that are no piece."""
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
