@@ -107,9 +107,11 @@ def fit(labelled: DataFrame, rows_per_language: int = 1000, id_col: str = "doc_i
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     ids = rows.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("h"))
-    share = ids.groupBy("lang").agg((F.lit(4.0 * rows_per_language) / F.count("*")).alias("share"))
-    # hashes are even over 64 bits: of n ids, n * share lie below share of their range, with rows_per_language of them at least but for a chance beyond counting
-    ids = ids.join(share, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.greatest("share", F.when(F.col("share") >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))))
+    counts = dict(ids.groupBy("lang").count().collect())  # a row for each language, as the model has
+    # hashes are even over 64 bits: of n ids, n * share lie below share of their range, rows_per_language of them at least but for a chance beyond counting
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(4.0 * rows_per_language / n, 1.0))]) if counts else F.create_map(F.lit("").cast(dict(ids.dtypes)["lang"]), F.lit(0.0))
+    share = F.try_element_at(shares, "lang")
+    ids = ids.where((share >= 1.0) | (F.col("h") / F.lit(2.0**64) + 0.5 <= share))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     chosen = ids.withColumn("rank", rank).where(F.col("rank") <= rows_per_language).select("id", "lang").distinct()
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.max("text").alias("text")).toPandas()

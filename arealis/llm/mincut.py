@@ -9,7 +9,7 @@ edges. The minimum cut is the labelling of least total cost.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -36,7 +36,9 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclass
 class Segment:
     texts: list[str]
-    path: tuple[int, ...]  # containers from the root
+    node: int  # number of its container
+    depth: int  # containers from the root to it
+    shared: int  # of them, those that hold the segment before too
     chars: int = 0
     linked: int = 0
     marks: int = 0  # sentence marks
@@ -54,7 +56,9 @@ def segments(html: str) -> list[Segment]:
     block ends an open paragraph. Comments, declarations and elements in RAW give no text; br is white space.
     """
     stack: list[tuple[str, int, frozenset, bool, bool]] = [("", 0, frozenset(), False, False)]
-    containers, seen = [0], 0
+    containers, open_tags = [0], Counter()
+    parents, depths = [-1], [1]  # of each container
+    raw_ends: dict[str, dict[int, int]] = {}
     out: list[Segment] = []
     words: list[str] = []
     linked, in_link, head = 0, 0, False
@@ -64,10 +68,16 @@ def segments(html: str) -> list[Segment]:
         text = " ".join(unescape("".join(words)).split())
         words.clear()
         if text:
-            path = tuple(containers)
-            if not out or out[-1].path != path:
+            node = containers[-1]
+            if not out or out[-1].node != node:
                 _, _, tags, against, in_favour = stack[-1]
-                out.append(Segment([], path, tags=tags, against=against, in_favour=in_favour))
+                a, b = (out[-1].node if out else node), node
+                while a != b:  # up to the container of both: in all no more steps than containers open and close
+                    if depths[a] >= depths[b]:
+                        a = parents[a]
+                    else:
+                        b = parents[b]
+                out.append(Segment([], node, depths[node], depths[a], tags=tags, against=against, in_favour=in_favour))
             s = out[-1]
             s.texts.append(text)
             s.chars += len(text)
@@ -81,6 +91,7 @@ def segments(html: str) -> list[Segment]:
         nonlocal in_link
         while len(stack) > depth:
             tag = stack.pop()[0]
+            open_tags[tag] -= 1
             if tag in CONTAINER:
                 containers.pop()
             in_link -= tag == "a"
@@ -102,7 +113,7 @@ def segments(html: str) -> list[Segment]:
             continue
         tag = tag.lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag) if open_tags[tag] else 0
             if depth:
                 if tag in BLOCK:
                     flush()
@@ -114,7 +125,9 @@ def segments(html: str) -> list[Segment]:
                 end = low.find(f"</{tag}", at) if len(low) == n else _find_end(html, tag, at)
                 at = n if end < 0 else end
             else:
-                at = _skip(html, tag, at)
+                if tag not in raw_ends:
+                    raw_ends[tag] = _raw_ends(html, tag)
+                at = max(at, raw_ends[tag].get(m.start(), at))
             words.append(" ")
             continue
         if tag == "br":
@@ -129,8 +142,9 @@ def segments(html: str) -> list[Segment]:
             continue
         _, _, tags, against, in_favour = stack[-1]
         if tag in CONTAINER:
-            seen += 1
-            containers.append(seen)
+            parents.append(containers[-1])
+            depths.append(depths[containers[-1]] + 1)
+            containers.append(len(parents) - 1)
             names = set()
             for name, *values in ATTRIBUTE.findall(m[3]):
                 if name.lower() in ("class", "id", "role", "aria-label"):
@@ -140,7 +154,8 @@ def segments(html: str) -> list[Segment]:
             tags = tags | {tag}
             against = against or bool(names & AGAINST)
             in_favour = (in_favour or bool(names & IN_FAVOUR)) and not names & AGAINST
-        stack.append((tag, seen, tags, against, in_favour))
+        stack.append((tag, containers[-1], tags, against, in_favour))
+        open_tags[tag] += 1
         in_link += tag == "a"
     flush()
     return out
@@ -151,14 +166,15 @@ def _find_end(html: str, tag: str, at: int) -> int:
     return m.start() if m else -1
 
 
-def _skip(html: str, tag: str, at: int) -> int:
-    """Behind the end tag of an element whose content is no text, counting elements of its kind within."""
-    depth = 1
-    for m in re.compile(f"<(/?){tag}(?=[\\s/>])[^>]*>", re.I).finditer(html, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return at  # never closed: what follows counts as text
+def _raw_ends(html: str, tag: str) -> dict[int, int]:
+    """Where each element of this kind begins, and the place behind its end tag; one that is never closed is absent: what follows it counts as text."""
+    ends, begun = {}, []
+    for m in re.compile(f"<(/?){tag}(?=[\\s/>])[^>]*>", re.I).finditer(html):
+        if not m[1]:
+            begun.append(m.start())
+        elif begun:
+            ends[begun.pop()] = m.end()
+    return ends
 
 
 FEATURES = 14
@@ -306,18 +322,12 @@ def main_text(html: str | None, weights: np.ndarray, next_to: float = 0.3, same_
     x = np.array([features(s, i / max(len(found) - 1, 1)) for i, s in enumerate(found)]) @ weights
     against = np.logaddexp(0, -x)  # minus log of the belief that it is content
     favour = np.logaddexp(0, x)
-    ties, last_in = [], {}
-    for i, s in enumerate(found):
-        if i:
-            ties.append((i - 1, i, next_to))
-        # the nearest earlier segment that shares an ancestor, the more the deeper that ancestor is
-        for depth in range(len(s.path), 1, -1):
-            j = last_in.get(s.path[depth - 1])
-            if j is not None:
-                ties.append((j, i, same_tree * depth / max(len(s.path), len(found[j].path))))
-                break
-        for c in s.path:
-            last_in[c] = i
+    ties = []
+    for i, s in enumerate(found[1:], 1):
+        ties.append((i - 1, i, next_to))
+        # of all earlier segments, none shares a deeper container with this one than the segment before
+        if s.shared > 1:
+            ties.append((i - 1, i, same_tree * s.shared / max(s.depth, found[i - 1].depth)))
     keep = minimum_cut(against.tolist(), favour.tolist(), ties)
     return "\n".join(t for s, k in zip(found, keep) if k for t in s.texts)
 

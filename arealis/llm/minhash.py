@@ -100,7 +100,7 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 #: Of several documents of a bucket, so many in turn are compared with all the others; what is still open then is compared in blocks.
 PIVOTS = 3
 #: Documents and shingles of a block, about, and documents that are compared with one copy of a pivot.
-BLOCK, BLOCK_SHINGLES, BESIDE = 400, 400_000, 2000
+BLOCK, BLOCK_SHINGLES, BESIDE = 400, 400_000, 500
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 

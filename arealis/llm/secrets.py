@@ -221,10 +221,12 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each secret that scan() found replaced by mark; all rows stay, all columns as they are but the text."""
-    spans = found.where("is_secret").select(F.col(id_col).alias("_id"), "text_key", F.struct("start", "end").alias("s")).distinct()
-    spans = spans.groupBy("_id", "text_key").agg(F.array_sort(F.collect_list("s")).alias("_spans"))  # of one text
-    text = F.col(text_col)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever columns are called
+    spans = found.where("is_secret").select(F.col(f"`{id_col}`").alias("_id"), F.col("text_key").alias("_key"), F.struct("start", "end").alias("s")).distinct()
+    spans = spans.groupBy("_id", "_key").agg(F.array_sort(F.collect_list("s")).alias("_spans"))  # of one text
+    text = F.col(at[text_col])
     # from the last span to the first, so that earlier places stay right
     cleaned = F.aggregate(F.reverse("_spans"), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["end"] + 1, F.length(t))))
-    joined = docs.withColumn("_text_key", F.xxhash64(text_col)).join(spans, (F.col("_id") == F.col(id_col)) & (F.col("text_key") == F.col("_text_key")), "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), text).otherwise(cleaned).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    rows = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(n) for c, n in at.items()])
+    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col(at[id_col])) & (F.col("_key") == F.xxhash64(text)), "left")
+    return joined.select(*[(F.when(F.col("_spans").isNull(), text).otherwise(cleaned) if c == text_col else F.col(n)).alias(c) for c, n in at.items()])

@@ -66,3 +66,18 @@ def test_odd_pages(spark, weights):
     assert rows[3].text == html[3] and rows[4].text == "Some words here, a\nand more of them, b." == rows[12].text and rows[9].text == ("word, " * 60000).strip()
     assert rows[10].text == "A&&bogus;" and all(r.n_chars == len(r.text) for r in rows.values())
     assert extract(pages.where("page_id < 0"), weights).count() == 0
+
+
+def test_deep_and_unclosed_pages_take_time_in_proportion():
+    import time
+
+    from arealis.llm.mincut import fit, main_text
+
+    w = fit()
+    for page in (lambda n: "".join(f"<div>text {i}" for i in range(n)), lambda n: "".join(f"<svg>word {i} " for i in range(n)), lambda n: "<b>" * n + "</i>" * n):
+        took = []
+        for n in (2000, 8000):
+            began = time.process_time()
+            main_text(page(n), w)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * max(took[0], 0.02)

@@ -1,3 +1,4 @@
+from arealis.llm import secrets
 import random
 
 import pytest
@@ -85,3 +86,35 @@ def test_key_blocks_of_all_forms(spark, model):
     docs = spark.createDataFrame(list(enumerate([*texts, *plain])), "doc_id long, text string")
     kept = {r.doc_id: r.text for r in redact(docs, scan(docs, model)).collect()}
     assert kept == dict(enumerate(["before it\n[SECRET]\nand after it"] * len(keys) + plain))
+
+
+def test_redaction_of_tables_with_columns_of_any_name(spark):
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" * 40
+    docs = spark.createDataFrame([(None, f'token = "{secret}" end', 1, 2, 3), (4, "nothing", 1, 2, 3)], "doc_id long, text string, _text_key long, _id long, _spans long")
+    left = secrets.redact(docs, secrets.scan(docs, secrets.train(spark)))
+    assert left.columns == docs.columns
+    assert sorted(r.text for r in left.collect()) == ["nothing", 'token = "[SECRET]" end']
+
+
+def plain_forest(model, row):
+    """The mean of the trees' leaf shares, walked node by node from the model's own description."""
+    total = 0.0
+    for tree in model.trees:
+        node = tree._call_java("rootNode")
+        while node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            node = node.leftChild() if row[split.featureIndex()] <= split.threshold() else node.rightChild()
+        stats = list(node.impurityStats().stats())
+        total += stats[1] / sum(stats)
+    return total / len(model.trees)
+
+
+def test_scores_match_a_walk_through_the_trees(spark):
+    model = secrets.train(spark, trees=7, depth=5)
+    found = secrets.labelled_findings(60, seed=99)
+    docs = spark.createDataFrame([(i, f[0]) for i, f in enumerate(found)], "doc_id long, text string")
+    texts = {i: f[0] for i, f in enumerate(found)}
+    rows = secrets.scan(docs, model).collect()
+    assert len(rows) > 30
+    for r in rows[:40]:
+        assert abs(r.score - plain_forest(model, secrets.features(texts[r.doc_id], r.start, r.end, r.rule, ""))) < 1e-9
