@@ -109,8 +109,9 @@ def interval(text: str | Column) -> Column:
 
 
 def clamped_interval(estimate: str | Column, se: str | Column, z: float = 1.96) -> Column:
+    """struct(lo, hi) within 0 and 100; null if either is."""
     e, s = col(estimate), col(se)
-    return F.struct(F.greatest(F.lit(0.0), e - z * s).alias("lo"), F.least(F.lit(100.0), e + z * s).alias("hi"))
+    return F.when(e.isNotNull() & s.isNotNull(), F.struct(F.greatest(F.lit(0.0), e - z * s).alias("lo"), F.least(F.lit(100.0), e + z * s).alias("hi")))
 
 
 def rank_quartile(rank: str | Column) -> Column:

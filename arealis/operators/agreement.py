@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
 from .ranking import leave_one_out_mean, percentile_rank
 
 
@@ -71,11 +73,10 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
 def with_correlation_p(df: DataFrame, r: str, n: str, name: str = "p") -> DataFrame:
     """Adds p of a correlation r of n pairs to summary rows, one for each group."""
 
-    @F.udf("double")
-    def p(r, n):
-        if r is None or n is None or n < 3:
-            return None
-        return 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        known = r.notna() & (n >= 3)
+        return pd.Series([(0.0 if abs(a) >= 1 else t_two_sided(a * math.sqrt((b - 2) / (1 - a * a)), b - 2)) if k else None for a, b, k in zip(r, n, known)], dtype="float64")
 
     return df.withColumn(name, p(r, n))
 
@@ -88,21 +89,29 @@ def benjamini_hochberg(p: str, *family: str) -> Column:
 
 
 def adjusted(df: DataFrame, p: str, family: Sequence[str], name: str = "p_adjusted") -> DataFrame:
-    """df with Benjamini-Hochberg p-values: of each the least of n * p / rank among it and larger ones."""
-    out = df.withColumn("_q", benjamini_hochberg(p, *family))
-    down = Window.partitionBy(*family, F.col(p).isNull()).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn(name, F.when(F.col(p).isNotNull(), F.min("_q").over(down))).drop("_q")
+    """df with Benjamini-Hochberg p-values: of each the least of n * p / rank among it and larger ones.
+
+    What is null, NaN or infinite is no test: it isn't counted in its family and gets null.
+    """
+    out = df.withColumn("_p", finite(p))
+    out = out.withColumn("_q", benjamini_hochberg("_p", *family))
+    down = Window.partitionBy(*family, F.col("_p").isNull()).orderBy(F.desc("_p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return out.withColumn(name, F.when(F.col("_p").isNotNull(), F.min("_q").over(down))).drop("_q", "_p")
 
 
 def variance_partition(df: DataFrame, by: Sequence[str], value: str, area: str) -> DataFrame:
-    """One-way moments of unbalanced groups: n, areas, n_bar, between and within variance, the share of between."""
+    """One-way moments of unbalanced groups: n, areas, n_bar, between and within variance, the share of between.
+
+    What isn't defined (one area, or no area with several units) is null.
+    """
     groups = df.where(F.col(value).isNotNull() & F.col(area).isNotNull()).groupBy(*by, area).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count("*")).alias("_s"))
     sums = groups.groupBy(*by).agg(F.sum("_n").alias("n"), F.count("*").alias("areas"), F.sum("_s").alias("ssw"), F.sum(F.col("_n") * F.col("_m")).alias("_nm"), F.sum(F.col("_n") * F.col("_m") * F.col("_m")).alias("_nmm"), F.sum(F.col("_n") * F.col("_n")).alias("_nn"))
     n, k = F.col("n").cast("double"), F.col("areas").cast("double")
     ssb = F.col("_nmm") - F.col("_nm") * F.col("_nm") / n
     n_bar = F.try_divide(n - F.col("_nn") / n, k - 1)
     within = F.try_divide(F.col("ssw"), n - k)
-    between = F.greatest(F.lit(0.0), F.try_divide(F.try_divide(ssb, k - 1) - within, n_bar))
+    raw = F.try_divide(F.try_divide(ssb, k - 1) - within, n_bar)
+    between = F.when(raw.isNotNull(), F.greatest(F.lit(0.0), raw))  # greatest() skips nulls
     return sums.select(*by, "n", "areas", n_bar.alias("n_bar"), within.alias("within"), between.alias("between"), F.try_divide(between, between + within).alias("vpc"))
 
 

@@ -25,10 +25,10 @@ def cascade(df: DataFrame, by: Sequence[str], unit: str, steps: Sequence[tuple[s
     return wide.select(*by, F.inline(step))
 
 
-def ratio_of_sums(df: DataFrame, by: Sequence[str], numerator: str, denominator: str, period: str, periods: Sequence, least: int = 1, scale: float = 100.0) -> DataFrame:
-    """scale * sum(numerator) / sum(denominator) over rows with a denominator of at least least, of groups that have every period."""
+def ratio_of_sums(df: DataFrame, by: Sequence[str], numerator: str, denominator: str, period: str, periods: Sequence, least: int = 1, scale: float = 100.0, also: Sequence[Column] = ()) -> DataFrame:
+    """scale * sum(numerator) / sum(denominator) over rows with a denominator of at least least, of groups that have every period; also: further aggregates of the same rows."""
     rows = df.where(F.col(period).isin(*periods) & F.col(numerator).isNotNull() & (F.col(denominator) >= least))
-    out = rows.groupBy(*by).agg(F.countDistinct(period).alias("periods"), F.sum(numerator).alias("numerator"), F.sum(denominator).alias("denominator"))
+    out = rows.groupBy(*by).agg(F.countDistinct(period).alias("periods"), F.sum(numerator).alias("numerator"), F.sum(denominator).alias("denominator"), *also)
     return out.where(F.col("periods") == len(set(periods))).withColumn("pooled", F.try_divide(F.col("numerator") * scale, F.col("denominator").cast("double")))
 
 
@@ -60,8 +60,8 @@ def quality_profile(df: DataFrame, by: Sequence[str], value: str, unit: str, sup
 
 def dominant_link(df: DataFrame, unit: str, area: str, weight: str) -> DataFrame:
     """Links of a unit to several areas as one row: the heaviest area (then the smallest), all areas in order, a map of weights."""
-    pair = F.struct(F.col(weight).alias("w"), (-F.col(area)).alias("a"))
-    out = df.groupBy(unit).agg(F.max_by(area, pair).alias("dominant"), F.max(weight).alias("top_weight"), F.count("*").alias("areas"), F.array_sort(F.collect_list(F.struct(F.col(area).alias("area"), F.col(weight).alias("weight")))).alias("_l"))
+    pair = F.struct((-F.col(weight)).alias("w"), F.col(area).alias("a"))
+    out = df.groupBy(unit).agg(F.min_by(area, pair).alias("dominant"), F.max(weight).alias("top_weight"), F.count("*").alias("areas"), F.array_sort(F.collect_list(F.struct(F.col(area).alias("area"), F.col(weight).alias("weight")))).alias("_l"))
     return out.select(unit, "dominant", "top_weight", "areas", (F.col("areas") > 1).alias("crossing"), F.array_join(F.transform("_l", lambda x: x["area"].cast("string")), ";").alias("area_list"), F.map_from_entries("_l").alias("weights"))
 
 
@@ -73,13 +73,13 @@ def single_valued(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> D
 
 def transitions(df: DataFrame, by: Sequence[str], before: str, after: str, states: Sequence[int]) -> DataFrame:
     """Counts of every pair of states in each group, zeros included, and their percentage of the group."""
-    spark = df.sparkSession
-    axis = lambda name: spark.createDataFrame([(s,) for s in states], f"{name} int")
-    skeleton = df.select(*by).distinct().crossJoin(F.broadcast(axis(before).crossJoin(axis(after))))
-    counts = df.groupBy(*by, F.col(before).cast("int").alias(before), F.col(after).cast("int").alias(after)).agg(F.count("*").alias("n"))
-    totals = df.groupBy(*by).agg(F.count("*").alias("_total"))
-    key = [*by, before, after]
-    return skeleton.join(counts, key, "left").join(totals, list(by)).select(*key, F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * 100.0 / F.col("_total")).alias("pct"))
+    key = F.struct(F.col(before).cast("int").alias("a"), F.col(after).cast("int").alias("b"))
+    counts = df.groupBy(*by, key.alias("_k")).agg(F.count("*").alias("_n"))
+    known = F.filter(F.collect_list(F.struct("_k", "_n")), lambda x: x["_k"]["a"].isNotNull() & x["_k"]["b"].isNotNull())
+    groups = counts.groupBy(*by).agg(known.alias("_l"), F.sum("_n").alias("_total"))  # a list of states x states at most
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in states for b in states])
+    rows = groups.select(*by, "_total", F.map_from_entries("_l").alias("_m"), F.explode(pairs).alias("_k")).withColumn("n", F.coalesce(F.col("_m")[F.col("_k")], F.lit(0)))
+    return rows.select(*by, F.col("_k.a").alias(before), F.col("_k.b").alias(after), "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct"))
 
 
 def flag_jaccard(a: Column, b: Column) -> Column:
@@ -91,5 +91,5 @@ def flag_jaccard(a: Column, b: Column) -> Column:
 def persistent_state(df: DataFrame, by: Sequence[str], state: str, least: int = 2, unstable: str = "unstable") -> DataFrame:
     """The state that a group shows least times or more (the most frequent, then the smallest), else unstable."""
     counts = df.groupBy(*by, state).agg(F.count("*").alias("_n"))
-    top = counts.groupBy(*by).agg(F.max("_n").alias("times"), F.max_by(state, F.struct(F.col("_n"), -F.col(state))).alias("_s"))
+    top = counts.groupBy(*by).agg(F.max("_n").alias("times"), F.min_by(state, F.struct((-F.col("_n")).alias("n"), F.col(state).alias("s"))).alias("_s"))
     return top.select(*by, F.when(F.col("times") >= least, F.col("_s").cast("string")).otherwise(unstable).alias("persistence"), "times")

@@ -59,8 +59,8 @@ def percentile_interval(df: DataFrame, by: Sequence[str], value: str, level: flo
 
 
 def normal_draws(df: DataFrame, key: Sequence[str], mean: str, se: str, replicates: int, seed: int, low: float = 0.0, high: float = 100.0) -> DataFrame:
-    """df's rows for every replicate with drawn: a normal value from two hashed uniforms, clipped to low..high."""
+    """df's rows for every replicate with drawn: a normal value from two hashed uniforms, clipped to low..high; null if mean or se is."""
     many = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u = [(draw(seed + k, F.col("replicate"), *[F.col(c) for c in key]) + 0.5) / F.lit(4294967296.0) for k in (0, 1)]
     z = F.sqrt(F.log(u[0]) * -2.0) * F.cos(u[1] * 6.283185307179586)
-    return many.withColumn("drawn", F.least(F.lit(high), F.greatest(F.lit(low), F.col(mean) + F.col(se) * z)))
+    return many.withColumn("drawn", F.when(F.col(mean).isNotNull() & F.col(se).isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), F.col(mean) + F.col(se) * z))))

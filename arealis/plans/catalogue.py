@@ -28,10 +28,8 @@ def query(sql: str | None = None):
 
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit, condition, pooled percentage of the contemporary periods, mean comparator and area."""
-    rows = facts(spark, sf_dir)
-    out = cohort.ratio_of_sums(rows, ["unit", "condition"], "numerator", "denominator", "period", PERIODS, LEAST)
-    means = rows.where(F.col("period").isin(*PERIODS) & (F.col("denominator") >= LEAST)).groupBy("unit", "condition").agg(F.avg("comparator").alias("comparator"), F.max("area").alias("area"))
-    return out.join(means, ["unit", "condition"])
+    also = [F.avg("comparator").alias("comparator"), F.max("area").alias("area")]
+    return cohort.ratio_of_sums(facts(spark, sf_dir), ["unit", "condition"], "numerator", "denominator", "period", PERIODS, LEAST, also=also)
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +161,8 @@ def cut_point_bins(spark, sf_dir):
 def frozen_quartiles(spark, sf_dir):
     rows = facts(spark, sf_dir)
     cuts = ranking.cut_points(rows.where("period = 1996"), "proportion").first()
-    return rows.where("period = 1997").select("unit", "condition", "period", C.frozen_quartile("proportion", cuts["cuts"] if cuts else [0.0, 0.0, 0.0]).alias("quartile"))
+    quartile = C.frozen_quartile("proportion", cuts["cuts"]) if cuts else F.lit(None).cast("int")  # without three different cuts there are no quartiles
+    return rows.where("period = 1997").select("unit", "condition", "period", quartile.alias("quartile"))
 
 
 @query("""WITH d AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL),
@@ -260,9 +259,9 @@ def false_discovery(spark, sf_dir):
 
 @query(f"""WITH {FACTS}, g AS (SELECT condition, area, count(*) AS n, avg(pooled) AS m, var_pop(pooled) * count(*) AS s FROM pooled GROUP BY ALL),
            t AS (SELECT condition, sum(n)::DOUBLE AS n, count(*) AS k, sum(s) AS ssw, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum(n * n)::DOUBLE AS nn FROM g GROUP BY 1),
-           v AS (SELECT condition, n, k, (n - nn / n) / (k - 1) AS n_bar, ssw / (n - k) AS within, ssb / (k - 1) AS msb FROM t),
-           w AS (SELECT *, greatest(0, (msb - within) / n_bar) AS between FROM v)
-           SELECT condition, n::BIGINT AS n, k AS areas, round(n_bar, 6) AS n_bar, round(within, 6) AS within, round(between, 6) AS between, round(between / (between + within), 6) AS vpc FROM w""".replace("AS between", 'AS "between"').replace("round(between,", 'round("between",').replace("round(between /", 'round("between" /').replace("(between +", '("between" +'))
+           v AS (SELECT condition, n, k, (n - nn / n) / nullif(k - 1, 0) AS n_bar, ssw / nullif(n - k, 0) AS within, ssb / nullif(k - 1, 0) AS msb FROM t),
+           w AS (SELECT *, CASE WHEN isfinite((msb - within) / n_bar) THEN greatest(0, (msb - within) / n_bar) END AS between FROM v)
+           SELECT condition, n::BIGINT AS n, k AS areas, round(n_bar, 6) AS n_bar, round(within, 6) AS within, round(between, 6) AS between, round(between / nullif(between + within, 0), 6) AS vpc FROM w""".replace("AS between", 'AS "between"').replace("round(between,", 'round("between",').replace("round(between /", 'round("between" /').replace("(between +", '("between" +'))
 def variance_partition(spark, sf_dir):
     out = agreement.variance_partition(pooled(spark, sf_dir), ["condition"], "pooled", "area")
     return out.select("condition", "n", "areas", r6("n_bar"), r6("within"), r6("between"), r6("vpc"))
@@ -533,9 +532,8 @@ _WORDS = "regexp_extract_all({}, '[A-Za-z][A-Za-z''-]*')"
            SELECT doc_id, len(w) AS n_words, numbers AS n_numbers, len(list_filter(w, lambda x: regexp_matches(lower(x), '(tion|ment|ness|ity)$'))) AS n_nominal,
                   coalesce(list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(lower(x), '[aeiouy]+')) - (CASE WHEN regexp_matches(lower(x), 'e$') AND NOT regexp_matches(lower(x), 'le$') AND len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END), 1))), 0)::BIGINT AS n_syllables FROM w""")
 def text_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    w = T.words(F.col("text"))
-    return d.select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1))).cast("long").alias("n_numbers"), F.size(F.filter(w, lambda x: F.lower(x).rlike(T.NOMINAL))).cast("long").alias("n_nominal"), T.total(w, T.syllables).cast("long").alias("n_syllables"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(T.words(F.col("text")), " ").alias("w"))
+    return d.select("doc_id", T.word_count("w").cast("long").alias("n_words"), F.regexp_count("text", F.lit(r"\d+")).cast("long").alias("n_numbers"), T.nominal_count("w").cast("long").alias("n_nominal"), T.syllable_count("w").cast("long").alias("n_syllables"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, {_WORDS.format('text')} AS w, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: len({_WORDS.format('x')}) >= 4) AS s,
