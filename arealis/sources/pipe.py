@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
 
 #: Literals of the strict reader.
 NULL = "\\N"
-PATTERNS = {"long": r"^[+-]?[0-9]+$", "double": r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$", "boolean": "^[tf]$", "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})$", "string": r"(?s)^.*$"}
+PATTERNS = {"long": r"^[+-]?[0-9]+$", "double": r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$", "boolean": "^[tf]$", "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$", "string": r"(?s)^.*$"}
 
 
 @dataclass(frozen=True)
@@ -24,38 +24,70 @@ class Field:
 
 
 def read_lenient(spark: SparkSession, path: str, names: Sequence[str], sep: str = "|") -> DataFrame:
-    """Rows of text as trimmed strings. Blank lines are skipped; a row of another width fails the query."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
+    """Rows of text as trimmed strings, bytes that are no UTF-8 replaced. Blank lines are skipped; a row of another width fails the query."""
+    rows = spark.read.text(path).select(F.make_valid_utf8("value").alias("value")).where(F.trim("value") != "")
     parts = F.split("value", f"[{sep}]", -1)
     checked = F.when(F.size(parts) == len(names), parts).otherwise(F.raise_error(F.concat(F.lit(f"expected {len(names)} fields, found "), F.size(parts).cast("string"))))
     return rows.select(checked.alias("_p")).select(*[F.trim(F.col("_p")[i]).alias(n) for i, n in enumerate(names)])
 
 
 def parsed(text: str | Column, kind: str) -> Column:
-    """The typed value of a literal; NULL is null, and what doesn't match the kind's pattern fails the query."""
+    """The typed value of a literal; NULL is null, and what doesn't match the kind's pattern or isn't finite fails the query."""
     t = col(text)
     value = {"boolean": t == "t", "timestamp": F.try_to_timestamp(t), "string": t}.get(kind, t.try_cast(kind) if kind != "string" else t)
     bad = F.raise_error(F.concat(F.lit(f"not a {kind}: "), t)).cast(kind)
-    return F.when(t.isNull() | (t == NULL), None).when(t.rlike(PATTERNS[kind]) & value.isNotNull(), value).otherwise(bad)
+    good = t.rlike(PATTERNS[kind]) & value.isNotNull() & ((F.abs(value) < float("inf")) if kind == "double" else F.lit(True))
+    return F.when(t.isNull() | (t == NULL), None).when(good, value).otherwise(bad)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, source_file, source_row (from 1) and source_offset (in bytes) of the lines, ended by line feeds, of each file.
+
+    Lines are numbered within each split of a file, then shifted by the counts of the splits before it.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    size = F.octet_length("value") + 1
+    within = Window.partitionBy("_f", "_b").orderBy("_m")
+    lines = lines.withColumns({"_row": F.row_number().over(within), "_at": F.sum(size).over(within) - size})
+    splits = lines.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_bytes"))
+    return lines.join(splits, ["_f", "_b"]).select("value", "source_file", (F.col("_row") + F.col("_rows")).alias("source_row"), (F.col("_at") + F.col("_bytes")).alias("source_offset"))
 
 
 def read_strict(spark: SparkSession, path: str, fields: Sequence[Field], key: Sequence[str] = (), source_id: str = "", snapshot_id: str = "", sep: str = "|") -> DataFrame:
-    """Typed rows with source_id, snapshot_id, source_file and source_offset. Fails on a bad literal, a null in a
-    field that has none, a row of another width and, before it returns, on a repeated key."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("source_offset"))
+    """Typed rows with source_id, snapshot_id, source_file, source_row and source_offset. Fails on a bad literal, on bytes that
+    are no UTF-8, a null in a field that has none, a row of another width and, before it returns, on a repeated key."""
+    rows = numbered_lines(spark, path).withColumn("value", F.validate_utf8("value"))
     parts = F.split("value", f"[{sep}]", -1)
     checked = F.when(F.size(parts) == len(fields), parts).otherwise(F.raise_error(F.lit(f"a row has not {len(fields)} fields")))
-    rows = rows.select(checked.alias("_p"), "source_file", "source_offset")
+    rows = rows.select(checked.alias("_p"), "source_file", "source_row", "source_offset")
     cols = []
     for i, f in enumerate(fields):
         value = parsed(F.col("_p")[i], f.kind)
         cols.append((value if f.nullable else F.coalesce(value, F.raise_error(F.lit(f"null in {f.name}")).cast(f.kind))).alias(f.name))
-    out = rows.select(*cols, F.lit(source_id).alias("source_id"), F.lit(snapshot_id).alias("snapshot_id"), "source_file", "source_offset")
+    out = rows.select(*cols, F.lit(source_id).alias("source_id"), F.lit(snapshot_id).alias("snapshot_id"), "source_file", "source_row", "source_offset")
     if key and not out.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError(f"rows repeat the key {list(key)}")
     return out
 
 
+def repeated_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys that several rows have, with the first two of their row numbers and the count."""
+    out = df.groupBy(*key).agg(F.count("*").alias("rows"), F.min("source_row").alias("first_row"), F.max("source_row").alias("last_row"))
+    return out.where("rows > 1")
+
+
+def read_header_csv(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """Rows of a CSV file with a header, as strings; a byte order mark is no part of the first name. Columns that are named must be there."""
+    df = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    return df
+
+
 def widths(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
     """One row: rows, and the different numbers of fields."""
     return spark.read.text(path).agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.size(F.split("value", f"[{sep}]", -1)))).alias("widths"))
@@ -79,11 +111,11 @@ def json_matrix(df: DataFrame, c: str, id_parts: Sequence[str]) -> DataFrame:
 
 
 def geojson_features(df: DataFrame, c: str, properties: str) -> DataFrame:
-    """Properties (a DDL struct) and geometry type of each feature of a collection; other geometries than polygons fail."""
+    """Properties (a DDL struct), geometry type and coordinates (JSON) of each feature; other geometries than polygons fail."""
     schema = f"struct<features:array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>>"
     f = df.select(F.explode(F.from_json(c, schema)["features"]).alias("f"))
     kind = F.col("f.geometry.type")
-    return f.select("f.properties.*", F.when(kind.isin("Polygon", "MultiPolygon"), kind).otherwise(F.raise_error(F.lit("geometry is no polygon"))).alias("geometry_type"))
+    return f.select("f.properties.*", F.when(kind.isin("Polygon", "MultiPolygon"), kind).otherwise(F.raise_error(F.lit("geometry is no polygon"))).alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
 def ewkb_to_wkt(hexes: str | Column) -> Column:

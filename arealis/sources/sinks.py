@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import require_columns, require_unique
@@ -32,13 +33,17 @@ def publish(df: DataFrame, path: str, key: Sequence[str], columns: Sequence[str]
     committer shows either all files or none, and an existing table is never replaced."""
     require_columns(df, columns)
     require_unique(df, key)
-    df.select(*columns).orderBy(*key).write.mode("errorifexists").parquet(path)
+    rows = df.select(*columns)
+    rows.orderBy(*key).write.mode("errorifexists").parquet(path)
+    found, expected = df.sparkSession.read.parquet(path).count(), rows.count()
+    if found != expected:
+        raise RuntimeError(f"{path} holds {found} rows of {expected}")
 
 
 def manifest(df: DataFrame, name: str) -> str:
     """JSON of a dataset's schema, rows and a digest of its rows that doesn't hang on their order."""
-    row = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).first()
-    body = {"name": name, "rows": row["n"], "rows_digest": row["x"], "schema": json.loads(df.schema.json())}
+    row = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("x")).first()
+    body = {"name": name, "rows": row["n"], "rows_digest": str(row["x"]), "schema": json.loads(df.schema.json())}
     return json.dumps(body | {"sha256": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()}, sort_keys=True, indent=2)
 
 
@@ -53,3 +58,12 @@ def rebuild_reason(before: dict | None, inputs: dict[str, str], parameters: dict
     if before["inputs"] != inputs:
         return "input_changed"
     return None if before.get("complete") else "incomplete"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else one under the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the driver ends
+    return path

@@ -42,7 +42,7 @@ def test_json_sources(spark):
     assert [(r.record_id, r["values"]["e"]) for r in pipe.json_matrix(m, "j", ["state", "county"]).collect()] == [("17031", "5"), ("17043", None)]
     page = {"features": [{"properties": {"n": "1"}, "geometry": {"type": "Polygon", "coordinates": []}}]}
     g = spark.createDataFrame([(json.dumps(page),)], "j string")
-    assert [tuple(r) for r in pipe.geojson_features(g, "j", "n string").collect()] == [("1", "Polygon")]
+    assert [tuple(r) for r in pipe.geojson_features(g, "j", "n string").collect()] == [("1", "Polygon", "[]")]
     page["features"][0]["geometry"]["type"] = "Point"
     with pytest.raises(Exception, match="no polygon"):
         pipe.geojson_features(spark.createDataFrame([(json.dumps(page),)], "j string"), "j", "n string").collect()
@@ -98,3 +98,27 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q.awaitTermination(120)
     as_text = lambda df: df.withColumn("window_start", F.col("window_start").cast("string"))
     assert as_text(spark.table("counts")).exceptAll(as_text(windowed_counts(events, "event_type", "value", 10))).isEmpty()
+
+
+def test_strict_reader_numbers_lines_and_refuses_what_is_not_finite_or_utf8(spark, tmp_path):
+    path = write(tmp_path / "n.txt", "".join(f"{i}|{'x' * (i % 7)}\n" for i in range(1, 400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        rows = pipe.read_strict(spark, path, [pipe.Field("id", "long"), pipe.Field("s")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    data = open(path, "rb").read()
+    assert sorted(r.source_row for r in rows) == list(range(1, 400)) and all(r.source_row == r.id for r in rows)
+    assert all(data[r.source_offset :].startswith(f"{r.id}|".encode()) for r in rows)
+    for kind, bad in (("double", "1e999"), ("timestamp", "2024-01-01 10:00:00+00:00"), ("timestamp", "2024-01-01T10:00:00+0000"), ("timestamp", "2024-01-01T10:00:00.1234567Z")):
+        with pytest.raises(Exception, match="not a"):
+            pipe.read_strict(spark, write(tmp_path / "bad.txt", bad + "\n"), [pipe.Field("v", kind)]).collect()
+    (tmp_path / "latin.txt").write_bytes(b"caf\xe9\n")
+    with pytest.raises(Exception, match="(?i)utf"):
+        pipe.read_strict(spark, str(tmp_path / "latin.txt"), [pipe.Field("v")]).collect()
+    assert pipe.read_lenient(spark, str(tmp_path / "latin.txt"), ["v"]).first().v == "caf\ufffd"
+
+
+def test_manifest_tells_repeated_rows_apart(spark):
+    one, other = (spark.createDataFrame([(x,) for x in v], "x long") for v in ((1, 1, 2, 2), (7, 7, 9, 9)))
+    assert json.loads(sinks.manifest(one, "t"))["rows_digest"] != json.loads(sinks.manifest(other, "t"))["rows_digest"]
