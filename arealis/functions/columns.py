@@ -191,3 +191,59 @@ def normal_quantile(p: str | Column) -> Column:
     q = x - 0.5
     inner = _polynomial(_A, q * q) * q / (_polynomial(_B, q * q) * q * q + 1.0)
     return F.when((x <= 0) | (x >= 1), None).when(x < 0.02425, outer).when(x > 1 - 0.02425, -outer).otherwise(inner)
+
+
+# ---- texts for tables and provenance ----
+
+
+def first_label(*cols: str) -> Column:
+    """The first of these that holds more than white space."""
+    return F.coalesce(*[F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")) for c in cols])
+
+
+def to_percent(value: str | Column, unit: str | Column) -> Column:
+    """Percentages as they are, proportions times 100; another unit is an error, a null one null."""
+    v, u = col(value), F.lower(F.trim(col(unit)))
+    bad = F.raise_error(F.concat(F.lit("unknown unit: "), u)).cast("double")
+    return F.when(u.isNull(), None).when(u.isin("percent", "%"), v).when(u == "proportion", v * 100.0).otherwise(bad)
+
+
+def fixed(x: str | Column, digits: int) -> Column:
+    """A number with so many decimals, rounded half up, without thousands separators."""
+    return F.round(col(x), digits).cast(f"decimal(28,{digits})").cast("string")
+
+
+def count_text(n: str | Column, total: str | Column) -> Column:
+    """n (p%) with one decimal."""
+    return F.concat(col(n).cast("string"), F.lit(" ("), fixed(F.try_divide(col(n) * 100.0, col(total).cast("double")), 1), F.lit("%)"))
+
+
+def spread_text(median: Column, low: Column, high: Column, digits: int = 1) -> Column:
+    """median (low, high)."""
+    return F.concat(fixed(median, digits), F.lit(" ("), fixed(low, digits), F.lit(", "), fixed(high, digits), F.lit(")"))
+
+
+def p_text(p: str | Column) -> Column:
+    """Three decimals, and <0.001 below that."""
+    x = finite(p)
+    return F.when(x < 0.001, "<0.001").otherwise(fixed(x, 3))
+
+
+def provenance(*cols: str, sep: str = "; ") -> Column:
+    """name=value of each column that is known, in this order."""
+    return F.concat_ws(sep, *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in cols])
+
+
+def json_of(entries: Column) -> Column:
+    """JSON of a map with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def sentinel(value: str | Column, *codes: float) -> Column:
+    """Codes that stand for a missing value as null."""
+    return F.when(col(value).isin(*codes), None).otherwise(col(value))
+
+
+def formula_like(text: str | Column) -> Column:
+    """Whether a spreadsheet could take a text for a formula."""
+    return F.coalesce(F.ltrim(col(text)).rlike(r"^[=+\-@\t\r]"), F.lit(False))

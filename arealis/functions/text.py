@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Hedging words, and endings of nouns made from verbs.
 HEDGES = ("may", "might", "could", "suggest", "suggests", "appear", "appears", "possibly", "likely")
 NOMINAL = "(tion|ment|ness|ity)$"
+#: A form of to be before a participle in -ed, the mark of the passive.
+PASSIVE = r"(?i)\b(?:is|are|was|were|be|been|being)\s+[a-z]+ed\b"
 
 
 def cleaned(text: Column, boilerplate: str) -> Column:
@@ -82,6 +84,7 @@ def section_metrics(text: Column) -> dict[str, Column]:
         "grade": F.try_divide(n.cast("double") * 0.39, F.size(s).cast("double")) + F.try_divide(n_syllables.cast("double") * 11.8, n.cast("double")) - 15.59,
         "nominal_share": per(F.size(F.filter(lower, lambda x: x.rlike(NOMINAL)))),
         "hedge_share": per(F.size(F.filter(lower, lambda x: x.isin(*HEDGES)))),
+        "passive_share": F.try_divide(F.regexp_count(text, F.lit(PASSIVE)).cast("double"), F.size(s).cast("double")),
         "numeric_share": per(F.size(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)))),
     }
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import joined_sorted
+from ..functions.columns import finite, joined_sorted
 
 
 def shape_summary(df: DataFrame, by: Sequence[str], unit: str, period: str, suppressed: Column) -> DataFrame:
@@ -93,3 +93,29 @@ def persistent_state(df: DataFrame, by: Sequence[str], state: str, least: int =
     counts = df.groupBy(*by, state).agg(F.count("*").alias("_n"))
     top = counts.groupBy(*by).agg(F.max("_n").alias("times"), F.min_by(state, F.struct((-F.col("_n")).alias("n"), F.col(state).alias("s"))).alias("_s"))
     return top.select(*by, F.when(F.col("times") >= least, F.col("_s").cast("string")).otherwise(unstable).alias("persistence"), "times")
+
+
+def condition_frame(df: DataFrame, condition: str, periods: Sequence[int], value: str, suppressed: Column, keep: Column) -> DataFrame:
+    """Rows of one condition and these periods with a finite value, not suppressed (null counts as suppressed), that keep holds for."""
+    known = finite(value).isNotNull()
+    return df.where((F.col("condition") == condition) & F.col("period").isin(*periods) & known & ~F.coalesce(suppressed, F.lit(True)) & F.coalesce(keep, F.lit(False)))
+
+
+def pooled_comparison(df: DataFrame, by: Sequence[str], value: str, other: str, period: str, periods: Sequence[int]) -> DataFrame:
+    """Means of value and other over groups with every period and both values in each, their signed and absolute difference."""
+    rows = df.where(F.col(period).isin(*periods) & F.col(value).isNotNull() & F.col(other).isNotNull())
+    out = rows.groupBy(*by).agg(F.countDistinct(period).alias("_p"), F.avg(value).alias("value"), F.avg(other).alias("other"))
+    return out.where(F.col("_p") == len(set(periods))).drop("_p").withColumns({"difference": F.col("value") - F.col("other"), "distance": F.abs(F.col("value") - F.col("other"))})
+
+
+def availability(df: DataFrame, by: Sequence[str], period: str, available: Column, suppressed: Column, value: str) -> DataFrame:
+    """Of each group's periods: how many, and over them mean and median of the shares of available and suppressed rows and of the annual means."""
+    share = lambda c: F.count_if(F.coalesce(c, F.lit(False))) * 100.0 / F.count("*")
+    years = df.groupBy(*by, period).agg(share(available).alias("_a"), share(suppressed).alias("_s"), F.avg(value).alias("_v"))
+    return years.groupBy(*by).agg(F.count("*").alias("periods"), F.avg("_a").alias("available_mean"), F.median("_a").alias("available_median"), F.avg("_s").alias("suppressed_mean"), F.median("_s").alias("suppressed_median"), F.avg("_v").alias("value_mean"))
+
+
+def collapsed(df: DataFrame, by: Sequence[str], first: Sequence[tuple[str, str]], any_of: Sequence[tuple[str, Column]], most: Sequence[str]) -> DataFrame:
+    """One row a group: columns first by an order (column, order), whether any row matches, largest finite values."""
+    aggs = [F.min_by(c, o).alias(c) for c, o in first] + [F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in any_of] + [F.max(finite(c)).alias(f"max_{c}") for c in most]
+    return df.groupBy(*by).agg(*aggs)

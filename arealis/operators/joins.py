@@ -55,3 +55,20 @@ def reconciled(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFra
 
 def same_sets(left: DataFrame, right: DataFrame) -> bool:
     return left.distinct().exceptAll(right.distinct()).isEmpty() and right.distinct().exceptAll(left.distinct()).isEmpty()
+
+
+def joined_outer(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """All rows of frames that each have the key once, side by side; what a frame lacks is null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, list(key), "full")
+    return out
+
+
+def joined_by_other_name(left: DataFrame, right: DataFrame, on: dict[str, str], how: str = "left") -> DataFrame:
+    """A join on columns that are called otherwise on each side; both stay."""
+    condition = None
+    for a, b in on.items():
+        term = left[a] == right[b]
+        condition = term if condition is None else condition & term
+    return left.join(right, condition, how)

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -145,3 +145,30 @@ def prediction_curve(df: DataFrame, fit: Fit, predictor: str, points: int = 50,
     mean, se = at @ fit.beta, np.sqrt(np.einsum("ij,jk,ik->i", at, fit.covariance, at))
     rows = [tuple(map(float, r)) for r in np.column_stack([at[:, fit.names.index(predictor)], mean, mean - z * se, mean + z * se])]
     return df.sparkSession.createDataFrame(rows, "value double, predicted double, lo double, hi double")
+
+
+_SUMS = ("n", "sx", "sy", "sxx", "sxy")
+
+
+def _slope_sums(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    rows = df.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"))
+
+
+def _slope() -> Column:
+    n = F.col("n").cast("double")
+    return F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), n * F.col("sxx") - F.col("sx") * F.col("sx"))
+
+
+def slopes(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
+    """(by, n, slope) of the simple regression in each group, from one aggregate; null where x doesn't vary."""
+    return _slope_sums(df, by, y, x).select(*by, "n", _slope().alias("slope"))
+
+
+def leave_one_out_slopes(df: DataFrame, by: Sequence[str], part: str, y: str, x: str) -> DataFrame:
+    """(by, part, n, slope): the regression without each part (a period, say), as sums over the group less the part's own."""
+    sums = _slope_sums(df, [*by, part], y, x)
+    every = Window.partitionBy(*by)  # of a row for each part
+    less = sums.select(*by, part, *[(F.sum(c).over(every) - F.col(c)).alias(c) for c in _SUMS])
+    return less.select(*by, part, "n", _slope().alias("slope"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,29 @@ def field_lineage(mapping: DataFrame, target: str, sources: str) -> DataFrame:
     rows = rows.select(target, "output_field", F.explode(F.split("_l", r"\|")).alias("_p"))
     part = F.split(F.trim("_p"), ":")
     return rows.select(target, "output_field", part[0].alias("source"), F.try_element_at(part, F.lit(2)).alias("field"))
+
+
+def all_or_none(df: DataFrame, by: Sequence[str], c: str) -> DataFrame:
+    """Groups in which c is null in some rows but not in all, or has several values: (by, rows, missing, values)."""
+    out = df.groupBy(*by).agg(F.count("*").alias("rows"), (F.count("*") - F.count(c)).alias("missing"), F.countDistinct(c).alias("values"))
+    return out.where("(missing > 0 AND missing < rows) OR values > 1")
+
+
+def gate_report(counts: DataFrame, blocking: Sequence[str]) -> DataFrame:
+    """finding_counts() with the severity of each rule and one state for all: blocked if a blocking rule has findings, review if another has, else passed."""
+    rows = counts.withColumn("severity", F.when(F.col("rule").isin(*blocking), "blocking").otherwise("warning"))
+    every = Window.partitionBy(F.lit(0))  # one row for each rule
+    hard, any_ = (F.bool_or((F.col("findings") > 0) & c).over(every) for c in (F.col("severity") == "blocking", F.lit(True)))
+    return rows.withColumn("state", F.when(hard, "blocked").when(any_, "review").otherwise("passed"))
+
+
+def stale_flags(df: DataFrame, recorded: str, recalculated: Column) -> DataFrame:
+    """Rows whose recorded flag isn't what the rule gives now, nulls told from values."""
+    return df.withColumn("recalculated", recalculated).where(~F.col(recorded).eqNullSafe(F.col("recalculated")))
+
+
+def lineage_gaps(columns: DataFrame, lineage: DataFrame, key: str) -> DataFrame:
+    """Columns without lineage and lineage without a column: (key, problem)."""
+    a, b = columns.select(key).distinct().withColumn("_a", F.lit(True)), lineage.select(key).distinct().withColumn("_b", F.lit(True))
+    problem = F.when(F.col("_b").isNull(), "no_lineage").when(F.col("_a").isNull(), "no_column")
+    return a.join(b, key, "full").select(key, problem.alias("problem")).where("problem IS NOT NULL")

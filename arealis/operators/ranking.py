@@ -78,3 +78,34 @@ def normal_scores(value: str, *by: str) -> Column:
     w = Window.partitionBy(*by, F.col(value).isNull())
     place = (F.row_number().over(w.orderBy(value)) - 0.5) / F.count("*").over(w)
     return F.when(F.col(value).isNotNull(), normal_quantile(place))
+
+
+def average_ranks(df: DataFrame, value: str, by: Sequence[str], name: str = "r", ranges: int = 64) -> DataFrame:
+    """df with percentile_rank() of value, for groups too large for one task.
+
+    Rows are counted by group and value first. Approximate quantiles, whose sketches merge, cut each group into ranges; ranks
+    within a range follow from a sum over its values, and those before it from a sum over the group's ranges. Equal
+    values fall into one range, so the cuts decide on balance only. Nulls get null.
+    """
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    cuts = known.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    counts = counts.join(cuts, list(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_t"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_t").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*by, "_range", before.alias("_before"), F.sum("_t").over(group).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value)) + F.col("_before")
+    ranks = counts.join(totals, [*by, "_range"]).select(*by, value, ((upto - (F.col("_n") - 1) / F.lit(2.0)) / F.col("_all")).alias(name))
+    return df.join(ranks, [*by, value], "left")
+
+
+def by_mapped_rank(order: dict[str, int], c: str, last: int = 1_000_000) -> Column:
+    """The place of a label in a stated order; unknown labels come last."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col(c)), F.lit(last))
+
+
+def bin_indicators(value: str, cuts: Sequence[float], prefix: str = "bin") -> list[Column]:
+    """0 or 1 for each bin above the first; a bound belongs to the bin below it, null gives null."""
+    at = sum(((F.col(value) > c).cast("int") for c in cuts), F.lit(0))
+    return [(at == k).cast("int").alias(f"{prefix}_{k}") for k in range(1, len(cuts) + 1)]

@@ -62,23 +62,22 @@ def cohort_cascade(spark, sf_dir):
     return cohort.cascade(facts(spark, sf_dir), ["condition"], "unit", [(n, F.expr(c)) for n, c in _STEPS])
 
 
-@query("""SELECT l_suppkey AS unit, year(l_shipdate) AS period FROM (
-            SELECT l_suppkey, l_shipdate, l_linestatus, l_returnflag FROM lineitem WHERE l_quantity >= 47) GROUP BY ALL
+@query("""SELECT l_partkey AS unit, year(l_shipdate) AS period FROM lineitem GROUP BY ALL
           HAVING list_sort(list(DISTINCT l_linestatus)) = ['F', 'O'] AND count(*) = 2 AND count(DISTINCT l_returnflag) = 1""")
 def exact_component_pairs(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").where("l_quantity >= 47").select(F.col("l_suppkey").alias("unit"), F.year("l_shipdate").alias("period"), "l_linestatus", "l_returnflag")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("unit"), F.year("l_shipdate").alias("period"), "l_linestatus", "l_returnflag")
     return cohort.with_exact_members(lines, ["unit", "period"], "l_linestatus", ["F", "O"], same="l_returnflag")
 
 
-@query("""WITH areas AS (SELECT DISTINCT s_nationkey AS area FROM supplier), periods AS (SELECT DISTINCT year(l_shipdate) AS period FROM lineitem),
-          n AS (SELECT s_nationkey AS area, year(l_shipdate) AS period, l_linestatus AS component, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount >= 0.1 GROUP BY ALL)
+@query("""WITH areas AS (SELECT DISTINCT s_nationkey AS area FROM supplier), periods AS (SELECT DISTINCT l_shipdate::DATE::VARCHAR AS period FROM lineitem),
+          n AS (SELECT s_nationkey AS area, l_shipdate::DATE::VARCHAR AS period, l_linestatus AS component, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
           SELECT area, period, sum(n)::BIGINT AS merged, coalesce(sum(n), 0)::BIGINT AS merged_or_zero, count(component) AS components
           FROM areas CROSS JOIN periods LEFT JOIN n USING (area, period) GROUP BY ALL""")
 def merged_components(spark, sf_dir):
     """Sums of components on a full grid: null where nothing is known, and zero where the zero rule holds."""
     suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("area"))
-    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("period"), "l_linestatus", "l_discount")
-    n = lines.where("l_discount >= 0.1").join(suppliers, "l_suppkey").groupBy("area", "period").agg(F.count("*").alias("merged"), F.countDistinct("l_linestatus").alias("components"))
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("period"), "l_linestatus")
+    n = lines.join(suppliers, "l_suppkey").groupBy("area", "period").agg(F.count("*").alias("merged"), F.countDistinct("l_linestatus").alias("components"))
     skeleton = joins.grid(suppliers.select("area"), lines.select("period"))
     return joins.densified(n, skeleton, ["area", "period"]).select("area", "period", "merged", F.coalesce("merged", F.lit(0)).alias("merged_or_zero"), F.coalesce("components", F.lit(0)).alias("components"))
 
@@ -570,16 +569,16 @@ def label_coverage(spark, sf_dir):
     return rows.join(left, "source", "left").fillna({"unlabelled": 0})
 
 
-@query("""SELECT 'customer' AS kind, c_custkey AS k, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_nationkey < 3 UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier WHERE s_nationkey < 3""")
-def union_by_name(spark, sf_dir, nations="{} < 3"):
-    c = read(spark, sf_dir, "customer").where(nations.format("c_nationkey")).select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    s = read(spark, sf_dir, "supplier").where(nations.format("s_nationkey")).select(F.col("s_acctbal").alias("balance"), F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("k"))
+@query("""SELECT 'customer' AS kind, c_custkey AS k, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier""")
+def union_by_name(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("k"))
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@query(SQL["union_by_name"].replace(" WHERE c_nationkey < 3", "").replace(" WHERE s_nationkey < 3", ""))
+@query(SQL["union_by_name"])
 def union_by_name_whole(spark, sf_dir):
-    return union_by_name(spark, sf_dir, "true")
+    return union_by_name(spark, sf_dir)
 
 
 @query("""SELECT s_nationkey AS area, array_to_string(list_sort(list(DISTINCT l_returnflag)), '|') AS conditions, array_to_string(list_sort(list(DISTINCT year(l_shipdate)::VARCHAR)), '|') AS periods FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")
@@ -594,7 +593,7 @@ def json_fields(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("events"), F.sum("k").alias("k_sum"), F.count_if(F.col("k") >= 50).alias("high"))
 
 
-_PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM orders" for c in _PROFILED))

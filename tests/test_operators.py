@@ -261,3 +261,33 @@ def test_contiguity_of_areas_that_meet_within_edges(spark):
     for other in (box(1, 1, 3, 5), box(1, 0, 5, 2), box(0, 0, 4, 2), box(1, 0.5, 2, 1), "POLYGON ((2 0, 4 1, 2 2, 0 1, 2 0))"):
         with pytest.raises(Exception, match="intersect"):
             spatial.contiguity(frame({"base": areas["base"], "other": other}), "id", "wkt").collect()
+
+
+def test_null_rules_and_text_ids(spark):
+    from arealis.functions import columns as C
+    from arealis.operators import agreement, cohort, resample
+
+    rows = spark.createDataFrame([("a", 1, 0.01), ("b", 1, 0.02), ("c", 1, float("nan")), ("d", 1, float("nan")), ("e", 1, None)], "k string, f int, p double")
+    got = {r.k: r.p_adjusted for r in agreement.adjusted(rows, "p", ["f"]).collect()}
+    assert got["a"] == got["b"] == 0.02 and got["c"] is got["d"] is got["e"] is None
+    assert spark.range(1).select(C.clamped_interval(F.lit(None).cast("double"), F.lit(1.0))).first()[0] is None
+    many = resample.normal_draws(spark.createDataFrame([(1, None, 1.0), (2, 5.0, 1.0)], "k int, m double, s double"), ["k"], "m", "s", 3, 1)
+    assert {(r.k, r.drawn is None) for r in many.collect()} == {(1, True), (2, False)}
+    links = spark.createDataFrame([("u", "x", 0.5), ("u", "w", 0.5), ("v", "z", 1.0)], "u string, a string, w double")
+    assert {r.u: r.dominant for r in cohort.dominant_link(links, "u", "a", "w").collect()} == {"u": "w", "v": "z"}
+    states = spark.createDataFrame([("u", "hi"), ("u", "lo"), ("u", "hi"), ("v", "lo"), ("v", "hi")], "u string, s string")
+    assert {r.u: r.persistence for r in cohort.persistent_state(states, ["u"], "s").collect()} == {"u": "hi", "v": "unstable"}
+    one = agreement.variance_partition(spark.createDataFrame([(1, 2.0, "a"), (1, 3.0, "a")], "g int, v double, a string"), ["g"], "v", "a").first()
+    assert one.between is None and one.vpc is None and one.within == 0.5
+
+
+def test_p_of_correlations_and_syllables(spark):
+    from arealis.functions import text as T
+    from arealis.operators import agreement
+
+    rows = spark.createDataFrame([(0.5, 27), (None, 9), (1.0, 9), (0.2, 2)], "r double, n int")
+    p = [r.p for r in agreement.with_correlation_p(rows, "r", "n").collect()]
+    assert abs(p[0] - 0.00791) < 1e-4 and p[1] is None and p[2] == 0.0 and p[3] is None
+    texts = spark.createDataFrame([("gate the apple employee rhythm don't Queue-like a e",), ("",), ("...",)], "t string")
+    got = texts.select(T.syllable_count(F.array_join(T.words(F.col("t")), " ")).alias("a"), T.total(T.words(F.col("t")), T.syllables).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
