@@ -1,6 +1,9 @@
+import hashlib
+
 import numpy as np
 import pytest
 
+from arealis.llm import images
 from arealis.llm.images import consensus, copies, decode, descriptors, encode_pgm, encode_png, rendered, resized
 
 
@@ -80,3 +83,25 @@ def test_same_bytes_are_found_whatever_they_show(spark):
     rows = copies(frame([*odd, (7, odd[2][1])]), frame([(100 + i, d) for i, d in odd])).collect()
     assert sorted((r.query_id, r.image_id, r.class_size) for r in rows) == [(101, 1, 1), (102, 2, 1), (103, 3, 2), (104, 4, 1), (106, 6, 1)]
     assert {r.query_id: r.inliers >= 6 for r in rows} == {101: False, 102: False, 103: False, 104: False, 106: True}
+
+
+def test_against_all_pairs_of_descriptors(spark):
+    """Every corner of every query with every corner of every image, in plain code."""
+    rng = np.random.default_rng(12)
+    pictures = [np.clip(128 + 50 * images._blurred(rng.normal(0, 4, (70, 80))), 0, 255) for _ in range(6)]
+    have = [(i, images.encode_pgm(p)) for i, p in enumerate(pictures)] + [(6, images.encode_pgm(pictures[0][8:, 10:])), (7, images.encode_png(pictures[1] * 0.7 + 20)), (8, images.encode_pgm(pictures[2])), (9, None)]
+    want = have[:3] + have[6:8]
+    key = {i: hashlib.sha256(d).hexdigest() for i, d in have if d}
+    rep = {i: min(j for j in key if key[j] == key[i]) for i in key}
+    found = {i: images.descriptors(images.decode(d)) for i, d in have if d}
+    expected = set()
+    for q, _ in want:
+        for i in set(rep.values()):
+            (a, x), (b, y) = found[q], found[i]
+            pairs = [(s, t) for s in range(len(x)) for t in range(len(y)) if (x[s] == y[t]).any() and sum(int(u ^ v).bit_count() for u, v in zip(x[s].tolist(), y[t].tolist())) <= images.APART]
+            inliers = images.consensus(a[[s for s, _ in pairs]], b[[t for _, t in pairs]]) if len(pairs) >= 6 else 0
+            if inliers >= 6 or rep[q] == i:
+                expected.add((q, i))
+    frame = lambda rows: spark.createDataFrame(rows, "image_id long, image binary")
+    got = {(r.query_id, r.image_id) for r in images.copies(frame(have), frame(want)).collect()}
+    assert got == expected and {(6, 0), (7, 1), (0, 6)} <= got
