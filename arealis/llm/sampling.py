@@ -142,10 +142,12 @@ class Lattices:
                 total[r] += np.exp(ways - top[r])
             rest[lo:hi] = top + np.log(total)
         self.log, self.ids, self.upto = np.full((n, most), NONE), np.full((n, most), -1, np.int32), np.zeros((n, most), np.float32)
+        self.ways = np.zeros(n, np.uint8)  # of each position, how many lengths the next piece can have
         for k, (which, weight, ids, target, _) in enumerate(edges):
             chance = np.maximum(weight + rest[target] - rest[which], -745.0)
             at = place[which]
             self.log[at, k], self.ids[at, k], self.upto[at, k] = chance, ids, np.exp(chance)
+            self.ways[at] += 1
         np.cumsum(self.upto, 1, out=self.upto)
         self.upto /= self.upto[:, -1:]
 
@@ -250,7 +252,9 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
         unit = drawn.unit + np.repeat(first_unit - firsts[:-1], np.diff(cuts))
         pos, way, log = drawn.pos, drawn.k, drawn.log
         mass = -np.expm1(log)
-        small = np.flatnonzero(mass < 1e-6)  # summed apart, where the difference from 1 is lost
+        several = lattices.ways[pos] > 1
+        mass[~several] = 0.0
+        small = np.flatnonzero(several & (mass < 1e-6))  # summed apart, where the difference from 1 is lost
         if len(small):
             others = lattices.log[pos[small]]
             others[np.arange(len(small)), way[small]] = NONE
