@@ -84,6 +84,11 @@ class Vocabulary:
         return at, found
 
 
+def _width(points: np.ndarray) -> np.ndarray:
+    """Bytes of code points in UTF-8."""
+    return 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+
+
 class Lattices:
     """Of different units: for every position, the chance of each length of the next piece, given that one is sampled."""
 
@@ -91,6 +96,7 @@ class Lattices:
         v, sizes = vocabulary, np.array([len(u) for u in units])
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         n, most = len(points), min(v.longest, int(sizes.max(initial=1)))
+        width = -(-most // 8) * 8
         ends = sizes.cumsum()
         self.start, self.end, self.points = ends - sizes, ends, points
         # Positions are handled by their distance to the unit's end, units in order of size: those of distance j
@@ -119,8 +125,7 @@ class Lattices:
             at = place[first:]
             row, found = v.look_up(sums.hash(at, at + length))
             if length == 1:  # a code point that is no piece is written as its bytes
-                width = 1 + (points[at] > 0x7F) + (points[at] > 0x7FF) + (points[at] > 0xFFFF)
-                which, weight, ids = np.arange(n), np.where(found, v.score[row], v.byte_score * width), np.where(found, v.id[row], -1)
+                which, weight, ids = np.arange(n), np.where(found, v.score[row], v.byte_score * _width(points[at])), np.where(found, v.id[row], -1)
             else:
                 hit = np.flatnonzero(found)
                 which, weight, ids = hit + base[length], v.score[row[hit]], v.id[row[hit]]
@@ -141,7 +146,7 @@ class Lattices:
             for r, ways in parts:
                 total[r] += np.exp(ways - top[r])
             rest[lo:hi] = top + np.log(total)
-        self.log, self.ids, self.upto = np.full((n, most), NONE), np.full((n, most), -1, np.int32), np.zeros((n, most), np.float32)
+        self.log, self.ids, self.upto = np.full((n, width), NONE), np.full((n, width), -1, np.int32), np.zeros((n, width), np.float32)
         self.ways = np.zeros(n, np.uint8)  # of each position, how many lengths the next piece can have
         for k, (which, weight, ids, target, _) in enumerate(edges):
             chance = np.maximum(weight + rest[target] - rest[which], -745.0)
@@ -153,9 +158,10 @@ class Lattices:
 
     def choose(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The length of the next piece, less one."""
-        k = (self.upto[at] <= u[:, None].astype(np.float32)).sum(1)
-        bad = (k >= self.log.shape[1]) | (self.log[at, np.minimum(k, self.log.shape[1] - 1)] <= NONE / 2)
-        if bad.any():
+        passed = self.upto[at] <= u[:, None].astype(np.float32)
+        k = np.bitwise_count(passed.view(np.uint64)).sum(1, dtype=np.int64)  # eight lengths to a word
+        bad = np.flatnonzero(k == passed.shape[1])  # u rounded to 1; any other k is where the sum has grown, a length there is
+        if len(bad):
             k[bad] = self.log[at[bad]].argmax(1)
         return k
 
@@ -189,14 +195,6 @@ def truncated(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-top, np.log(-np.log(u)) - location)
 
 
-class Numbers(dict):
-    """Things to numbers, in the order in which they are met."""
-
-    def __missing__(self, thing) -> int:
-        number = self[thing] = len(self)
-        return number
-
-
 def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int, with_ids: bool) -> list[list[tuple]]:
     """For each text up to k distinct segmentations, best perturbed value first, as
     (pieces, log_prob, perturbed, log_inclusion, ids_crc32[, ids as little-endian unsigned 32-bit bytes]).
@@ -204,10 +202,9 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     Each turn opens the best node of every text's queue at once; what is done piece by piece is done for all texts together.
     """
     split = [UNIT.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    number = Numbers()
     bounds = np.cumsum([0, *map(len, split)])
-    which = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(bounds[-1]))
-    lattices = Lattices(vocabulary, [*number])
+    which, units = pd.factorize(np.fromiter(chain.from_iterable(split), object, int(bounds[-1])))
+    lattices = Lattices(vocabulary, units.tolist())
     most = lattices.log.shape[1]
     start, end = lattices.start[which], lattices.end[which]
     text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -302,11 +299,13 @@ def _ids(v: Vocabulary, lattices: Lattices, pos: np.ndarray, ids: np.ndarray) ->
     bare = np.flatnonzero(ids < 0)
     if not len(bare):
         return ids
-    parts, last = [], 0
-    for b in bare:
-        parts += [ids[last:b], v.byte_ids[np.frombuffer(chr(lattices.points[pos[b]]).encode("utf-8", "surrogatepass"), np.uint8)]]
-        last = b + 1
-    return np.concatenate([*parts, ids[last:]])
+    points = lattices.points[pos[bare]]
+    data = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+    sizes = np.ones(len(ids), np.int64)
+    sizes[bare] = _width(points)
+    out = np.repeat(ids, sizes)
+    out[out < 0] = v.byte_ids[data]
+    return out
 
 
 _vocabularies: dict[str, Vocabulary] = {}
