@@ -247,3 +247,26 @@ def sentinel(value: str | Column, *codes: float) -> Column:
 def formula_like(text: str | Column) -> Column:
     """Whether a spreadsheet could take a text for a formula."""
     return F.coalesce(F.ltrim(col(text)).rlike(r"^[=+\-@\t\r]"), F.lit(False))
+
+
+def plain_scalar(df_type: str, c: str | Column) -> Column:
+    """A column of this type as one cell of a report: containers as JSON (maps with keys in order), scalars as they are."""
+    if df_type.startswith("map<"):
+        return json_of(col(c))
+    return F.to_json(col(c)) if df_type.startswith(("array<", "struct<")) else col(c)
+
+
+def period_role(period: str | Column, baseline: Sequence, disrupted: Sequence) -> Column:
+    """baseline, disruption or primary_annual; null stays null."""
+    p = col(period)
+    return F.when(p.isNull(), None).when(p.isin(*baseline), "baseline").when(p.isin(*disrupted), "disruption").otherwise("primary_annual")
+
+
+def association_sentence(subject: Column, n: Column, estimate: Column, low: Column, high: Column, scale: Column, forbidden: Sequence[str]) -> Column:
+    """A sentence on an estimate and its interval; an error where subject or scale holds a forbidden term, in whatever case."""
+    text = F.format_string("%s: %d areas, a difference of %.2f per %s (%.2f to %.2f). An association of areas, not of persons.", subject, n, estimate, scale, low, high)
+    said = F.lower(F.concat_ws(" ", subject, scale))
+    bad = F.lit(False)
+    for term in forbidden:
+        bad |= said.contains(term.lower())
+    return F.when(bad, F.raise_error(F.concat(F.lit("forbidden term in: "), said))).otherwise(text)

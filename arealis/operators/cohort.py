@@ -119,3 +119,43 @@ def collapsed(df: DataFrame, by: Sequence[str], first: Sequence[tuple[str, str]]
     """One row a group: columns first by an order (column, order), whether any row matches, largest finite values."""
     aggs = [F.min_by(c, o).alias(c) for c, o in first] + [F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in any_of] + [F.max(finite(c)).alias(f"max_{c}") for c in most]
     return df.groupBy(*by).agg(*aggs)
+
+
+def allocated(counts: DataFrame, weights: DataFrame, unit: str, area: str, weight: str, values: Sequence[str], replicates: Sequence[str] = ()) -> DataFrame:
+    """Counts of units shared out to areas by weight: (area, values, replicates), sums of each value times the unit's share.
+
+    weights has rows of (unit, area, weight), blocks say, any number for each; a unit's share in an area is its weight there over all its
+    weight, the same for every value and replicate. replicates are arrays of one length. Ratios are to be taken of the sums. Units without
+    weight are left out, null values count as nothing.
+    """
+    parts = weights.groupBy(unit, area).agg(F.sum(F.col(weight).cast("double")).alias("_w"))
+    total = weights.groupBy(unit).agg(F.sum(F.col(weight).cast("double")).alias("_all"))
+    rows = parts.join(total, unit).join(counts, unit).withColumn("_s", F.try_divide("_w", "_all")).where("_s IS NOT NULL")
+    out = rows.groupBy(area).agg(*[F.sum(F.col(v) * F.col("_s")).alias(v) for v in values])
+    for name in replicates:
+        each = rows.select(area, F.posexplode(F.transform(name, lambda x: x * F.col("_s"))).alias("_k", "_x")).groupBy(area, "_k").agg(F.sum("_x").alias("_x"))
+        each = each.groupBy(area).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_x"))), lambda r: r["_x"]).alias(name))
+        out = out.join(each, area, "left")
+    return out
+
+
+def replicate_error(estimate: Column, replicates: Column, factor: float = 4.0) -> Column:
+    """Standard error from replicates by successive differences: the root of factor times their mean squared distance."""
+    squares = F.aggregate(replicates, F.lit(0.0), lambda s, x: s + (x - estimate) * (x - estimate))
+    return F.sqrt(F.lit(factor) * F.try_divide(squares, F.size(replicates)))
+
+
+def spread_or_null(df: DataFrame, by: Sequence[str], value: str, least: int = 70) -> DataFrame:
+    """(by, n, iqr) of known values; the range is null in groups of fewer than least."""
+    rows = df.where(finite(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_p"))
+    return rows.select(*by, "n", F.when(F.col("n") >= least, F.col("_p")[1] - F.col("_p")[0]).alias("iqr"))
+
+
+def evidence(frames: Sequence[DataFrame], key: str, metrics: Sequence[str]) -> DataFrame:
+    """(key, metric, value) of several summaries that each have the key once; values that no summary has are left out."""
+    long = lambda f: F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in f.columns if m in metrics]))
+    out = None
+    for f in frames:
+        rows = f.select(key, long(f)).where("value IS NOT NULL")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -72,3 +72,10 @@ def joined_by_other_name(left: DataFrame, right: DataFrame, on: dict[str, str],
         term = left[a] == right[b]
         condition = term if condition is None else condition & term
     return left.join(right, condition, how)
+
+
+def joined_with_suffixes(left: DataFrame, right: DataFrame, key: Sequence[str], suffixes: tuple[str, str]) -> DataFrame:
+    """A left join, one row to one at most; columns that both sides have, but for the key, get a suffix."""
+    shared = (set(left.columns) & set(right.columns)) - set(key)
+    named = lambda df, s: df.select(*[F.col(c).alias(c + s if c in shared else c) for c in df.columns])
+    return checked_join(named(left, suffixes[0]), named(right, suffixes[1]), list(key), "left", "1:1")

@@ -172,3 +172,16 @@ def leave_one_out_slopes(df: DataFrame, by: Sequence[str], part: str, y: str, x:
     every = Window.partitionBy(*by)  # of a row for each part
     less = sums.select(*by, part, *[(F.sum(c).over(every) - F.col(c)).alias(c) for c in _SUMS])
     return less.select(*by, part, "n", _slope().alias("slope"))
+
+
+def residuals(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
+    """df with fitted and residual of each group's simple regression; both null where y, x or the slope is."""
+    sums = _slope_sums(df, by, y, x).withColumn("_b", _slope()).select(*by, "_b", ((F.col("sy") - F.col("_b") * F.col("sx")) / F.col("n")).alias("_a"))
+    out = df.join(sums, list(by), "left").withColumn("fitted", F.when(F.col(y).isNotNull(), F.col("_a") + F.col("_b") * F.col(x)))
+    return out.withColumn("residual", F.col(y) - F.col("fitted")).drop("_a", "_b")
+
+
+def selected(df: DataFrame, by: Sequence[str], y: str, x: str, least: int = 70) -> DataFrame:
+    """(by, n, slope, role): primary with at least least complete rows and an x that varies, audit_only otherwise."""
+    rows = slopes(df, by, y, x)
+    return rows.withColumn("role", F.when((F.col("n") >= least) & F.col("slope").isNotNull(), "primary").otherwise("audit_only"))

@@ -89,3 +89,46 @@ def lineage_gaps(columns: DataFrame, lineage: DataFrame, key: str) -> DataFrame:
     a, b = columns.select(key).distinct().withColumn("_a", F.lit(True)), lineage.select(key).distinct().withColumn("_b", F.lit(True))
     problem = F.when(F.col("_b").isNull(), "no_lineage").when(F.col("_a").isNull(), "no_column")
     return a.join(b, key, "full").select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def recomputed(df: DataFrame, other: DataFrame, key: Sequence[str], tolerances: dict[str, float]) -> DataFrame:
+    """(measure, rows, unmatched, largest, agrees) of figures worked out twice; a figure that only one side has is unmatched."""
+    both = df.select(*key, *[F.col(c).cast("double").alias(f"a_{c}") for c in tolerances]).join(other.select(*key, *[F.col(c).cast("double").alias(f"b_{c}") for c in tolerances]), list(key), "full")
+    rows = both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b"), F.lit(t).alias("most")) for c, t in tolerances.items()])))
+    out = rows.groupBy("measure").agg(F.count("*").alias("rows"), F.count_if(F.col("a").isNull() != F.col("b").isNull()).alias("unmatched"), F.max(F.abs(F.col("a") - F.col("b"))).alias("largest"), F.max("most").alias("most"))
+    return out.select("measure", "rows", "unmatched", "largest", ((F.col("unmatched") == 0) & (F.coalesce("largest", F.lit(0.0)) < F.col("most"))).alias("agrees"))
+
+
+def claim_audit(claims: DataFrame, evidence: DataFrame, key: Sequence[str], tolerance: float) -> DataFrame:
+    """claims (key, claimed) with the evidence's value and a status: supported, contradicted, or no_evidence."""
+    rows = claims.join(evidence.select(*key, "value"), list(key), "left")
+    status = F.when(F.col("value").isNull(), "no_evidence").when(F.abs(F.col("value") - F.col("claimed")) <= tolerance, "supported").otherwise("contradicted")
+    return rows.withColumn("status", status)
+
+
+def result_rules(names: dict[str, str], identity: str, name: str, denominator: str, figures: Sequence[str], authorised: str) -> list[tuple[str, Column]]:
+    """Rules for result rows: known id, the id's own name, nonnegative denominator, finite figures where given, not authorised."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    bad = lambda c: F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    return [
+        ("unknown_id", F.coalesce(~F.col(identity).isin(*names), F.lit(True))),
+        ("other_name", F.try_element_at(known, F.col(identity)) != F.coalesce(F.col(name), F.lit(""))),
+        ("denominator", F.coalesce(F.col(denominator) < 0, F.lit(True))),
+        ("authorised", F.coalesce(F.col(authorised), F.lit(True))),
+        *[(f"{c}_not_finite", bad(c)) for c in figures],
+    ]
+
+
+def column_classes(names: DataFrame, c: str, rules: Sequence[tuple[str, str]], default: str) -> DataFrame:
+    """names with a class: that of the first pattern (class, pattern) that the column's name matches."""
+    out = F.lit(default)
+    for kind, pattern in reversed(rules):
+        out = F.when(F.col(c).rlike(pattern), kind).otherwise(out)
+    return names.withColumn("class", out)
+
+
+def not_run(expected: DataFrame, results: DataFrame, key: Sequence[str], reason: Column) -> DataFrame:
+    """One row per expected key: status ran, or not_run with a reason and no figures."""
+    rows = expected.join(results.withColumn("_ran", F.lit(True)), list(key), "left")
+    ran = F.col("_ran").isNotNull()
+    return rows.withColumns({"status": F.when(ran, "ran").otherwise("not_run"), "reason": F.when(~ran, reason)}).drop("_ran")

@@ -283,3 +283,36 @@ def stability(ols: float, spatial: float, limit: float = 0.2) -> str:
 
 def needs_escalation(moran_i: float, p: float) -> bool:
     return abs(moran_i) >= 0.10 and p < 0.05
+
+
+def shapes(areas: DataFrame, key: str, wkt: str) -> DataFrame:
+    """(key, rings, corners, surface, x, y): surface and centroid of polygons by sums over their edges.
+
+    Outer rings and holes run in opposite senses, as valid text has them. Areas without a corner or surface give a null centroid;
+    texts without numbers have no rows.
+    """
+    at = Window.partitionBy(key, "ring").orderBy("at")
+    ring = Window.partitionBy(key, "ring")
+    rows = vertices(areas, key, wkt)
+    after = lambda c: F.coalesce(F.lead(c).over(at), F.first(c).over(at))
+    rows = rows.withColumns({"_x": after("x"), "_y": after("y"), "_n": F.count("*").over(ring)})
+    cross = F.col("x") * F.col("_y") - F.col("_x") * F.col("y")
+    sums = rows.groupBy(key).agg(F.count_distinct("ring").alias("rings"), F.count("*").alias("corners"), F.min("_n").alias("_least"), F.sum(cross).alias("_s"), F.sum((F.col("x") + F.col("_x")) * cross).alias("_cx"), F.sum((F.col("y") + F.col("_y")) * cross).alias("_cy"))
+    return sums.select(key, "rings", "corners", (F.abs("_s") / 2).alias("surface"), F.try_divide("_cx", F.col("_s") * 3).alias("x"), F.try_divide("_cy", F.col("_s") * 3).alias("y"))
+
+
+def weight_faults(weights: DataFrame, areas: DataFrame, key: str, tolerance: float = 1e-12) -> DataFrame:
+    """(fault, n) of what weights (src, dst, w) must not have, zeros included; connectedness is not looked at."""
+    w = F.col("w")
+    pairs = weights.groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    rows = pairs.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("src") == F.col("dst")).alias("to_itself"), F.count_if(F.coalesce((w < 0) | F.isnan(w) | (F.abs(w) == float("inf")), F.lit(True))).alias("not_a_weight"))
+    one_way = pairs.select("src", "dst").join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti").agg(F.count("*").alias("one_way"))
+    sums = weights.groupBy("src").agg(F.sum("w").alias("_w"))
+    uneven = sums.agg(F.count_if(F.abs(F.col("_w") - 1) > tolerance).alias("not_standardised"))
+    islands = areas.select(F.col(key).alias("src")).join(sums, "src", "left_anti").agg(F.count("*").alias("islands"))
+    strangers = sums.join(areas.select(F.col(key).alias("src")), "src", "left_anti").agg(F.count("*").alias("strangers"))
+    out = None
+    for frame in (rows, one_way, uneven, islands, strangers):  # of one row each
+        long = frame.select(F.inline(F.array(*[F.struct(F.lit(c).alias("fault"), F.col(c).alias("n")) for c in frame.columns])))
+        out = long if out is None else out.unionByName(long)
+    return out

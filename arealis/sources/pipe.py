@@ -168,3 +168,44 @@ def verified(found: DataFrame, ledger: DataFrame) -> DataFrame:
     both = found.select("path", "sha256").join(ledger.select("path", F.col("sha256").alias("expected")), "path", "full")
     problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(F.col("sha256") != F.col("expected"), "changed")
     return both.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def read_headed(spark: SparkSession, path: str, fields: Sequence[str], patterns: dict[str, str], sep: str = "|") -> DataFrame:
+    """Rows of separated text, as strings, whose header must be exactly fields.
+
+    A header that differs is an error at once; a row with another number of fields, or a value that its column's
+    pattern doesn't match as a whole, is one when it is read.
+    """
+    lines = numbered_lines(spark, path).select(F.col("source_row").alias("_n"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
+    heads = {r["value"] for r in lines.where("_n = 1").select("value").distinct().take(2)}  # of all files
+    if heads != {sep.join(fields)}:
+        raise ValueError(f"the header of {path} is not {sep.join(fields)}")
+    parts = F.split("value", f"[{sep}]", -1)
+    good = F.size(parts) == len(fields)
+    for name, pattern in patterns.items():
+        good &= F.coalesce(F.try_element_at(parts, F.lit(list(fields).index(name) + 1)).rlike(f"^(?:{pattern})$"), F.lit(False))
+    rows = lines.where("_n > 1").where(F.assert_true(good, F.concat(F.lit("malformed row "), F.col("_n").cast("string"))).isNull())
+    return rows.select(*[parts[i].alias(n) for i, n in enumerate(fields)])
+
+
+def probed_count(text: str | Column, most: int = 2**31 - 1) -> Column:
+    """The count that a page states: [{"count": n}], a feature collection of one such feature, or CSV of a header and a row.
+
+    Null for anything else: more rows than one, signs, leading zeros, fractions, a number above most.
+    """
+    c = F.trim(col(text))
+    listed = F.from_json(F.when(c.startswith("["), c), "array<struct<count:string>>")
+    features = F.from_json(F.when(F.get_json_object(c, "$.type") == "FeatureCollection", c), "features array<struct<properties:struct<count:string>>>")["features"]
+    table = F.when(c.rlike(r'^"?count"?\r?\n"?\d+"?$'), F.regexp_extract(c, r'(\d+)"?$', 1))
+    one = lambda rows, value: F.when(F.size(rows) == 1, value)
+    said = F.coalesce(one(listed, F.try_element_at(listed, F.lit(1))["count"]), one(features, F.try_element_at(features, F.lit(1))["properties"]["count"]), table)
+    n = F.when(said.rlike("^(0|[1-9][0-9]{0,17})$"), said.try_cast("long"))
+    return F.when(n <= most, n)
+
+
+def read_verified_json(spark: SparkSession, path: str, schema: str, ledger: DataFrame) -> DataFrame:
+    """JSON lines of path's files, which must be the ledger's (path, sha256) and no others, unchanged."""
+    wrong = verified(checksums(spark, path), ledger).orderBy("path").take(5)
+    if wrong:
+        raise ValueError(f"files differ from the ledger: {[tuple(r) for r in wrong]}")
+    return spark.read.schema(schema).json(path)

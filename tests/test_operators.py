@@ -291,3 +291,48 @@ def test_p_of_correlations_and_syllables(spark):
     texts = spark.createDataFrame([("gate the apple employee rhythm don't Queue-like a e",), ("",), ("...",)], "t string")
     got = texts.select(T.syllable_count(F.array_join(T.words(F.col("t")), " ")).alias("a"), T.total(T.words(F.col("t")), T.syllables).alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got]
+
+
+# ---- reports ----
+
+
+def test_allocation_keeps_totals_and_replicates(spark):
+    weights = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 1.0), ("b", 2, 5.0), ("c", 3, 0.0), (None, 3, 1.0)], "u string, area int, w double")
+    counts = spark.createDataFrame([("a", 8.0, [4.0, 12.0]), ("b", 2.0, [2.0, 2.0]), ("c", 9.0, [9.0, 9.0]), ("d", 7.0, [7.0, 7.0])], "u string, n double, r array<double>")
+    got = cohort.allocated(counts, weights, "u", "area", "w", ["n"], ["r"]).orderBy("area").collect()
+    assert [(r.area, r.n, r.r) for r in got] == [(1, 6.0, [3.0, 9.0]), (2, 4.0, [3.0, 5.0])]
+    df = spark.createDataFrame([(6.0, [3.0, 9.0]), (1.0, []), (None, [1.0])], "n double, r array<double>")
+    assert column(df, cohort.replicate_error(F.col("n"), F.col("r"))) == [6.0, None, None]
+
+
+def test_claims_records_and_sentences(spark):
+    claims = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.0)], "k string, claimed double")
+    evidence = spark.createDataFrame([("a", 1.05), ("b", 1.0), ("c", None)], "k string, value double")
+    assert {r.k: r.status for r in quality.claim_audit(claims, evidence, ["k"], 0.1).collect()} == {"a": "supported", "b": "contradicted", "c": "no_evidence"}
+    rows = spark.createDataFrame([("A1", "one", 1, 1.0, False), ("A1", None, -1, float("nan"), True), ("X", "one", None, None, None)], "id string, name string, d int, e double, ok boolean")
+    found = {tuple(r) for r in quality.findings(rows.withColumn("k", F.concat_ws("/", "id", "name")), "k", quality.result_rules({"A1": "one"}, "id", "name", "d", ["e"], "ok")).collect()}
+    assert found == {("other_name", "A1"), ("denominator", "A1"), ("authorised", "A1"), ("e_not_finite", "A1"), ("unknown_id", "X/one"), ("denominator", "X/one"), ("authorised", "X/one")}
+    text = lambda subject: spark.range(1).select(C.association_sentence(F.lit(subject), F.lit(70), F.lit(1.0), F.lit(0.5), F.lit(1.5), F.lit("unit"), ["Caused by"])).first()[0]
+    assert text("Rates").startswith("Rates: 70 areas, a difference of 1.00 per unit (0.50 to 1.50).")
+    with pytest.raises(Exception, match="forbidden term"):
+        text("rates caused BY age")
+
+
+def test_recomputed_figures_and_residuals(spark):
+    a = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, None)], "k int, x double, y double")
+    b = spark.createDataFrame([(1, 1.0 + 1e-12, 5.0), (2, 2.0, 6.0)], "k int, x double, y double")
+    assert {r.measure: (r.rows, r.unmatched, r.agrees) for r in quality.recomputed(a, b, ["k"], {"x": 1e-8, "y": 1e-8}).collect()} == {"x": (2, 0, True), "y": (2, 1, False)}
+    df = spark.createDataFrame([("g", 1.0, 1.0), ("g", 2.0, 3.0), ("g", 3.0, 2.0), ("g", None, 1.0), ("h", 1.0, 1.0)], "g string, x double, y double")
+    got = {(r.g, r.x): r.residual for r in linear.residuals(df, ["g"], "y", "x").collect()}
+    assert got[("g", None)] is None and got[("h", 1.0)] is None and [round(got[("g", x)], 9) for x in (1.0, 2.0, 3.0)] == [-0.5, 1.0, -0.5]
+    assert {r.g: r.role for r in linear.selected(df, ["g"], "y", "x", 3).collect()} == {"g": "primary", "h": "audit_only"}
+
+
+def test_shapes_with_holes_and_weight_faults(spark):
+    square = "(0 0, 4 0, 4 4, 0 4, 0 0)"
+    areas = spark.createDataFrame([("s", f"POLYGON ({square})"), ("h", f"POLYGON ({square}, (0 0, 0 2, 2 2, 2 0, 0 0))"), ("m", f"MULTIPOLYGON (({square}), ((8 0, 12 0, 12 4, 8 4, 8 0)))"), ("e", "POLYGON EMPTY")], "k string, wkt string")
+    got = {r.k: (r.rings, r.surface, round(r.x, 6), round(r.y, 6)) for r in spatial.shapes(areas, "k", "wkt").collect()}
+    assert got == {"s": (1, 16.0, 2.0, 2.0), "h": (2, 12.0, round(28 / 12, 6), round(28 / 12, 6)), "m": (2, 32.0, 6.0, 2.0)}
+    w = spark.createDataFrame([("a", "b", 0.5), ("a", "a", 0.5), ("b", "a", 1.0), ("b", "c", -1.0), ("x", "a", 1.0), ("x", "a", 0.0)], "src string, dst string, w double")
+    found = {r.fault: r.n for r in spatial.weight_faults(w, spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), "k").collect()}
+    assert found == {"repeated": 1, "to_itself": 1, "not_a_weight": 1, "one_way": 2, "not_standardised": 1, "islands": 1, "strangers": 1}

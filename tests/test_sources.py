@@ -122,3 +122,35 @@ def test_strict_reader_numbers_lines_and_refuses_what_is_not_finite_or_utf8(spar
 def test_manifest_tells_repeated_rows_apart(spark):
     one, other = (spark.createDataFrame([(x,) for x in v], "x long") for v in ((1, 1, 2, 2), (7, 7, 9, 9)))
     assert json.loads(sinks.manifest(one, "t"))["rows_digest"] != json.loads(sinks.manifest(other, "t"))["rows_digest"]
+
+
+def test_headed_reader_checks_header_width_and_patterns(spark, tmp_path):
+    read = lambda text: pipe.read_headed(spark, write(tmp_path / f"{abs(hash(text))}.txt", text), ["a", "b"], {"b": r"\d+"})
+    assert [tuple(r) for r in read("﻿a|b\r\nx|1\r\n|22\r\n").collect()] == [("x", "1"), ("", "22")]
+    assert read("a|b\n").collect() == []
+    for text in ("a|c\nx|1\n", "x|1\n", ""):
+        with pytest.raises(ValueError, match="header"):
+            read(text)
+    for text in ("a|b\nx|1|2\n", "a|b\nx\n", "a|b\nx|1a\n", "a|b\nx|\n"):
+        with pytest.raises(Exception, match="malformed row 2"):
+            read(text).collect()
+
+
+def test_probed_counts(spark):
+    said = {
+        '[{"count": "12"}]': 12, '[{"count": 12}]': 12, "count\n12\n": 12, '"count"\n"12"': 12, " [{\"count\": 0}] ": 0,
+        '{"type": "FeatureCollection", "features": [{"properties": {"count": 3}}]}': 3,
+        '{"count": 12}': None, '[{"count": "012"}]': None, '[{"count": -1}]': None, '[{"count": 1.0}]': None, '[{"count": true}]': None, '[{"n": 1}]': None,
+        '[{"count": 1}, {"count": 2}]': None, "[]": None, "count\n1\n2\n": None, "count\n101\n": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    assert {r.t: r.n for r in df.select("t", pipe.probed_count("t", 100).alias("n")).collect()} == said
+
+
+def test_json_is_read_only_if_the_ledger_agrees(spark, tmp_path):
+    write(tmp_path / "a.json", '{"k": 1}\n')
+    listed = pipe.checksums(spark, str(tmp_path)).select("path", "sha256")
+    assert pipe.read_verified_json(spark, str(tmp_path), "k long", listed).first().k == 1
+    for ledger in (listed.withColumn("sha256", F.lit("0")), listed.limit(0)):
+        with pytest.raises(ValueError, match="ledger"):
+            pipe.read_verified_json(spark, str(tmp_path), "k long", ledger)
