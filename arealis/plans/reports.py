@@ -15,14 +15,14 @@ from .records import _lines
 # ---- files ----
 
 
-@query("SELECT c_nationkey AS k, CASE WHEN c_nationkey % 5 < 3 THEN count(*) END AS n FROM customer GROUP BY 1")
+@query("SELECT c_nationkey AS k, CASE WHEN c_nationkey % 5 < 3 THEN count(*) ELSE -1 END AS n FROM customer GROUP BY 1")
 def probed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, form = F.col("n").cast("string"), F.col("k") % 5
     rows = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
     page = F.when(form == 0, F.concat(F.lit('[{"count": "'), n, F.lit('"}]'))).when(form == 1, F.concat(F.lit("count\n"), n, F.lit("\n")))
     page = page.when(form == 2, F.concat(F.lit('{"type": "FeatureCollection", "features": [{"properties": {"count": '), n, F.lit("}}]}")))
     page = page.when(form == 3, F.concat(F.lit('[{"count": "0'), n, F.lit('"}]'))).otherwise(F.concat(F.lit('{"count": '), n, F.lit("}")))
-    return rows.select("k", pipe.probed_count(page).alias("n"))
+    return rows.select("k", F.coalesce(pipe.probed_count(page), F.lit(-1)).alias("n"))  # -1: the page states none
 
 
 _LINKS = ("zone", "tract", "land", "water")
