@@ -93,7 +93,7 @@ class Lattices:
     """Of different units: for every position, the chance of each length of the next piece, given that one is sampled."""
 
     def __init__(self, vocabulary: Vocabulary, units: list[str]):
-        v, sizes = vocabulary, np.array([len(u) for u in units])
+        v, sizes = vocabulary, np.array([len(u) for u in units], np.int64)
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         n, most = len(points), min(v.longest, int(sizes.max(initial=1)))
         width = -(-most // 8) * 8

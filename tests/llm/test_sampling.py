@@ -91,3 +91,10 @@ def test_round_trips_and_seeds(spark, v):
     best = decode(encode(docs, PATH), PATH, text_col="back").collect()
     assert all(r.back == r.text for r in best if r.doc_id != 8)
     assert NONE < -1e200
+
+
+def test_only_empty_texts_and_code_points_that_are_no_piece(v):
+    assert [[f[0] for f in found] for found in sample_texts(v, ["", ""], keys(2), 2, False)] == [[0], [0]]
+    texts = ["🦄🦄 x𝕏é 中文字 — ½\n\nend", "", "ᚠᛇᚻ", "x" * 5000, "\x00\x01 tab\tq"]
+    for text, found in zip(texts, sample_texts(v, texts, keys(5), 3, True)):
+        assert {v.model.decode(np.frombuffer(f[5], "<u4").astype(int).tolist()) for f in found} == {text}
