@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, images, language, mincut, minhash, packing, repeats, sampling, secrets
+from . import audit, exact, images, language, mincut, minhash, packing, repeats, sampling, secrets
 from .shared import table
 
 
@@ -64,13 +64,17 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.copies(images.rendered(vectors), images.rendered(vectors.where("vec_id % 20 = 0"), edited=True))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interaction_audit(audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes, op10_image_copies, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes, op10_image_copies, op11_filter_interactions, pipeline)}
 
 SQL = {
     "op2_exact_dedup": """
@@ -98,4 +102,21 @@ SQL = {
         r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (g) AS m, count(*) FILTER (edge) AS spans, string_agg(hex(c), '' ORDER BY p) FILTER (NOT g) AS kept FROM e GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(m, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN r USING (doc_id)
     """,
+    "op11_filter_interactions": """
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS g, bool_or(toxic = 1) AS x FROM labels GROUP BY doc_id),
+        m AS (SELECT part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+                     + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(e, false)::INT AS mask, coalesce(g, false) AS g, coalesce(x, false) AS x FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (g) AS g, count(*) FILTER (x) AS x FROM m GROUP BY part, mask),
+        o AS (SELECT '' AS filter_order, 0 AS step, 0 AS before, 0 AS after, 0 AS bit UNION ALL
+              SELECT filter_order || substr('ABCDE', i::INT, 1), step + 1, after, after | (1 << (i - 1)::INT), 1 << (i - 1)::INT FROM o, range(1, 6) AS r(i) WHERE after & (1 << (i - 1)::INT) = 0),
+        s AS (SELECT f.filter_order, p.step, p.before, p.after, p.bit FROM o AS f JOIN o AS p ON f.step = 5 AND p.step > 0 AND starts_with(f.filter_order, p.filter_order)),
+        r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & after = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN x ELSE 0 END) AS toxic_lost
+              FROM c, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+               toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
+    """,
 }

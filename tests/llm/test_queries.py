@@ -10,9 +10,12 @@ from arealis.llm import queries
 @pytest.mark.parametrize("data", ["sf0.001", "sf0.01"])
 def test_query_matches_sql(spark, name, data):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/{data}/documents.parquet')")
-    got = queries.QUERIES[name](spark, f"/root/testdata/{data}").toPandas().sort_values("doc_id").reset_index(drop=True)
-    want = con.sql(queries.SQL[name]).df().sort_values("doc_id").reset_index(drop=True)
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/{data}/{t}.parquet')")
+    got = queries.QUERIES[name](spark, f"/root/testdata/{data}").toPandas()
+    key = ["doc_id"] if "doc_id" in got else ["part", "filter_order", "step"]
+    got = got.sort_values(key).reset_index(drop=True)
+    want = con.sql(queries.SQL[name]).df().sort_values(key).reset_index(drop=True)
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     for c in want.columns:
         assert (got[c].astype(want[c].dtype) == want[c]).all(), c
