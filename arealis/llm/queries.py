@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, exact, images, language, mincut, minhash, packing, repeats, sampling, secrets
+from . import align, audit, exact, images, language, mincut, minhash, packing, repeats, sampling, secrets
 from .shared import table
 
 
@@ -68,13 +68,17 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interaction_audit(audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))[0]
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes, op10_image_copies, op11_filter_interactions, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes, op10_image_copies, op11_filter_interactions, op12_token_alignment, pipeline)}
 
 SQL = {
     "op2_exact_dedup": """
