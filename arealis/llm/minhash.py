@@ -10,7 +10,7 @@ candidate pair is verified on the whole shingle vectors.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -116,15 +116,15 @@ def runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[tu
     return groupby(rows, key=lambda row: tuple(row[k] for k in key))
 
 
-def linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each pivot a, whose row comes first in its run, with the run's other rows."""
+def linked(batches: Iterator[pa.RecordBatch], threshold: float, may: Callable[[dict, dict], bool] | None = None) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each pivot a, whose row comes first in its run, with the run's other rows; may() sorts out pairs before."""
     out: list[tuple[int, int]] = []
     for (a, _), rows in runs(batches, ("a", "slot")):
         first = next(rows)
         if first["role"]:
             raise RuntimeError("a pivot is missing")
         pivot = vector(first["hashes"], first["counts"])
-        out += [(a, row["id"]) for row in rows if probability_jaccard(*pivot, *vector(row["hashes"], row["counts"])) >= threshold - 1e-12]
+        out += [(a, row["id"]) for row in rows if (may is None or may(first, row)) and probability_jaccard(*pivot, *vector(row["hashes"], row["counts"])) >= threshold - 1e-12]
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=LINKS)
             out = []
@@ -214,6 +214,53 @@ def each_across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=LINKS)
 
 
+def grouped(rest: DataFrame, made: DataFrame, threshold: float, may: Callable[[dict, dict], bool] | None = None) -> DataFrame:
+    """(id, root): the smallest id that a chain of links reaches, for all ids of rest.
+
+    rest has (key, id): documents that share a key may be alike, others are not. made has (id, hashes, counts, size) and
+    whatever else may() reads; both are tables that can be read again.
+    """
+    place = stored(rest.select("id").distinct().withColumn("root", F.col("id")), "place")
+
+    def opened(rest: DataFrame) -> DataFrame:
+        """Members of buckets that hold several classes: key, id, root, a (the least member), a_root, size and shingles of the bucket."""
+        here = rest.join(place, "id")
+        heads = here.groupBy("key").agg(F.min(F.struct("id", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        return here.join(heads.select("key", F.col("p.id").alias("a"), F.col("p.root").alias("a_root"), "size"), "key")
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """Links of pairs (a, b, size): copies of the pivot a's vector, each beside its share of the others."""
+        pairs = pairs.groupBy("a", "b").agg(F.max("size").alias("size"))
+        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / F.lit(float(BESIDE)))).cast("int").alias("slot"))
+        pivots = pairs.groupBy("a").agg(F.max("slot").alias("slots")).select("a", F.explode(F.sequence(F.lit(0), "slots")).alias("slot"), F.lit(0).alias("role"), F.col("a").alias("id"))
+        sides = pivots.unionByName(pairs.select("a", "slot", F.lit(1).alias("role"), F.col("b").alias("id"))).join(made.drop("size"), "id").repartition("a", "slot").sortWithinPartitions("a", "slot", "role")
+        return stored(sides.mapInArrow(lambda batches: linked(batches, threshold, may), "a long, b long"), name)
+
+    def joined(links: DataFrame) -> DataFrame:
+        """place after these links."""
+        root = lambda c: place.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+        between = stored(links.join(root("a"), "a").join(root("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "between")
+        if between.isEmpty():
+            return place
+        roots = connected(between).select(F.col("node").alias("root"), F.col("root").alias("less"))
+        return stored(place.join(roots, "root", "left").select("id", F.coalesce("less", "root").alias("root")), "place")
+
+    for turn in range(PIVOTS):
+        others = stored(opened(rest).where("id > a"), "open")
+        if others.isEmpty():
+            break
+        place = joined(compared(others.where("root <> a_root").select("a", F.col("id").alias("b"), "size"), "links"))
+        rest = others.select("key", "id")
+    else:
+        left = opened(rest).select("key", "id", "root").join(made, "id")
+        weight = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK))), F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("blocks"))
+        parts = left.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        parts = parts.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "root", "hashes", "counts")
+        late = parts.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: each_across(batches, threshold), "a long, b long")
+        place = joined(stored(late, "late"))
+    return place
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 26, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, rep_id and class_id.
 
@@ -268,48 +315,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rest = stored(banded.join(shared.select("key"), "key"), "buckets")
 
-    place = stored(rest.select("id").distinct().withColumn("root", F.col("id")), "place")
-    made = source.join(place.select("id"), "id", "left_semi").mapInArrow(vectors, "id long, name binary, hashes binary, counts binary")
+    made = source.join(rest.select("id").distinct(), "id", "left_semi").mapInArrow(vectors, "id long, name binary, hashes binary, counts binary")
     made = made.groupBy("id").agg(F.max(F.struct("name", "hashes", "counts")).alias("v")).select("id", "v.hashes", "v.counts")
-    made = stored(made.withColumn("size", F.expr("octet_length(hashes) div 8")), "vectors")
-
-    def opened(rest: DataFrame) -> DataFrame:
-        """Members of buckets that hold several classes: key, id, root, a (the least member), a_root, size and shingles of the bucket."""
-        here = rest.join(place, "id")
-        heads = here.groupBy("key").agg(F.min(F.struct("id", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        return here.join(heads.select("key", F.col("p.id").alias("a"), F.col("p.root").alias("a_root"), "size"), "key")
-
-    def compared(pairs: DataFrame, name: str) -> DataFrame:
-        """Links of pairs (a, b, size): copies of the pivot a's vector, each beside its share of the others."""
-        pairs = pairs.groupBy("a", "b").agg(F.max("size").alias("size"))
-        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / F.lit(float(BESIDE)))).cast("int").alias("slot"))
-        pivots = pairs.groupBy("a").agg(F.max("slot").alias("slots")).select("a", F.explode(F.sequence(F.lit(0), "slots")).alias("slot"), F.lit(0).alias("role"), F.col("a").alias("id"))
-        sides = pivots.unionByName(pairs.select("a", "slot", F.lit(1).alias("role"), F.col("b").alias("id"))).join(made.select("id", "hashes", "counts"), "id")
-        sides = sides.select("a", "slot", "role", "id", "hashes", "counts").repartition("a", "slot").sortWithinPartitions("a", "slot", "role")
-        return stored(sides.mapInArrow(lambda batches: linked(batches, threshold), "a long, b long"), name)
-
-    def joined(links: DataFrame) -> DataFrame:
-        """place after these links."""
-        root = lambda c: place.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
-        between = stored(links.join(root("a"), "a").join(root("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "between")
-        if between.isEmpty():
-            return place
-        roots = connected(between).select(F.col("node").alias("root"), F.col("root").alias("less"))
-        return stored(place.join(roots, "root", "left").select("id", F.coalesce("less", "root").alias("root")), "place")
-
-    for turn in range(PIVOTS):
-        others = stored(opened(rest).where("id > a"), "open")
-        if others.isEmpty():
-            break
-        place = joined(compared(others.where("root <> a_root").select("a", F.col("id").alias("b"), "size"), "links"))
-        rest = others.select("key", "id")
-    else:
-        left = opened(rest).select("key", "id", "root").join(made, "id")
-        weight = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK))), F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("blocks"))
-        parts = left.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        parts = parts.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "root", "hashes", "counts")
-        late = parts.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: each_across(batches, threshold), "a long, b long")
-        place = joined(stored(late, "late"))
+    place = grouped(rest, stored(made.withColumn("size", F.expr("octet_length(hashes) div 8")), "vectors"), threshold)
     classes = members.join(place.withColumnRenamed("id", "rep_id"), "rep_id", "left")
     return classes.select(F.col("id").alias("doc_id"), "rep_id", F.coalesce("root", "rep_id").alias("class_id"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, audit, exact, images, language, mincut, minhash, packing, repeats, sampling, secrets
+from . import align, audit, exact, images, jaccard, language, mincut, minhash, packing, repeats, sampling, secrets
 from .shared import table
 
 
@@ -72,13 +72,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))[0]
 
 
+def op13_gram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes, op10_image_copies, op11_filter_interactions, op12_token_alignment, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_exact_dedup, op3_probminhash, op4_repeated_words, op5_repeated_bytes, op6_secret_forest, op7_minimum_cut, op8_gumbel_segmentations, op9_language_codes, op10_image_copies, op11_filter_interactions, op12_token_alignment, op13_gram_jaccard, pipeline)}
 
 SQL = {
     "op2_exact_dedup": """
@@ -123,4 +127,13 @@ SQL = {
         SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
                toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
     """,
+    "op13_gram_jaccard": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+        x AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM g),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM x AS a JOIN x AS b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 85 * (n + m - c)),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT doc_id, len(g) AS n_shingles, least(doc_id, (SELECT min(b) FROM r WHERE r.a = doc_id)) AS component_id FROM g
+    """,
 }
