@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from arealis.llm import jaccard, minhash
+from arealis.llm import jaccard
 
 
 def brute(docs, percent=85, width=4):
@@ -61,9 +61,10 @@ def corpus(seed):
 def test_components_match_all_pairs(spark, monkeypatch, seed, percent, width, small):
     if small:
         monkeypatch.setattr(jaccard, "SLICE", 3000)
-        monkeypatch.setattr(minhash, "PIVOTS", 1)
-        monkeypatch.setattr(minhash, "BLOCK", 6)
-        monkeypatch.setattr(minhash, "BESIDE", 4)
+        monkeypatch.setattr(jaccard, "ROUNDS", 1)
+        monkeypatch.setattr(jaccard, "SMALL", 5)
+        monkeypatch.setattr(jaccard, "BLOCK", 6)
+        monkeypatch.setattr(jaccard, "BESIDE", 4)
     docs = corpus(seed)
     frame = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, key int, name string").repartition(3)
     rows = jaccard.linked_groups(frame, percent, width).collect()
@@ -91,7 +92,7 @@ def test_prefixes_of_pairs_that_are_alike_share_what_is_asked():
 def test_frequent_grams_lengthen_the_prefix():
     assert jaccard.chosen_prefix(np.r_[np.ones(80), np.full(20, 9)].astype(int), 85) == (16, 1)
     few, many = jaccard.chosen_prefix(np.full(100, 2), 85), jaccard.chosen_prefix(np.r_[np.full(16, 900), np.full(84, 901)], 85)
-    assert many == few and many[1] > 1  # what all grams cost alike doesn't tell between them
+    assert many == few and many[1] > 1  # what is alike for all grams doesn't decide
     assert jaccard.chosen_prefix(np.r_[np.full(16, 3), np.full(84, 9000)], 85)[1] == 1
 
 
