@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import overlay, spatial
-from .catalogue import query, r6
+from ..operators import local, networks, overlay, spatial, spatial_error
+from ..sources.sinks import written
+from .catalogue import _DRAW, query, r6
 from .facts import read
 
 WIDE = 40
@@ -90,3 +91,69 @@ def estimates_with_states(spark, sf_dir):
     k = F.col("c_custkey")
     wide = read(spark, sf_dir, "customer").select(k.alias("unit"), F.when(k % 7 == 0, -666666666.0).otherwise(F.col("c_acctbal")).alias("a_e"), F.when(k % 5 == 0, -222222222.0).when(k % 5 == 1, -555555555.0).otherwise(1.5).alias("a_m"), F.col("c_nationkey").alias("b_e"), F.when(k % 3 == 0, -333333333.0).alias("b_m"))
     return overlay.unpivoted_pairs(wide, ["unit"], {"a": ("a_e", "a_m"), "b": ("b_e", "b_m")})
+
+
+# ---- neighbourhoods of the units ----
+
+_NEAR = f"{_UNITS}, e AS (SELECT a.unit AS src, b.unit AS dst, a.grp AS g, b.grp AS h FROM u a JOIN u b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND a.unit <> b.unit)"
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges (src, dst) of squares that touch, both ways, as a table: the graph is built once."""
+    return written(spatial.contiguity(units(spark, sf_dir), "unit", "wkt"), "neighbours")
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, r AS (SELECT unit AS a, unit AS b FROM u UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src AND g = h), c AS (SELECT a, min(b) AS component FROM r GROUP BY a), s AS (SELECT component, count(*) AS n FROM c GROUP BY component)
+           SELECT sum(n)::BIGINT AS nodes, count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1) AS islands, count(*) = 1 AS connected FROM s""")
+def region_connectivity(spark, sf_dir):
+    """Connected parts of the squares when only neighbours of one nation hang together."""
+    rows = units(spark, sf_dir)
+    of = lambda c: rows.select(F.col("unit").alias(c), F.col("grp").alias(f"g_{c}"))
+    same = neighbours(spark, sf_dir).join(of("src"), "src").join(of("dst"), "dst").where("g_src = g_dst").select("src", "dst")
+    return networks.connectivity(rows, "unit", same)
+
+
+@query(f"""WITH {_NEAR}, w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM e) SELECT count(*) AS edges, sum({_DRAW.format("'0|' || src || '|' || dst || '|' || printf('%.12f', w)")})::BIGINT AS checksum FROM w""")
+def neighbour_checksum(spark, sf_dir):
+    return networks.weights_checksum(spatial.row_standardised(neighbours(spark, sf_dir)))
+
+
+@query()
+def connecting_band_of_units(spark, sf_dir):
+    """The least distance at which points within the squares hang together; tested against whole matrices, as SQL can't express it."""
+    k = F.col("unit")
+    rows = units(spark, sf_dir).select("unit", (F.col("x") + (k * 37 % 101) / 101.0).alias("px"), (F.col("y") + (k * 59 % 103) / 103.0).alias("py"))
+    return networks.connecting_band(rows, "unit", "px", "py").select(r6("threshold"), "edges", "points")
+
+
+_REPLICATES = 99
+_PICK = _DRAW.format("'41|' || unit || '|' || replicate || '|' || s[1]")
+
+
+@query(f"""WITH {_NEAR}, v AS (SELECT c_custkey AS unit, c_acctbal AS v, (c_custkey * 7919 % 1009)::DOUBLE AS o FROM customer),
+           z AS (SELECT unit, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS z, (o - avg(o) OVER ()) / stddev_pop(o) OVER () AS o, count(*) OVER () AS n, row_number() OVER (ORDER BY substr(md5(unit::VARCHAR), 1, 3), unit) - 1 AS place FROM v),
+           l AS (SELECT src AS unit, count(*) AS d, avg(z) AS lag, sum(z) AS s, avg(o) AS olag FROM e JOIN z ON unit = dst GROUP BY src), f AS (SELECT * FROM z JOIN l USING (unit)),
+           t AS (SELECT unit, replicate, place, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(range(1, d + 1), lambda i: [i])), lambda a, s: list_append(a, CASE WHEN list_contains(a, {_PICK} % (n - 1 - d + s[1])) THEN n - 1 - d + s[1] - 1 ELSE {_PICK} % (n - 1 - d + s[1]) END))) AS t FROM f, range({_REPLICATES}) r(replicate)),
+           p AS (SELECT t.unit, replicate, avg(z.z) AS lag, sum(z.z) AS s, avg(z.o) AS olag FROM t JOIN z ON z.place = t + (t >= t.place)::INT GROUP BY ALL),
+           g AS (SELECT f.unit, replicate, f.z * f.lag AS a1, f.z * p.lag AS b1, (f.z + f.s) / sqrt((n * (d + 1.0::DOUBLE) - (d + 1) ** 2) / (n - 1)) AS a2, (f.z + p.s) / sqrt((n * (d + 1.0::DOUBLE) - (d + 1) ** 2) / (n - 1)) AS b2, f.z * f.olag AS a3, f.z * p.olag AS b3 FROM f JOIN p ON p.unit = f.unit),
+           m AS (SELECT unit, family, a, b, avg(b) OVER (PARTITION BY unit, family) AS c FROM (SELECT unit, 'local_moran' AS family, a1 AS a, b1 AS b FROM g UNION ALL SELECT unit, 'getis_ord_gi_star', a2, b2 FROM g UNION ALL SELECT unit, 'bivariate_lisa', a3, b3 FROM g)),
+           q AS (SELECT unit, family, any_value(a) AS statistic, (count(*) FILTER (abs(b - c) >= abs(a - c) - 1e-12) + 1) / {_REPLICATES + 1}.0::DOUBLE AS p_raw FROM m GROUP BY ALL),
+           k AS (SELECT *, p_raw * count(*) OVER (PARTITION BY family) / (rank() OVER (PARTITION BY family ORDER BY p_raw) + count(*) OVER (PARTITION BY family, p_raw) - 1) AS k FROM q)
+           SELECT unit, family, round(statistic, 6) AS statistic, round(p_raw, 6) AS p_raw, round(least(1, min(k) OVER (PARTITION BY family ORDER BY p_raw DESC RANGE UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM k""")
+def conditional_local_tests(spark, sf_dir):
+    """Local Moran, Gi* and bivariate LISA of the squares with conditional permutations and adjusted p-values."""
+    values = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_acctbal").alias("v"), (F.col("c_custkey") * 7919 % 1009).cast("double").alias("o"))
+    out = local.conditional_diagnostics(values, "unit", "v", neighbours(spark, sf_dir), _REPLICATES, 41, "o")
+    return out.select("unit", "family", *[r6(c) for c in ("statistic", "p_raw", "p_adjusted")])
+
+
+@query()
+def spatial_error_sensitivity(spark, sf_dir):
+    """Coefficients and contrasts of a model with correlated errors beside its ordinary fit; tested against whole matrices, as SQL can't express it."""
+    edges = neighbours(spark, sf_dir)
+    k = F.col("unit")
+    rows = units(spark, sf_dir).select("unit", (k * 7919 % 1009 / 100.0).alias("h"), (k * 104729 % 1013 / 100.0).alias("d"), "x", "y", "c_acctbal")
+    # the outcome rises along the map, which leaves errors of neighbours alike
+    rows = written(rows.select("unit", "h", "d", (0.7 * F.col("h") - 0.2 * F.col("d") + F.col("c_acctbal") / 2000.0 + 3.0 * F.sin(F.col("x") / 5.0)).alias("v")), "model")
+    found = spatial_error.fit(rows, "unit", "v", ["h", "d"], edges)
+    return spatial_error.sensitivity_table(spark, {"C1": found, "C2": None}, {"C1": {"C1": {"h": 1.0, "d": 1.0}, "C1-H": {"h": 1.0}, "C1-D": {"d": 1.0}}})
