@@ -129,12 +129,13 @@ def variance_partition(df: DataFrame, by: Sequence[str], value: str, area: str)
     What isn't defined (one area, or no area with several units) is null.
     """
     groups = df.where(F.col(value).isNotNull() & F.col(area).isNotNull()).groupBy(*by, area).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count("*")).alias("_s"))
-    sums = groups.groupBy(*by).agg(F.sum("_n").alias("n"), F.count("*").alias("areas"), F.sum("_s").alias("ssw"), F.sum(F.col("_n") * F.col("_m")).alias("_nm"), F.sum(F.col("_n") * F.col("_m") * F.col("_m")).alias("_nmm"), F.sum(F.col("_n") * F.col("_n")).alias("_nn"))
+    every = Window.partitionBy(*by)  # of a row for each area
+    groups = groups.withColumn("_d", F.col("_m") - F.sum(F.col("_n") * F.col("_m")).over(every) / F.sum("_n").over(every))
+    sums = groups.groupBy(*by).agg(F.sum("_n").alias("n"), F.count("*").alias("areas"), F.sum("_s").alias("ssw"), F.sum(F.col("_n") * F.col("_d") * F.col("_d")).alias("ssb"), F.sum(F.col("_n") * F.col("_n")).alias("_nn"))
     n, k = F.col("n").cast("double"), F.col("areas").cast("double")
-    ssb = F.col("_nmm") - F.col("_nm") * F.col("_nm") / n
     n_bar = F.try_divide(n - F.col("_nn") / n, k - 1)
     within = F.try_divide(F.col("ssw"), n - k)
-    raw = F.try_divide(F.try_divide(ssb, k - 1) - within, n_bar)
+    raw = F.try_divide(F.try_divide(F.col("ssb"), k - 1) - within, n_bar)
     between = F.when(raw.isNotNull(), F.greatest(F.lit(0.0), raw))  # greatest() skips nulls
     return sums.select(*by, "n", "areas", n_bar.alias("n_bar"), within.alias("within"), between.alias("between"), F.try_divide(between, between + within).alias("vpc"))
 

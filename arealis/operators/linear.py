@@ -76,13 +76,23 @@ def complete(df: DataFrame, outcome: str, predictors: Sequence[str], weight: str
 def least_squares(df: DataFrame, outcome: str, predictors: Sequence[str], weight: str | None = None) -> Fit:
     """OLS or WLS with HC3 covariance; rows that complete() leaves out don't count. Raises if the design is singular."""
     rows = complete(df, outcome, predictors, weight)
-    terms, w, y = _terms(predictors), F.col(weight).cast("double") if weight else F.lit(1.0), F.col(outcome).cast("double")
-    gram = _products(rows, terms, None, w)
-    rank = int(np.linalg.matrix_rank(gram))
+    w, y = F.col(weight).cast("double") if weight else F.lit(1.0), F.col(outcome).cast("double")
+    about = rows.agg(*[F.avg(F.col(c).cast("double")) for c in (outcome, *predictors)]).first()
+    if about[0] is None:
+        raise ValueError("the design has not full rank")
+    centre = np.array([float(x) for x in about[1:]])
+    near = [F.lit(1.0), *[F.col(c).cast("double") - float(m) for c, m in zip(predictors, centre)]]
+    gram, terms = _products(rows, near, None, w), _terms(predictors)
+    size = np.sqrt(np.diag(gram))
+    rank = int(np.linalg.matrix_rank(gram / np.outer(size, size))) if (size > 0).all() else 0
     if rank < len(terms):
         raise ValueError("the design has not full rank")
-    bread = np.linalg.inv(gram)
-    beta = bread @ _products(rows, terms, y, w)
+    move = np.eye(len(terms))  # of coefficients about the means to those of the columns as they are
+    move[0, 1:] = -centre
+    inside = np.linalg.inv(gram)
+    beta = move @ (inside @ _products(rows, near, y - float(about[0]), w))
+    beta[0] += float(about[0])
+    bread = move @ inside @ move.T
     residual, leverage = residual_columns(predictors, outcome, beta, bread, weight)
     # HC3: squared residuals over (1 - leverage), as weights of the cross products
     u = residual / (1.0 - leverage)
@@ -147,38 +157,41 @@ def prediction_curve(df: DataFrame, fit: Fit, predictor: str, points: int = 50,
     return df.sparkSession.createDataFrame(rows, "value double, predicted double, lo double, hi double")
 
 
-_SUMS = ("n", "sx", "sy", "sxx", "sxy")
-
-
-def _slope_sums(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    rows = df.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"))
-
-
-def _slope() -> Column:
-    n = F.col("n").cast("double")
-    return F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), n * F.col("sxx") - F.col("sx") * F.col("sx"))
+def _pairs(df: DataFrame, y: str, x: str) -> DataFrame:
+    """df with _y and _x, both null unless both are numbers."""
+    b, a = F.col(y).cast("double"), F.col(x).cast("double")
+    good = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    return df.withColumns({"_x": F.when(good, a), "_y": F.when(good, b)})
 
 
 def slopes(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
-    """(by, n, slope) of the simple regression in each group, from one aggregate; null where x doesn't vary."""
-    return _slope_sums(df, by, y, x).select(*by, "n", _slope().alias("slope"))
+    """(by, n, slope) of the simple regression in each group, from one aggregate about its means; null where x doesn't vary."""
+    return _pairs(df, y, x).where("_x IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("_y", "_x").alias("slope"))
 
 
 def leave_one_out_slopes(df: DataFrame, by: Sequence[str], part: str, y: str, x: str) -> DataFrame:
-    """(by, part, n, slope): the regression without each part (a period, say), as sums over the group less the part's own."""
-    sums = _slope_sums(df, [*by, part], y, x)
+    """(by, part, n, slope): the regression without each part (a period, say), from moments of the parts.
+
+    The group's moments about its mean, less the part's, are moved to the mean of what remains.
+    """
+    n = F.count("*").cast("double")
+    parts = _pairs(df, y, x).where("_x IS NOT NULL").groupBy(*by, part).agg(n.alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), (n * F.var_pop("_x")).alias("xx"), (n * F.covar_pop("_x", "_y")).alias("xy"))
     every = Window.partitionBy(*by)  # of a row for each part
-    less = sums.select(*by, part, *[(F.sum(c).over(every) - F.col(c)).alias(c) for c in _SUMS])
-    return less.select(*by, part, "n", _slope().alias("slope"))
+    parts = parts.withColumns({"_n": F.sum("n").over(every), "dx": F.col("mx") - F.sum(F.col("n") * F.col("mx")).over(every) / F.sum("n").over(every), "dy": F.col("my") - F.sum(F.col("n") * F.col("my")).over(every) / F.sum("n").over(every)})
+    parts = parts.withColumns({"xx": F.col("xx") + F.col("n") * F.col("dx") * F.col("dx"), "xy": F.col("xy") + F.col("n") * F.col("dx") * F.col("dy")})
+    rest = F.col("_n") - F.col("n")
+    move = lambda c: F.try_divide(F.col("n") * F.col(c), rest)  # noqa: E731  # of the mean, with its sign turned
+    left = lambda c, d: F.sum(c).over(every) - F.col(c) - rest * move("dx") * move(d)
+    parts = parts.withColumns({"_xx": left("xx", "dx"), "_xy": left("xy", "dy"), "_all": F.sum("xx").over(every)})
+    varies = (rest > 1) & (F.col("_xx") > F.col("_all") * 1e-13)
+    return parts.select(*by, part, rest.cast("long").alias("n"), F.when(varies, F.try_divide("_xy", "_xx")).alias("slope"))
 
 
 def residuals(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
     """df with fitted and residual of each group's simple regression; both null where y, x or the slope is."""
-    sums = _slope_sums(df, by, y, x).withColumn("_b", _slope()).select(*by, "_b", ((F.col("sy") - F.col("_b") * F.col("sx")) / F.col("n")).alias("_a"))
-    out = df.join(sums, list(by), "left").withColumn("fitted", F.when(F.col(y).isNotNull(), F.col("_a") + F.col("_b") * F.col(x)))
-    return out.withColumn("residual", F.col(y) - F.col("fitted")).drop("_a", "_b")
+    sums = _pairs(df, y, x).groupBy(*by).agg(F.regr_slope("_y", "_x").alias("_b"), F.avg(F.when(F.col("_x").isNotNull(), F.col("_x"))).alias("_mx"), F.avg("_y").alias("_my"))
+    out = df.join(sums, list(by), "left").withColumn("fitted", F.when(F.col(y).isNotNull(), F.col("_my") + F.col("_b") * (F.col(x) - F.col("_mx"))))
+    return out.withColumn("residual", F.col(y) - F.col("fitted")).drop("_b", "_mx", "_my")
 
 
 def selected(df: DataFrame, by: Sequence[str], y: str, x: str, least: int = 70) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import local, networks, overlay, spatial, spatial_error
+from ..operators import local, models, networks, overlay, spatial, spatial_error
 from ..sources.sinks import written
 from .catalogue import _DRAW, query, r6
 from .facts import read
@@ -157,3 +157,53 @@ def spatial_error_sensitivity(spark, sf_dir):
     rows = written(rows.select("unit", "h", "d", (0.7 * F.col("h") - 0.2 * F.col("d") + F.col("c_acctbal") / 2000.0 + 3.0 * F.sin(F.col("x") / 5.0)).alias("v")), "model")
     found = spatial_error.fit(rows, "unit", "v", ["h", "d"], edges)
     return spatial_error.sensitivity_table(spark, {"C1": found, "C2": None}, {"C1": {"C1": {"h": 1.0, "d": 1.0}, "C1-H": {"h": 1.0}, "C1-D": {"d": 1.0}}})
+
+
+# ---- models of customers by region ----
+
+_FRAME = """f AS (SELECT c_custkey AS k, n_regionkey AS region, c_nationkey AS nation, c_acctbal / 100 AS y, coalesce(p, 0) / 1000 AS x1, coalesce(m, 0)::DOUBLE AS x2, coalesce(m, 0) + 1.0::DOUBLE AS w FROM customer JOIN nation ON n_nationkey = c_nationkey
+          LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS p, count(*) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
+_SOLVE = """ (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2"""
+_MOMENTS = "count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, count(*) * var_pop(x1) AS s11, count(*) * var_pop(x2) AS s22, count(*) * covar_pop(x1, x2) AS s12, count(*) * covar_pop(x1, y) AS s1y, count(*) * covar_pop(x2, y) AS s2y"
+
+
+def customer_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.avg("o_totalprice").alias("p"), F.count("*").alias("m"))
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") / 100).alias("y")).join(nations, "nation").join(orders, "k", "left")
+    m = F.coalesce("m", F.lit(0)).cast("double")
+    return rows.select("k", "region", "nation", "y", (F.coalesce("p", F.lit(0.0)) / 1000).alias("x1"), m.alias("x2"), (m + 1).alias("w"))
+
+
+@query(f"""WITH {_FRAME}, s AS (SELECT region, {_MOMENTS} FROM f GROUP BY region), b AS (SELECT *, {_SOLVE}, s22 / (s11 * s22 - s12 * s12) AS i11, s11 / (s11 * s22 - s12 * s12) AS i22, -s12 / (s11 * s22 - s12 * s12) AS i12 FROM s),
+           e AS (SELECT region, n, b1, b2, y - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS e, 1.0::DOUBLE / n + i11 * (x1 - m1) ** 2 + 2 * i12 * (x1 - m1) * (x2 - m2) + i22 * (x2 - m2) ** 2 AS h, i11 * (x1 - m1) + i12 * (x2 - m2) AS g1, i12 * (x1 - m1) + i22 * (x2 - m2) AS g2 FROM f JOIN b USING (region)),
+           v AS (SELECT region, any_value(n) AS n, any_value(b1) AS b1, any_value(b2) AS b2, sqrt(sum((g1 * e / (1 - h)) ** 2)) AS v1, sqrt(sum((g2 * e / (1 - h)) ** 2)) AS v2, sqrt(sum(((g1 + g2) * e / (1 - h)) ** 2)) AS v3 FROM e GROUP BY region),
+           l AS (SELECT region, 'first' AS contrast, n, b1 AS estimate, v1 AS se FROM v UNION ALL SELECT region, 'second', n, b2, v2 FROM v UNION ALL SELECT region, 'both', n, b1 + b2, v3 FROM v)
+           SELECT region, contrast, n, round(estimate, 5) AS estimate, round(se, 5) AS se, round(estimate - 2.241402727604947 * se, 5) AS lo, round(estimate + 2.241402727604947 * se, 5) AS hi FROM l""")
+def regional_models(spark, sf_dir):
+    """Two predictors by region in one job: HC3 errors and contrasts at the 0.975 level."""
+    fitted = models.robust_fits(customer_frame(spark, sf_dir), ["region"], "y", ["x1", "x2"])
+    out = models.contrasts(fitted, ["region"], ["x1", "x2"], {"first": {"x1": 1.0}, "second": {"x2": 1.0}, "both": {"x1": 1.0, "x2": 1.0}}, level=0.975)
+    return out.select("region", "contrast", "n", *[F.round(c, 5).alias(c) for c in ("estimate", "se", "lo", "hi")])
+
+
+@query(f"""WITH {_FRAME}, s AS (SELECT p.region, p.nation, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, count(*) * var_pop(x1) AS s11, count(*) * var_pop(x2) AS s22, count(*) * covar_pop(x1, x2) AS s12, count(*) * covar_pop(x1, y) AS s1y, count(*) * covar_pop(x2, y) AS s2y
+             FROM (SELECT DISTINCT region, nation FROM f) p JOIN f ON f.region = p.region AND f.nation <> p.nation GROUP BY p.region, p.nation)
+           SELECT region, nation, n, round(b1, 5) AS b1, round(b2, 5) AS b2 FROM (SELECT *, {_SOLVE} FROM s)""")
+def models_without_nations(spark, sf_dir):
+    """Each region's model without each of its nations, from moments."""
+    out = models.without_parts(customer_frame(spark, sf_dir), ["region"], "nation", "y", ["x1", "x2"])
+    return out.select("region", "nation", "n", F.round(F.col("beta")[1], 5).alias("b1"), F.round(F.col("beta")[2], 5).alias("b2"))
+
+
+_WEIGHED = "count(*) AS n, sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * y) / sum(w) AS my"
+
+
+@query(f"""WITH {_FRAME}, v AS (SELECT 'all' AS variant, * FROM f UNION ALL SELECT 'with_orders', * FROM f WHERE x2 > 0 UNION ALL SELECT 'positive', * FROM f WHERE y > 0), m AS (SELECT variant, {_WEIGHED} FROM v GROUP BY variant),
+           s AS (SELECT variant, any_value(n) AS n, sum(w * (x1 - m1) ** 2) AS s11, sum(w * (x2 - m2) ** 2) AS s22, sum(w * (x1 - m1) * (x2 - m2)) AS s12, sum(w * (x1 - m1) * (y - my)) AS s1y, sum(w * (x2 - m2) * (y - my)) AS s2y FROM v JOIN m USING (variant) GROUP BY variant)
+           SELECT variant, n, round(b1, 5) AS b1, round(b2, 5) AS b2 FROM (SELECT *, {_SOLVE} FROM s)""")
+def weighted_variants(spark, sf_dir):
+    """Weighted fits of three variants of the rows in one job."""
+    rows = models.with_variants(customer_frame(spark, sf_dir), {"all": None, "with_orders": F.col("x2") > 0, "positive": F.col("y") > 0})
+    out = models.fits(rows, ["variant"], "y", ["x1", "x2"], "w")
+    return out.select("variant", "n", F.round(F.col("beta")[1], 5).alias("b1"), F.round(F.col("beta")[2], 5).alias("b2"))
