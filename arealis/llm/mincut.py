@@ -30,6 +30,7 @@ IN_FAVOUR = frozenset("article articlebody body content contentbody entry hentry
 
 TAG = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"([\w:\-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -44,6 +45,8 @@ class Segment:
     marks: int = 0  # sentence marks
     heads: int = 0
     items: int = 0
+    links: bool = False  # of blocks that are links mostly
+    hidden: bool = False  # by attribute or style
     tags: frozenset[str] = frozenset()
     against: bool = False
     in_favour: bool = False
@@ -68,8 +71,8 @@ def segments(html: str) -> list[Segment]:
         text = " ".join(unescape("".join(words)).split())
         words.clear()
         if text:
-            node = containers[-1]
-            if not out or out[-1].node != node:
+            node, links = containers[-1], linked >= 0.8 * len(text)
+            if not out or out[-1].node != node or out[-1].links != links:
                 _, _, tags, against, in_favour = stack[-1]
                 a, b = (out[-1].node if out else node), node
                 while a != b:  # up to the container of both: in all no more steps than containers open and close
@@ -77,7 +80,7 @@ def segments(html: str) -> list[Segment]:
                         a = parents[a]
                     else:
                         b = parents[b]
-                out.append(Segment([], node, depths[node], depths[a], tags=tags, against=against, in_favour=in_favour))
+                out.append(Segment([], node, depths[node], depths[a], tags=tags, against=against, in_favour=in_favour, links=links, hidden="hidden" in tags))
             s = out[-1]
             s.texts.append(text)
             s.chars += len(text)
@@ -90,9 +93,9 @@ def segments(html: str) -> list[Segment]:
     def close(depth: int) -> None:
         nonlocal in_link
         while len(stack) > depth:
-            tag = stack.pop()[0]
+            tag, node = stack.pop()[:2]
             open_tags[tag] -= 1
-            if tag in CONTAINER:
+            if node != stack[-1][1]:
                 containers.pop()
             in_link -= tag == "a"
 
@@ -141,19 +144,24 @@ def segments(html: str) -> list[Segment]:
         if tag in VOID or m[3].endswith("/"):
             continue
         _, _, tags, against, in_favour = stack[-1]
-        if tag in CONTAINER:
-            parents.append(containers[-1])
-            depths.append(depths[containers[-1]] + 1)
-            containers.append(len(parents) - 1)
-            names = set()
+        if tag in BLOCK:
+            names, unseen = set(), set()
             for name, *values in ATTRIBUTE.findall(m[3]):
                 if name.lower() in ("class", "id", "role", "aria-label"):
                     names |= {x.lower() for v in values for x in NAME_PART.findall(v)}
-                elif name.lower() == "hidden":
-                    names.add("hidden")
-            tags = tags | {tag}
-            against = against or bool(names & AGAINST)
-            in_favour = (in_favour or bool(names & IN_FAVOUR)) and not names & AGAINST
+                elif name.lower() == "hidden" or name.lower() == "style" and any(HIDING.search(v) for v in values):
+                    unseen = {"hidden"}  # among the tags, too
+            # what the whole page is called says nothing of its parts, nor does the name of a form that holds them
+            names -= AGAINST if tag in ("html", "body") else {"form"} if tag == "form" else set()
+            if tag in CONTAINER or names & AGAINST or unseen:
+                parents.append(containers[-1])
+                depths.append(depths[containers[-1]] + 1)
+                containers.append(len(parents) - 1)
+                tags = tags | {tag} | unseen
+                if tag in ("main", "article") or names & IN_FAVOUR and not names & AGAINST:
+                    tags = tags - {"form", "fieldset"}  # a form around the content is none of its parts
+                against = against or bool(names & AGAINST)
+                in_favour = (in_favour or bool(names & IN_FAVOUR)) and not names & AGAINST
         stack.append((tag, containers[-1], tags, against, in_favour))
         open_tags[tag] += 1
         in_link += tag == "a"
@@ -178,6 +186,8 @@ def _raw_ends(html: str, tag: str) -> dict[int, int]:
 
 
 FEATURES = 14
+#: The score of what no reader sees, below that of anything else.
+UNSEEN = -60.0
 
 
 def features(s: Segment, place: float) -> list[float]:
@@ -216,7 +226,9 @@ def labelled_segments(pages: int = 400, seed: int = 23) -> tuple[np.ndarray, np.
             parts.append((0, box("header", "header", words(3) + links(2))))
         if rng.random() < 0.5:
             parts.append((0, f"<div class='{rng.choice(['ad', 'banner', 'cookie-notice', 'promo', 'newsletter'])}'>{words(rng.randint(3, 20))}.</div>"))
-        body = [f"<h1>{words(6)}</h1>" + prose(rng.randint(1, 9)) for _ in range(rng.randint(1, 2))]
+        notice = lambda: f"<{(t := rng.choice(['p', 'div', 'aside']))} class='{rng.choice(['ad', 'advert', 'promo', 'share', 'newsletter', 'related'])}'>zz {words(rng.randint(1, 12))}.</{t}>"
+        cells = lambda: "<table>" + "".join(f"<tr><td>{words(rng.randint(1, 2))}</td><td>{rng.randint(1, 999)}</td></tr>" for _ in range(rng.randint(1, 5))) + "</table>"
+        body = [f"<h1>{words(6)}</h1>" + prose(rng.randint(1, 5)) + (cells() if rng.random() < 0.3 else "") + (notice() if rng.random() < 0.4 else "") + prose(rng.randint(1, 4)) for _ in range(rng.randint(1, 2))]
         name = rng.choice(["content", "post", "entry-content", "", ""])
         for i, b in enumerate(body):
             parts.append((1, f"<article>{b}</article>" if semantic else f"<div class='{name}'>{b}</div>"))
@@ -229,7 +241,7 @@ def labelled_segments(pages: int = 400, seed: int = 23) -> tuple[np.ndarray, np.
         if rng.random() < 0.4:
             parts.append((0, f"<form>{words(4)}<p>{words(3)}</p></form>"))
         parts.append((0, box("footer", "footer", words(rng.randint(3, 14)) + rng.choice([".", links(3)]))))
-        found = [(y, s) for y, p in parts for s in segments(p)]
+        found = [(y and not s.texts[0].startswith("zz "), s) for y, p in parts for s in segments(p)]
         for i, (y, s) in enumerate(found):
             rows.append(features(s, i / max(len(found) - 1, 1)))
             labels.append(y)
@@ -320,6 +332,7 @@ def main_text(html: str | None, weights: np.ndarray, next_to: float = 0.3, same_
     if not found:
         return ""
     x = np.array([features(s, i / max(len(found) - 1, 1)) for i, s in enumerate(found)]) @ weights
+    x[[s.hidden for s in found]] = UNSEEN
     against = np.logaddexp(0, -x)  # minus log of the belief that it is content
     favour = np.logaddexp(0, x)
     ties = []

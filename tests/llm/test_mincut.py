@@ -81,3 +81,16 @@ def test_deep_and_unclosed_pages_take_time_in_proportion():
             main_text(page(n), w)
             took.append(time.process_time() - began)
         assert took[1] < 10 * max(took[0], 0.02)
+
+
+PROSE = "<p>Some prose here, which is long enough to be an article, with commas, and so on. It goes on for a while, too.</p>"
+
+
+@pytest.mark.parametrize("html,kept", [
+    (f"<body class='has-sidebar'><div id='content'>{PROSE * 6}</div></body>", ["P"] * 6), (f"<main><form id='aspnetForm'><div class='content'>{PROSE * 4}</div></form></main>", ["P"] * 4),
+    (f"<article>{PROSE * 2}<p class='advert'>Buy this now, cheap.</p>{PROSE}</article>", ["P"] * 3), (f"<article><h1>T</h1>{PROSE * 3}<p><a href=x>Share</a> <a href=y>Tweet</a></p></article>", ["T", "P", "P", "P"]),
+    (f"<article>{PROSE * 2}<table><tr><td>Paris</td><td>12</td></tr></table>{PROSE * 2}</article>", ["P", "P", "Paris", "12", "P", "P"]), (f"<article>{PROSE}<div style='display: none'>{PROSE}unseen</div><p hidden>unseen</p>{PROSE}</article>", ["P", "P"]),
+    (f"<div class='content'>{PROSE * 2}<p><a href=x>Read the whole study at this place, it is worth it.</a></p>{PROSE}</div>", ["P", "P", "Read the whole study at this place, it is worth it.", "P"]), ("<p>short</p>", ["short"]),
+])
+def test_odd_layouts(weights, html, kept):
+    assert main_text(html, weights).replace(PROSE[3:-4], "P").split("\n") == kept
