@@ -26,7 +26,13 @@ PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-",
 DICTIONARY = "the and that have for not with this from they will would there their what about which when make like time just know take people into year your good some could them than then look only come over think also back after work first well even want because these give most data name file list user value string number index table model class count error message default config server client request response example test page home path item type text size line code main base node tree left right next last key".split()
 
 RUN = re.compile(r"[A-Za-z0-9_+/=\-.~]{16,}")
-ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[\w.\-]{0,30}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
+#: A name, a sign and what follows them: to the closing quote, or without one to the first blank, quote, comma or bracket.
+ASSIGNED = re.compile(r"""(?<![\w.\-])([\w.\-]++)["'`]?+\s*+(?:=>|:=|=|:)\s*+(?:"((?:[^"\\\r\n]|\\.){6,})"|'((?:[^'\\\r\n]|\\.){6,})'|`([^`\r\n]{6,})`|["'`]?([^\s"'`<>,;]{6,}))""")
+NAMED = re.compile(r"(?i)token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|(?:^|[_.\-])pass(?:$|[_.\-])")
+#: The password of a user in an address.
+IN_ADDRESS = re.compile(r"(?i)(?<![a-z0-9+.\-])[a-z][a-z0-9+.\-]*+://[^\s/:@]*+:([^\s/@]{3,})@")
+#: Letters of both cases by turns, as in no word or name.
+WORDLESS = re.compile(r"[a-z][A-Z]+[a-z][A-Z]+[a-z]*[A-Z]")
 BEARER = re.compile(r"(?i)\bbearer\s{1,3}([A-Za-z0-9._~+/\-]{16,}=*)")
 #: Begin and end lines of private keys, PEM and PGP.
 KEY_LINE = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
@@ -35,7 +41,7 @@ KEY_BODY = re.compile(r"""(?:(?:\\[nrt]|[\s"'`,|>#*])*+(?:[A-Za-z][A-Za-z0-9-]*+
 _WORD = re.compile(r"[a-z]{3,}")
 AROUND = 48
 
-FEATURES = ["length", "digits", "upper", "lower", "signs", "distinct", "entropy", "transitions", "covered", "hex", "uuid", "prefix", "in_path", "extension", "secret_word", "other_word", "assigned", "quoted", "inside_other", "key_block"]
+FEATURES = ["length", "digits", "upper", "lower", "signs", "distinct", "entropy", "transitions", "covered", "hex", "uuid", "prefix", "in_path", "extension", "secret_word", "other_word", "assigned", "quoted", "inside_other", "key_block", "address", "blanks", "sentence"]
 
 
 def _transitions() -> dict[str, float]:
@@ -79,8 +85,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) in order of start, none within another."""
     found = [(a, b, "key_block") for a, b in key_blocks(text)] if "-----BEGIN " in text else []
     low = text.lower()
-    if any(w in low for w in ("token", "secret", "passw", "pwd", "key", "auth", "credential")):
-        found += [(m.start(1), m.end(1), "assigned") for m in ASSIGNED.finditer(text)]
+    if any(w in low for w in ("token", "secret", "pass", "pwd", "key", "auth", "credential")):
+        found += [(*m.span(m.lastindex), "assigned") for m in ASSIGNED.finditer(text) if NAMED.search(m[1])]
+    if "://" in low:
+        found += [(m.start(1), m.end(1), "address") for m in IN_ADDRESS.finditer(text)]
     if "bearer" in low:
         found += [(m.start(1), m.end(1), "bearer") for m in BEARER.finditer(text)]
     for m in RUN.finditer(text):
@@ -88,7 +96,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         while b > a and text[b - 1] in ".=-/":
             b -= 1
         run = text[a:b]
-        if len(run) >= 16 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+        if len(run) >= 16 and any(c.isalpha() for c in run) and (any(c.isdigit() for c in run) or WORDLESS.search(run)):
             found.append((a, b, "run"))
     out: list[tuple[int, int, str]] = []
     for a, b, rule in sorted(found, key=lambda f: (f[0], -f[1])):
@@ -101,9 +109,19 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def beside(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands before and after, some AROUND characters of whole words each."""
+    a, b = max(0, start - AROUND), min(len(text), end + AROUND)
+    while a > 0 and start - a < 4 * AROUND and not text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and b - end < 4 * AROUND and not text[b].isspace():
+        b += 1
+    return text[a:start], text[end:b]
+
+
 def features(text: str, start: int, end: int, rule: str, path: str) -> list[float]:
     s = text[start:end]
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    before, after = beside(text, start, end)
     n, low, near, ahead = len(s), s.lower(), (before + " " + after).lower(), before.rstrip("\"'` ")
     counts: dict[str, int] = {}
     for c in s:
@@ -111,7 +129,7 @@ def features(text: str, start: int, end: int, rule: str, path: str) -> list[floa
     letters = [a + b for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]
     covered = sum(len(m) for m in _WORD.findall(low) for w in [m] if w in DICTIONARY or any(d in w for d in DICTIONARY if len(d) > 3))
     return [
-        float(min(n, 512)),
+        math.log2(n),
         sum(c.isdigit() for c in s) / n,
         sum(c.isupper() for c in s) / n,
         sum(c.islower() for c in s) / n,
@@ -131,10 +149,13 @@ def features(text: str, start: int, end: int, rule: str, path: str) -> list[floa
         float(before[-1:] in "\"'`" and before[-1:] != ""),
         float(sum(w in low for w in OTHER_WORDS) + ("xxxx" in low)),
         float(rule == "key_block"),
+        float(rule == "address"),
+        float(s.count(" ")),
+        float(s[:1].isupper() and s[-1:] in ".!?:"),
     ]
 
 
-def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[str, int, int, str, str, float]]:
+def labelled_findings(rows: int = 4000, seed: int = 17) -> list[tuple[str, int, int, str, str, float]]:
     """(text, start, end, rule, path, label): rows findings with secrets and look-alikes in varied surroundings."""
     rng, out = random.Random(seed), []
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
@@ -158,7 +179,7 @@ def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[str, int,
         names = rng.choice(["token", "api_key", "secret", "password", "access_token", "auth_token", "client_secret", "credential", "AWS_SECRET_ACCESS_KEY", "TOKEN"])
         equal, quote = rng.choice([" = ", "=", ": ", " := "]), rng.choice(["\"", "'", ""])
         path = rng.choice(["", "src0", "conf/settings.py", "app/.env", "docs/readme.md", "yarn.lock"])
-        kind = rng.randint(0, 13)
+        kind = rng.randint(0, 17)
         if kind <= 2:
             value, label, lead = rng.choice([hexes(40), hexes(32), hexes(64), mixed(rng.randint(20, 48))]), 1.0, f"{names}{equal}{quote}"
         elif kind == 3:
@@ -177,7 +198,17 @@ def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[str, int,
             value, label, lead, quote = f"{word()}/{word()}/{word()}{rng.randint(1, 99)}/{word()}.{rng.choice(['html', 'js', 'py', 'txt'])}", 0.0, rng.choice(["http://", "see ", "/"]), ""
         elif kind == 10:
             value, label, lead, quote = f"{word()}_{word()}{rng.randint(1, 9)}_{word()}_{word()}", 0.0, rng.choice(["def ", "", "class "]), ""
-        elif kind >= 12:
+        elif kind == 14:  # quoted words: a pass phrase, or a sentence about one
+            label, quote = float(rng.random() < 0.6), rng.choice(["\"", "'"])
+            value = words(rng.randint(3, 7)) if label else words(rng.randint(3, 9)).capitalize() + "."
+            lead = f"{rng.choice(['password', 'db_password', 'passphrase', 'secret'])}{'' if label else rng.choice(['_hint', '_help', '_text', '_label'])}{equal}{quote}"
+        elif kind == 15:
+            value, label, lead, quote = mixed(rng.randint(6, 20)) if rng.random() < 0.7 else word() + rng.choice("!_-") + word(), 1.0, f"{rng.choice(['postgres', 'https', 'redis', 'amqp', 'mysql'])}://{word()}:", "@" + rng.choice(["localhost:5432/db", "host/x", f"{word()}.example.org"])
+        elif kind == 16:  # letters only
+            value, label, lead, quote = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=rng.randint(20, 48))), 1.0, rng.choice(["", f"{names}{equal}"]), ""
+        elif kind == 17:  # names of many words
+            value, label, lead, quote = rng.choice(["".join(word().capitalize() for _ in range(rng.randint(3, 7))), "-".join(word() for _ in range(rng.randint(4, 7))), ".".join(word() for _ in range(rng.randint(4, 6)))]), 0.0, rng.choice(["", "class ", "see ", "import "]), ""
+        elif kind in (12, 13):
             value, label, lead = key_block(kind == 12), float(kind == 12), rng.choice(["", "\n", f"{names}{equal}{quote}"])
             quote = quote if lead.strip() else ""
         else:
@@ -185,7 +216,8 @@ def labelled_findings(rows: int = 3000, seed: int = 17) -> list[tuple[str, int,
         head = words(rng.randint(0, 8)) + " "
         text = head + lead + value + quote + " " + words(rng.randint(0, 8))
         start = len(head) + len(lead)
-        out.append((text, start, start + len(value), "key_block" if kind >= 12 else "assigned" if label and kind <= 2 else "run", path, label))
+        rule = "key_block" if kind in (12, 13) else "address" if kind == 15 else "assigned" if label and kind <= 2 or kind == 14 else "run"
+        out.append((text, start, start + len(value), rule, path, label))
     return out
 
 

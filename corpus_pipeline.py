@@ -21,8 +21,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Each row is judged alone, so rows that repeat an id stay or go by their own text; an empty table gives none.
     """
     model = language.fit(docs.where(~held_out()))
-    judged = language.identify(docs, model, keep=docs.columns)
-    return judged.where("NOT ambiguous").select(*docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever columns are called
+    judged = language.identify(docs.toDF(*names.values()), model, names["doc_id"], names["text"], keep=[*names.values()])
+    return judged.where("NOT ambiguous").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +40,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets that the forest confirms replaced by a mark, and n_chars to fit."""
-    found = stored(secrets.scan(docs, secrets.train(spark), path_col="source"), "secrets")
-    return secrets.redact(docs, found).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, with the secrets that the forest confirms replaced by a mark, and n_chars, where there is one, to fit.
+
+    Without a column source the forest knows no path.
+    """
+    found = stored(secrets.scan(docs, secrets.train(spark), path_col="source" if "source" in docs.columns else None), "secrets")
+    clean = secrets.redact(docs, found)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,12 @@ def test_stages_return_documents_and_take_empty_tables(spark, docs):
         assert stage(spark, table.where("doc_id < 0"), docs).count() == 0, name
     assert corpus_pipeline.packed(spark, table.where("doc_id < 0"), docs).count() == 0
     assert exact and language and minhash and secrets and held_out
+
+
+def test_columns_that_stages_use_themselves(spark, docs):
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(f"{docs}/documents.parquet").drop("n_chars", "source").withColumns({c: F.lit(7) for c in ("score", "lang_pred", "ambiguous", "c0", "id", "name")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, table, docs)
+        assert left.columns == table.columns and {r.score for r in left.select("score").collect()} <= {7}, name

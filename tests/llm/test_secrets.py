@@ -118,3 +118,37 @@ def test_scores_match_a_walk_through_the_trees(spark):
     assert len(rows) > 30
     for r in rows[:40]:
         assert abs(r.score - plain_forest(model, secrets.features(texts[r.doc_id], r.start, r.end, r.rule, ""))) < 1e-9
+
+
+WHOLE = [
+    ('secret_for_the_production_database_of_the_north = "q7Zp91LmX2"', "q7Zp91LmX2"),
+    ('db_password="correct horse battery staple"', "correct horse battery staple"),
+    ('password     =      "abc, def; ghi<jkl>"', "abc, def; ghi<jkl>"),
+    ("token: 'it\\'s 9Xq2 x1'", "it\\'s 9Xq2 x1"),
+    ("see postgres://user:S3cr3tPass9@host/db", "S3cr3tPass9"),
+    ("pass: hunter2Hunter2x", "hunter2Hunter2x"),
+    ("key aBcDeFgHiJkLmNoPqRsTuVwXqZ end", "aBcDeFgHiJkLmNoPqRsTuVwXqZ"),
+]
+
+
+def test_secrets_are_proposed_and_taken_out_whole(spark, model):
+    for text, secret in WHOLE:
+        assert secret in [text[a:b] for a, b, _ in candidates(text)], text
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WHOLE)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in redact(docs, scan(docs, model)).collect()}
+    assert left == {i: t.replace(s, "[SECRET]") for i, (t, s) in enumerate(WHOLE)}
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    for text in ("token_" * 200_000, "secret = " * 100_000, "a.b." * 300_000, "http://u:" + "p" * 1_000_000, 'key="' * 200_000):
+        began = time.process_time()
+        candidates(text)
+        assert time.process_time() - began < 5
+
+
+def test_neighbours_are_whole_words():
+    text = "x" * 100 + " some neighbouring words stand before it " + "SECRET" + " and others stand right behind it, " + "y" * 300
+    before, after = secrets.beside(text, text.index("SECRET"), text.index("SECRET") + 6)
+    assert before.split() == ["x" * 100, *"some neighbouring words stand before it".split()] and after.split()[:6] == "and others stand right behind it,".split()
