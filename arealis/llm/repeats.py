@@ -150,19 +150,22 @@ def window_starts(c: Chunk, window: int) -> np.ndarray:
 
 
 def anchors(c: Chunk, window: int, gram: int, start: np.ndarray) -> Anchors:
-    """Of the windows that begin at start."""
+    """Of the windows that begin at start, in ascending order."""
     if not len(start):
         none = np.zeros(0, np.int64)
         return Anchors(np.zeros(0, np.uint64), none, none, none)
-    value, span, reach = gram_hashes(c.values, gram, 3), window - gram + 1, 1
-    if len(value) > int(_PLACE):
-        raise ValueError("a document has more tokens than a chunk's places can tell")
-    low = (value & ~_PLACE) | np.arange(len(value), dtype=np.uint64)  # of equal hashes the leftmost counts
-    while reach < span:
-        step = min(reach, span - reach)
-        low = np.minimum(low[step:], low[:-step])
-        reach += step
-    anchor = (low[start] & _PLACE).astype(np.int64)
+    value, span = gram_hashes(c.values, gram, 3), window - gram + 1
+    anchor, many = np.zeros(len(start), np.int64), int(_PLACE) + 2 - span
+    for base in range(0, len(value), many):  # places are told within a stretch, so that a text may be of any length
+        i, j = np.searchsorted(start, [base, base + many])
+        if j > i:
+            part, reach = value[base : base + many + span - 1], 1
+            low = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)  # of equal hashes the leftmost counts
+            while reach < span:
+                step = min(reach, span - reach)
+                low = np.minimum(low[step:], low[:-step])
+                reach += step
+            anchor[i:j] = base + (low[start[i:j] - base] & _PLACE).astype(np.int64)
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
     lead = np.flatnonzero(new)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from arealis.llm import repeats
 from arealis.llm.repeats import remove_repeated_bytes, remove_repeated_words
@@ -137,3 +138,19 @@ def test_radix_groups_match_plain_comparison():
         assert [g >= 0 for g in group] == [many[w] > 1 for w in plain]
         pairs = {(w, g) for w, g in zip(plain, group.tolist()) if g >= 0}
         assert len(pairs) == len({w for w, _ in pairs}) == len({g for _, g in pairs})
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_anchors_of_texts_longer_than_places_tell(monkeypatch, words):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab c", k=5000)), "short", "".join(rng.choices("abcd ", k=3000))]
+    data = [t.encode() for t in texts]
+    row = {"ids": np.arange(3).astype("<i8").tobytes(), "nulls": bytes(3), "sizes": np.array([*map(len, data)], "<i8").tobytes(), "blob": zstandard.compress(b"".join(data))}
+    c = repeats.Chunk.of(row, words)
+    window, gram = (13, 5) if words else (50, 16)
+    start = repeats.window_starts(c, window)
+    whole = repeats.anchors(c, window, gram, start)
+    for bits in (6, 9):
+        monkeypatch.setattr(repeats, "_PLACE", np.uint64((1 << bits) - 1))
+        parts = repeats.anchors(c, window, gram, start)
+        assert all(np.array_equal(getattr(whole, f), getattr(parts, f)) for f in ("gram", "doc", "first", "last"))
