@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,13 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Last bytes of white space beyond ASCII, and the bytes that stand before them; and ASCII that some take for white space.
+LATE, BEFORE, INK = np.zeros(256, bool), np.zeros(256, bool), ~BLANK
+LATE[[*range(0x80, 0x8F), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+BEFORE[[0xC2, 0x80, 0x81, 0x9A, 0xA0]] = True
+INK[0x1C:0x20] = False
+
+
 class Aligner:
     """Both tokenizers, and the links and groups of units.
 
@@ -57,36 +64,52 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
-        self.names = [str(i) for i in range(max(self.ids_a, self.ids_b))]
+        # numbers with what follows them: within a side of a group, after its first side, after its second
+        self.names = np.array([[f"{i}{sign}" for i in range(max(self.ids_a, self.ids_b))] for sign in ",|;"], object)
         self.known: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
 
-    def learn(self, units: list[bytes]) -> None:
-        """Units with (n_a, n_b, groups, pairs as bytes, groups as text), None for one whose bytes either side doesn't give back."""
-        found_a = [e.ids for e in self.a.encode_batch([u.decode() for u in units], add_special_tokens=False)]
+    def ids_of(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides and how many each unit has; units that end surely without white space are one text for the first side."""
+        calm = [not BLANK[u[-1]] and INK[u[-1]] and not (LATE[u[-1]] and BEFORE[u[-2]]) for u in units]
+        together = self.a.encode(b"".join(u for u, c in zip(units, calm) if c).decode(), add_special_tokens=False).ids if any(calm) else []
+        ids = np.array(together, np.int64)
+        upto = np.searchsorted(self.size_a[ids].cumsum(), np.cumsum([len(u) for u, c in zip(units, calm) if c])) + 1
+        n_a = np.zeros(len(units), np.int64)
+        n_a[np.array(calm, bool)] = np.diff(upto, prepend=0)
+        if not all(calm):
+            cuts = [0, *upto.tolist()]
+            known, rest = iter(zip(cuts, cuts[1:])), iter(self.a.encode_batch([u.decode() for u, c in zip(units, calm) if not c], add_special_tokens=False))
+            found = [together[slice(*next(known))] if c else next(rest).ids for c in calm]
+            n_a, ids = np.array([*map(len, found)], np.int64), np.fromiter(chain.from_iterable(found), np.int64)
         # the model itself writes a space before a text, but not before none
         found_b = [x or [self.space] for x in self.b.encode([u[1:].decode() for u in units], num_threads=1)]
-        good = [b"".join(map(self.bytes_a.__getitem__, x)) == u == b"".join(map(self.bytes_b.__getitem__, y)) for u, x, y in zip(units, found_a, found_b)]
-        self.known.update((u, None) for u, g in zip(units, good) if not g)
-        units, found_a, found_b = ([x for x, g in zip(xs, good) if g] for xs in (units, found_a, found_b))
-        if not units:
-            return
-        n_a, n_b = (np.array([*map(len, x)], np.int64) for x in (found_a, found_b))
-        ids_a, ids_b = (np.array([i for x in found for i in x], np.int64) for found in (found_a, found_b))
+        return ids, n_a, np.fromiter(chain.from_iterable(found_b), np.int64), np.array([*map(len, found_b)], np.int64)
+
+    def learn(self, units: list[bytes]) -> None:
+        """Units with (n_a, n_b, groups, pairs as bytes, groups as text), None for one whose bytes either side doesn't give back."""
+        ids_a, n_a, ids_b, n_b = self.ids_of(units)
+        data, over = b"".join(units), np.cumsum([*map(len, units)])
         end_a, end_b = self.size_a[ids_a].cumsum(), self.size_b[ids_b].cumsum()
+        if not (np.array_equal(end_a[n_a.cumsum() - 1], over) and np.array_equal(end_b[n_b.cumsum() - 1], over) and b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == data == b"".join(map(self.bytes_b.__getitem__, ids_b.tolist()))):
+            if len(units) == 1:
+                self.known[units[0]] = None
+            else:
+                for half in (units[: len(units) // 2], units[len(units) // 2 :]):
+                    self.learn(half)
+            return
         ends = np.union1d(end_a, end_b)  # each of them ends one link
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        pairs = (ids_a[at_a] * self.ids_b + ids_b[at_b]).astype("<u4")
-        both = (end_a[at_a] == ends) & (end_b[at_b] == ends)
-        over = np.cumsum([*map(len, units)])
-        links = np.searchsorted(ends, over) + 1
-        groups = np.concatenate([[0], both.cumsum()])[links]
-        cut_a, cut_b = [0, *(at_a[both] + 1).tolist()], [0, *(at_b[both] + 1).tolist()]
-        named_a, named_b = ([*map(self.names.__getitem__, x.tolist())] for x in (ids_a, ids_b))
-        texts = [f"{','.join(named_a[i:j])}|{','.join(named_b[k:m])}" for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        data, links, groups = pairs.tobytes(), [0, *links.tolist()], [0, *groups.tolist()]
-        for k, u in enumerate(units):
-            self.known[u] = (int(n_a[k]), int(n_b[k]), groups[k + 1] - groups[k], data[4 * links[k] : 4 * links[k + 1]], ";".join(texts[groups[k] : groups[k + 1]]))
+        pairs = (ids_a[at_a] * self.ids_b + ids_b[at_b]).astype("<u4").tobytes()
+        both = ends[(end_a[at_a] == ends) & (end_b[at_b] == ends)]
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        written = np.empty(len(ids_a) + len(ids_b), object)
+        written[np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)] = self.names[np.where(both[group_a] == end_a, 1, 0), ids_a]
+        written[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, side="right")] = self.names[np.where(both[group_b] == end_b, 2, 0), ids_b]
+        written, links, groups = written.tolist(), [0, *(4 * np.searchsorted(ends, over) + 4).tolist()], [0, *(np.searchsorted(both, over) + 1).tolist()]
+        tokens = [0, *(n_a + n_b).cumsum().tolist()]
+        for u, a, b, i, j, g, h, x, y in zip(units, n_a.tolist(), n_b.tolist(), links, links[1:], groups, groups[1:], tokens, tokens[1:]):
+            self.known[u] = (a, b, h - g, pairs[i:j], "".join(written[x:y]))
 
     def of(self, units: list[bytes]) -> list[tuple | None]:
         fresh = [u for u in units if u not in self.known]
@@ -95,6 +118,9 @@ class Aligner:
                 self.old, self.known, fresh = self.known, {}, units
             self.known.update((u, self.old[u]) for u in fresh if u in self.old)
             fresh = [u for u in fresh if u not in self.known]
+            # the second side reads this sign as a space, so it never gives it back
+            self.known.update((u, None) for u in fresh if b"\xe2\x96\x81" in u)
+            fresh = [u for u in fresh if u not in self.known]
             for k in range(0, len(fresh), 20_000):
                 self.learn(fresh[k : k + 20_000])
         return [*map(self.known.__getitem__, units)]
@@ -110,13 +136,6 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return _aligners[byte_path, piece_path]
 
 
-#: Last bytes of white space beyond ASCII, and the bytes that stand before them; and ASCII that some take for white space.
-LATE, BEFORE, INK = np.zeros(256, bool), np.zeros(256, bool), ~BLANK
-LATE[[*range(0x80, 0x8F), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
-BEFORE[[0xC2, 0x80, 0x81, 0x9A, 0xA0]] = True
-INK[0x1C:0x20] = False
-
-
 def unit_starts(buffer: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Places of a space after what is surely no white space, and the beginnings of texts (two bytes long at least)."""
     cut = np.zeros(len(buffer), bool)
@@ -154,7 +173,7 @@ class Slice:
         kinds = kind.tolist()
         for i, ok, x, y in zip(rows, whole.tolist(), cuts.tolist(), cuts[1:].tolist()):
             if ok:
-                self.digests[i] = hashlib.sha256(";".join([named[k] for k in kinds[x:y]]).encode()).hexdigest()
+                self.digests[i] = hashlib.sha256("".join([named[k] for k in kinds[x:y]])[:-1].encode()).hexdigest()
         # units of each text, then the pairs of those units
         owner = np.repeat(np.arange(len(rows)), np.diff(cuts))
         keep = whole[owner]
