@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
-from .ranking import leave_one_out_mean, percentile_rank
+from .ranking import leave_one_out_mean, ranks_by_ranges
 
 
 def crosstab(df: DataFrame, by: Sequence[str], a: str, b: str, levels: int = 4) -> DataFrame:
@@ -40,8 +40,7 @@ def gwet_ac1(table: DataFrame, levels: int = 4) -> Column:
 
 def correlation(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """n, Pearson's r and Spearman's rho (Pearson's of average ranks) of rows that have both values."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = rows.withColumns({"_rx": percentile_rank(x, *by), "_ry": percentile_rank(y, *by)})
+    rows = ranks_by_ranges(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), {x: "_rx", y: "_ry"}, by)
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
 
 

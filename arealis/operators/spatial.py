@@ -194,7 +194,7 @@ def moran(values: DataFrame, key: str, value: str, weights: DataFrame, by: Seque
     centred = values.withColumn("_z", F.col(value) - F.avg(value).over(Window.partitionBy(*by))).select(*by, F.col(key).alias("_k"), "_z")
     total = centred.groupBy(*by).agg(F.sum(F.col("_z") * F.col("_z")).alias("_zz"), F.count("*").alias("n"))
     here, there = centred.withColumnsRenamed({"_k": "src", "_z": "_a"}), centred.withColumnsRenamed({"_k": "dst", "_z": "_b"})
-    pairs = here.join(F.broadcast(weights) if by else weights, "src").join(there, [*by, "dst"])
+    pairs = here.join(weights, "src").join(there, [*by, "dst"])
     sums = pairs.groupBy(*by).agg(F.sum(F.col("w") * F.col("_a") * F.col("_b")).alias("_ab"), F.sum("w").alias("_w"))
     both = sums.join(total, list(by)) if by else sums.crossJoin(F.broadcast(total))
     return both.select(*by, "n", F.try_divide(F.col("n") * F.col("_ab"), F.col("_w") * F.col("_zz")).alias("moran"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import text as T
 from ..operators import agreement, cohort, joins, linear, quality, ranking, resample, spatial
+from ..sources.sinks import written
 from .facts import FACTS, LEAST, PERIODS, SUPPRESSED_BELOW, facts, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,7 @@ def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pooled(spark, sf_dir).withColumns({"r": ranking.percentile_rank("pooled", "condition"), "s": ranking.percentile_rank("comparator", "condition")})
+    rows = ranking.ranks_by_ranges(written(pooled(spark, sf_dir), "pooled"), {"pooled": "r", "comparator": "s"}, ["condition"])
     return rows.withColumns({"q": C.rank_quartile("r"), "p": C.rank_quartile("s")})
 
 
@@ -223,7 +224,7 @@ def discordance_by_cuts(spark, sf_dir):
 
 @query(f"WITH {FACTS} SELECT condition, count(*) AS n, round(corr(pooled, comparator), 6) AS pearson, round(corr(r, s), 6) AS spearman FROM ranked GROUP BY condition")
 def correlations(spark, sf_dir):
-    return agreement.correlation(pooled(spark, sf_dir), ["condition"], "pooled", "comparator").select("condition", "n", r6("pearson"), r6("spearman"))
+    return agreement.correlation(written(pooled(spark, sf_dir), "pooled"), ["condition"], "pooled", "comparator").select("condition", "n", r6("pearson"), r6("spearman"))
 
 
 @query(f"""WITH {FACTS}, c AS (SELECT condition, q, p, count(*) AS n FROM quartiles GROUP BY ALL), t AS (SELECT condition, sum(n) AS n FROM c GROUP BY 1),
@@ -252,8 +253,8 @@ def agreement_strata(spark, sf_dir):
            y AS (SELECT *, pv * count(*) OVER (PARTITION BY condition) / (rank() OVER (PARTITION BY condition ORDER BY pv) + count(*) OVER (PARTITION BY condition, pv) - 1) AS raw FROM x)
            SELECT unit, condition, round(pv, 9) AS pv, round(least(1, min(raw) OVER (PARTITION BY condition ORDER BY pv DESC)), 9) AS p_adjusted FROM y""")
 def false_discovery(spark, sf_dir):
-    rows = pooled(spark, sf_dir).withColumn("pv", F.exp(-F.abs(F.col("pooled") - F.col("comparator") * 600)))
-    return agreement.adjusted(rows, "pv", ["condition"]).select("unit", "condition", F.round("pv", 9).alias("pv"), F.round("p_adjusted", 9).alias("p_adjusted"))
+    rows = written(pooled(spark, sf_dir).withColumn("pv", F.exp(-F.abs(F.col("pooled") - F.col("comparator") * 600))), "tests")
+    return agreement.adjusted_by_ranges(rows, "pv", ["condition"]).select("unit", "condition", F.round("pv", 9).alias("pv"), F.round("p_adjusted", 9).alias("p_adjusted"))
 
 
 @query(f"""WITH {FACTS}, g AS (SELECT condition, area, count(*) AS n, avg(pooled) AS m, var_pop(pooled) * count(*) AS s FROM pooled GROUP BY ALL),
@@ -285,7 +286,7 @@ _COARSE = f"""WITH {FACTS}, coarse AS (SELECT area, condition, sum(numerator) *
 def both_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units with their rank r and quartile q, and those of their area, cr and cq."""
     coarse = facts(spark, sf_dir).where(F.col("period").isin(*PERIODS) & (F.col("denominator") >= LEAST)).groupBy("area", "condition").agg((F.sum("numerator") * 100.0 / F.sum("denominator").cast("double")).alias("pooled_area"))
-    coarse = coarse.withColumn("cr", ranking.percentile_rank("pooled_area", "condition")).withColumn("cq", C.rank_quartile("cr"))
+    coarse = ranking.ranks_by_ranges(written(coarse, "coarse"), {"pooled_area": "cr"}, ["condition"]).withColumn("cq", C.rank_quartile("cr"))
     return ranked(spark, sf_dir).join(coarse, ["area", "condition"])
 
 
@@ -319,7 +320,8 @@ _ANNUAL = f"""WITH {FACTS}, y AS (SELECT unit, condition, period, (rank() OVER (
 
 
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir).where(F.col("period").isin(*PERIODS)).withColumn("r", ranking.percentile_rank("proportion", "condition", "period"))
+    rows = written(facts(spark, sf_dir).where(F.col("period").isin(*PERIODS)).select("unit", "condition", "period", "proportion"), "annual")
+    rows = ranking.ranks_by_ranges(rows, {"proportion": "r"}, ["condition", "period"])
     return rows.select("unit", "condition", "period", C.rank_quartile("r").alias("q"))
 
 
@@ -432,7 +434,7 @@ def graph_topology(spark, sf_dir):
            SELECT n, round(moran, 6) AS moran, round(-1.0 / (n - 1), 6) AS expected, count(*) FILTER (abs(m + 1.0 / (n - 1)) >= abs(moran + 1.0 / (n - 1)) - 1e-12) AS extreme,
                   round((count(*) FILTER (abs(m + 1.0 / (n - 1)) >= abs(moran + 1.0 / (n - 1)) - 1e-12) + 1) / 100.0, 6) AS p FROM obs, n, drawn GROUP BY n, moran""")
 def moran_permutation(spark, sf_dir, permutations=99):
-    w = spatial.row_standardised(spatial.contiguity(cells(spark, sf_dir), "area", "wkt"))
+    w = written(spatial.row_standardised(spatial.contiguity(cells(spark, sf_dir), "area", "wkt")), "weights")  # the graph is built once
     return spatial.permutation_moran(area_values(spark, sf_dir), "area", "v", w, permutations, 29).select("n", r6("moran"), r6("expected"), "extreme", r6("p"))
 
 
@@ -445,7 +447,7 @@ def moran_permutation_whole(spark, sf_dir):
            SELECT area, round(z, 6) AS z, round(lag, 6) AS lag, round(z * lag, 6) AS local_moran, round(z * ol, 6) AS bivariate, round((s + z) / sqrt((d + 1) * (count(*) OVER () - (d + 1)) / (count(*) OVER () - 1.0::DOUBLE)), 6) AS gi_star,
                   CASE WHEN z >= 0 AND lag >= 0 THEN 'high_high' WHEN z < 0 AND lag < 0 THEN 'low_low' WHEN z >= 0 THEN 'high_low' ELSE 'low_high' END AS label FROM z JOIN l USING (area)""")
 def local_indicators(spark, sf_dir):
-    w = spatial.row_standardised(spatial.contiguity(cells(spark, sf_dir), "area", "wkt"))
+    w = written(spatial.row_standardised(spatial.contiguity(cells(spark, sf_dir), "area", "wkt")), "weights")  # the graph is built once
     out = spatial.local_statistics(area_values(spark, sf_dir), "area", "v", w, "u")
     return out.select("area", *[r6(c) for c in ("z", "lag", "local_moran", "bivariate", "gi_star")], "label")
 

@@ -15,10 +15,20 @@ from .facts import FACTS, LEAST, PERIODS, SUPPRESSED_BELOW, facts, read
 # ---- files, written to a scratch folder and read back ----
 
 
-def _lines(rows: DataFrame, name: str) -> str:
-    """rows' only column as lines of one text file."""
+#: Rows of a file.
+FILE_ROWS = 1000
+
+
+def _lines(rows: DataFrame, name: str, key: str | None = None, head: str | None = None) -> str:
+    """rows' column value as lines of text files; with key, files of a thousand numbers each, in order, a head before each."""
     path = sinks.scratch_path(rows.sparkSession, name)
-    rows.coalesce(1).write.text(path)
+    if key is None:
+        rows.select("value").write.text(path)
+        return path
+    rows = rows.select(F.floor(F.col(key) / FILE_ROWS).alias("part"), F.col(key).cast("long").alias("_k"), "value")
+    if head is not None:
+        rows = rows.unionByName(rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("_k"), F.lit(head).alias("value")))
+    rows.repartition("part").sortWithinPartitions("part", "_k").drop("_k").write.partitionBy("part").text(path)
     return path
 
 
@@ -30,19 +40,19 @@ def pipe_lenient_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey AS k, nullif(c_acctbal, 0) AS balance, c_nationkey % 2 = 0 AS even, TIMESTAMP '2024-01-02 03:04:05' AS at,
-          row_number() OVER (ORDER BY c_custkey) AS source_row FROM customer""")
+          row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) AS source_row FROM customer""")
 def pipe_strict_rows(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").orderBy("c_custkey")
+    c = read(spark, sf_dir, "customer")
     balance = F.when(F.col("c_acctbal") == 0, F.lit(pipe.NULL)).otherwise(F.col("c_acctbal").cast("string"))
-    lines = c.select(F.concat_ws("|", "c_custkey", balance, F.when(F.col("c_nationkey") % 2 == 0, "t").otherwise("f"), F.lit("2024-01-02T03:04:05Z")).alias("value"))
+    lines = c.select("c_custkey", F.concat_ws("|", "c_custkey", balance, F.when(F.col("c_nationkey") % 2 == 0, "t").otherwise("f"), F.lit("2024-01-02T03:04:05Z")).alias("value"))
     fields = [pipe.Field("k", "long", False), pipe.Field("balance", "double"), pipe.Field("even", "boolean"), pipe.Field("at", "timestamp")]
-    return pipe.read_strict(spark, _lines(lines, "strict"), fields, ["k"]).select("k", "balance", "even", F.col("at").cast("timestamp_ntz").alias("at"), F.col("source_row").cast("long").alias("source_row"))
+    return pipe.read_strict(spark, _lines(lines, "strict", "c_custkey"), fields, ["k"]).select("k", "balance", "even", F.col("at").cast("timestamp_ntz").alias("at"), F.col("source_row").cast("long").alias("source_row"))
 
 
-@query("SELECT k, count(*) AS rows, min(n) AS first_row, max(n) AS last_row FROM (SELECT s_nationkey AS k, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) GROUP BY k HAVING count(*) > 1")
+@query("SELECT k, count(*) AS rows, min(n) AS first_row, max(n) AS last_row FROM (SELECT s_nationkey AS k, row_number() OVER (PARTITION BY s_suppkey // 1000 ORDER BY s_suppkey) AS n FROM supplier) GROUP BY k HAVING count(*) > 1")
 def repeated_source_keys(spark, sf_dir):
-    lines = read(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_nationkey").cast("string").alias("value"))
-    rows = pipe.read_strict(spark, _lines(lines, "keys"), [pipe.Field("k", "long", False)])
+    lines = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("value"))
+    rows = pipe.read_strict(spark, _lines(lines, "keys", "s_suppkey"), [pipe.Field("k", "long", False)])
     return pipe.repeated_rows(rows, ["k"]).select(F.col("k").cast("int").alias("k"), "rows", F.col("first_row").cast("long").alias("first_row"), F.col("last_row").cast("long").alias("last_row"))
 
 
@@ -56,8 +66,8 @@ def pipe_widths(spark, sf_dir):
 @query("SELECT p_partkey::VARCHAR AS part_id, p_name || ', \"' || p_brand || '\"' AS label FROM part")
 def header_csv_rows(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit('"'), F.col("p_name"), F.lit(', ""'), F.col("p_brand"), F.lit('"""')).alias("q"))
-    lines = rows.select(F.col("k"), F.concat_ws(",", "k", "q").alias("value")).union(spark.createDataFrame([(-1, "﻿part_id,label")], "k long, value string"))
-    return pipe.read_header_csv(spark, _lines(lines.orderBy("k").select("value"), "csv"), ["part_id", "label"])
+    lines = rows.select("k", F.concat_ws(",", "k", "q").alias("value"))
+    return pipe.read_header_csv(spark, _lines(lines, "csv", "k", "\ufeffpart_id,label"), ["part_id", "label"]).select("part_id", "label")
 
 
 @query("SELECT 'present' AS which, count(*) AS rows FROM region UNION ALL SELECT 'absent', 0")
@@ -246,7 +256,7 @@ def annual_availability(spark, sf_dir):
            z AS (SELECT unit, condition, pv, least(1, min(raw) OVER (PARTITION BY condition ORDER BY pv DESC)) AS q FROM y)
            SELECT condition, count(*) AS tests, count(*) FILTER (pv < 0.05) AS raw_hits, count(*) FILTER (q < 0.05) AS survivors, coalesce(array_to_string(list_sort(list(unit::VARCHAR) FILTER (q < 0.05)), '|'), '') AS units FROM z GROUP BY condition""")
 def fdr_survivors(spark, sf_dir):
-    rows = agreement.adjusted(pooled(spark, sf_dir).withColumn("pv", F.exp(-F.abs(F.col("pooled") - F.col("comparator") * 600))), "pv", ["condition"])
+    rows = agreement.adjusted_by_ranges(pooled(spark, sf_dir).withColumn("pv", F.exp(-F.abs(F.col("pooled") - F.col("comparator") * 600))), "pv", ["condition"])
     hit = F.coalesce(F.col("p_adjusted") < 0.05, F.lit(False))
     return rows.groupBy("condition").agg(F.count("pv").alias("tests"), F.count_if(F.col("pv") < 0.05).alias("raw_hits"), F.count_if(hit).alias("survivors"), C.joined_sorted(F.when(hit, F.col("unit"))).alias("units"))
 

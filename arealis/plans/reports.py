@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import agreement, cohort, joins, linear, quality, spatial
 from ..sources import pipe, sinks
+from ..sources.sinks import written
 from .catalogue import _QUEEN, area_values, cells, pooled, query, r6, ranked
 from .facts import FACTS, LEAST, facts, read
 from .records import _lines
@@ -31,17 +32,16 @@ _LINKS = ("zone", "tract", "land", "water")
 @query("SELECT lpad(c_nationkey::VARCHAR, 5, '0') AS zone, lpad(c_custkey::VARCHAR, 11, '0') AS tract, c_custkey::VARCHAR AS land, '0' AS water FROM customer")
 def relationship_rows(spark, sf_dir):
     line = F.concat_ws("|", F.lpad(F.col("c_nationkey").cast("string"), 5, "0"), F.lpad(F.col("c_custkey").cast("string"), 11, "0"), "c_custkey", F.lit("0")).alias("value")
-    head = spark.createDataFrame([(-1, "\ufeff" + "|".join(_LINKS))], "k long, value string")
-    lines = head.union(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), line)).orderBy("k").select("value")
-    return pipe.read_headed(spark, _lines(lines, "links"), _LINKS, {"zone": r"(\d{5})?", "tract": r"\d{11}", "land": r"\d+", "water": r"\d+"})
+    lines = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), line)
+    return pipe.read_headed(spark, _lines(lines, "links", "k", "\ufeff" + "|".join(_LINKS)), _LINKS, {"zone": r"(\d{5})?", "tract": r"\d{11}", "land": r"\d+", "water": r"\d+"})
 
 
 @query("SELECT p_partkey, p_name FROM part")
 def verified_json_rows(spark, sf_dir):
     path = sinks.scratch_path(spark, "json")
     read(spark, sf_dir, "part").select("p_partkey", "p_name").write.json(path)
-    listed = spark.createDataFrame(pipe.checksums(spark, path + "/*.json").select("path", "sha256").collect(), "path string, sha256 string")  # of some files
-    return pipe.read_verified_json(spark, path + "/*.json", "p_partkey long, p_name string", listed)
+    ledger = written(pipe.checksums(spark, path + "/*.json").select("path", "sha256"), "ledger")  # taken once, when the files are published
+    return pipe.read_verified_json(spark, path + "/*.json", "p_partkey long, p_name string", ledger)
 
 
 # ---- cells of reports ----
