@@ -115,7 +115,7 @@ def key_shards(df: DataFrame) -> int:
 
 
 def key_bits(shards: int) -> int:
-    return 31 + shards.bit_length()  # a key within a shard fits 32 bits
+    return 27 + shards.bit_length()  # 28 bits within a shard, whose gaps mostly fit three bytes
 
 
 def chosen_prefix(dfs: np.ndarray, percent: int) -> tuple[int, int]:
@@ -193,8 +193,19 @@ class Candidates:
         return met.where("n + more >= asked").select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
     def of_large_buckets(self, members: DataFrame) -> DataFrame:
-        """Links that join what is apart in large buckets, compared block by block."""
+        """Links that join what is apart in large buckets, compared block by block.
+
+        Where the same documents meet in many buckets, it costs less to compare all of them with each other once: buckets that
+        hang together through their members are taken as one if that moves fewer sets.
+        """
         left = members.where(F.col("members") > SMALL).select("key", "id", "root")
+        heads = left.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m"))
+        near = connected(left.join(heads, "key").select("a", F.col("id").alias("b")))
+        blocks = lambda n: n * F.ceil(n / F.lit(float(BLOCK)))
+        apart = heads.join(near, F.col("a") == F.col("node")).groupBy(F.col("root").alias("group")).agg(F.sum(blocks(F.col("m"))).alias("apart"))
+        groups = near.groupBy(F.col("root").alias("group")).agg(F.count("*").alias("m")).join(apart, "group").select("group", (blocks(F.col("m")) < F.col("apart")).alias("whole"))
+        left = left.join(near.select(F.col("node").alias("id"), F.col("root").alias("group")), "id").join(groups, "group")
+        left = left.select(F.when(F.col("whole"), F.xxhash64("group", F.lit("group"))).otherwise(F.col("key")).alias("key"), "id", "root").distinct()
         left = left.join(self.vectors(left.select("id").distinct()), "id").withColumn("size", F.expr("octet_length(hashes) div 8"))
         weight = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(BLOCK))), F.ceil(F.sum("size") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("blocks"))
         parts = left.join(weight, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -206,7 +217,8 @@ class Candidates:
         """(id, root): the smallest id that a chain of links reaches."""
         for turn in range(ROUNDS):
             pairs = stored(self.of_pivots(turn), "pairs")
-            if pairs.isEmpty() or not self.join(self.compared(pairs, "links")):
+            links = self.compared(pairs, "links")
+            if not self.join(links) or links.count() < pairs.count() / 4:  # what is still apart is so mostly because it isn't alike
                 break
         members = stored(self.opened(0).select("key", "id", "root", "members"), "open")
         pairs = stored(self.of_small_buckets(members), "pairs")
