@@ -64,3 +64,50 @@ def normal_draws(df: DataFrame, key: Sequence[str], mean: str, se: str, replicat
     u = [(draw(seed + k, F.col("replicate"), *[F.col(c) for c in key]) + 0.5) / F.lit(4294967296.0) for k in (0, 1)]
     z = F.sqrt(F.log(u[0]) * -2.0) * F.cos(u[1] * 6.283185307179586)
     return many.withColumn("drawn", F.when(F.col(mean).isNotNull() & F.col(se).isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), F.col(mean) + F.col(se) * z))))
+
+
+def replicated_ranks(df: DataFrame, value: str, weight: str, group: Sequence[str], name: str, replicate: str = "replicate", ranges: int = 64) -> DataFrame:
+    """df with weighted_percentile_rank() of value in each replicate of a group, without a task that sorts a replicate.
+
+    A group's values are cut into ranges once, for all its replicates; ranks are sums within a range and over those before it. df is read
+    more than once, so it should be a table.
+    """
+    key = [replicate, *group]
+    counts = df.groupBy(*key, value).agg(F.sum(weight).alias("_t"))
+    cuts = df.groupBy(*group).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    counts = counts.join(cuts, list(group)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = counts.groupBy(*key, "_range").agg(F.sum("_t").alias("_s"))
+    whole = Window.partitionBy(*key)  # of a row for each range
+    before = F.coalesce(F.sum("_s").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*key, "_range", before.alias("_before"), F.sum("_s").over(whole).alias("_all"))
+    upto = F.sum("_t").over(Window.partitionBy(*key, "_range").orderBy(value)) + F.col("_before")
+    ranks = counts.join(totals, [*key, "_range"]).select(*key, value, ((upto - (F.col("_t") - 1) / F.lit(2.0)) / F.col("_all")).alias(name))
+    return df.join(ranks, [*key, value])
+
+
+SCALE_METRICS = ("median_gap", "mean_gap", "quartile_disagree", "top_movement")
+
+
+def scale_metrics(df: DataFrame, by: Sequence[str], fine: str, coarse: str, times: Column) -> DataFrame:
+    """(*by, median_gap, mean_gap, quartile_disagree, top_movement) between ranks at two scales, rows counted times each; shares in percent."""
+    quartile = lambda c: F.when(F.col(c) <= 0.25, 1).when(F.col(c) <= 0.5, 2).when(F.col(c) <= 0.75, 3).otherwise(4)
+    rows = df.select(*by, F.abs(F.col(fine) - F.col(coarse)).alias("_gap"), quartile(fine).alias("_q"), quartile(coarse).alias("_p"), times.cast("long").alias("_w"))
+    share = lambda c: F.sum(c.cast("int") * F.col("_w")) * 100.0 / F.sum("_w")
+    moved = (F.col("_q") == 4) != (F.col("_p") == 4)
+    return rows.groupBy(*by).agg(F.percentile("_gap", 0.5, F.col("_w")).alias("median_gap"), (F.sum(F.col("_gap") * F.col("_w")) / F.sum("_w")).alias("mean_gap"), share(F.col("_q") != F.col("_p")).alias("quartile_disagree"), share(moved).alias("top_movement"))
+
+
+def cross_scale_bootstrap(df: DataFrame, group: Sequence[str], area: str, value: str, area_value: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(*group, metric, lo, hi): percentile intervals of scale_metrics() over draws of areas, ranks at both scales taken anew in each.
+
+    df has a row for each unit, with its area's value beside its own; it is read more than once. An area counts as often as it is
+    drawn, with all its units.
+    """
+    draws = cluster_draws(df, area, replicates, seed)
+    rows = df.select(*group, area, value, area_value).join(draws, area)
+    wide = df.select(*group, area, area_value).distinct().join(draws, area)
+    fine = replicated_ranks(rows, value, "times", group, "_fine")
+    coarse = replicated_ranks(wide, area_value, "times", group, "_coarse").select("replicate", *group, area, "_coarse")
+    found = scale_metrics(fine.join(coarse, ["replicate", *group, area]), ["replicate", *group], "_fine", "_coarse", F.col("times"))
+    long = found.select(*group, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in SCALE_METRICS])))
+    return percentile_interval(long, [*group, "metric"], "v", level)

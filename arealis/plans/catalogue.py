@@ -387,6 +387,26 @@ def bootstrap_rank_gap_whole(spark, sf_dir):
     return bootstrap_rank_gap(spark, sf_dir, REPLICATES)
 
 
+_QUARTILE = "CASE WHEN {0} <= 0.25 THEN 1 WHEN {0} <= 0.5 THEN 2 WHEN {0} <= 0.75 THEN 3 ELSE 4 END"
+_RANKED = "(rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY {0})"
+_SCALE_METRICS = f"median(abs(a - b)) AS median_gap, avg(abs(a - b)) AS mean_gap, 100.0::DOUBLE * avg(({_QUARTILE.format('a')} <> {_QUARTILE.format('b')})::INT) AS quartile_disagree, 100.0::DOUBLE * avg((({_QUARTILE.format('a')} = 4) <> ({_QUARTILE.format('b')} = 4))::INT) AS top_movement"
+
+
+@query(_BOOT.replace("range(40)", f"range({REPLICATES})") + f""", coarse AS (SELECT area, condition, sum(numerator) * 100.0::DOUBLE / sum(denominator)::DOUBLE AS wide FROM facts WHERE period IN {PERIODS} AND denominator >= {LEAST} GROUP BY ALL),
+    scaled AS (SELECT unit, pooled.area, condition, pooled, wide FROM pooled JOIN coarse USING (area, condition)), f AS (SELECT unit, area, condition, {_RANKED.format("condition", "pooled")} AS a FROM scaled),
+    g AS (SELECT area, condition, {_RANKED.format("condition", "wide")} AS b FROM coarse), point AS (SELECT condition, {_SCALE_METRICS} FROM f JOIN g USING (area, condition) GROUP BY condition),
+    fr AS (SELECT replicate, condition, area, {_RANKED.format("replicate, condition", "pooled")} AS a FROM scaled JOIN times USING (area), range(100) c WHERE c.range < times),
+    gr AS (SELECT DISTINCT replicate, condition, area, b FROM (SELECT replicate, condition, area, {_RANKED.format("replicate, condition", "wide")} AS b FROM (SELECT DISTINCT area, condition, wide FROM scaled) JOIN times USING (area), range(100) c WHERE c.range < times)),
+    m AS (SELECT replicate, condition, {_SCALE_METRICS} FROM fr JOIN gr USING (replicate, condition, area) GROUP BY ALL), l AS (UNPIVOT m ON median_gap, mean_gap, quartile_disagree, top_movement INTO NAME metric VALUE v), p AS (UNPIVOT point ON median_gap, mean_gap, quartile_disagree, top_movement INTO NAME metric VALUE v)
+    SELECT condition, metric, round(any_value(p.v), 6) AS estimate, count(*) AS estimable, round(quantile_cont(l.v, 0.025), 6) AS lo, round(quantile_cont(l.v, 0.975), 6) AS hi FROM l JOIN p USING (condition, metric) GROUP BY condition, metric""")
+def cross_scale_bootstrap(spark, sf_dir):
+    """Ranks of units against those of their areas, with intervals over a thousand draws of areas."""
+    rows = written(both_scales(spark, sf_dir), "scales")
+    point = resample.scale_metrics(rows, ["condition"], "r", "cr", F.lit(1)).select("condition", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate")) for m in resample.SCALE_METRICS])))
+    spans = resample.cross_scale_bootstrap(rows, ["condition"], "area", "pooled", "pooled_area", REPLICATES, 17)
+    return point.join(spans, ["condition", "metric"]).select("condition", "metric", r6("estimate"), "estimable", r6("lo"), r6("hi"))
+
+
 # ---- neighbourhoods: nations as unit cells of a grid of five ----
 
 _CELLS = "cells AS (SELECT n_nationkey AS area, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation)"

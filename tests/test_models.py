@@ -89,3 +89,14 @@ def test_far_from_zero_slopes_keep_their_digits(spark):
     assert abs(linear.least_squares(df, "y", ["x"]).beta[1] - want) < 1e-6
     e = linear.residuals(df, ["g"], "y", "x").agg(F.max(F.abs("residual"))).first()[0]
     assert e < 0.1
+
+
+def test_ranks_within_replicates_match_the_window(spark):
+    from arealis.operators import resample
+
+    rng = np.random.default_rng(2)
+    rows = [(int(r), f"g{g}", float(rng.integers(0, 40)) / 7, int(rng.integers(1, 4))) for r in range(6) for g in range(2) for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, replicate int, g string, v double, times long")
+    got = {r.i: r.x for r in resample.replicated_ranks(df, "v", "times", ["g"], "x", ranges=8).collect()}
+    want = {r.i: r.x for r in df.withColumn("x", resample.weighted_percentile_rank("v", "times", "replicate", "g")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in got)
