@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hedging words, and endings of nouns made from verbs.
@@ -93,3 +93,68 @@ def term_hits(text: Column, terms: Sequence[str]) -> Column:
     """Those of the terms that the text holds as whole words, whatever their case."""
     found = [F.when(text.rlike(rf"(?i)\b{t}\b"), F.lit(t)) for t in terms]
     return F.array_compact(F.array(*found))
+
+
+# ---- counts of a manuscript's style ----
+
+#: Terms that hedge and terms that lead over, counted wherever they stand in the lower-case text.
+HEDGE_TERMS = ("associated", "association", "suggest", "suggests", "may", "might", "could", "potential", "plausibly", "consistent", "unclear", "limited")
+TRANSITION_TERMS = ("however", "although", "while", "despite", "therefore", "consequently", "in contrast", "in addition")
+#: Words and numbers; forms of to be before a participle; nouns made from verbs and adjectives; numbers. Letters are ASCII.
+BLANK = r"[ \t\n\f\r]"
+TOKEN = r"[A-Za-z]+(?:[-'][A-Za-z]+)?|\d+(?:\.\d+)?%?"
+PASSIVES = rf"(?:is|are|was|were|be|been|being){BLANK}+(?:\w+ly{BLANK}+)?\w+(?:ed|en)"
+NOUNS = r"\w+(?:tion|sion|ment|ance|ence|ity|ness|ability|ization|isation)"
+NUMBERS = r"\d+(?:\.\d+)?"
+#: Fixed value: numbers of citations behind a full stop.
+CITED = r"\d+(?:[-–]\d+)?(?:,\d+(?:[-–]\d+)?)*"
+
+
+def whole(pattern: str) -> str:
+    """pattern between what is no ASCII letter, digit or underscore."""
+    return rf"(?<!\w)(?:{pattern})(?!\w)"
+
+
+def cited_sentences(text: Column, least: int = 4) -> Column:
+    """Parts that end in ., ! or ? before white space and a capital or bracket, with numbers of citations between or behind left out, of so many words at least."""
+    flat = F.regexp_replace(text, f"{BLANK}+", " ")
+    cut = F.regexp_replace(F.regexp_replace(flat, rf"([.!?])({CITED}) +([A-Z(])", "$1$2\u0001$3"), r"([.!?]) +([A-Z(])", "$1\u0001$2")
+    parts = F.transform(F.split(cut, "\u0001"), lambda x: F.regexp_replace(F.trim(x), rf"([.!?]){CITED}$", "$1"))
+    return F.filter(parts, lambda x: F.regexp_count(x, F.lit(TOKEN)) >= least)
+
+
+def linear_quantile(ordered: Column, share: float) -> Column:
+    """Of an array in ascending order, between its two nearest members; null if it is empty."""
+    at = (F.size(ordered) - 1) * F.lit(share)
+    low = F.floor(at)
+    value = lambda k: F.element_at(ordered, (k + 1).cast("int")).cast("double")
+    return F.when(F.size(ordered) > 0, value(low) * (1 - (at - low)) + value(F.least(low + 1, F.size(ordered) - 1)) * (at - low))
+
+
+def style_counts(text: str | Column) -> list[Column]:
+    """Named columns of a text's style: words, sentences (citations aside) with their lengths, and flags counted over the whole text."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    low = F.lower(t)
+    lengths = F.array_sort(F.transform(cited_sentences(t), lambda x: F.regexp_count(x, F.lit(TOKEN))))
+    mean = F.try_divide(F.aggregate(lengths, F.lit(0), lambda a, x: a + x).cast("double"), F.size(lengths).cast("double"))
+    terms = lambda some: sum((F.regexp_count(low, F.lit(x)) for x in some), F.lit(0))
+    return [
+        F.regexp_count(t, F.lit(TOKEN)).alias("n_words"), F.size(lengths).alias("n_sentences"), mean.alias("mean_sentence"), *[linear_quantile(lengths, q).alias(f"p{int(100 * q)}_sentence") for q in (0.25, 0.5, 0.75)],
+        F.regexp_count(low, F.lit(whole(PASSIVES))).alias("passives"), F.regexp_count(low, F.lit(whole(NOUNS))).alias("nominalisations"), F.regexp_count(t, F.lit(rf"(?<!\w){NUMBERS}(?:%(?=\w)|(?!\w))")).alias("numbers"),
+        terms(HEDGE_TERMS).alias("hedges"), terms(TRANSITION_TERMS).alias("transitions"),
+    ]
+
+
+def sections(df: DataFrame, key: str, text: str, heading: str) -> DataFrame:
+    """(key, section, name, first_line, last_line, n_words): from each line that heading matches as a whole to the line before the next such line.
+
+    What stands before a text's first heading is section 0, without a name, if there is any. Texts without lines have no rows. Lines are numbered from 1;
+    a heading that comes again begins a section of its own.
+    """
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "\r\n|\n|\r")).alias("at", "line"))
+    head = F.trim("line").rlike(f"^(?:{heading})$")
+    upto = Window.partitionBy(key).orderBy("at")  # of one text's lines
+    lines = lines.withColumn("_head", head).withColumn("section", F.sum(F.col("_head").cast("int")).over(upto))
+    names = F.max(F.when(F.col("_head"), F.trim("line")))
+    body = F.sum(F.when(~F.col("_head"), F.regexp_count("line", F.lit(TOKEN))).otherwise(0))
+    return lines.groupBy(key, "section").agg(names.alias("name"), (F.min("at") + 1).alias("first_line"), (F.max("at") + 1).alias("last_line"), body.alias("n_words"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import text as T
 from ..operators import agreement, cohort, joins, linear, quality, spatial
 from ..sources import pipe, sinks
 from ..sources.sinks import written
@@ -198,3 +199,34 @@ def topology_with_values(spark, sf_dir):
     graph = areas.select("area").join(edges, "area", "left").select("area", F.coalesce("n", F.lit(0)).alias("n"))
     values = area_values(spark, sf_dir).select("area", F.col("u").cast("long").alias("n"), "v")
     return joins.joined_with_suffixes(graph, values, ["area"], ("_graph", "_values")).select("area", "n_graph", "n_values", r6("v"))
+
+
+# ---- manuscripts ----
+
+_COUNT = lambda pattern, of="t": f"len(regexp_extract_all({of}, '{pattern}'))"
+_TOKEN = T.TOKEN.replace("'", "''")
+_TERMS = lambda terms: " + ".join(f"(length(low) - length(replace(low, '{x}', ''))) // {len(x)}" for x in terms)
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents),
+           s AS (SELECT doc_id, list_sort(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(t, '{T.BLANK}+', ' ', 'g'), '([.!?])({T.CITED}) +([A-Z(])', '\\1\\2' || chr(1) || '\\3', 'g'), '([.!?]) +([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+                 lambda x: len(regexp_extract_all(regexp_replace(trim(x), '([.!?]){T.CITED}$', '\\1'), '{_TOKEN}'))), lambda n: n >= 4)) AS l FROM d)
+           SELECT doc_id, {_COUNT(_TOKEN)}::INT AS n_words, len(l)::INT AS n_sentences, round(list_avg(l), 6) AS mean_sentence, round(list_aggregate(l, 'quantile_cont', 0.25), 6) AS p25_sentence, round(list_aggregate(l, 'quantile_cont', 0.5), 6) AS p50_sentence,
+                  round(list_aggregate(l, 'quantile_cont', 0.75), 6) AS p75_sentence, {_COUNT(chr(92) + "b(?:" + T.PASSIVES + ")" + chr(92) + "b", "low")}::INT AS passives, {_COUNT(chr(92) + "b" + T.NOUNS + chr(92) + "b", "low")}::INT AS nominalisations,
+                  {_COUNT(chr(92) + "b" + T.NUMBERS + "%?" + chr(92) + "b")}::INT AS numbers, ({_TERMS(T.HEDGE_TERMS)})::INT AS hedges, ({_TERMS(T.TRANSITION_TERMS)})::INT AS transitions FROM d JOIN s USING (doc_id)""")
+def writing_style(spark, sf_dir):
+    """Words, sentences with citations aside and their lengths, passives, nominalisations, numbers, hedges and transitions of whole texts."""
+    out = read(spark, sf_dir, "documents").select("doc_id", *T.style_counts("text"))
+    return out.select("doc_id", "n_words", "n_sentences", *[r6(c) for c in ("mean_sentence", "p25_sentence", "p50_sentence", "p75_sentence")], "passives", "nominalisations", "numbers", "hedges", "transitions")
+
+
+#: Lines of capitals or of few words without an end, as headings are.
+_HEADING = "[A-Z][A-Za-z]*(?: [A-Za-z]+){0,4}"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(w) AS line, unnest(range(1, len(w) + 1)) AS place FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS w FROM documents)),
+           h AS (SELECT *, regexp_full_match(trim(line), '{_HEADING}') AS head FROM l), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY place) AS section FROM h)
+           SELECT doc_id, section::BIGINT AS section, max(trim(line)) FILTER (head) AS name, min(place)::INT AS first_line, max(place)::INT AS last_line, coalesce(sum({_COUNT(_TOKEN, "line")}) FILTER (NOT head), 0)::BIGINT AS n_words FROM s GROUP BY doc_id, section""")
+def text_sections(spark, sf_dir):
+    """Sections of whole texts, from one heading to the next, with their lines and words."""
+    return T.sections(read(spark, sf_dir, "documents"), "doc_id", "text", _HEADING)
