@@ -159,3 +159,13 @@ def evidence(frames: Sequence[DataFrame], key: str, metrics: Sequence[str]) -> D
         rows = f.select(key, long(f)).where("value IS NOT NULL")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def metadata_collapse(df: DataFrame, by: Sequence[str], same: Sequence[str], mean: str, least: str, flag: str) -> DataFrame:
+    """One row for each group: columns of one value, a mean, the least weight, and whether any row's flag holds, where an unknown flag counts as holding.
+
+    conflicts names those of the columns that have several values; they are null then.
+    """
+    one = lambda c: F.count_distinct(c) <= 1
+    conflicts = F.array_compact(F.array(*[F.when(~one(c), F.lit(c)) for c in same]))
+    return df.groupBy(*by).agg(*[F.when(one(c), F.max(c)).alias(c) for c in same], F.avg(mean).alias(mean), F.min(least).alias(least), F.bool_or(F.coalesce(F.col(flag), F.lit(True))).alias(flag), conflicts.alias("conflicts"))

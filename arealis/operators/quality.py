@@ -33,6 +33,11 @@ def outside(c: str, allowed: Sequence) -> Column:
     return ~F.col(c).isin(*allowed)
 
 
+def suppressed_as_zero(value: str, suppressed: Column) -> Column:
+    """A value that is zero where it should be withheld: suppression shows as null, never as a count."""
+    return F.coalesce(suppressed & (F.col(value) == 0), F.lit(False))
+
+
 def varying(df: DataFrame, by: Sequence[str], c: str) -> DataFrame:
     """Groups with several values of c."""
     return df.groupBy(*by).agg(F.countDistinct(c).alias("values"), F.count("*").alias("rows")).where("values > 1")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
+
 
 def draw(seed: int, *parts: Column) -> Column:
     """A whole number from 0 to 2**32 - 1."""
@@ -111,3 +113,18 @@ def cross_scale_bootstrap(df: DataFrame, group: Sequence[str], area: str, value:
     found = scale_metrics(fine.join(coarse, ["replicate", *group, area]), ["replicate", *group], "_fine", "_coarse", F.col("times"))
     long = found.select(*group, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in SCALE_METRICS])))
     return percentile_interval(long, [*group, "metric"], "v", level)
+
+
+def propagated_ranks(df: DataFrame, key: Sequence[str], mean: str, se: str, group: Sequence[str], replicates: int, seed: int, level: float = 0.95, name: str = "draws") -> DataFrame:
+    """(*key, estimable, rank_lo, rank_hi, q1 .. q4): how a row's rank in its group moves when all values are drawn anew from their intervals.
+
+    Each replicate draws every row's value, normal about its mean and clipped to 0..100, and ranks it in its group. q1 to q4 are the shares of
+    replicates in each quartile. key holds the group's columns, too; rows without a mean or se take no part.
+    """
+    drawn = normal_draws(df.select(*key, mean, se), key, mean, se, replicates, seed).where("drawn IS NOT NULL").withColumn("_one", F.lit(1))
+    ranks = replicated_ranks(written(drawn.select("replicate", *key, "drawn", "_one"), name), "drawn", "_one", group, "_r")
+    tail = (1 - level) / 2
+    bounds = [(0.0, 0.25), (0.25, 0.5), (0.5, 0.75), (0.75, 2.0)]
+    shares = [F.avg(((F.col("_r") > lo) & (F.col("_r") <= hi)).cast("int")).alias(f"q{k}") for k, (lo, hi) in enumerate(bounds, 1)]
+    cut = F.percentile("_r", F.array(F.lit(tail), F.lit(1 - tail)))
+    return ranks.groupBy(*key).agg(F.count("*").alias("estimable"), cut.alias("_c"), *shares).select(*key, "estimable", F.col("_c")[0].alias("rank_lo"), F.col("_c")[1].alias("rank_hi"), "q1", "q2", "q3", "q4")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as T
-from ..operators import agreement, cohort, joins, linear, quality, spatial
+from ..operators import agreement, cohort, joins, linear, quality, resample, spatial
 from ..sources import pipe, sinks
 from ..sources.sinks import written
-from .catalogue import _QUEEN, area_values, cells, pooled, query, r6, ranked
+from .catalogue import _DRAW, _QUEEN, area_values, cells, pooled, query, r6, ranked
 from .facts import FACTS, LEAST, facts, read
 from .records import _lines
 
@@ -230,3 +230,52 @@ _HEADING = "[A-Z][A-Za-z]*(?: [A-Za-z]+){0,4}"
 def text_sections(spark, sf_dir):
     """Sections of whole texts, from one heading to the next, with their lines and words."""
     return T.sections(read(spark, sf_dir, "documents"), "doc_id", "text", _HEADING)
+
+
+# ---- audits and grids ----
+
+
+@query(f"WITH {FACTS}, f AS (SELECT unit, condition, period, CASE WHEN numerator < 20 AND unit % 3 = 0 THEN 0 WHEN numerator < 20 THEN NULL ELSE numerator END AS shown, numerator < 20 AS withheld FROM facts) SELECT condition, count(*) AS rows, count(*) FILTER (withheld) AS withheld, count(*) FILTER (withheld AND shown = 0) AS shown_as_zero FROM f GROUP BY condition")
+def suppressed_as_zero(spark, sf_dir):
+    withheld = F.col("numerator") < 20
+    rows = facts(spark, sf_dir).select("condition", F.when(withheld & (F.col("unit") % 3 == 0), 0).when(~withheld, F.col("numerator")).alias("shown"), withheld.alias("withheld"))
+    return rows.groupBy("condition").agg(F.count("*").alias("rows"), F.count_if("withheld").alias("withheld"), F.count_if(quality.suppressed_as_zero("shown", F.col("withheld"))).alias("shown_as_zero"))
+
+
+@query(f"""WITH {FACTS}, g AS (SELECT a.area, p.period, c.condition FROM (SELECT DISTINCT area FROM facts) a, (SELECT DISTINCT period FROM facts) p, (SELECT DISTINCT condition FROM facts) c),
+           s AS (SELECT area, period, condition, sum(numerator)::BIGINT AS numerator FROM facts GROUP BY ALL) SELECT area, period, condition, coalesce(numerator, 0) AS numerator FROM g LEFT JOIN s USING (area, period, condition)""")
+def three_way_grid(spark, sf_dir):
+    """Every area in every year and condition, with zero where nothing was counted."""
+    rows = facts(spark, sf_dir).groupBy("area", "period", "condition").agg(F.sum("numerator").alias("numerator"))
+    grid = joins.grid(*[rows.select(c).distinct() for c in ("area", "period", "condition")])
+    return joins.densified(rows, grid, ["area", "period", "condition"], {"numerator": 0})
+
+
+@query("""WITH x AS (SELECT c_nationkey AS area, c_mktsegment AS segment, c_acctbal AS capture, c_custkey AS weight, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN TRUE ELSE FALSE END AS crossing, c_nationkey % 5 AS zone FROM customer)
+          SELECT area, max(zone) AS zone, CASE WHEN count(DISTINCT segment) <= 1 THEN max(segment) END AS segment, round(avg(capture), 6) AS capture, min(weight) AS weight, bool_or(coalesce(crossing, TRUE)) AS crossing, CASE WHEN count(DISTINCT segment) > 1 THEN 'segment' ELSE '' END AS conflicts FROM x GROUP BY area""")
+def metadata_collapse(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("area"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("capture"), k.alias("weight"), F.when(k % 5 > 0, k % 5 == 1).alias("crossing"), (F.col("c_nationkey") % 5).alias("zone"))
+    out = cohort.metadata_collapse(rows, ["area"], ["zone", "segment"], "capture", "weight", "crossing")
+    return out.select("area", "zone", "segment", r6("capture"), "weight", "crossing", F.array_join("conflicts", ",").alias("conflicts"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents), k AS (SELECT doc_id, list_filter(w, lambda x: NOT regexp_full_match(trim(x), '.*(?:[Cc]opyright|[Ll]icen[sc]e).*', 's')) AS w FROM l)
+          SELECT doc_id, md5(trim(regexp_replace(array_to_string(w, chr(10)), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' ')) AS cleaned FROM k""")
+def cleaned_texts(spark, sf_dir):
+    """Whole texts without lines of copyright or licence, runs of blank lines made one."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.cleaned(F.col("text"), "(?s)^.*(?:[Cc]opyright|[Ll]icen[sc]e).*$")).alias("cleaned"))
+
+
+_REPLICATES = 100
+_NORMAL = "sqrt(-2 * ln((" + _DRAW.format("'53|' || r || '|' || unit || '|' || condition") + " + 0.5) / 4294967296.0::DOUBLE)) * cos(6.283185307179586 * (" + _DRAW.format("'54|' || r || '|' || unit || '|' || condition") + " + 0.5) / 4294967296.0::DOUBLE)"
+
+
+@query(f"""WITH {FACTS}, m AS (SELECT unit, condition, pooled, 1 + comparator * 20 AS se FROM pooled), d AS (SELECT unit, condition, r, least(100, greatest(0, pooled + se * {_NORMAL})) AS v FROM m, range({_REPLICATES}) t(r)),
+           k AS (SELECT unit, condition, r, (rank() OVER (PARTITION BY condition, r ORDER BY v) + (count(*) OVER (PARTITION BY condition, r, v) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY condition, r) AS k FROM d)
+           SELECT unit, condition, count(*) AS estimable, round(quantile_cont(k, 0.025), 6) AS rank_lo, round(quantile_cont(k, 0.975), 6) AS rank_hi, round(avg((k <= 0.25)::INT), 6) AS q1, round(avg((k > 0.25 AND k <= 0.5)::INT), 6) AS q2, round(avg((k > 0.5 AND k <= 0.75)::INT), 6) AS q3, round(avg((k > 0.75)::INT), 6) AS q4 FROM k GROUP BY ALL""")
+def interval_propagation(spark, sf_dir):
+    """Intervals of ranks and shares of quartiles when every unit's value is drawn anew from its own interval."""
+    rows = pooled(spark, sf_dir).select("unit", "condition", "pooled", (1 + F.col("comparator") * 20).alias("se"))
+    out = resample.propagated_ranks(rows, ["unit", "condition"], "pooled", "se", ["condition"], _REPLICATES, 53)
+    return out.select("unit", "condition", "estimable", *[r6(c) for c in ("rank_lo", "rank_hi", "q1", "q2", "q3", "q4")])
