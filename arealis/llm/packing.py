@@ -24,7 +24,7 @@ from .shared import distinct_words, slices, stored, text_slices, word_spans
 
 #: Words that a worker remembers with their ids. A full memory becomes the old one, whose words are remembered while
 #: they are met again; what is forgotten costs time only.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
 PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("class", pa.int32())] + [(c, pa.int64()) for c in ("slot", "bin", "nth")] + [("ids", pa.binary())])
 
