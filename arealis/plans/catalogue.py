@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit, condition, pooled percentage of the contemporary periods, mean comparator and area."""
-    also = [F.avg("comparator").alias("comparator"), F.max("area").alias("area")]
+    also = [C.steady_mean("comparator").alias("comparator"), F.max("area").alias("area")]
     return cohort.ratio_of_sums(facts(spark, sf_dir), ["unit", "condition"], "numerator", "denominator", "period", PERIODS, LEAST, also=also)
 
 

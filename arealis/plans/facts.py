@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 #: Parameters of the binding.
 PERIODS, LEAST, SUPPRESSED_BELOW = (1996, 1997, 1998), 70, 20
 
@@ -20,7 +22,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per unit, condition and period; lines are scanned once."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("condition"), F.year("l_shipdate").alias("period"), "l_discount", "l_tax", "l_quantity")
-    counts = lines.groupBy("unit", "period", "condition").agg(F.count("*").alias("numerator"), F.avg("l_discount").alias("comparator"), F.avg("l_tax").alias("capture"), F.sum("l_quantity").alias("weight"))
+    counts = lines.groupBy("unit", "period", "condition").agg(F.count("*").alias("numerator"), C.steady_mean("l_discount").alias("comparator"), F.avg("l_tax").alias("capture"), F.sum("l_quantity").alias("weight"))
     counts = counts.withColumn("denominator", F.sum("numerator").over(Window.partitionBy("unit", "period")))  # over a row for each condition
     areas = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit"), F.col("s_nationkey").alias("area"))
     return counts.join(areas, "unit").withColumn("proportion", F.col("numerator") / F.col("denominator").cast("double"))

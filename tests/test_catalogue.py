@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
+from arealis.functions import columns as C
 from arealis.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -78,3 +79,28 @@ def test_draws_are_as_many_as_the_references(spark):
 def test_whole_union_has_all_rows(spark):
     rows = sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("customer", "supplier"))
     assert catalogue.QUERIES["union_by_name_whole"](spark, DATA).count() == rows
+
+
+def copies_of_lines(spark, path):
+    """Six suppliers of one nation with the same lines in other orders, in seven files."""
+    lines = [(unit, flag, f"{year}-03-05", (37 * k % 11) / 100.0, 0.0, 1.0, (k * (unit * 2 + 3) % 101)) for unit in range(6) for flag in "AR" for year in (1996, 1997, 1998) for k in range(101)]
+    names = ["l_suppkey", "l_returnflag", "l_shipdate", "l_discount", "l_tax", "l_quantity", "_at"]
+    rows = pd.DataFrame(lines, columns=names).sort_values(["_at", "l_suppkey"]).drop(columns="_at")
+    rows["l_shipdate"] = pd.to_datetime(rows["l_shipdate"])
+    for k in range(7):
+        os.makedirs(f"{path}/lineitem.parquet", exist_ok=True)
+        rows.iloc[k::7].to_parquet(f"{path}/lineitem.parquet/part-{k}.parquet", coerce_timestamps="us")
+    pd.DataFrame({"s_suppkey": range(6), "s_nationkey": 0}).to_parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+def test_suppliers_with_equal_lines_tie(spark, tmp_path):
+    here = copies_of_lines(spark, tmp_path)
+    assert {(r.r, r.s) for r in catalogue.percentile_ranks(spark, here).collect()} == {(round(3.5 / 6, 9), round(3.5 / 6, 9))}
+    assert {r.category for r in catalogue.discordance_by_rank(spark, here).collect()} == {"other"}
+
+
+def test_steady_mean_of_what_decimals_do_not_hold(spark):
+    rows = [("a", 1e300), ("a", 1e300), ("b", float("nan")), ("b", 1.0), ("c", None), ("d", 2e-9), ("d", 4e-9), ("e", 0.0), ("f", 0.1), ("f", None)]
+    got = {r.g: r.m for r in spark.createDataFrame(rows, "g string, v double").groupBy("g").agg(C.steady_mean("v").alias("m")).collect()}
+    assert got["a"] == 1e300 and got["b"] != got["b"] and got["c"] is None and got["d"] == pytest.approx(3e-9) and got["e"] == 0.0 and got["f"] == 0.1
