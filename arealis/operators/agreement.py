@@ -103,6 +103,7 @@ def adjusted_by_ranges(df: DataFrame, p: str, family: Sequence[str], name: str =
 
     p-values are counted by family and value first, and families cut into ranges by quantile sketches that merge. A value's rank is
     a sum within its range and over the ranges before it; the least n * p / rank of larger values one within its range and over those behind it.
+    df is read more than once, so it should be a table.
     """
     known = df.withColumn("_p", finite(p)).where(F.col("_p").isNotNull())
     counts = known.groupBy(*family, "_p").agg(F.count("*").alias("_n"))

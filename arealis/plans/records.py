@@ -256,7 +256,8 @@ def annual_availability(spark, sf_dir):
            z AS (SELECT unit, condition, pv, least(1, min(raw) OVER (PARTITION BY condition ORDER BY pv DESC)) AS q FROM y)
            SELECT condition, count(*) AS tests, count(*) FILTER (pv < 0.05) AS raw_hits, count(*) FILTER (q < 0.05) AS survivors, coalesce(array_to_string(list_sort(list(unit::VARCHAR) FILTER (q < 0.05)), '|'), '') AS units FROM z GROUP BY condition""")
 def fdr_survivors(spark, sf_dir):
-    rows = agreement.adjusted_by_ranges(pooled(spark, sf_dir).withColumn("pv", F.exp(-F.abs(F.col("pooled") - F.col("comparator") * 600))), "pv", ["condition"])
+    tests = sinks.written(pooled(spark, sf_dir).withColumn("pv", F.exp(-F.abs(F.col("pooled") - F.col("comparator") * 600))), "tests")  # read again, the same to the last bit
+    rows = agreement.adjusted_by_ranges(tests, "pv", ["condition"])
     hit = F.coalesce(F.col("p_adjusted") < 0.05, F.lit(False))
     return rows.groupBy("condition").agg(F.count("pv").alias("tests"), F.count_if(F.col("pv") < 0.05).alias("raw_hits"), F.count_if(hit).alias("survivors"), C.joined_sorted(F.when(hit, F.col("unit"))).alias("units"))
 

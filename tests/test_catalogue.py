@@ -1,14 +1,16 @@
 """Every query against its SQL, run by DuckDB on the same files."""
 
 import os
+import random
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from arealis.functions import columns as C
-from arealis.plans import catalogue
+from arealis.plans import catalogue, records
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -104,3 +106,11 @@ def test_steady_mean_of_what_decimals_do_not_hold(spark):
     rows = [("a", 1e300), ("a", 1e300), ("b", float("nan")), ("b", 1.0), ("c", None), ("d", 2e-9), ("d", 4e-9), ("e", 0.0), ("f", 0.1), ("f", None)]
     got = {r.g: r.m for r in spark.createDataFrame(rows, "g string, v double").groupBy("g").agg(C.steady_mean("v").alias("m")).collect()}
     assert got["a"] == 1e300 and got["b"] != got["b"] and got["c"] is None and got["d"] == pytest.approx(3e-9) and got["e"] == 0.0 and got["f"] == 0.1
+
+
+def test_survivors_are_not_lost_when_values_differ_from_run_to_run(spark, monkeypatch):
+    drawn = F.udf(lambda k: 40.0 + random.random(), "double").asNondeterministic()
+    rows = spark.range(200).select(F.col("id").alias("unit"), F.lit("A").alias("condition"), drawn("id").alias("pooled"), F.lit(0.0).alias("comparator"))
+    monkeypatch.setattr(records, "pooled", lambda spark, sf_dir: rows)
+    r = records.fdr_survivors(spark, DATA).first()
+    assert (r.tests, r.raw_hits, r.survivors) == (200, 200, 200)
