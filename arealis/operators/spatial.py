@@ -96,6 +96,65 @@ def relation(a: np.ndarray, b: np.ndarray) -> tuple[bool, bool, bool]:
     return overlap, meet, shared
 
 
+def relations(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """relation() of many pairs at once: a and b are (pairs, edges, 4), each with as many edges in all pairs."""
+    eps = 1e-12 * np.maximum(np.maximum(np.abs(a).max((1, 2)), np.abs(b).max((1, 2))), 1e-300)
+    way = lambda e: e[..., 2:] - e[..., :2]
+
+    def sides(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        d = way(edges)
+        off = points[:, :, None] - edges[:, None, :, :2]
+        far = (d[:, None, :, 0] * off[..., 1] - d[:, None, :, 1] * off[..., 0]) / np.maximum(np.hypot(d[..., 0], d[..., 1]), 1e-300)[:, None]
+        return np.where(np.abs(far) <= eps[:, None, None], 0, np.sign(far))
+
+    def upon(points: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs, points, edges): whether a point lies on an edge, and its place along it."""
+        d = way(edges)[:, None]
+        off = points[:, :, None] - edges[:, None, :, :2]
+        t = np.clip((off * d).sum(3) / np.maximum((d * d).sum(3), 1e-300), 0, 1)
+        return np.hypot(off[..., 0] - t * d[..., 0], off[..., 1] - t * d[..., 1]) <= eps[:, None, None], t
+
+    def inside(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        x1, y1, x2, y2 = (edges[:, None, :, k] for k in range(4))
+        px, py = points[:, :, None, 0], points[:, :, None, 1]
+        return (((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / np.where(y2 == y1, 1.0, y2 - y1) + x1)).sum(2) % 2 == 1
+
+    overlap = ((sides(a[..., :2], b) * sides(a[..., 2:], b) < 0) & (sides(b[..., :2], a) * sides(b[..., 2:], a) < 0).transpose(0, 2, 1)).any((1, 2))
+    meet, shared = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    for one, other in ((a, b), (b, a)):
+        on, t = upon(other[..., :2], one)
+        meet |= on.any((1, 2))
+        # corners that lie elsewhere cut a piece of no length, which does not count
+        stops = np.where(on, t, 0.0).transpose(0, 2, 1)
+        stops = np.sort(np.concatenate([stops, np.zeros((*stops.shape[:2], 1)), np.ones((*stops.shape[:2], 1))], 2), 2)
+        d, step = way(one)[:, :, None], (stops[..., 1:] - stops[..., :-1])[..., None]
+        piece = (step[..., 0] * np.hypot(d[..., 0], d[..., 1]) > 2 * eps[:, None, None]).reshape(len(a), -1)
+        middle = (one[:, :, None, :2] + d * ((stops[..., 1:] + stops[..., :-1]) / 2)[..., None]).reshape(len(a), -1, 2)
+        across = ((d * step)[..., ::-1] * [1e-4, -1e-4]).reshape(len(a), -1, 2)
+        on = piece & upon(middle, other)[0].any(2)
+        shared |= on.any(1)
+        overlap |= (piece & ~on & inside(middle, other)).any(1)
+        for beside in (middle + across, middle - across):
+            overlap |= (on & inside(beside, one) & inside(beside, other)).any(1)
+    return overlap, meet, shared
+
+
+def _related(one: Sequence[np.ndarray], other: Sequence[np.ndarray], bound: int = 1 << 18) -> np.ndarray:
+    """(pairs, 3) of relation(): pairs of small areas with as many edges are taken together, a bounded many at a time; large ones go singly."""
+    out = np.zeros((len(one), 3), bool)
+    sizes = np.array([(len(e) // 4, len(f) // 4) for e, f in zip(one, other)], dtype=int).reshape(-1, 2)
+    for m, n in np.unique(sizes, axis=0):
+        at = np.nonzero((sizes == (m, n)).all(1))[0]
+        step = bound // (m * n * (max(m, n) + 1))
+        for k in range(0, len(at), max(step, 1)):
+            some = at[k : k + max(step, 1)]
+            if step > 1:
+                out[some] = np.stack(relations(*(np.stack([x[i] for i in some]).astype(float).reshape(len(some), -1, 4) for x in (one, other))), 1)
+            else:
+                out[some[0]] = relation(np.asarray(one[some[0]], float).reshape(-1, 4), np.asarray(other[some[0]], float).reshape(-1, 4))
+    return out
+
+
 def contiguity(areas: DataFrame, key: str, wkt: str, rule: str = "queen") -> DataFrame:
     """(src, dst) both ways: areas whose boundaries meet in a point at least (queen) or share a length (rook).
 
@@ -118,13 +177,10 @@ def contiguity(areas: DataFrame, key: str, wkt: str, rule: str = "queen") -> Dat
 
     @F.pandas_udf("boolean")
     def linked(src: pd.Series, dst: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:
-        out = []
-        for one, other, x, y in zip(src, dst, e, f):
-            overlap, meet, shared = relation(np.asarray(x).reshape(-1, 4), np.asarray(y).reshape(-1, 4))
-            if overlap:
-                raise ValueError(f"interiors of areas {one} and {other} intersect")
-            out.append(shared if rule == "rook" else meet)
-        return pd.Series(out, dtype=bool)
+        found = _related(e.to_list(), f.to_list())
+        for k in np.nonzero(found[:, 0])[0][:1]:
+            raise ValueError(f"interiors of areas {src.iloc[k]} and {dst.iloc[k]} intersect")
+        return pd.Series(found[:, 2 if rule == "rook" else 1], dtype=bool)
 
     found = pairs.where(linked("src", "dst", "_e", "_f")).select("src", "dst")
     return found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

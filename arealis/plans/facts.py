@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.sinks import written
 
 #: Parameters of the binding.
 PERIODS, LEAST, SUPPRESSED_BELOW = (1996, 1997, 1998), 70, 20
@@ -19,6 +20,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """df in parts enough for all cores, as a table: a small file is one part, however long the work on its rows.
+
+    Filters with Python functions would be pushed below a mere repartition(), back into the one part.
+    """
+    return written(df.repartition(3 * spark.sparkContext.defaultParallelism, key), "dealt")
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per unit, condition and period; lines are scanned once."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("condition"), F.year("l_shipdate").alias("period"), "l_discount", "l_tax", "l_quantity")

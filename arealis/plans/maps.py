@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import local, models, networks, overlay, spatial, spatial_error
 from ..sources.sinks import written
 from .catalogue import _DRAW, query, r6
-from .facts import read
+from .facts import dealt, read
 
 WIDE = 40
 
@@ -30,12 +30,12 @@ def box(x: Column, y: Column, w: float, h: float) -> Column:
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     x, y = (k % WIDE).cast("double"), F.floor(k / WIDE).cast("double")
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("grp"), x.alias("x"), y.alias("y"), box(x, y, 1.0, 1.0).alias("wkt"), "c_acctbal")
+    return dealt(spark, read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("grp"), x.alias("x"), y.alias("y"), box(x, y, 1.0, 1.0).alias("wkt"), "c_acctbal")
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("area"), box((k % 8) * 5.0 + 0.3, F.floor(k / 8) * 2.5 + 0.45, 5.0, 2.5).alias("wkt"))
+    return dealt(spark, read(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("area"), box((k % 8) * 5.0 + 0.3, F.floor(k / 8) * 2.5 + 0.45, 5.0, 2.5).alias("wkt"))
 
 
 @query(f"WITH {_OVER} SELECT unit, area, round(s, 6) AS intersection_area, round(s / t, 6) AS weight, round(t, 6) AS covered_fraction, n > 1 AS is_crossing, s / t < 0.15 AS is_sliver FROM t")
@@ -79,7 +79,7 @@ def geometry_audit(spark, sf_dir):
     k = F.col("c_custkey")
     text = F.element_at(F.array(*[F.lit(t) for t in _TEXTS]), (k % 4 + 1).cast("int"))
     text = F.replace(F.replace(text, F.lit("{0}"), k.cast("string")), F.lit("{1}"), (k + 2).cast("string"))
-    return read(spark, sf_dir, "customer").select(k.alias("unit"), overlay.geometry_fault(text).alias("fault"))
+    return dealt(spark, read(spark, sf_dir, "customer"), "c_custkey").select(k.alias("unit"), overlay.geometry_fault(text).alias("fault"))
 
 
 @query("""WITH w AS (SELECT c_custkey AS unit, CASE WHEN c_custkey % 7 = 0 THEN -666666666.0 ELSE c_acctbal END AS a_e, CASE c_custkey % 5 WHEN 0 THEN -222222222.0 WHEN 1 THEN -555555555.0 ELSE 1.5 END AS a_m, c_nationkey::DOUBLE AS b_e, CASE WHEN c_custkey % 3 = 0 THEN -333333333.0 END AS b_m FROM customer),

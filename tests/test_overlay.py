@@ -143,3 +143,22 @@ def test_estimates_with_states(spark):
         ("t1", "a"): (5.0, "published", 1.5, "published"), ("t1", "b"): (None, "unavailable", None, "unavailable"), ("t2", "a"): (None, "missing", None, "controlled"),
         ("t2", "b"): (7.0, "published", None, "open_ended_median"), ("t3", "a"): (None, "unavailable", None, "missing"), ("t3", "b"): (None, "not_applicable", 0.0, "published"),
     }
+
+
+def test_small_files_are_dealt_to_all_cores(spark):
+    from arealis.plans import maps
+
+    data = "/root/testdata/sf0.001"
+    for rows in (maps.geometry_audit(spark, data), maps.units(spark, data)):
+        assert rows.rdd.getNumPartitions() > 1
+
+
+def test_relations_of_many_pairs_are_those_of_each():
+    from arealis.operators.spatial import _related, relation
+
+    rng = np.random.default_rng(3)
+    ring = lambda p: np.hstack([p, np.roll(p, -1, axis=0)]).ravel()
+    drawn = lambda n: ring(rng.integers(0, 4, (n, 2)).astype(float) + rng.integers(0, 2, 2) * 2)
+    one, other = [drawn(3 + k % 3) for k in range(600)], [drawn(3 + k % 2) for k in range(600)]
+    want = np.array([relation(a.reshape(-1, 4), b.reshape(-1, 4)) for a, b in zip(one, other)])
+    assert want.any(0).all() and (_related(one, other) == want).all() and (_related(one, other, 1) == want).all()
