@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
 from .agreement import adjusted_by_ranges
 from .resample import draw
 
@@ -37,13 +38,10 @@ def standardised(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def picks(seed: int, area: Column, replicate: Column, others: Column, many: Column) -> Column:
     """many different places out of others (0 to others - 1), each set of them as likely as any other."""
 
-    def add(chosen: Column, slot: Column) -> Column:
-        last = others - many + slot - 1
-        t = draw(seed, area, replicate, slot) % (last + 1)
-        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, t), last).otherwise(t)))
-
+    # each draw is made once; the slot's last place is what Floyd's method takes instead of one that is taken
+    drawn = F.transform(F.sequence(F.lit(1).cast("long"), many), lambda slot: draw(seed, area, replicate, slot) % (others - many + slot))
     none = F.expr("CAST(array() AS array<bigint>)")
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), many), none, add)
+    return F.aggregate(drawn, none, lambda chosen, t: F.concat(chosen, F.array(F.when(F.array_contains(chosen, t), others - many + F.size(chosen)).otherwise(t))))
 
 
 FAMILIES = ("local_moran", "getis_ord_gi_star", "bivariate_lisa")
@@ -64,9 +62,10 @@ def conditional_diagnostics(values: DataFrame, key: str, value: str, weights: Da
     lags = near.groupBy("src").agg(F.count("*").alias("d"), F.avg("_z").alias("lag"), F.sum("_z").alias("s"), F.avg("_o").alias("olag"))
     focal = z.join(lags, "src")
     drawn = focal.select("src", "place", "n", "d", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("replicate"))
+    drawn = drawn.repartition(3 * values.sparkSession.sparkContext.defaultParallelism, "src", "replicate")  # rows are few before they become draws
     drawn = drawn.select("src", "replicate", "place", F.explode(picks(seed, F.col("src"), F.col("replicate"), F.col("n") - 1, F.col("d"))).alias("_t"))
     drawn = drawn.select("src", "replicate", (F.col("_t") + (F.col("_t") >= F.col("place")).cast("long")).alias("place"))
-    sums = drawn.join(z.select("place", "z", "o"), "place").groupBy("src", "replicate").agg(F.avg("z").alias("lag"), F.sum("z").alias("s"), F.avg("o").alias("olag"))
+    sums = drawn.join(z.select("place", "z", "o").hint("shuffle_hash"), "place").groupBy("src", "replicate").agg(F.avg("z").alias("lag"), F.sum("z").alias("s"), F.avg("o").alias("olag"))
     lists = sums.groupBy("src").agg(*[F.collect_list(c).alias(f"_{c}") for c in ("lag", "s", "olag")])  # one of each for a replicate
     m = (F.col("d") + 1).cast("double")
     scale = F.sqrt((F.col("n") * m - m * m) / (F.col("n") - 1))
@@ -80,7 +79,7 @@ def conditional_diagnostics(values: DataFrame, key: str, value: str, weights: Da
     long = long.withColumn("_center", center)
     extreme = F.size(F.filter("_many", lambda x: F.abs(x - F.col("_center")) >= F.abs(F.col("statistic") - F.col("_center")) - 1e-12))
     raw = long.select(F.col("src").alias(key), "family", "statistic", F.when(F.col("statistic").isNotNull(), (extreme + 1) / F.lit(float(permutations + 1))).alias("p_raw"), F.when(F.col("statistic").isNull(), "not_estimable").otherwise(F.col("label")).alias("label"))
-    return adjusted_by_ranges(raw, "p_raw", ["family"]).select(key, "family", "statistic", "p_raw", "p_adjusted", "label")
+    return adjusted_by_ranges(written(raw, "tests"), "p_raw", ["family"]).select(key, "family", "statistic", "p_raw", "p_adjusted", "label")
 
 
 def surviving(diagnostics: DataFrame, level: float = 0.05) -> DataFrame:

@@ -142,3 +142,15 @@ def test_log_determinant_from_exact_traces():
 @pytest.mark.parametrize("ols,spatial_,label", [(1.0, 1.2, "not_model_sensitive"), (1.0, 1.21, "model-sensitive"), (1.0, -1.0, "model-sensitive"), (0.0, 0.0, "not_model_sensitive"), (0.0, 0.1, "model-sensitive"), (-2.0, -1.7, "not_model_sensitive")])
 def test_sensitivity_labels(ols, spatial_, label):
     assert spatial_error.sensitivity(ols, spatial_) == label
+
+
+def test_replicates_are_drawn_once_for_all_ranks(spark, monkeypatch):
+    from arealis.operators import local
+
+    seen = []
+    monkeypatch.setattr(local, "adjusted_by_ranges", lambda df, p, family: seen.append(df) or df.withColumn("p_adjusted", df[p]))
+    values = spark.range(30).selectExpr("id", "cast(id * 7 % 11 AS double) AS v")
+    ring = spark.range(30).selectExpr("id AS src", "(id + 1) % 30 AS dst")
+    assert local.conditional_diagnostics(values, "id", "v", ring, 5, 3).count() == 60
+    assert seen[0].inputFiles()  # a table, so that what reads it several times draws once
+    assert "Generate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
