@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from ..sources.sinks import written as table
 from .spatial import _inside, _upon
 
 _RING = re.compile(r"(\(\s*)?\(([^()]+)\)")
@@ -106,9 +107,14 @@ def _shared(one: pd.Series, other: pd.Series) -> pd.Series:
 BOUNDS = ("_x0", "_x1", "_y0", "_y1")
 
 
+def oriented_edges(areas: DataFrame, keys: Sequence[str], wkt: str) -> DataFrame:
+    """(*keys, _e): oriented edges of each area that has any."""
+    return areas.select(*keys, _edges(wkt).alias("_e")).where(F.size("_e") > 0)
+
+
 def outlines(areas: DataFrame, key: str, wkt: str) -> DataFrame:
     """(key, _e, _s, _x0, _x1, _y0, _y1): oriented edges, surface and bounds of each area that has any."""
-    rows = areas.select(key, _edges(wkt).alias("_e")).where(F.size("_e") > 0)
+    rows = oriented_edges(areas, [key], wkt)
     axis = lambda k: F.filter("_e", lambda _, i: i % 2 == k)
     return rows.select(key, "_e", _surface("_e").alias("_s"), F.array_min(axis(0)).alias("_x0"), F.array_max(axis(0)).alias("_x1"), F.array_min(axis(1)).alias("_y0"), F.array_max(axis(1)).alias("_y1"))
 
@@ -151,15 +157,15 @@ def overlay(units: DataFrame, unit: str, areas: DataFrame, area: str, wkt: str,
 # ---- union of a tiling ----
 
 
-def boundary(areas: DataFrame, key: str, wkt: str, by: Sequence[str] = ()) -> DataFrame:
+def boundary(areas: DataFrame, wkt: str, by: Sequence[str] = ()) -> DataFrame:
     """(*by, x, y, x2, y2): what is left of the areas' edges when those shared within a group cancel each other.
 
     Edges are cut where corners of other areas of the group lie within them, found on a grid; then each piece that runs
-    both ways is none. An outer piece that comes twice means that areas overlap, which is an error.
+    both ways is none. An outer piece that comes twice means that areas overlap, which is an error. Edges are a table, and
+    joins of them are sorted: their size is guessed too small for Spark to keep them from the driver.
     """
-    of_group = areas.select(key, *by).distinct() if by else None
-    e = outlines(areas, key, wkt).select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("_e") - 4, F.lit(4)), lambda i: F.slice("_e", i + 1, 4))).alias("_e"))
-    e = (e.join(of_group, key) if by else e).select(*by, *[F.col("_e")[k].alias(c) for k, c in enumerate(("x", "y", "x2", "y2"))])
+    e = oriented_edges(areas, by, wkt).select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.size("_e") - 4, F.lit(4)), lambda i: F.slice("_e", i + 1, 4))).alias("_e"))
+    e = table(e.select(*by, *[F.col("_e")[k].alias(c) for k, c in enumerate(("x", "y", "x2", "y2"))]), "edges")
     size = e.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x")), F.abs(F.col("y2") - F.col("y")))).alias("_w")).withColumn("_h", F.col("_w"))
     spans = e.withColumns({"_x0": F.least("x", "x2"), "_x1": F.greatest("x", "x2"), "_y0": F.least("y", "y2"), "_y1": F.greatest("y", "y2")})
     tiles = _tiles(spans, size)
@@ -170,9 +176,9 @@ def boundary(areas: DataFrame, key: str, wkt: str, by: Sequence[str] = ()) -> Da
     scale = F.greatest(*[F.abs(F.col(c)) for c in ("x", "y", "x2", "y2")]) * 1e-12
     on = (F.abs(px * dy - py * dx) <= scale * F.sqrt(long2)) & (along > 0) & (along < 1) & ~((F.col("_px") == F.col("x")) & (F.col("_py") == F.col("y"))) & ~((F.col("_px") == F.col("x2")) & (F.col("_py") == F.col("y2")))
     edge = [*by, "x", "y", "x2", "y2"]
-    cuts = tiles.join(corners, [*by, "_cx", "_cy"]).where(on).groupBy(*edge).agg(F.array_sort(F.collect_set(F.struct(along.alias("t"), F.col("_px").alias("x"), F.col("_py").alias("y")))).alias("_cuts"))
+    cuts = tiles.join(corners.hint("merge"), [*by, "_cx", "_cy"]).where(on).groupBy(*edge).agg(F.array_sort(F.collect_set(F.struct(along.alias("t"), F.col("_px").alias("x"), F.col("_py").alias("y")))).alias("_cuts"))
     counted = e.groupBy(*edge).agg(F.count("*").alias("_n"))
-    cut = counted.join(cuts, edge, "left")
+    cut = counted.join(cuts.hint("merge"), edge, "left")
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     inner = F.transform(F.coalesce("_cuts", F.expr("array()").cast("array<struct<t:double,x:double,y:double>>")), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
     stops = F.concat(F.array(point("x", "y")), inner, F.array(point("x2", "y2")))
@@ -223,21 +229,40 @@ def chained(edges: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def straight(xy: np.ndarray) -> np.ndarray:
-    """Corners without those that lie on the line between their neighbours."""
-    before, after = xy - np.roll(xy, 1, axis=0), np.roll(xy, -1, axis=0) - xy
+def straight(loops: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Loops without corners that lie on the line between their neighbours; all at once, as there may be very many."""
+    xy, first, n = _flat(loops)
+    before, after = xy - xy[_beside(first, n, -1)], xy[_beside(first, n, 1)] - xy
     bend = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 1e-12 * np.hypot(*before.T) * np.hypot(*after.T)
-    return xy[bend]
+    return np.split(xy[bend], np.add.reduceat(bend, first).cumsum()[:-1])
+
+
+def _flat(loops: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All points of loops one after the other, where each loop begins, and how many it has."""
+    n = np.array([len(r) for r in loops])
+    return np.concatenate(loops), n.cumsum() - n, n
+
+
+def _beside(first: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """The place of each point's neighbour, before it or after it in its loop."""
+    at = np.arange(n.sum()) - np.repeat(first, n)
+    return np.repeat(first, n) + (at + step) % np.repeat(n, n)
 
 
 def nested(loops: Sequence[np.ndarray]) -> list[list[np.ndarray]]:
     """Polygons: an outer ring and its holes each, a hole with the smallest ring around it."""
-    outer = sorted((r for r in loops if _doubled(r) > 0), key=_doubled)
-    out = [[r] for r in outer]
-    around = [np.hstack([r, np.roll(r, -1, axis=0)]) for r in outer]
-    for hole in (r for r in loops if _doubled(r) < 0):
+    xy, first, n = _flat(loops)
+    d = xy - np.repeat(xy[first], n, axis=0)
+    turn = d[_beside(first, n, 1)]
+    doubled = np.add.reduceat(d[:, 0] * turn[:, 1] - turn[:, 0] * d[:, 1], first)
+    outer = np.flatnonzero(doubled > 0)
+    outer = outer[np.argsort(doubled[outer], kind="stable")]
+    out = [[loops[k]] for k in outer]
+    low, high = np.minimum.reduceat(xy, first)[outer], np.maximum.reduceat(xy, first)[outer]
+    for hole in (loops[k] for k in np.flatnonzero(doubled < 0)):
         point = np.array([inner_point(np.hstack([hole[::-1], np.roll(hole[::-1], -1, axis=0)]))])
-        home = next((k for k, e in enumerate(around) if _inside(point, e)[0]), None)
+        near = np.flatnonzero(((low <= point) & (point <= high)).all(1))
+        home = next((k for k in near if _inside(point, np.hstack([out[k][0], np.roll(out[k][0], -1, axis=0)]))[0]), None)
         if home is None:
             raise ValueError("a hole lies in no ring")
         out[home].append(hole)
@@ -245,7 +270,7 @@ def nested(loops: Sequence[np.ndarray]) -> list[list[np.ndarray]]:
 
 
 def written(polygons: Sequence[Sequence[np.ndarray]]) -> str:
-    ring = lambda r: "(" + ", ".join(f"{x!r} {y!r}" for x, y in [*r.tolist(), r[0].tolist()]) + ")"
+    ring = lambda r: "(" + ", ".join(f"{x!r} {y!r}" for x, y in np.vstack([r, r[:1]]).tolist()) + ")"
     parts = ["(" + ", ".join(map(ring, p)) + ")" for p in polygons]
     return f"POLYGON {parts[0]}" if len(parts) == 1 else f"MULTIPOLYGON ({', '.join(parts)})"
 
@@ -255,16 +280,18 @@ def dissolved(areas: DataFrame, key: str, wkt: str, by: str) -> DataFrame:
 
     Edges cancel in Spark's joins and sums; a task only chains the outline that a group keeps, which is its row's text.
     """
-    kept = boundary(areas, key, wkt, [by])
+    kept = boundary(areas, wkt, [by])
     kind = dict(areas.dtypes)[by]
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         e = group[["x", "y", "x2", "y2"]].to_numpy()
-        polygons = nested([straight(r) for r in chained(e)])
+        polygons = nested(straight(chained(e)))
         polygons.sort(key=lambda p: p[0].min(0).tolist())
         return pd.DataFrame([(group[by].iloc[0], written(polygons), len(polygons), sum(len(p) - 1 for p in polygons), surface(e), float(np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]).sum()))], columns=[by, "wkt", "parts", "holes", "surface", "perimeter"])
 
-    return kept.groupBy(by).applyInPandas(chain, f"{by} {kind}, wkt string, parts int, holes int, surface double, perimeter double")
+    # a number of parts that is given is not made smaller for few bytes: groups are few, and their work is in Python
+    dealt = kept.repartition(3 * areas.sparkSession.sparkContext.defaultParallelism, by)
+    return dealt.groupBy(by).applyInPandas(chain, f"{by} {kind}, wkt string, parts int, holes int, surface double, perimeter double")
 
 
 # ---- validity and points inside ----
@@ -296,11 +323,13 @@ def representative_points(areas: DataFrame, key: str, wkt: str) -> DataFrame:
 
 
 def _pairs_in_sweep(e: np.ndarray):
-    """Numbers of edges whose bounds meet, found from left to right, a bounded many at a time."""
-    lo, hi = e[:, ::2].min(1), e[:, ::2].max(1)
-    order = np.argsort(lo, kind="stable")
-    upto = np.searchsorted(lo[order], hi[order], side="right")
-    n = upto - np.arange(len(e)) - 1
+    """Numbers of edges whose bounds meet, a bounded many at a time, found from left to right or upwards, whichever meets fewer."""
+    ways = []
+    for axis in (0, 1):
+        lo, hi = e[:, axis::2].min(1), e[:, axis::2].max(1)
+        order = np.argsort(lo, kind="stable")
+        ways.append((order, np.searchsorted(lo[order], hi[order], side="right") - np.arange(len(e)) - 1))
+    order, n = min(ways, key=lambda w: w[1].sum())
     ends = n.cumsum()
     at = 0
     while at < len(e):
@@ -317,23 +346,27 @@ def fault_of(text: str | None) -> str | None:
     found = rings(text)
     if not found:
         return "no ring"
-    edges, ring, place, many = [], [], [], []
-    for k, (_, xy) in enumerate(found):
-        if not np.isfinite(xy).all():
-            return "a coordinate that is no number"
-        if (xy[0] != xy[-1]).any():
-            return "a ring that does not close"
-        off = xy - xy[0]
-        far = off[np.argmax(np.abs(off).sum(1))]
-        if not (off[:, 0] * far[1] != off[:, 1] * far[0]).any():
-            return "a ring without a surface"
-        e = np.hstack([xy[:-1], xy[1:]])
-        e = e[(e[:, :2] != e[:, 2:]).any(1)]
-        edges.append(e)
-        ring.append(np.full(len(e), k))
-        place.append(np.arange(len(e)))
-        many.append(np.full(len(e), len(e)))
-    e, ring, place, many = (np.concatenate(x) for x in (edges, ring, place, many))
+    xy, first, size = _flat([xy for _, xy in found])
+    last = first + size - 1
+    off = xy - np.repeat(xy[first], size, axis=0)
+    far = np.abs(off).sum(1)
+    apart = np.where(far == np.repeat(np.maximum.reduceat(far, first), size), np.arange(len(xy)), len(xy))
+    far = np.repeat(off[np.minimum(np.minimum.reduceat(apart, first), last)], size, axis=0)
+    faults = {
+        "a coordinate that is no number": ~np.logical_and.reduceat(np.isfinite(xy).all(1), first),
+        "a ring that does not close": (xy[first] != xy[last]).any(1),
+        "a ring without a surface": ~np.logical_or.reduceat(off[:, 0] * far[:, 1] != off[:, 1] * far[:, 0], first),
+    }
+    bad = np.flatnonzero(np.logical_or.reduce(list(faults.values())))
+    if len(bad):
+        return next(name for name, rings_ in faults.items() if rings_[bad[0]])
+    start = np.ones(len(xy), bool)
+    start[last] = False
+    start = np.flatnonzero(start)
+    start = start[(xy[start] != xy[start + 1]).any(1)]
+    e, ring = np.hstack([xy[start], xy[start + 1]]), np.repeat(np.arange(len(size)), size)[start]
+    upto = np.searchsorted(ring, np.arange(len(size) + 1))
+    place, many = np.arange(len(e)) - upto[ring], np.diff(upto)[ring]
     cross = lambda o, p, q: (p[:, 0] - o[:, 0]) * (q[:, 1] - o[:, 1]) - (p[:, 1] - o[:, 1]) * (q[:, 0] - o[:, 0])
     for i, j in _pairs_in_sweep(e):
         a, b, c, d = e[i, :2], e[i, 2:], e[j, :2], e[j, 2:]
@@ -353,7 +386,7 @@ def fault_of(text: str | None) -> str | None:
     outer = None
     for k, (bounds, xy) in enumerate(found):
         if bounds:
-            outer = e[ring == k]
+            outer = e[upto[k] : upto[k + 1]]
         elif outer is None or not _within(xy[:-1], outer):
             return "a hole outside its ring"
     return None

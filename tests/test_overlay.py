@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -162,3 +163,17 @@ def test_relations_of_many_pairs_are_those_of_each():
     one, other = [drawn(3 + k % 3) for k in range(600)], [drawn(3 + k % 2) for k in range(600)]
     want = np.array([relation(a.reshape(-1, 4), b.reshape(-1, 4)) for a, b in zip(one, other)])
     assert want.any(0).all() and (_related(one, other) == want).all() and (_related(one, other, 1) == want).all()
+
+
+def test_outlines_do_not_pass_through_the_driver(spark):
+    from arealis.plans import maps
+
+    plan = maps.dissolved_regions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_polygon_of_many_parts_in_a_column_is_checked_in_time():
+    squares = [[[(0, 2 * k), (1, 2 * k), (1, 2 * k + 1), (0, 2 * k + 1)]] for k in range(20_000)]
+    began = time.process_time()
+    assert overlay.fault_of(wkt(*squares)) is None
+    assert time.process_time() - began < 20  # all pairs of edges are 3.2 milliards
