@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
 from .resample import permuted
 
 
@@ -166,14 +167,16 @@ def contiguity(areas: DataFrame, key: str, wkt: str, rule: str = "queen") -> Dat
     after = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
     sides = vertices(areas, key, wkt).select(key, "x", "y", after("x").alias("x2"), after("y").alias("y2"))
     shapes = sides.groupBy(key).agg(F.flatten(F.collect_list(F.array("x", "y", "x2", "y2"))).alias("e"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    shapes = written(shapes, "shapes")  # read five times; joins with it are sorted, as its size is guessed too small to keep it from the driver
     pad = F.greatest(*[F.abs(c) for c in "abcd"]) * 1e-11
     bounds = shapes.select(key, (F.col("a") - pad).alias("a"), (F.col("b") + pad).alias("b"), (F.col("c") - pad).alias("c"), (F.col("d") + pad).alias("d"))
     mean = bounds.agg(F.avg(F.col("b") - F.col("a")).alias("_w"), F.avg(F.col("d") - F.col("c")).alias("_h"))
     cells = lambda lo, hi, size: F.explode(F.sequence(F.floor(F.col(lo) / F.col(size)), F.floor(F.col(hi) / F.col(size))))
     tiles = bounds.crossJoin(F.broadcast(mean)).withColumn("_cx", cells("a", "b", "_w")).withColumn("_cy", cells("c", "d", "_h")).drop("_w", "_h")
     here, there = tiles.withColumnRenamed(key, "src"), tiles.withColumnsRenamed({key: "dst", "a": "a2", "b": "b2", "c": "c2", "d": "d2"})
-    pairs = here.join(there, ["_cx", "_cy"]).where("src < dst AND a <= b2 AND a2 <= b AND c <= d2 AND c2 <= d").select("src", "dst").distinct()
-    pairs = pairs.join(shapes.select(F.col(key).alias("src"), F.col("e").alias("_e")), "src").join(shapes.select(F.col(key).alias("dst"), F.col("e").alias("_f")), "dst")
+    pairs = here.join(there.hint("merge"), ["_cx", "_cy"]).where("src < dst AND a <= b2 AND a2 <= b AND c <= d2 AND c2 <= d").select("src", "dst").distinct()
+    of = lambda c, e: shapes.select(F.col(key).alias(c), F.col("e").alias(e)).hint("merge")
+    pairs = pairs.join(of("src", "_e"), "src").join(of("dst", "_f"), "dst")
 
     @F.pandas_udf("boolean")
     def linked(src: pd.Series, dst: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:

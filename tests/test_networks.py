@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.scipy_free import benjamini_hochberg, dense_spatial_error, grid_edges, least_spanning_tree
 
 from arealis.operators import agreement, local, networks, spatial, spatial_error
@@ -154,3 +155,12 @@ def test_replicates_are_drawn_once_for_all_ranks(spark, monkeypatch):
     assert local.conditional_diagnostics(values, "id", "v", ring, 5, 3).count() == 60
     assert seen[0].inputFiles()  # a table, so that what reads it several times draws once
     assert "Generate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_traces_by_blocks_are_those_by_joins(spark):
+    edges = spark.createDataFrame(grid_edges(5, 60), "src long, dst long")
+    nodes = edges.select(F.col("src").alias("k")).distinct()
+    by_joins = spatial_error.chebyshev_traces(nodes, "k", edges, 8, 5, copies=-1.0)
+    by_blocks = spatial_error.chebyshev_traces(nodes, "k", edges, 8, 5, block=60)
+    assert len(by_joins) == 11 and abs(by_joins - by_blocks).max() < 1e-9
+    assert spatial_error._surrounded(nodes.select(F.col("k").alias("node"), F.col("k").alias("block")), edges, 5, 300.0) is None
