@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,92 @@ def scale_metrics(df: DataFrame, by: Sequence[str], fine: str, coarse: str, time
     return rows.groupBy(*by).agg(F.percentile("_gap", 0.5, F.col("_w")).alias("median_gap"), (F.sum(F.col("_gap") * F.col("_w")) / F.sum("_w")).alias("mean_gap"), share(F.col("_q") != F.col("_p")).alias("quartile_disagree"), share(moved).alias("top_movement"))
 
 
+# ---- ranks in draws of clusters, without a row for each draw ----
+#
+# A row's rank in a replicate is a sum over clusters: how often each was drawn, times how many of its rows lie below (ties count half). So a
+# row needs one number for each cluster, and its ranks in all replicates are a product with the matrix of draws. Whole and half numbers: it is exact.
+
+
+def _draw_matrix(df: DataFrame, cluster: str, replicates: int, seed: int) -> tuple[pd.Index, np.ndarray]:
+    """Clusters that were drawn, and how often each was in each replicate; clusters are few."""
+    drawn = cluster_draws(df, cluster, replicates, seed).where(F.col(cluster).isNotNull()).toPandas()
+    names = pd.Index(sorted(drawn[cluster].unique()))
+    times = np.zeros((len(names), replicates))
+    times[names.get_indexer(drawn[cluster]), drawn["replicate"]] = drawn["times"]
+    return names, times
+
+
+def _ranged(df: DataFrame, group: Sequence[str], cluster: str, value: str, others: dict[str, Column], ranges: int) -> tuple[DataFrame, DataFrame]:
+    """df with _range, its value's range in the group, and (_g..., _r, _k, _below, _all, others): each cluster's rows in lower ranges and in all.
+
+    Nulls are the lowest value. df is read more than once, so it should be a table.
+    """
+    known = df.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
+    cuts = known.groupBy(*group).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    same = [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(group)]
+    cuts = cuts.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(group)], "_cuts")
+    rows = known.join(F.broadcast(cuts), same).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts", *[f"_c{i}" for i in range(len(group))])
+    g = [f"_g{i}" for i in range(len(group))]
+    totals = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(group, g)], F.col("_range").alias("_q"), F.col(cluster).alias("_k")).agg(F.count("*").alias("_n"), *[f.alias(n) for n, f in others.items()])
+    lists = totals.groupBy(*g).agg(F.collect_set("_q").alias("_ranges"), F.collect_list(F.struct("_q", "_k", "_n", *others)).alias("_t"))  # of one number for each range and cluster
+    each = lists.select(*g, F.explode("_ranges").alias("_r"), "_t").select(*g, "_r", F.inline("_t"))
+    return rows, each.groupBy(*g, "_r", "_k").agg(F.sum(F.when(F.col("_q") < F.col("_r"), F.col("_n")).otherwise(0)).alias("_below"), F.sum("_n").alias("_all"), *[F.max(n).alias(n) for n in others])
+
+
+def _halves(rows: pd.DataFrame, totals: pd.DataFrame, names: pd.Index, cluster: str) -> np.ndarray:
+    """(rows, clusters): how many of a cluster's rows lie below each row's value, ties by half."""
+    v, k = rows["_v"].to_numpy(float), names.get_indexer(rows[cluster])
+    out = np.zeros((len(rows), len(names)))
+    at = names.get_indexer(totals["_k"])
+    out[:, at[at >= 0]] = totals["_below"].to_numpy(float)[at >= 0]
+    for c in np.unique(k[k >= 0]):
+        mine = np.sort(v[k == c])
+        out[:, c] += (np.searchsorted(mine, v, side="left") + np.searchsorted(mine, v, side="right")) / 2.0
+    return out
+
+
+def _by_range(rows: DataFrame, totals: DataFrame, group: Sequence[str], function, schema: str) -> DataFrame:
+    parts = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    keys = [c for c in totals.columns if c.startswith("_g")]
+    here, there = rows.repartition(parts, *group, "_range"), totals.repartition(parts, *keys, "_r")
+    return here.groupBy(*group, "_range").cogroup(there.groupBy(*keys, "_r")).applyInPandas(function, schema)
+
+
+_CHUNK = 1024
+
+
+def rank_gap_draws(df: DataFrame, group: Sequence[str], cluster: str, one: str, other: str, replicates: int, seed: int, ranges: int = 64) -> DataFrame:
+    """(*group, replicate, gap): the mean distance between the percentile ranks of two values in each draw of clusters, ranks taken anew in it.
+
+    A cluster's rows count as often as it was drawn. df is read more than once, so it should be a table.
+    """
+    names, times = _draw_matrix(df, cluster, replicates, seed)
+    kinds = dict(df.dtypes)
+    head = ", ".join(f"{c} {kinds[c]}" for c in group)
+
+    def first(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        return rows[[*group, cluster, "_w"]].assign(_h=list(_halves(rows, totals, names, cluster)))
+
+    def second(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in [*group, "replicate", "far", "rows"]})
+        apart = np.stack(rows["_h"].to_numpy()) - _halves(rows, totals, names, cluster)
+        k = names.get_indexer(rows[cluster])
+        far, n = np.zeros(replicates), np.zeros(replicates)
+        for i in range(0, len(rows), _CHUNK):
+            some = slice(i, i + _CHUNK)
+            w = times[k[some]] * (k[some] >= 0)[:, None]
+            far += (np.abs(apart[some] @ times) * w).sum(0)
+            n += w.sum(0)
+        return pd.DataFrame({**{c: rows[c].iloc[0] for c in group}, "replicate": np.arange(replicates), "far": far, "rows": n})
+
+    rows, totals = _ranged(df.select(*group, cluster, F.col(one).alias("_a"), F.col(other).cast("double").alias("_w")), group, cluster, "_a", {}, ranges)
+    ranked = written(_by_range(rows, totals, group, first, f"{head}, {cluster} {kinds[cluster]}, _w double, _h array<double>"), "halves")
+    rows, totals = _ranged(ranked, group, cluster, "_w", {}, ranges)
+    sums = _by_range(rows, totals, group, second, f"{head}, replicate int, far double, rows double").groupBy(*group, "replicate").agg(F.sum("far").alias("far"), F.sum("rows").alias("rows"))
+    return sums.where("rows > 0").select(*group, "replicate", (F.col("far") / F.col("rows") / F.col("rows")).alias("gap"))
+
+
 def cross_scale_bootstrap(df: DataFrame, group: Sequence[str], area: str, value: str, area_value: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
     """(*group, metric, lo, hi): percentile intervals of scale_metrics() over draws of areas, ranks at both scales taken anew in each.
 

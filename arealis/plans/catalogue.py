@@ -370,10 +370,8 @@ def cluster_bootstrap(spark, sf_dir, replicates=40):
     SELECT condition, count(*) AS estimable, round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi FROM m GROUP BY condition""")
 def bootstrap_rank_gap(spark, sf_dir, replicates=40):
     """Ranks are taken anew in each replicate, with drawn clusters counted as often as they were drawn."""
-    rows = resample.bootstrap_rows(pooled(spark, sf_dir), "area", replicates, 17)
-    key = ("replicate", "condition")
-    gap = F.abs(resample.weighted_percentile_rank("pooled", "times", *key) - resample.weighted_percentile_rank("comparator", "times", *key))
-    means = rows.withColumn("gap", gap).groupBy(*key).agg((F.sum(F.col("gap") * F.col("times")) / F.sum("times")).alias("gap"))
+    rows = written(pooled(spark, sf_dir).select("area", "condition", "pooled", "comparator"), "pooled")
+    means = resample.rank_gap_draws(rows, ["condition"], "area", "pooled", "comparator", replicates, 17)
     return resample.percentile_interval(means, ["condition"], "gap").select("condition", "estimable", r6("lo"), r6("hi"))
 
 

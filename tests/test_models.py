@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +102,17 @@ def test_ranks_within_replicates_match_the_window(spark):
     got = {r.i: r.x for r in resample.replicated_ranks(df, "v", "times", ["g"], "x", ranges=8).collect()}
     want = {r.i: r.x for r in df.withColumn("x", resample.weighted_percentile_rank("v", "times", "replicate", "g")).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+
+
+def test_gaps_of_ranks_in_draws_need_no_row_for_a_draw(spark):
+    from arealis.operators import resample
+
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice([1, 2, 3, 5, 8, None]), rng.choice([None, float(rng.randrange(20)), float(rng.randrange(400))]), float(rng.randrange(30))) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, area int, v double, w double").localCheckpoint()
+    key = ("replicate", "g")
+    every = resample.bootstrap_rows(df, "area", 30, 5)
+    gap = F.abs(resample.weighted_percentile_rank("v", "times", *key) - resample.weighted_percentile_rank("w", "times", *key))
+    want = {(r.g, r.replicate): r.gap for r in every.withColumn("gap", gap).groupBy(*key).agg((F.sum(F.col("gap") * F.col("times")) / F.sum("times")).alias("gap")).collect()}
+    got = {(r.g, r.replicate): r.gap for r in resample.rank_gap_draws(df, ["g"], "area", "v", "w", 30, 5, ranges=7).collect()}
+    assert len(got) == 60 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
