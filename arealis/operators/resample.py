@@ -187,18 +187,93 @@ def rank_gap_draws(df: DataFrame, group: Sequence[str], cluster: str, one: str,
     return sums.where("rows > 0").select(*group, "replicate", (F.col("far") / F.col("rows") / F.col("rows")).alias("gap"))
 
 
-def cross_scale_bootstrap(df: DataFrame, group: Sequence[str], area: str, value: str, area_value: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
+_BINS = 128
+
+
+def cross_scale_bootstrap(df: DataFrame, group: Sequence[str], area: str, value: str, area_value: str, replicates: int, seed: int, level: float = 0.95, ranges: int = 64) -> DataFrame:
     """(*group, metric, lo, hi): percentile intervals of scale_metrics() over draws of areas, ranks at both scales taken anew in each.
 
     df has a row for each unit, with its area's value beside its own; it is read more than once. An area counts as often as it is
-    drawn, with all its units.
+    drawn, with all its units. Medians are exact: a first pass counts gaps in bins, a second keeps those of the bins that the middle falls
+    into. The driver sees the counts of a group's replicate and nothing of its rows.
     """
-    draws = cluster_draws(df, area, replicates, seed)
-    rows = df.select(*group, area, value, area_value).join(draws, area)
-    wide = df.select(*group, area, area_value).distinct().join(draws, area)
-    fine = replicated_ranks(rows, value, "times", group, "_fine")
-    coarse = replicated_ranks(wide, area_value, "times", group, "_coarse").select("replicate", *group, area, "_coarse")
-    found = scale_metrics(fine.join(coarse, ["replicate", *group, area]), ["replicate", *group], "_fine", "_coarse", F.col("times"))
+    names, times = _draw_matrix(df, area, replicates, seed)
+    kinds = dict(df.dtypes)
+    head = ", ".join(f"{c} {kinds[c]}" for c in group)
+
+    def wide_ranks(totals: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(areas, replicates): the area's rank among the group's areas; and (replicates) how many units the group has."""
+        at = names.get_indexer(totals["_k"])
+        t = totals[at >= 0].assign(at=at[at >= 0]).drop_duplicates("at")
+        w, n = t["_w"].to_numpy(float), np.zeros(len(names))
+        n[t["at"]] = t["_all"]
+        half = (w < w[:, None]) + (w == w[:, None]) / 2.0
+        drawn, out = times[t["at"]], np.zeros(times.shape)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[t["at"]] = (half @ drawn + 0.5) / drawn.sum(0)
+        return out, n @ times
+
+    def chunks(rows: pd.DataFrame, totals: pd.DataFrame):
+        """(gap, rank, wide rank, weight) of some rows in all replicates."""
+        wide, n = wide_ranks(totals)
+        k, half = names.get_indexer(rows[area]), _halves(rows, totals, names, area)
+        for i in range(0, len(rows), _CHUNK):
+            some = slice(i, i + _CHUNK)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                fine = (half[some] @ times + 0.5) / n
+            coarse = wide[k[some]]
+            yield np.abs(fine - coarse), fine, coarse, times[k[some]] * (k[some] >= 0)[:, None]
+
+    bin_of = lambda gap: np.minimum((np.where(np.isfinite(gap), gap, 0.0) * _BINS).astype(int), _BINS - 1)
+    quartile = lambda r: (r > 0.25).astype(int) + (r > 0.5) + (r > 0.75)
+    block = max(1, -(-replicates // 16))
+
+    def counts(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        bins, sums = np.zeros((replicates, _BINS)), np.zeros((4, replicates))
+        for gap, fine, coarse, w in chunks(rows, totals):
+            bins += np.bincount((bin_of(gap) + np.arange(replicates) * _BINS).ravel(), w.ravel(), replicates * _BINS).reshape(bins.shape)
+            p, q = quartile(fine), quartile(coarse)
+            sums += [w.sum(0), (np.where(w > 0, gap, 0.0) * w).sum(0), (w * (p != q)).sum(0), (w * ((p == 3) != (q == 3))).sum(0)]
+        first = np.arange(0, replicates, block) if len(rows) else np.zeros(0, int)
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] * len(first) for c in group}, "first": first, "bins": [bins[k : k + block].astype(np.int64).tobytes() for k in first], "sums": [sums[:, k : k + block].tobytes() for k in first]})
+
+    def added(some: pd.DataFrame) -> pd.DataFrame:
+        bins = sum(np.frombuffer(b, np.int64).reshape(-1, _BINS) for b in some["bins"])
+        n, far, unlike, moved = sum(np.frombuffer(b).reshape(4, -1) for b in some["sums"])
+        upto, at = bins.cumsum(1), np.flatnonzero(n > 0)
+        low, high = np.floor((n - 1) / 2), np.ceil((n - 1) / 2)  # places of the middle, from 0
+        lo, hi = (upto <= low[:, None]).sum(1), (upto <= high[:, None]).sum(1)
+        below = np.where(lo > 0, np.take_along_axis(upto, np.maximum(lo - 1, 0)[:, None], 1)[:, 0], 0)
+        out = {"replicate": at + int(some["first"].iloc[0]), "lo": lo[at], "hi": hi[at], "low": low[at] - below[at], "high": high[at] - below[at], "mean_gap": far[at] / n[at], "quartile_disagree": unlike[at] * 100.0 / n[at], "top_movement": moved[at] * 100.0 / n[at]}
+        return pd.DataFrame({**{c: some[c].iloc[0] for c in group}, **out})
+
+    rows, totals = _ranged(df.select(*group, area, F.col(value).alias("_u"), F.col(area_value).cast("double").alias("_w")), group, area, "_u", {"_w": F.max("_w")}, ranges)
+    rows, totals = written(rows.select(*group, area, "_v", "_range"), "ranged"), written(totals, "totals")
+    parts = 3 * df.sparkSession.sparkContext.defaultParallelism
+    binned = _by_range(rows, totals, group, counts, f"{head}, first int, bins binary, sums binary").repartition(parts, *group, "first").groupBy(*group, "first")
+    binned = written(binned.applyInPandas(added, f"{head}, replicate int, lo int, hi int, low double, high double, mean_gap double, quartile_disagree double, top_movement double"), "binned")
+    wanted = binned.select(*group, "replicate", "lo", "hi").toPandas()  # two numbers for each replicate of a group
+    wanted = {g if isinstance(g, tuple) else (g,): (p["replicate"].to_numpy(), p["lo"].to_numpy(), p["hi"].to_numpy()) for g, p in wanted.groupby(list(group), dropna=False)}
+
+    def middle(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, found = np.full(replicates, -1), np.full(replicates, -1), []
+        if len(rows):
+            at, lo_, hi_ = wanted[tuple(rows[c].iloc[0] for c in group)]
+            lo[at], hi[at] = lo_, hi_
+            for gap, _, _, w in chunks(rows, totals):
+                b = bin_of(gap)
+                i, r = np.nonzero(((b == lo) | (b == hi)) & (w > 0))
+                found.append(pd.DataFrame({"replicate": r, "gap": gap[i, r], "w": w[i, r]}))
+        out = pd.concat(found) if found else pd.DataFrame({"replicate": [], "gap": [], "w": []})
+        return out.assign(**{c: rows[c].iloc[0] if len(rows) else None for c in group})
+
+    kept = _by_range(rows, totals, group, middle, f"{head}, replicate int, gap double, w double").groupBy(*group, "replicate", "gap").agg(F.sum("w").alias("w"))
+    upto = F.sum("w").over(Window.partitionBy(*group, "replicate").orderBy("gap"))  # of what two bins hold
+    same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in [*group, "replicate"]]
+    named = binned.withColumnsRenamed({c: f"_b_{c}" for c in [*group, "replicate"]})
+    kept = kept.withColumn("upto", upto).join(named.hint("merge"), same)
+    at = lambda place: F.min(F.when(F.col("upto") > F.col(place), F.col("gap")))
+    found = kept.groupBy(*group, "replicate").agg(((at("low") + at("high")) / 2.0).alias("median_gap"), *[F.max(m).alias(m) for m in SCALE_METRICS[1:]])
     long = found.select(*group, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in SCALE_METRICS])))
     return percentile_interval(long, [*group, "metric"], "v", level)
 

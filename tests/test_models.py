@@ -116,3 +116,20 @@ def test_gaps_of_ranks_in_draws_need_no_row_for_a_draw(spark):
     want = {(r.g, r.replicate): r.gap for r in every.withColumn("gap", gap).groupBy(*key).agg((F.sum(F.col("gap") * F.col("times")) / F.sum("times")).alias("gap")).collect()}
     got = {(r.g, r.replicate): r.gap for r in resample.rank_gap_draws(df, ["g"], "area", "v", "w", 30, 5, ranges=7).collect()}
     assert len(got) == 60 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_scales_in_draws_need_no_row_for_a_draw(spark):
+    from arealis.operators import resample
+
+    rng = random.Random(9)
+    rows = [(g, area, float(rng.randrange(60)), float(area % 4 + (g == "b"))) for g in "ab" for area in range(7) for _ in range(rng.randrange(1, 90))]
+    df = spark.createDataFrame(rows, "g string, area int, v double, wide double").localCheckpoint()
+    draws = resample.cluster_draws(df, "area", 25, 3)
+    fine = resample.replicated_ranks(df.join(draws, "area"), "v", "times", ["g"], "_fine")
+    coarse = resample.replicated_ranks(df.select("g", "area", "wide").distinct().join(draws, "area"), "wide", "times", ["g"], "_coarse").select("replicate", "g", "area", "_coarse")
+    found = resample.scale_metrics(fine.join(coarse, ["replicate", "g", "area"]), ["replicate", "g"], "_fine", "_coarse", F.col("times"))
+    long = found.select("g", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in resample.SCALE_METRICS])))
+    want = {(r.g, r.metric): r for r in resample.percentile_interval(long, ["g", "metric"], "v").collect()}
+    got = {(r.g, r.metric): r for r in resample.cross_scale_bootstrap(df, ["g"], "area", "v", "wide", 25, 3, ranges=5).collect()}
+    assert len(got) == 8 and got.keys() == want.keys()
+    assert all(got[k].estimable == want[k].estimable and abs(got[k].lo - want[k].lo) < 1e-9 and abs(got[k].hi - want[k].hi) < 1e-9 for k in want)
