@@ -131,11 +131,20 @@ def linear_quantile(ordered: Column, share: float) -> Column:
     return F.when(F.size(ordered) > 0, value(low) * (1 - (at - low)) + value(F.least(low + 1, F.size(ordered) - 1)) * (at - low))
 
 
-def style_counts(text: str | Column) -> list[Column]:
-    """Named columns of a text's style: words, sentences (citations aside) with their lengths, and flags counted over the whole text."""
+def sentence_lengths(text: str | Column) -> Column:
+    """Words of each of a text's sentences (citations aside), in ascending order."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.array_sort(F.transform(cited_sentences(t), lambda x: F.regexp_count(x, F.lit(TOKEN))))
+
+
+def style_counts(text: str | Column, lengths: Column | None = None) -> list[Column]:
+    """Named columns of a text's style: words, sentences (citations aside) with their lengths, and flags counted over the whole text.
+
+    lengths may be a column that holds sentence_lengths(): many of the results hang on it, and Spark would work it out for each.
+    """
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     low = F.lower(t)
-    lengths = F.array_sort(F.transform(cited_sentences(t), lambda x: F.regexp_count(x, F.lit(TOKEN))))
+    lengths = sentence_lengths(t) if lengths is None else lengths
     mean = F.try_divide(F.aggregate(lengths, F.lit(0), lambda a, x: a + x).cast("double"), F.size(lengths).cast("double"))
     terms = lambda some: sum((F.regexp_count(low, F.lit(x)) for x in some), F.lit(0))
     return [

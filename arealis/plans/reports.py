@@ -216,7 +216,9 @@ _TERMS = lambda terms: " + ".join(f"(length(low) - length(replace(low, '{x}', ''
                   {_COUNT(chr(92) + "b" + T.NUMBERS + "%?" + chr(92) + "b")}::INT AS numbers, ({_TERMS(T.HEDGE_TERMS)})::INT AS hedges, ({_TERMS(T.TRANSITION_TERMS)})::INT AS transitions FROM d JOIN s USING (doc_id)""")
 def writing_style(spark, sf_dir):
     """Words, sentences with citations aside and their lengths, passives, nominalisations, numbers, hedges and transitions of whole texts."""
-    out = read(spark, sf_dir, "documents").select("doc_id", *T.style_counts("text"))
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text").repartition(3 * spark.sparkContext.defaultParallelism, "doc_id")  # a file may be one part
+    rows = texts.select("doc_id", "text", T.sentence_lengths("text").alias("lengths"))  # once for all that hangs on it
+    out = rows.select("doc_id", *T.style_counts("text", F.col("lengths")))
     return out.select("doc_id", "n_words", "n_sentences", *[r6(c) for c in ("mean_sentence", "p25_sentence", "p50_sentence", "p75_sentence")], "passives", "nominalisations", "numbers", "hedges", "transitions")
 
 

@@ -336,3 +336,10 @@ def test_shapes_with_holes_and_weight_faults(spark):
     w = spark.createDataFrame([("a", "b", 0.5), ("a", "a", 0.5), ("b", "a", 1.0), ("b", "c", -1.0), ("x", "a", 1.0), ("x", "a", 0.0)], "src string, dst string, w double")
     found = {r.fault: r.n for r in spatial.weight_faults(w, spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), "k").collect()}
     assert found == {"repeated": 1, "to_itself": 1, "not_a_weight": 1, "one_way": 2, "not_standardised": 1, "islands": 1, "strangers": 1}
+
+
+def test_sentences_are_cut_once_for_all_their_figures(spark):
+    from arealis.plans import reports
+
+    plan = reports.writing_style(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 1
