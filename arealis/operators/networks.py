@@ -13,6 +13,11 @@ from ..sources.sinks import written
 from .resample import draw
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df for a join by shuffles: tables that grow with the graph never go through the driver as broadcasts, however small a round makes them."""
+    return df.hint("merge")
+
+
 def spanning_forest(nodes: DataFrame, key: str, edges: DataFrame, most_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
     """(tree, labels): the least spanning forest of undirected edges (src, dst, w), and (key, component) of every node.
 
@@ -23,7 +28,7 @@ def spanning_forest(nodes: DataFrame, key: str, edges: DataFrame, most_rounds: i
     labels = written(nodes.select(F.col(key).alias("node"), F.col(key).alias("component")).distinct(), "labels")
     ends = lambda e: e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").where("src < dst")
     left = ends(edges).groupBy("src", "dst").agg(F.min("w").alias("w"))
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    of = lambda c: _apart(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c")))
     left = written(left.join(of("src"), "src").join(of("dst"), "dst"), "edges")
     tree = None
     for _ in range(most_rounds):
@@ -36,20 +41,20 @@ def spanning_forest(nodes: DataFrame, key: str, edges: DataFrame, most_rounds: i
         tree = found if tree is None else tree.unionByName(found)
         # two components that take the same edge point at each other: the smaller becomes the root
         back = taken.select(F.col("c").alias("other"), F.col("other").alias("c_back"))
-        parent = taken.join(back, "other").select(F.col("c").alias("node"), F.when((F.col("c_back") == F.col("c")) & (F.col("c") < F.col("other")), F.col("c")).otherwise(F.col("other")).alias("parent"))
+        parent = taken.join(_apart(back), "other").select(F.col("c").alias("node"), F.when((F.col("c_back") == F.col("c")) & (F.col("c") < F.col("other")), F.col("c")).otherwise(F.col("other")).alias("parent"))
         parent = written(parent, "parents")
         while True:  # each doubling halves the distance to the root
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            further = written(parent.join(up, "parent").select("node", F.col("above").alias("parent")), "parents")
-            moved = not further.join(parent.withColumnRenamed("parent", "before"), "node").where("parent <> before").isEmpty()
+            further = written(parent.join(_apart(up), "parent").select("node", F.col("above").alias("parent")), "parents")
+            moved = not further.join(_apart(parent.withColumnRenamed("parent", "before")), "node").where("parent <> before").isEmpty()
             parent = further
             if not moved:
                 break
         # name each new component by its smallest member
         names = parent.groupBy("parent").agg(F.least(F.min("node"), F.col("parent")).alias("name")).select(F.col("parent"), "name")
-        renamed = written(parent.join(names, "parent").select(F.col("node").alias("component"), "name"), "renamed")
-        labels = written(labels.join(renamed, "component", "left").select("node", F.coalesce("name", "component").alias("component")), "labels")
-        again = lambda c: renamed.select(F.col("component").alias(f"{c}_c"), F.col("name").alias(f"{c}_n"))
+        renamed = written(parent.join(_apart(names), "parent").select(F.col("node").alias("component"), "name"), "renamed")
+        labels = written(labels.join(_apart(renamed), "component", "left").select("node", F.coalesce("name", "component").alias("component")), "labels")
+        again = lambda c: _apart(renamed.select(F.col("component").alias(f"{c}_c"), F.col("name").alias(f"{c}_n")))
         left = left.join(again("src"), "src_c").join(again("dst"), "dst_c").where("src_n <> dst_n")
         # between two components only the least edge can be taken
         pair = F.least("src_n", "dst_n").alias("p"), F.greatest("src_n", "dst_n").alias("q")
@@ -91,22 +96,22 @@ def connecting_tree(points: DataFrame, key: str, x: str, y: str, start: float |
     band = start or max((size.w * size.h / size.n) ** 0.5, max(size.w, size.h) / size.n)
     labels, trees = at.select("node", F.col("node").alias("component")), []
     for _ in range(most_rounds):
-        here = at.join(labels, "node")
+        here = at.join(_apart(labels), "node")
         largest = labels.groupBy("component").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "component")).alias("m")).select(F.col("m.component").alias("largest"))
         cell = lambda c: F.floor(F.col(c) / band)
         outside = here.join(F.broadcast(largest)).where("component <> largest").select(F.col("node").alias("src"), F.col("component").alias("src_c"), F.col("x").alias("ax"), F.col("y").alias("ay"))
         outside = outside.withColumn("cx", F.explode(F.sequence(cell("ax") - 1, cell("ax") + 1))).withColumn("cy", F.explode(F.sequence(cell("ay") - 1, cell("ay") + 1)))
         near = here.withColumns({"cx": cell("x"), "cy": cell("y")})
         d = F.sqrt((F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y")))
-        pairs = outside.join(near, ["cx", "cy"]).where("src_c <> component").withColumn("w", d).where((F.col("w") <= band) & (F.col("w") > 0))
+        pairs = outside.join(_apart(near), ["cx", "cy"]).where("src_c <> component").withColumn("w", d).where((F.col("w") <= band) & (F.col("w") > 0))
         # of each two components the least distance, kept with its ends
         least = pairs.groupBy(F.least("src_c", "component").alias("a"), F.greatest("src_c", "component").alias("b")).agg(F.min(F.struct("w", F.least("src", "node").alias("s"), F.greatest("src", "node").alias("d"))).alias("e"))
         between = written(least.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("e.w").alias("w"), "e.s", "e.d"), "band")
         if not between.isEmpty():
             tree, joined = spanning_forest(labels.select("component").distinct(), "component", between)
-            trees.append(written(tree.join(between, ["src", "dst", "w"]).select(F.col("s").alias("src"), F.col("d").alias("dst"), "w"), "tree"))
+            trees.append(written(tree.join(_apart(between), ["src", "dst", "w"]).select(F.col("s").alias("src"), F.col("d").alias("dst"), "w"), "tree"))
             joined = joined.toDF("component", "name")
-            labels = written(labels.join(joined, "component").select("node", F.col("name").alias("component")), "labels")
+            labels = written(labels.join(_apart(joined), "component").select("node", F.col("name").alias("component")), "labels")
         if band >= widest or labels.select("component").distinct().limit(2).count() < 2:
             break
         band *= 2

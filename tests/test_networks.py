@@ -45,6 +45,15 @@ def test_points_in_one_place_never_connect(spark):
     assert networks.connecting_band(make([(1, 0.0, 0.0)]), "k", "x", "y").first().threshold is None
 
 
+def test_no_round_sends_a_table_through_the_driver(spark, monkeypatch):
+    plans, real = [], networks.written
+    monkeypatch.setattr(networks, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
+    xy = np.random.default_rng(4).uniform(0, 10, (300, 2))
+    got = networks.connecting_band(spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "k long, x double, y double"), "k", "x", "y").first()
+    assert got.edges == 299 and sum("SortMergeJoin" in p for p in plans) > 5
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_checksum_hangs_on_weights_and_not_on_order(spark):
     rows = [(1, 2, 0.5), (2, 1, 1.0), (1, 3, 0.5)]
     make = lambda r: networks.weights_checksum(spark.createDataFrame(r, "src long, dst long, w double")).first()
