@@ -15,7 +15,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,8 @@ from .shared import Powers, Prefix, mixed, slices
 UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
 _POWERS = Powers(0xC6BC279692B5CC83)
 NONE = -1e300
+#: Positions of a worker's arrays, and how many of them its remembered units take, of LONGEST_KEPT code points at most.
+ROOM, KEPT, LONGEST_KEPT = 1_100_000, 400_000, 64
 
 
 class Vocabulary:
@@ -71,6 +73,10 @@ class Vocabulary:
             self.key[at], self.id[at], self.score[at] = h, i, s
             self.probes = max(self.probes, tries)
 
+        self.width = -(-self.longest // 8) * 8
+        self.known: dict[str, int] = {}  # first position of each remembered unit
+        self.held, self.arrays = 0, None
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(table row, whether there is such a piece)."""
         at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -90,15 +96,47 @@ def _width(points: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Of different units: for every position, the chance of each length of the next piece, given that one is sampled."""
+    """Of different units: for every position, the chance of each length of the next piece, given that one is sampled.
+
+    Units that the texts at hand hold more than once (often counts them) are remembered with the vocabulary until KEPT
+    positions are taken, so their lattices are made once for each worker. All others lie behind them in the same
+    arrays, which the next object of the vocabulary overwrites.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, units: list[str]):
-        v, sizes = vocabulary, np.array([len(u) for u in units], np.int64)
+    def __init__(self, vocabulary: Vocabulary, units: list[str], often: np.ndarray):
+        v = vocabulary
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        first = np.fromiter(map(v.known.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(first < 0)
+        n, width = int(sizes[new].sum()), v.width
+        made = lambda n: (np.empty((n, width)), np.empty((n, width), np.int32), np.empty((n, width), np.float32), np.empty(n, np.uint8), np.empty(n, np.int64))
+        if v.arrays is None:
+            v.arrays = made(ROOM)
+        keep = np.zeros(len(new), bool)
+        if v.held + n <= ROOM:
+            arrays = v.arrays
+            worth = np.where((often[new] > 1) & (sizes[new] <= LONGEST_KEPT), sizes[new], 0)
+            keep = (worth > 0) & (v.held + worth.cumsum() <= KEPT)
+            new = np.concatenate([new[keep], new[~keep]])  # what is remembered comes first
+        else:  # too much to stay
+            arrays = made(v.held + n)
+            for a, b in zip(arrays, v.arrays):
+                a[: v.held] = b[: v.held]
+        base = v.held
+        first[new] = base + sizes[new].cumsum() - sizes[new]
+        self.start, self.end = first, first + sizes
+        self.log, self.ids, self.upto, self.ways, self.points = arrays
+        if len(new):
+            self._fill(v, [units[i] for i in new.tolist()], sizes[new], *(a[base : base + n] for a in arrays))
+        for i in new[: int(keep.sum())].tolist():
+            v.known[units[i]] = int(first[i])
+            v.held = int(self.end[i])
+
+    @staticmethod
+    def _fill(v: Vocabulary, units: list[str], sizes: np.ndarray, log: np.ndarray, all_ids: np.ndarray, upto: np.ndarray, count: np.ndarray, kept_points: np.ndarray) -> None:
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         n, most = len(points), min(v.longest, int(sizes.max(initial=1)))
-        width = -(-most // 8) * 8
         ends = sizes.cumsum()
-        self.start, self.end, self.points = ends - sizes, ends, points
         # Positions are handled by their distance to the unit's end, units in order of size: those of distance j
         # are then one slice, in which position r belongs to unit r.
         order = np.argsort(-sizes, kind="stable")
@@ -146,19 +184,26 @@ class Lattices:
             for r, ways in parts:
                 total[r] += np.exp(ways - top[r])
             rest[lo:hi] = top + np.log(total)
-        self.log, self.ids, self.upto = np.full((n, width), NONE), np.full((n, width), -1, np.int32), np.zeros((n, width), np.float32)
-        self.ways = np.zeros(n, np.uint8)  # of each position, how many lengths the next piece can have
+        log[:], all_ids[:], upto[:], kept_points[:] = NONE, -1, 0.0, points
+        count[:] = 0  # of each position, how many lengths the next piece can have
         for k, (which, weight, ids, target, _) in enumerate(edges):
             chance = np.maximum(weight + rest[target] - rest[which], -745.0)
             at = place[which]
-            self.log[at, k], self.ids[at, k], self.upto[at, k] = chance, ids, np.exp(chance)
-            self.ways[at] += 1
-        np.cumsum(self.upto, 1, out=self.upto)
-        self.upto /= self.upto[:, -1:]
+            count[at] += 1
+            at = at * v.width + k
+            log.reshape(-1)[at], all_ids.reshape(-1)[at], upto.reshape(-1)[at] = chance, ids, np.exp(chance)
+        for b in range(0, n, 8192):
+            some = upto[b : b + 8192]
+            np.cumsum(some, 1, out=some)
+            some /= some[:, -1:]
+
+    def of_pieces(self, table: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """What log or ids hold for pieces at these positions, of length k + 1."""
+        return table.reshape(-1).take(at * table.shape[1] + k)
 
     def choose(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The length of the next piece, less one."""
-        passed = self.upto[at] <= u[:, None].astype(np.float32)
+        passed = self.upto.take(at, 0) <= u[:, None].astype(np.float32)
         k = np.bitwise_count(passed.view(np.uint64)).sum(1, dtype=np.int64)  # eight lengths to a word
         bad = np.flatnonzero(k == passed.shape[1])  # u rounded to 1; any other k is where the sum has grown, a length there is
         if len(bad):
@@ -187,7 +232,7 @@ class Paths:
             self.unit, self.pos, self.k = unit[order], pos[order], k[order]
         else:
             self.unit = self.pos = self.k = np.zeros(0, np.int64)
-        self.log = lattices.log[self.pos, self.k]
+        self.log = lattices.of_pieces(lattices.log, self.pos, self.k)
 
 
 def truncated(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
@@ -204,7 +249,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     split = [UNIT.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
     bounds = np.cumsum([0, *map(len, split)])
     which, units = pd.factorize(np.fromiter(chain.from_iterable(split), object, int(bounds[-1])))
-    lattices = Lattices(vocabulary, units.tolist())
+    lattices = Lattices(vocabulary, units.tolist(), np.bincount(which))
     most = lattices.log.shape[1]
     start, end = lattices.start[which], lattices.end[which]
     text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -248,30 +293,22 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
         cuts = np.searchsorted(drawn.unit, firsts)
         unit = drawn.unit + np.repeat(first_unit - firsts[:-1], np.diff(cuts))
         pos, way, log = drawn.pos, drawn.k, drawn.log
-        mass = -np.expm1(log)
-        several = lattices.ways[pos] > 1
-        mass[~several] = 0.0
-        small = np.flatnonzero(several & (mass < 1e-6))  # summed apart, where the difference from 1 is lost
-        if len(small):
-            others = lattices.log[pos[small]]
-            others[np.arange(len(small)), way[small]] = NONE
-            mass[small] = np.where(others > NONE / 2, np.exp(others), 0.0).sum(1)
         if later:  # the piece by which each branch leaves its path
-            pos, way, unit = np.insert(pos, cuts[:-1], at), np.insert(way, cuts[:-1], length), np.insert(unit, cuts[:-1], first_unit)
-            log, mass = np.insert(log, cuts[:-1], lattices.log[at, length]), np.insert(mass, cuts[:-1], left)
+            pos, way, unit, log = (np.insert(a, cuts[:-1], b) for a, b in ((pos, at), (way, length), (unit, first_unit), (log, lattices.log[at, length])))
             cuts = cuts + np.arange(len(cuts))
-        raw, before = lattices.ids[pos, way], np.empty(len(log))
+        raw, before = lattices.of_pieces(lattices.ids, pos, way), np.empty(len(log))
         for j, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
             np.cumsum(log[x:y], out=before[x:y])
             if later and fixed[j]:
                 before[x:y] += old[j]["before"][fixed[j] - 1]
         # What leaves this path at a piece: its other lengths. The best of them is a Gumbel draw below this value.
-        sizes = np.diff(cuts)
-        step = (np.arange(len(log)) - np.repeat(cuts[:-1], sizes)).astype(np.uint64)
-        some = np.flatnonzero(mass > 0)
-        draws = np.full(len(log), -np.inf)
-        draws[some] = truncated((before - log)[some] + np.log(mass[some]), np.repeat(value, sizes)[some], uniform((np.repeat(mixed(keys[mine], 5 + turn), sizes) ^ step)[some], 6))
         wanted = k - turn  # one more than may still be opened, for the last bound
+        gone = before - log
+        spots = _leaving(lattices, pos, way, gone, cuts, wanted, left if later else None)
+        sizes = [len(some) for some, _ in spots]
+        step = np.concatenate([some for some, _ in spots]) - np.repeat(cuts[:-1], sizes)
+        draws = truncated(np.concatenate([where for _, where in spots]), np.repeat(value, sizes), uniform(np.repeat(mixed(keys[mine], 5 + turn), sizes) ^ step.astype(np.uint64), 6))
+        starts = np.cumsum([0, *sizes])
         for j, (i, (_, _, path, piece, barred)) in enumerate(opened):
             x, y = int(cuts[j]), int(cuts[j + 1])
             new = {"pos": pos[x:y], "unit": unit[x:y], "before": before[x:y], "raw": raw[x:y], "k": way[x:y]}
@@ -280,12 +317,11 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
             data = _ids(vocabulary, lattices, new["pos"], new["raw"]).astype("<u4").tobytes()
             out[i].append([len(data) // 4, float(new["before"][-1]) if len(new["before"]) else 0.0, float(value[j]), None, zlib.crc32(data), *([data] if with_ids else [])])
             paths[i][turn] = new
-            here = draws[x:y]
-            best = np.argpartition(-here, wanted - 1)[:wanted] if y - x > wanted else np.arange(y - x)
-            for w in best.tolist():
-                if here[w] > -np.inf:
-                    p = piece + w
-                    heapq.heappush(queues[i], (-float(here[w]), turn * 10**9 + p, turn, p, (*barred, int(length[j])) if later and not w else (int(way[x + w]),)))
+            here, steps = draws[starts[j] : starts[j + 1]], spots[j][0] - x
+            best = np.argpartition(-here, wanted - 1)[:wanted] if len(here) > wanted else np.arange(len(here))
+            for w, bound in zip(steps[best].tolist(), here[best].tolist()):
+                p = piece + w
+                heapq.heappush(queues[i], (-bound, turn * 10**9 + p, turn, p, (*barred, int(length[j])) if later and not w else (int(way[x + w]),)))
     for found, queue in zip(out, queues):
         beyond = -queue[0][0] if queue else -np.inf  # the largest value that is not taken
         for f in found:
@@ -294,6 +330,52 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     return [[tuple(f) for f in found] for found in out]
 
 
+#: A Gumbel draw lies 3.63 below its location at most and 36.75 above it, as uniform() is 2**-54 at least and 1 - 2**-53 at most.
+SPREAD = 41.0
+
+
+def _leaving(lattices: Lattices, pos: np.ndarray, way: np.ndarray, gone: np.ndarray, cuts: np.ndarray, wanted: int, left: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each path, the pieces at which one of the wanted best draws can leave it, and the draws' locations.
+
+    gone is the log chance of what comes before a piece, which falls along a path, so that a location is far below
+    those of the first pieces soon. The paths' beginnings are looked at first, and the whole path only where they
+    don't show that nothing beyond them is wanted. left is the mass that leaves at a branch's first piece.
+    """
+    first, last = cuts[:-1], cuts[1:]
+    stop = np.array([x + np.searchsorted(-gone[x:y], 1.25 * SPREAD - gone[x], "right") if x < y else y for x, y in zip(first.tolist(), last.tolist())], np.int64)
+    out, todo = [(np.zeros(0, np.int64), np.zeros(0))] * len(first), np.flatnonzero(first < last)
+    while len(todo):
+        sizes = (stop - first)[todo]
+        ends = sizes.cumsum()
+        some = np.arange(ends[-1]) + np.repeat(first[todo] - (ends - sizes), sizes)
+        at, k = pos[some], way[some]
+        mass, several = -np.expm1(lattices.of_pieces(lattices.log, at, k)), lattices.ways.take(at) > 1
+        mass[~several] = 0.0
+        small = np.flatnonzero(several & (mass < 1e-6))  # summed apart, where the difference from 1 is lost
+        if len(small):
+            others = lattices.log.take(at[small], 0)
+            others[np.arange(len(small)), k[small]] = NONE
+            real = others > NONE / 2
+            mass[small] = np.where(real, np.exp(np.where(real, others, 0.0)), 0.0).sum(1)
+        if left is not None:
+            mass[ends - sizes] = left[todo]
+        live = np.flatnonzero(mass > 0)
+        some, where = some[live], gone[some[live]] + np.log(mass[live])
+        again = []
+        for j, x, y in zip(todo.tolist(), *(np.searchsorted(live, e).tolist() for e in (ends - sizes, ends))):
+            here, least = where[x:y], -np.inf
+            if y - x >= wanted:
+                least = np.partition(here, y - x - wanted)[y - x - wanted] - SPREAD
+            if stop[j] < last[j] and gone[stop[j]] > least:
+                again.append(j)
+            else:
+                near = here >= least
+                out[j] = some[x:y][near], here[near]
+        todo = np.array(again, np.int64)
+        stop[todo] = last[todo]
+    return out
+
+
 def _ids(v: Vocabulary, lattices: Lattices, pos: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """ids with the bytes of code points that are no piece."""
     bare = np.flatnonzero(ids < 0)

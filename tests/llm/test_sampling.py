@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from arealis.llm import sampling
 from arealis.llm.sampling import NONE, decode, encode, sample_segmentations, sample_texts, vocabulary
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -98,3 +99,20 @@ def test_only_empty_texts_and_code_points_that_are_no_piece(v):
     texts = ["🦄🦄 x𝕏é 中文字 — ½\n\nend", "", "ᚠᛇᚻ", "x" * 5000, "\x00\x01 tab\tq"]
     for text, found in zip(texts, sample_texts(v, texts, keys(5), 3, True)):
         assert {v.model.decode(np.frombuffer(f[5], "<u4").astype(int).tolist()) for f in found} == {text}
+
+
+def test_remembered_units_and_left_out_draws_change_nothing(monkeypatch):
+    texts = ["the cat and the dog", "", "the dog sat. " * 300, "ééé 漢字 and the cat", "x" * 3000, "the cat and the dog", " ".join(f"word{i} of {i * i}" for i in range(400))]
+    plain = sample_texts(sampling.Vocabulary(PATH), texts, keys(7), 4, True)
+    made, fill = [], sampling.Lattices._fill
+    monkeypatch.setattr(sampling.Lattices, "_fill", staticmethod(lambda v, units, *rest: made.append(units) or fill(v, units, *rest)))
+    own = sampling.Vocabulary(PATH)
+    assert sample_texts(own, texts, keys(7), 4, True) == plain == sample_texts(own, texts, keys(7), 4, True)
+    assert {"▁the", "▁cat", "▁dog"} <= set(made[0]) and not {"▁the", "▁cat", "▁dog"} & set(made[1]) and "▁" + "x" * 3000 in made[1]
+    for limits in ({"ROOM": 500}, {"KEPT": 9}, {"SPREAD": 1e9}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(sampling, name, value)
+            small = sampling.Vocabulary(PATH)
+            assert [sample_texts(small, [t], keys(7)[i : i + 1], 4, True)[0] for i, t in enumerate(texts)] == plain
+            assert small.held <= 9 or "KEPT" not in limits
