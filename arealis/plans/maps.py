@@ -108,7 +108,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_connectivity(spark, sf_dir):
     """Connected parts of the squares when only neighbours of one nation hang together."""
     rows = units(spark, sf_dir)
-    of = lambda c: rows.select(F.col("unit").alias(c), F.col("grp").alias(f"g_{c}"))
+    of = lambda c: rows.select(F.col("unit").alias(c), F.col("grp").alias(f"g_{c}")).hint("merge")  # noqa: E731  # by shuffles, as in the rounds
     same = neighbours(spark, sf_dir).join(of("src"), "src").join(of("dst"), "dst").where("g_src = g_dst").select("src", "dst")
     return networks.connectivity(rows, "unit", same)
 

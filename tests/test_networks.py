@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.scipy_free import benjamini_hochberg, dense_spatial_error, grid_edges, least_spanning_tree
 
 from arealis.operators import agreement, local, networks, spatial, spatial_error
+from arealis.plans import maps
 
 
 def test_spanning_forest_and_components(spark):
@@ -54,6 +55,13 @@ def test_no_round_sends_a_table_through_the_driver(spark, monkeypatch):
     assert not any("BroadcastHashJoin" in p for p in plans)
 
 
+def test_regions_are_joined_to_their_neighbours_by_shuffles(spark, monkeypatch):
+    plans, real = [], networks.written
+    monkeypatch.setattr(networks, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
+    assert maps.region_connectivity(spark, "/root/testdata/sf0.001").first().nodes > 0
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_checksum_hangs_on_weights_and_not_on_order(spark):
     rows = [(1, 2, 0.5), (2, 1, 1.0), (1, 3, 0.5)]
     make = lambda r: networks.weights_checksum(spark.createDataFrame(r, "src long, dst long, w double")).first()
