@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import slices, stored
 
 SCALES = (1.0, 1 / 1.4, 1 / 2.0)
 RADIUS, MARGIN = 9, 13
@@ -118,10 +119,22 @@ def resized(pixels: np.ndarray, scale: float) -> np.ndarray:
 def _blurred(a: np.ndarray) -> np.ndarray:
     """Means over 5 x 5."""
     for axis in (0, 1):
-        p = np.pad(a, [(2, 2) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
-        c = np.cumsum(np.insert(p, 0, 0, axis), axis, dtype=np.float64)
-        n = a.shape[axis]
-        a = (np.take(c, np.arange(5, n + 5), axis) - np.take(c, np.arange(n), axis)) / 5
+        a = a.swapaxes(0, axis)
+        n = len(a)
+        c = np.zeros((n + 5, a.shape[1]))
+        c[1:3], c[3 : n + 3], c[n + 3 :] = a[0], a, a[-1]
+        c = np.cumsum(c, 0)
+        a = ((c[5:] - c[:n]) / 5).swapaxes(0, axis)
+    return a
+
+
+def _highest(a: np.ndarray) -> np.ndarray:
+    """Maxima over 5 x 5."""
+    for axis in (0, 1):
+        a = a.swapaxes(0, axis)
+        n = len(a)
+        p = np.pad(a, ((2, 2), (0, 0)), constant_values=-np.inf)
+        a = np.maximum.reduce([p[k : n + k] for k in range(5)]).swapaxes(0, axis)
     return a
 
 
@@ -148,8 +161,7 @@ def descriptors(pixels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         xx, yy, xy = _blurred(gx * gx), _blurred(gy * gy), _blurred(gx * gy)
         strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = strength[MARGIN:-MARGIN, MARGIN:-MARGIN]
-        around = np.lib.stride_tricks.sliding_window_view(np.pad(inner, 2, constant_values=-np.inf), (5, 5)).max((2, 3))
-        y, x = np.nonzero((inner == around) & (inner > 1e-3))
+        y, x = np.nonzero((inner == _highest(inner)) & (inner > 1e-3))
         if not len(y):
             continue
         y, x = y + MARGIN, x + MARGIN
@@ -188,6 +200,100 @@ def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0) -> int:
     return best
 
 
+#: Corners of images and of queries in a block, about; an image is in one block whole. Corner pairs looked at at once, about.
+IMAGE_BLOCK, QUERY_BLOCK, AT_ONCE = 1 << 19, 1 << 18, 1 << 21
+
+
+class _Block:
+    """Images of a table by rep, each class once: their corners' words and places, and where each image's corners begin."""
+
+    def __init__(self, rows: pa.Table):
+        first = {k: i for i, k in reversed(list(enumerate(rows["key"].to_pylist())))}
+        rows = rows.take(sorted(first.values()))
+        self.reps, self.sizes = (rows[c].to_numpy() for c in ("rep", "size"))
+        words = rows["words"].to_pylist()
+        self.starts = np.concatenate([[0], np.cumsum([len(w) // (4 * WORDS) for w in words])]).astype(np.int64)
+        self.words = np.frombuffer(b"".join(words), "<u4").reshape(-1, WORDS)
+        self.parts = np.ascontiguousarray(self.words.view("<u8").T)
+        self.places = np.concatenate([np.frombuffer(d, "<f4").reshape(4, -1).T for d in rows["places"].to_pylist()])
+        self.image = np.repeat(np.arange(len(words)), np.diff(self.starts))
+
+
+def _near(have: _Block, want: _Block, first: int, last: int, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of want, and of have from first to last, that have an equal word and are APART bits apart at most; each pair once."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    for t, (order, low, count) in enumerate(tables):
+        whole = count[first:last].sum() <= AT_ONCE
+        for a, b in [(first, last)] if whole else [(first + a, first + b) for a, b in slices(count[first:last].tolist(), AT_ONCE)]:
+            n = count[a:b]
+            ends = np.cumsum(n)
+            j = np.repeat(np.arange(a, b), n)
+            i = order[np.arange(ends[-1]) + np.repeat(low[a:b] - ends + n, n)]
+            bits = np.zeros(len(i), np.uint16)
+            for k in range(len(want.parts)):  # those without the equal word first, as most pairs are out after half of them
+                k = (t // 2 + 1 + k) % len(want.parts)
+                bits += np.bitwise_count(want.parts[k][i] ^ have.parts[k][j])
+                if k != (t // 2 + 1) % len(want.parts):
+                    good = np.flatnonzero(bits <= APART)
+                    i, j, bits = i[good], j[good], bits[good]
+            if t:  # pairs with an equal word before have been found there
+                new = np.flatnonzero((want.words[i, :t] != have.words[j, :t]).all(1))
+                i, j = i[new], j[new]
+            found.append((i, j))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _hopeful(a: np.ndarray, b: np.ndarray, edges: np.ndarray, least: int, tolerance: float = 3.0) -> np.ndarray:
+    """Which groups of matches, from edges[k] to edges[k + 1], have one that least of its group agree with, as in consensus but for a hair."""
+    m = np.diff(edges)
+    out = m > 64  # these are left to consensus
+    few = np.flatnonzero(~out)
+    for f, g in slices((m[few] ** 2).tolist(), AT_ONCE):
+        k = few[f:g]
+        begin, n = np.repeat(edges[k], m[k]), np.repeat(m[k], m[k])
+        one = begin + np.arange(len(n)) - np.repeat(np.cumsum(m[k]) - m[k], m[k])
+        h = np.repeat(one, n)
+        x = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        turn, size = b[:, 3] - a[:, 3], a[:, 2] / b[:, 2]
+        log = np.log(size)
+        good = np.flatnonzero((np.abs(log[x] - log[h]) <= 0.4 + 1e-6) & (np.abs((turn[x] - turn[h] + np.pi) % (2 * np.pi) - np.pi) <= 0.4 + 1e-6))
+        h, x = h[good], x[good]
+        cos, sin = size * np.cos(turn), size * np.sin(turn)
+        dx, dy = a[x, 0] - a[h, 0], a[x, 1] - a[h, 1]
+        off = (b[h, 0] + cos[h] * dx - sin[h] * dy - b[x, 0]) ** 2 + (b[h, 1] + sin[h] * dx + cos[h] * dy - b[x, 1]) ** 2
+        agree = np.bincount(h[off <= (tolerance + 1e-6) ** 2], minlength=len(a))
+        out[k] = np.maximum.reduceat(agree[one], np.cumsum(m[k]) - m[k]) >= least
+    return out
+
+
+def _agreements(have: _Block, want: _Block, least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(query, image, class_size, matches, inliers) of the pairs of images with least inliers."""
+    tables = []
+    for x, y in zip(want.words.T, have.words.T):
+        order = np.argsort(x, kind="stable")
+        low, high = (np.searchsorted(x[order], y, side) for side in ("left", "right"))
+        tables.append((order, low, high - low))
+    held = np.concatenate([[0], np.cumsum(sum(count for _, _, count in tables))])[have.starts]
+    for first, last in slices(np.diff(held).tolist(), AT_ONCE):
+        if held[first] == held[last]:
+            continue
+        i, j = _near(have, want, have.starts[first], have.starts[last], tables)
+        pair = have.image[j] * len(want.reps) + want.image[i]
+        sort = np.argsort(pair)
+        begin = np.flatnonzero(np.diff(pair[sort], prepend=-1))
+        n = np.diff(begin, append=len(sort))
+        sort, n = sort[np.repeat(n >= least, n)], n[n >= least]
+        edges = np.concatenate([[0], np.cumsum(n)])
+        i, j = i[sort], j[sort]
+        a, b = want.places[i].astype(float), have.places[j].astype(float)
+        for k in np.flatnonzero(_hopeful(a, b, edges, least)):
+            s = slice(edges[k], edges[k + 1])
+            inliers = consensus(a[s], b[s])
+            if inliers >= least:
+                y = have.image[j[edges[k]]]
+                yield want.reps[want.image[i[edges[k]]]], have.reps[y], have.sizes[y], n[k], inliers
+
+
 def copies(images: DataFrame, queries: DataFrame, least: int = 6, id_col: str = "image_id", data_col: str = "image") -> DataFrame:
     """Images that each query image is a copy, crop or edit of, or that are of it.
 
@@ -198,45 +304,42 @@ def copies(images: DataFrame, queries: DataFrame, least: int = 6, id_col: str =
     whatever their corners, so those without enough of them (small, flat or not readable) have fewer or none. Null
     images match nothing. An empty table gives no rows; other columns are ignored.
     """
-    named = lambda df: df.where(F.col(data_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(data_col), 256).alias("key"), F.col(data_col).alias("data"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.arange(WORDS, dtype=np.int64) << 32
         for batch in batches:
             found = [descriptors(decode(d)) for d in batch.pop("data")]
-            yield batch.assign(places=[w.astype("<f4").tobytes() for w, _ in found], words=[(w.astype(np.int64) + table).ravel() for _, w in found])
-
-    def classes(df: DataFrame, name: str) -> DataFrame:
-        """Bytes are described where they are read and never shuffled; equal ones then become one class."""
-        made = named(df).mapInPandas(describe, "id long, key string, places binary, words array<long>")
-        return stored(made.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.max(F.struct("places", "words")).alias("d")).select("key", "rep", "size", "d.*"), name)
-
-    have, want = classes(images, "corners"), classes(queries, "asked")
-    # Hamming tables: corners within 7 bits of each other share one of 8 words at least. Words that many corners hold
-    # still count; the join goes by table and word, and skewed partitions of it are split.
-    table = lambda df, rep, corner: df.select(F.col("rep").alias(rep), F.posexplode("words").alias("_at", "word")).select(rep, F.expr(f"_at div {WORDS}").cast("int").alias(corner), "word")
-    met = table(want, "query", "a").join(table(have, "image", "b"), "word").select("query", "image", "a", "b").distinct()
-    # at most corners x corners of two images
-    pairs = met.groupBy("query", "image").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).where(F.size("a") >= least)
-
-    @F.pandas_udf("matches int, inliers int")
-    def agreed(p: pd.Series, q: pd.Series, v: pd.Series, w: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        where = lambda d: np.frombuffer(d, "<f4").reshape(-1, 4).astype(float)
-        bits = lambda d: np.asarray(d, np.int64).reshape(-1, WORDS).astype(np.uint32)
-        out = []
-        for p, q, v, w, i, j in zip(p, q, v, w, a, b):
-            i, j = np.asarray(i), np.asarray(j)
-            near = np.bitwise_count(bits(v)[i] ^ bits(w)[j]).sum(1, dtype=np.int64) <= APART
-            i, j = i[near], j[near]
-            out.append((len(i), consensus(where(p)[i], where(q)[j]) if len(i) >= least else 0))
-        return pd.DataFrame(out, columns=["matches", "inliers"]).astype("int32")
-
-    pairs = pairs.join(want.select(F.col("rep").alias("query"), F.col("places").alias("p"), F.col("words").alias("v")), "query").join(have.select(F.col("rep").alias("image"), F.col("places").alias("q"), F.col("words").alias("w"), F.col("size").alias("class_size")), "image")
-    found = pairs.withColumn("_m", agreed("p", "q", "v", "w", "a", "b")).select("query", "image", "class_size", F.col("_m.matches").cast("long").alias("matches"), "_m.inliers").where(F.col("inliers") >= least)
-    same = want.select("key", F.col("rep").alias("query")).join(have.select("key", F.col("rep").alias("image"), F.col("size").alias("class_size")), "key").select("query", "image", "class_size", F.lit(0).cast("long").alias("matches"), F.lit(0).alias("inliers"))
+            yield batch.assign(corners=[len(w) for w, _ in found], places=[w.astype("<f4").T.tobytes() for w, _ in found], words=[w.astype("<u4").tobytes() for _, w in found])
+
+    def described(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """All images, their classes, and the rows of those that stand for a class. Bytes are described where they are read and never shuffled."""
+        rows = df.where(F.col(data_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(data_col), 256).alias("key"), F.col(data_col).alias("data"))
+        rows = stored(rows.mapInPandas(describe, "id long, key string, corners long, places binary, words binary"), name)
+        classes = stored(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size")), f"{name}-classes")
+        return rows, classes, rows.withColumnRenamed("id", "rep").join(classes, ["key", "rep"])
+
+    have, have_classes, have_reps = described(images, "corners")
+    want, want_classes, want_reps = described(queries, "asked")
+    # Hamming tables: corners within 7 bits of each other share one of 8 words at least. Words of pictures are far from even: two
+    # images share some by chance, so each pair of a block of images and one of queries meets in a task, which looks words up and
+    # compares the corners at once. Only pairs of images that agree come out, and what is moved is a few bytes for each pair.
+    blocks = lambda df, size: -(-(df.agg(F.sum("corners")).first()[0] or 1) // size)
+    r, g = blocks(have, IMAGE_BLOCK), blocks(want, QUERY_BLOCK)
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = lambda df, i, q: df.select(i.alias("i"), q.alias("q"), "rep", "key", "size", "places", "words").groupBy("i", "q")
+    shape = "query long, image long, class_size long, matches long, inliers int"
+
+    def agreed(images: pa.Table, queries: pa.Table) -> pa.Table:
+        kinds = dict(zip(("query", "image", "class_size", "matches", "inliers"), (pa.int64(),) * 4 + (pa.int32(),)))
+        rows = list(_agreements(_Block(images), _Block(queries), least)) if images.num_rows and queries.num_rows else []
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        return pa.table({c: pa.array([int(v) for v in values], kind) for (c, kind), values in zip(kinds.items(), columns)})
+
+    found = cells(have_reps, own(r), each(g)).cogroup(cells(want_reps, each(r), own(g))).applyInArrow(agreed, shape)
+    same = want_classes.select("key", F.col("rep").alias("query")).join(have_classes.select("key", F.col("rep").alias("image"), F.col("size").alias("class_size")), "key").select("query", "image", "class_size", F.lit(0).cast("long").alias("matches"), F.lit(0).alias("inliers"))
     found = found.unionByName(same).groupBy("query", "image").agg(*[F.max(c).alias(c) for c in ("class_size", "matches", "inliers")])
-    members = named(queries).select(F.col("id").alias("query_id"), "key").join(want.select("key", F.col("rep").alias("query")), "key")
-    return members.join(found.select("query", "image", "class_size", "matches", "inliers"), "query").select("query_id", F.col("image").alias("image_id"), "class_size", "matches", "inliers")
+    members = want.select(F.col("id").alias("query_id"), "key").join(want_classes.select("key", F.col("rep").alias("query")), "key")
+    return members.join(found, "query").select("query_id", F.col("image").alias("image_id"), "class_size", "matches", "inliers")
 
 
 # ---- a table of images ----

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import align, audit, exact, images, jaccard, language, mincut, minhash, packing, repeats, sampling, secrets
-from .shared import table
+from .shared import shuffle_width, table
 
 
 def _tokenizer(name: str) -> str:
@@ -60,7 +60,7 @@ def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited crops of every twentieth image, searched among all images."""
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(shuffle_width(spark), "vec_id")  # small rows, each of which becomes a picture
     return images.copies(images.rendered(vectors), images.rendered(vectors.where("vec_id % 20 = 0"), edited=True))
 
 

@@ -105,3 +105,43 @@ def test_against_all_pairs_of_descriptors(spark):
     frame = lambda rows: spark.createDataFrame(rows, "image_id long, image binary")
     got = {(r.query_id, r.image_id) for r in images.copies(frame(have), frame(want)).collect()}
     assert got == expected and {(6, 0), (7, 1), (0, 6)} <= got
+
+
+def written(spark):
+    """MB of shuffle files of all stages so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
+
+
+def test_pairs_of_corners_stay_in_their_tasks(spark):
+    """What is shuffled are descriptors, once for each block, and not corners by word nor pairs that share one by chance."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id < 200")
+    have, want = (images.rendered(vectors, edited=edited) for edited in (False, True))
+    size = sum(48 * len(descriptors(decode(r.image))[0]) for df in (have, want) for r in df.collect()) / 1e6
+    before = written(spark)
+    assert len({r.query_id for r in copies(have, want).collect() if r.query_id == r.image_id}) >= 190
+    assert 0 < written(spark) - before <= 1.5 * size
+
+
+@pytest.mark.parametrize("at_once", [1, 500, 1 << 21])
+def test_agreements_of_blocks_do_not_hang_on_how_many_pairs_are_looked_at_at_once(monkeypatch, at_once):
+    pictures = [images._blurred(np.random.default_rng(k).normal(0, 4, (60, 64))) * 50 + 128 for k in range(3)]
+    pictures = [*pictures, np.tile(pictures[0][:32, :32], (2, 2)), pictures[1][5:, 9:], np.zeros((50, 50))]
+
+    def block(rows):
+        found = [descriptors(np.clip(p, 0, 255)) for p in rows]
+        return images._Block(images.pa.table({"rep": range(len(rows)), "key": [str(k % 6) for k in range(len(rows))], "size": [1] * len(rows), "places": [w.astype("<f4").T.tobytes() for w, _ in found], "words": [w.astype("<u4").tobytes() for _, w in found]}))
+
+    have = block([*pictures, pictures[0]])  # the last is of the first one's class
+    monkeypatch.setattr(images, "AT_ONCE", at_once)
+    got = sorted(tuple(map(int, r)) for r in images._agreements(have, have, 6))
+    expected = []
+    for q in range(6):
+        for v in range(6):
+            a, b = (slice(*have.starts[[k, k + 1]]) for k in (q, v))
+            x, y = have.words[a], have.words[b]
+            near = (np.bitwise_count(x[:, None] ^ y[None]).sum(2, dtype=int) <= images.APART) & (x[:, None] == y[None]).any(2)
+            i, j = np.nonzero(near)
+            if len(i) >= 6 and (inliers := consensus(have.places[a][i].astype(float), have.places[b][j].astype(float))) >= 6:
+                expected.append((q, v, 1, len(i), inliers))
+    assert got == expected and {(0, 0), (3, 3), (1, 4), (4, 1)} <= {r[:2] for r in got} and len(have.reps) == 6
