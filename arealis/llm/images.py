@@ -201,7 +201,7 @@ def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0) -> int:
 
 
 #: Corners of images and of queries in a block, about; an image is in one block whole. Corner pairs looked at at once, about.
-IMAGE_BLOCK, QUERY_BLOCK, AT_ONCE = 1 << 19, 1 << 18, 1 << 21
+IMAGE_BLOCK, QUERY_BLOCK, AT_ONCE = 1 << 19, 1 << 18, 1 << 19
 
 
 class _Block:
@@ -342,6 +342,18 @@ def copies(images: DataFrame, queries: DataFrame, least: int = 6, id_col: str =
     return members.join(found, "query").select("query_id", F.col("image").alias("image_id"), "class_size", "matches", "inliers")
 
 
+def answers_by_query(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row for each of ids (query_id), from the rows of copies: a group of n copies gives its queries n rows there, and one here.
+
+    class_id is the least image_id among a query's answers, null without any; n_links counts answers, n_images the images of
+    their classes; best_id has the most inliers, the least id of those. links_xor is the exclusive or of xxhash64 of
+    (image_id, class_size, matches, inliers) over all answers, so that no link can be lost unseen.
+    """
+    best = F.max_by("image_id", F.struct("inliers", -F.col("image_id")))
+    tallies = found.groupBy("query_id").agg(F.min("image_id").alias("class_id"), F.count("*").alias("n_links"), F.sum("class_size").alias("n_images"), best.alias("best_id"), F.max("inliers").alias("best_inliers"), F.bit_xor(F.xxhash64("image_id", "class_size", "matches", "inliers")).alias("links_xor"))
+    return ids.select("query_id").distinct().join(tallies, "query_id", "left").na.fill(0, ["n_links", "n_images", "best_inliers", "links_xor"])
+
+
 # ---- a table of images ----
 
 SIDE = 96

@@ -59,9 +59,10 @@ def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited crops of every twentieth image, searched among all images."""
+    """Edited crops of every twentieth image, searched among all images: one row for each, with the class and number of its answers."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(shuffle_width(spark), "vec_id")  # small rows, each of which becomes a picture
-    return images.copies(images.rendered(vectors), images.rendered(vectors.where("vec_id % 20 = 0"), edited=True))
+    asked = vectors.where("vec_id % 20 = 0")
+    return images.answers_by_query(images.copies(images.rendered(vectors), images.rendered(asked, edited=True)), asked.select(F.col("vec_id").cast("long").alias("query_id")))
 
 
 def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,3 +145,24 @@ def test_agreements_of_blocks_do_not_hang_on_how_many_pairs_are_looked_at_at_onc
             if len(i) >= 6 and (inliers := consensus(have.places[a][i].astype(float), have.places[b][j].astype(float))) >= 6:
                 expected.append((q, v, 1, len(i), inliers))
     assert got == expected and {(0, 0), (3, 3), (1, 4), (4, 1)} <= {r[:2] for r in got} and len(have.reps) == 6
+
+
+def test_a_query_has_one_row_however_many_copies_it_has(spark):
+    found = [(1, i, 1 + i % 2, 10 + i, 7 + i % 3) for i in range(40, 0, -1)] + [(2, 9, 1, 8, 6)]
+    rows = spark.createDataFrame(found, "query_id long, image_id long, class_size long, matches long, inliers int").repartition(4)
+    ids = spark.createDataFrame([(q,) for q in (1, 2, 3)], "query_id long")
+    got = {r.query_id: tuple(r)[1:-1] for r in images.answers_by_query(rows, ids).collect()}
+    assert got == {1: (1, 40, 60, 2, 9), 2: (9, 1, 1, 9, 6), 3: (None, 0, 0, None, 0)}
+    links = lambda kept: {r.query_id: r.links_xor for r in images.answers_by_query(kept, ids).collect()}
+    whole, less = links(rows), links(rows.where("image_id <> 17"))
+    assert whole[1] != less[1] and (whole[2], whole[3]) == (less[2], 0)
+
+
+def test_the_query_counts_all_answers(spark):
+    from arealis.llm.queries import op10_image_copies
+
+    rows = op10_image_copies(spark, "/root/testdata/sf0.01").collect()
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = copies(rendered(vectors), rendered(vectors.where("vec_id % 20 = 0"), edited=True)).collect()
+    assert len(rows) == vectors.where("vec_id % 20 = 0").count()
+    assert {r.query_id: (r.n_links, r.n_images, r.class_id) for r in rows if r.n_links} == {q: (len(own), sum(r.class_size for r in own), min(r.image_id for r in own)) for q in {r.query_id for r in found} for own in [[r for r in found if r.query_id == q]]}
