@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arealis.llm import images
 from arealis.llm.images import consensus, copies, decode, descriptors, encode_pgm, encode_png, rendered, resized
@@ -166,3 +167,14 @@ def test_the_query_counts_all_answers(spark):
     found = copies(rendered(vectors), rendered(vectors.where("vec_id % 20 = 0"), edited=True)).collect()
     assert len(rows) == vectors.where("vec_id % 20 = 0").count()
     assert {r.query_id: (r.n_links, r.n_images, r.class_id) for r in rows if r.n_links} == {q: (len(own), sum(r.class_size for r in own), min(r.image_id for r in own)) for q in {r.query_id for r in found} for own in [[r for r in found if r.query_id == q]]}
+
+
+def test_answers_do_not_hang_on_the_size_of_blocks(spark, monkeypatch):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id < 60")
+    again = vectors.where("vec_id % 7 = 0").withColumn("vec_id", F.col("vec_id") + 1000)  # the same bytes as others
+    have, want = rendered(vectors.union(again)), rendered(vectors.union(again), edited=True)
+    plain = sorted(tuple(r) for r in copies(have, want).collect())
+    monkeypatch.setattr(images, "IMAGE_BLOCK", 1500)
+    monkeypatch.setattr(images, "QUERY_BLOCK", 900)
+    assert sorted(tuple(r) for r in copies(have, want).collect()) == plain and {(q, q) for q in range(60)} <= {r[:2] for r in plain}
+    assert {r[:3] for r in plain if r[0] == 1007} == {(1007, 7, 2)}
