@@ -11,7 +11,7 @@ from ..functions import columns as C
 from ..functions import text as T
 from ..operators import agreement, cohort, joins, linear, quality, ranking, resample, spatial
 from ..sources.sinks import written
-from .facts import FACTS, LEAST, PERIODS, SUPPRESSED_BELOW, facts, read
+from .facts import FACTS, LEAST, PERIODS, SUPPRESSED_BELOW, facts, in_file_order, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -508,7 +508,15 @@ def scaled_predictors(spark, sf_dir):
            SELECT 'x1' AS predictor, n, d1 AS "distinct", round(i1, 6) AS iqr, round(abs(r), 6) AS largest_r, round(1 / (1 - r * r), 6) AS vif, n >= 70 AND d1 >= 10 AND i1 > 0 AND abs(r) <= 0.8 AND 1 / (1 - r * r) <= 5 AS passes FROM c
            UNION ALL SELECT 'x2', n, d2, round(i2, 6), round(abs(r), 6), round(1 / (1 - r * r), 6), n >= 70 AND d2 >= 10 AND i2 > 0 AND abs(r) <= 0.8 AND 1 / (1 - r * r) <= 5 FROM c""")
 def collinearity_gates(spark, sf_dir):
-    rows = linear.gates(model_frame(spark, sf_dir), "y", ["x1", "x2"])
+    """Gates of two predictors. Doubles' averages hang on the order of their sums, and x2's are counted, so its sums follow the files' rows.
+
+    So does the SQL on one thread; on more, its count of x2 differs from run to run.
+    """
+    lines = in_file_order(read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("_unit"), "l_discount"))
+    upto = Window.partitionBy("_unit").orderBy("_file", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = lines.withColumn("_sum", F.sum("l_discount").over(upto)).groupBy("_unit").agg((F.max_by("_sum", F.struct("_file", "_row")) / F.count("l_discount") * 100).alias("x2"))
+    frame = model_frame(spark, sf_dir).drop("x2").join(sums, F.col("unit").eqNullSafe(F.col("_unit"))).select("unit", "y", "x1", "x2")
+    rows = linear.gates(frame, "y", ["x1", "x2"])
     out = spark.createDataFrame([(r["predictor"], r["n"], r["distinct"], r["iqr"], r["largest_r"], r["vif"], r["passes"]) for r in rows], "predictor string, n long, distinct long, iqr double, largest_r double, vif double, passes boolean")
     return out.select("predictor", "n", "distinct", r6("iqr"), r6("largest_r"), r6("vif"), "passes")
 

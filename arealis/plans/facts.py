@@ -20,6 +20,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """df, as read from Parquet, with _file and _row: the place of a row's file in the order of their paths, and the row's place in it."""
+    rows = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    files = df.select(F.col("_metadata.file_path").alias("_path")).distinct()
+    return rows.join(F.broadcast(files.withColumn("_file", F.row_number().over(Window.orderBy("_path")))), "_path").drop("_path")
+
+
 def dealt(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
     """df in parts enough for all cores, as a table: a small file is one part, however long the work on its rows.
 

@@ -102,6 +102,19 @@ def test_suppliers_with_equal_lines_tie(spark, tmp_path):
     assert {r.category for r in catalogue.discordance_by_rank(spark, here).collect()} == {"other"}
 
 
+def test_gates_count_averages_as_the_sql_does_in_file_order(spark, tmp_path):
+    """Three copies of lines in seven files: each supplier's sums must follow the rows, whatever tasks read them."""
+    copy, k = pd.Series(range(60000)) // 20000, pd.Series(range(60000)) % 20000
+    lines = pd.DataFrame({"l_suppkey": k * 31 % 97 + copy * 97, "l_extendedprice": k * 37 % 1009 / 10.0, "l_returnflag": (k * 13 % 7 < 3).map({True: "R", False: "N"}), "l_discount": k * 7919 % 104729 / 1e5, "l_quantity": 1.0})
+    os.makedirs(tmp_path / "lineitem.parquet")
+    for i in range(7):  # of sizes that let Spark read them in another order
+        lines.iloc[sum(range(i + 1)) * 60000 // 28 : sum(range(i + 2)) * 60000 // 28].to_parquet(tmp_path / f"lineitem.parquet/part-{i}.parquet")
+    db = duckdb.connect(config={"threads": 1})
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = {r[0]: r[2] for r in db.execute(catalogue.SQL["collinearity_gates"]).fetchall()}
+    assert {r.predictor: r.distinct for r in catalogue.collinearity_gates(spark, str(tmp_path)).collect()} == want
+
+
 def test_steady_mean_of_what_decimals_do_not_hold(spark):
     rows = [("a", 1e300), ("a", 1e300), ("b", float("nan")), ("b", 1.0), ("c", None), ("d", 2e-9), ("d", 4e-9), ("e", 0.0), ("f", 0.1), ("f", None)]
     got = {r.g: r.m for r in spark.createDataFrame(rows, "g string, v double").groupBy("g").agg(C.steady_mean("v").alias("m")).collect()}
