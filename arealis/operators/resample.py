@@ -6,6 +6,7 @@ its own again. Replicates are rows; nothing loops on the driver.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,6 +23,48 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+#: MD5's turns, by step, and its sines.
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = [int(abs(np.sin(i + 1)) * 4294967296) for i in range(64)]
+
+
+def _md5_heads(words: np.ndarray, size: int) -> np.ndarray:
+    """The first 32 bits of the MD5 of texts of size bytes (55 at most): words holds a row for each little-endian word of theirs, with the bit behind."""
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(words.shape[1], x) for x in start)
+    for i in range(64):
+        f = d ^ (b & (c ^ d)) if i < 16 else c ^ (d & (b ^ c)) if i < 32 else b ^ c ^ d if i < 48 else c ^ (b | ~d)
+        g = (i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16
+        f += a
+        f += np.uint32((_SINES[i] + 8 * size * (g == 14)) % 4294967296)
+        if g < len(words):
+            f += words[g]
+        turn = np.uint32(_TURNS[i // 16][i % 4])
+        a, d, c, b = d, c, b, b + ((f << turn) | (f >> (np.uint32(32) - turn)))
+    return (a + start[0]).byteswap()
+
+
+def draws(seed: int, areas: Sequence[str], replicates: range, slots: int) -> np.ndarray:
+    """What draw() gives for (area, replicate, slot) with slots from 1, many at a time: an array of areas by replicates by slots."""
+    out = np.empty((len(areas), len(replicates) * slots), np.uint32)
+    heads, tails = [f"{seed}|{a}|".encode() for a in areas], [b"%d|%d" % (r, s) for r in replicates for s in range(1, slots + 1)]
+    sizes = [np.array([len(x) for x in texts]) for texts in (heads, tails)]
+    for m in np.unique(sizes[0]):
+        for n in np.unique(sizes[1]):
+            i, j = np.flatnonzero(sizes[0] == m), np.flatnonzero(sizes[1] == n)
+            if m + n > 55:
+                out[np.ix_(i, j)] = [[int.from_bytes(hashlib.md5(heads[x] + tails[y]).digest()[:4], "big") for y in j] for x in i]
+                continue
+            text = np.zeros((len(i), len(j), (m + n) // 4 * 4 + 4), np.uint8)
+            text[..., :m] = np.frombuffer(b"".join(heads[x] for x in i), np.uint8).reshape(-1, 1, m)
+            text[..., m : m + n] = np.frombuffer(b"".join(tails[y] for y in j), np.uint8).reshape(-1, n)
+            text[..., m + n] = 128
+            words = np.ascontiguousarray(text.reshape(len(i) * len(j), -1).view("<u4").T)
+            found = np.concatenate([_md5_heads(words[:, k : k + 16384], int(m + n)) for k in range(0, words.shape[1], 16384)])
+            out[np.ix_(i, j)] = found.reshape(len(i), len(j))
+    return out.reshape(len(areas), len(replicates), slots)
+
+
 def cluster_draws(clusters: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, cluster, times): as many draws with replacement as there are clusters, counted by cluster."""
     spark = clusters.sparkSession

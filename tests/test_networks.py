@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -107,6 +108,50 @@ def test_conditional_diagnostics_match_arrays(spark):
     assert {r.family: (r.tests, r.raw) for r in local.surviving(local.conditional_diagnostics(values, "k", "v", weights, permutations, 11)).collect()}.keys() == {"local_moran", "getis_ord_gi_star"}
 
 
+def test_conditional_draws_stay_in_their_tasks(spark):
+    """Whole p-values by a plain loop over the same draws, with unknown values and long keys, and few rows moved: draws are 79 for each edge."""
+    md5 = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    side, permutations, seed = 16, 79, 5
+    names = [f"a{i}" + "x" * (60 * (i % 50 == 3)) for i in range(side * side)]
+    v = {k: None if i % 7 == 2 else float(i * 37 % 101) for i, k in enumerate(names)}
+    edges = [(names[a], names[b]) for a, b in grid_edges(side, side)]
+    values, weights = spark.createDataFrame([*v.items()], "k string, v double"), spark.createDataFrame(edges, "src string, dst string")
+
+    def moved():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = moved()
+    rows = local.conditional_diagnostics(values, "k", "v", weights, permutations, seed).collect()
+    assert moved() - before < 20 * len(edges)
+    known = np.array([x for x in v.values() if x is not None])
+    z = {k: None if x is None else (x - known.mean()) / known.std() for k, x in v.items()}
+    order = sorted(names, key=lambda k: (md5(k)[:3], k))
+    near = {k: [b for a, b in edges if a == k] for k in names}
+    want, n = {}, len(names)
+    for k in names:
+        d, place, lags, sums = len(near[k]), order.index(k), [], []
+        for r in range(permutations):
+            chosen = []
+            for slot in range(1, d + 1):
+                t = int(md5(seed, k, r, slot)[:8], 16) % (n - 1 - d + slot)
+                chosen.append(n - 1 - d + slot - 1 if t in chosen else t)
+            got = [x for x in (z[order[t + (t >= place)]] for t in chosen) if x is not None]
+            if got:
+                lags.append(np.mean(got))
+                sums.append(sum(got))
+        seen = [z[b] for b in near[k] if z[b] is not None]
+        scale = np.sqrt((n * (d + 1) - (d + 1) ** 2) / (n - 1))
+        for f, one, many in (("local_moran", lambda x: z[k] * x, lags), ("getis_ord_gi_star", lambda x: (z[k] + x) / scale, sums)):
+            if z[k] is None or not seen:
+                want[k, f] = None
+                continue
+            a, b = one(np.mean(seen) if f == "local_moran" else sum(seen)), np.array([one(x) for x in many])
+            c = b.sum() / permutations
+            want[k, f] = (1 + int((np.abs(b - c) >= abs(a - c) - 1e-12).sum())) / (permutations + 1)
+    assert {(r.k, r.family): r.p_raw for r in rows} == want and None in want.values()
+
+
 def test_neighbourhood_of_all_has_no_gi_star(spark):
     values = spark.createDataFrame([(i, float(i * i)) for i in range(4)], "k long, v double")
     edges = spark.createDataFrame([(a, b) for a in range(4) for b in range(4) if a != b], "src long, dst long")
