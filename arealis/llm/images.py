@@ -183,8 +183,12 @@ def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0) -> int:
     turn = b[:, 3] - a[:, 3]
     size = a[:, 2] / b[:, 2]
     cos, sin = (size * np.cos(turn))[:, None], (size * np.sin(turn))[:, None]
-    # a corner of either image counts once
-    spots = [np.unique(np.round(m[:, :2] / 2).astype(int), axis=0, return_inverse=True)[1].ravel() for m in (a, b)]
+    # a corner of either image counts once: matches in order of its spot, and where spots begin
+    spots = []
+    for m in (a, b):
+        at = np.round(m[:, :2] / 2).astype(np.int64) @ [1 << 32, 1]
+        order = at.argsort(kind="stable")
+        spots.append((order, np.flatnonzero(np.diff(at[order], prepend=at[order[:1]] - 1))))
     best, step = 0, max(1, (1 << 20) // max(len(a), 1))
     for k in range(0, len(a), step):
         h = slice(k, k + step)
@@ -193,15 +197,15 @@ def consensus(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0) -> int:
         good &= np.abs((turn[None] - turn[h, None] + np.pi) % (2 * np.pi) - np.pi) <= 0.4
         good &= np.abs(np.log(size[None] / size[h, None])) <= 0.4  # a step of SCALES
         agree = good.sum(1)
-        for i in np.argsort(-agree):
-            if agree[i] <= best:
-                break
-            best = max(best, min(len(np.unique(s[good[i]])) for s in spots))
+        if len(good := good[agree > best]):
+            best = max(best, int(np.minimum(*(np.logical_or.reduceat(good[:, order], first, axis=1).sum(1) for order, first in spots)).max()))
     return best
 
 
 #: Corners of images and of queries in a block, about; an image is in one block whole. Corner pairs looked at at once, about.
 IMAGE_BLOCK, QUERY_BLOCK, AT_ONCE = 1 << 19, 1 << 18, 1 << 19
+#: Those compared at once, so that what is looked at stays in a core's cache.
+COMPARED = 1 << 15
 
 
 class _Block:
@@ -214,7 +218,7 @@ class _Block:
         words = rows["words"].to_pylist()
         self.starts = np.concatenate([[0], np.cumsum([len(w) // (4 * WORDS) for w in words])]).astype(np.int64)
         self.words = np.frombuffer(b"".join(words), "<u4").reshape(-1, WORDS)
-        self.parts = np.ascontiguousarray(self.words.view("<u8").T)
+        self.parts = self.words.view("<u8")
         self.places = np.concatenate([np.frombuffer(d, "<f4").reshape(4, -1).T for d in rows["places"].to_pylist()])
         self.image = np.repeat(np.arange(len(words)), np.diff(self.starts))
 
@@ -223,42 +227,62 @@ def _near(have: _Block, want: _Block, first: int, last: int, tables: list[tuple[
     """Corners of want, and of have from first to last, that have an equal word and are APART bits apart at most; each pair once."""
     found = [(np.zeros(0, np.int64),) * 2]
     for t, (order, low, count) in enumerate(tables):
-        whole = count[first:last].sum() <= AT_ONCE
-        for a, b in [(first, last)] if whole else [(first + a, first + b) for a, b in slices(count[first:last].tolist(), AT_ONCE)]:
-            n = count[a:b]
+        some = first + np.flatnonzero(count[first:last])
+        if not len(some):
+            continue
+        some = some[np.argsort(low[some])]  # corners with one word in a row, so that what they meet is at hand
+        upto = np.cumsum(count[some], dtype=np.int64)
+        stops = np.unique(np.minimum(np.searchsorted(upto, np.arange(COMPARED, upto[-1] + COMPARED, COMPARED)) + 1, len(some))).tolist()
+        for f, g in zip([0, *stops], stops):
+            n = count[some[f:g]]
             ends = np.cumsum(n)
-            j = np.repeat(np.arange(a, b), n)
-            i = order[np.arange(ends[-1]) + np.repeat(low[a:b] - ends + n, n)]
-            bits = np.zeros(len(i), np.uint16)
-            for k in range(len(want.parts)):  # those without the equal word first, as most pairs are out after half of them
-                k = (t // 2 + 1 + k) % len(want.parts)
-                bits += np.bitwise_count(want.parts[k][i] ^ have.parts[k][j])
-                if k != (t // 2 + 1) % len(want.parts):
-                    good = np.flatnonzero(bits <= APART)
-                    i, j, bits = i[good], j[good], bits[good]
+            i = order[np.arange(ends[-1]) + np.repeat(low[some[f:g]] - ends + n, n)]
+            j = np.repeat(some[f:g], n)
+            apart = want.parts.take(i, 0)
+            apart ^= have.parts.take(j, 0)
+            bits = np.bitwise_count(apart).astype(np.uint16)
+            near = np.flatnonzero(bits[:, 0] + bits[:, 1] + bits[:, 2] + bits[:, 3] <= APART)
             if t:  # pairs with an equal word before have been found there
-                new = np.flatnonzero((want.words[i, :t] != have.words[j, :t]).all(1))
-                i, j = i[new], j[new]
-            found.append((i, j))
+                words, new = apart.view("<u4").take(near, 0), np.ones(len(near), bool)
+                for k in range(t):
+                    new &= words[:, k] != 0
+                near = near[new]
+            found.append((i.take(near), j.take(near)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _together(turn: np.ndarray, begin: np.ndarray, m: np.ndarray, least: int) -> np.ndarray:
+    """Which groups of m matches from begin have least of them within a turn of 0.8, as any that agree with one of them within 0.4 do."""
+    if not len(m):
+        return np.zeros(0, bool)
+    start = np.cumsum(m) - m
+    at = np.arange(m.sum()) - np.repeat(start, m)
+    group = np.repeat(np.arange(len(m)), m)
+    turn = turn[at + np.repeat(begin, m)] % (2 * np.pi)
+    turn = turn[np.argsort(group * 8.0 + turn)]  # a turn is less than 8
+    end = at + least - 1
+    over = end >= m[group]  # round the circle
+    wide = turn[start[group] + end - over * m[group]] + over * (2 * np.pi) - turn
+    return np.logical_or.reduceat(wide <= 0.8 + 1e-5, start)
+
+
 def _hopeful(a: np.ndarray, b: np.ndarray, edges: np.ndarray, least: int, tolerance: float = 3.0) -> np.ndarray:
     """Which groups of matches, from edges[k] to edges[k + 1], have one that least of its group agree with, as in consensus but for a hair."""
     m = np.diff(edges)
     out = m > 64  # these are left to consensus
+    turn = b[:, 3] - a[:, 3]
     few = np.flatnonzero(~out)
+    few = few[_together(turn, edges[few], m[few], least)]
+    size = a[:, 2] / b[:, 2]
+    log, cos, sin = np.log(size), size * np.cos(turn), size * np.sin(turn)
     for f, g in slices((m[few] ** 2).tolist(), AT_ONCE):
         k = few[f:g]
         begin, n = np.repeat(edges[k], m[k]), np.repeat(m[k], m[k])
         one = begin + np.arange(len(n)) - np.repeat(np.cumsum(m[k]) - m[k], m[k])
         h = np.repeat(one, n)
         x = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-        turn, size = b[:, 3] - a[:, 3], a[:, 2] / b[:, 2]
-        log = np.log(size)
         good = np.flatnonzero((np.abs(log[x] - log[h]) <= 0.4 + 1e-6) & (np.abs((turn[x] - turn[h] + np.pi) % (2 * np.pi) - np.pi) <= 0.4 + 1e-6))
         h, x = h[good], x[good]
-        cos, sin = size * np.cos(turn), size * np.sin(turn)
         dx, dy = a[x, 0] - a[h, 0], a[x, 1] - a[h, 1]
         off = (b[h, 0] + cos[h] * dx - sin[h] * dy - b[x, 0]) ** 2 + (b[h, 1] + sin[h] * dx + cos[h] * dy - b[x, 1]) ** 2
         agree = np.bincount(h[off <= (tolerance + 1e-6) ** 2], minlength=len(a))
@@ -270,15 +294,18 @@ def _agreements(have: _Block, want: _Block, least: int) -> Iterator[tuple[int, i
     """(query, image, class_size, matches, inliers) of the pairs of images with least inliers."""
     tables = []
     for x, y in zip(want.words.T, have.words.T):
-        order = np.argsort(x, kind="stable")
-        low, high = (np.searchsorted(x[order], y, side) for side in ("left", "right"))
-        tables.append((order, low, high - low))
+        order = np.argsort(x, kind="stable").astype(np.int32)
+        words, begin, n = np.unique(x[order], return_index=True, return_counts=True)
+        at = np.minimum(np.searchsorted(words, y), len(words) - 1)
+        tables.append((order, begin[at].astype(np.int32), np.where(words[at] == y, n[at], 0).astype(np.int32)))
     held = np.concatenate([[0], np.cumsum(sum(count for _, _, count in tables))])[have.starts]
-    for first, last in slices(np.diff(held).tolist(), AT_ONCE):
+    for first, last in slices(np.maximum(np.diff(held), len(want.reps)).tolist(), AT_ONCE):
         if held[first] == held[last]:
             continue
         i, j = _near(have, want, have.starts[first], have.starts[last], tables)
-        pair = have.image[j] * len(want.reps) + want.image[i]
+        pair = (have.image.take(j) - first) * len(want.reps) + want.image.take(i)
+        some = np.flatnonzero((np.bincount(pair, minlength=1) >= least).take(pair))
+        i, j, pair = i.take(some), j.take(some), pair.take(some)
         sort = np.argsort(pair)
         begin = np.flatnonzero(np.diff(pair[sort], prepend=-1))
         n = np.diff(begin, append=len(sort))

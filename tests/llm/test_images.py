@@ -148,6 +148,37 @@ def test_agreements_of_blocks_do_not_hang_on_how_many_pairs_are_looked_at_at_onc
     assert got == expected and {(0, 0), (3, 3), (1, 4), (4, 1)} <= {r[:2] for r in got} and len(have.reps) == 6
 
 
+def test_chance_matches_are_not_compared_with_each_other(monkeypatch):
+    """Groups whose turns are spread are out before their matches meet; those that agree, round the circle too, stay."""
+    rng = np.random.default_rng(3)
+    groups, looked = [], []
+    for k in range(400):
+        m = int(rng.integers(6, 14))
+        a, b = (np.column_stack([rng.uniform(0, 96, (m, 2)), rng.choice(images.SCALES, m), rng.uniform(-np.pi, np.pi, m)]) for _ in "ab")
+        if k % 10 == 0:  # a copy turned by 3.1 with noise, so that some turns are above pi and some below
+            t, n = 3.1 + k / 4000, int(rng.integers(4, m + 1))
+            x, y = a[:n, 0] - 48, a[:n, 1] - 48
+            b[:n, 0], b[:n, 1] = np.cos(t) * x - np.sin(t) * y + 48, np.sin(t) * x + np.cos(t) * y + 48
+            b[:n, 2], b[:n, 3] = a[:n, 2], a[:n, 3] + t + rng.uniform(-0.15, 0.15, n)
+        groups.append((a, b))
+    edges = np.concatenate([[0], np.cumsum([len(a) for a, _ in groups])])
+    plain, real = [], images.slices
+    for a, b in groups:
+        turn, size = b[:, 3] - a[:, 3], a[:, 2] / b[:, 2]
+        best = 0
+        for h in range(len(a)):
+            dx, dy = a[:, 0] - a[h, 0], a[:, 1] - a[h, 1]
+            c, s = size[h] * np.cos(turn[h]), size[h] * np.sin(turn[h])
+            good = np.hypot(b[h, 0] + c * dx - s * dy - b[:, 0], b[h, 1] + s * dx + c * dy - b[:, 1]) <= 3
+            good &= (np.abs((turn - turn[h] + np.pi) % (2 * np.pi) - np.pi) <= 0.4) & (np.abs(np.log(size / size[h])) <= 0.4)
+            best = max(best, good.sum())
+        plain.append(best >= 6)
+    monkeypatch.setattr(images, "slices", lambda sizes, most: looked.extend(sizes) or real(sizes, most))
+    a, b = (np.concatenate(x) for x in zip(*groups))
+    assert images._hopeful(a, b, edges, 6).tolist() == plain and sum(plain) >= 20
+    assert sum(looked) < 0.5 * (np.diff(edges) ** 2).sum()
+
+
 def test_a_query_has_one_row_however_many_copies_it_has(spark):
     found = [(1, i, 1 + i % 2, 10 + i, 7 + i % 3) for i in range(40, 0, -1)] + [(2, 9, 1, 8, 6)]
     rows = spark.createDataFrame(found, "query_id long, image_id long, class_size long, matches long, inliers int").repartition(4)
